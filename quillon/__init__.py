@@ -1,0 +1,8 @@
+"""Cross-sectional panel analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
