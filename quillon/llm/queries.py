@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, minhash, mixing, pii, sharding
+from quillon.llm import chat, decontaminate, minhash, mixing, pii, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +40,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_personal_data, op3_decontamination, op4_chat, op5_mixing, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_personal_data, op3_decontamination, op4_chat, op5_mixing, op6_warc, op10_near_duplicates)}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,4 +106,15 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM c
 """
 
-ORACLES = {"op3_decontamination": OP3_SQL, "op4_chat": OP4_SQL, "op5_mixing": OP5_SQL}
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(('0b' || substr(bits, {5 * k + 1}, 5)) AS integer), 1)" for k in range(32))
+
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+b AS (SELECT page_id, html, strlen(html) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS latest FROM p),
+c AS (SELECT *, {" || ".join(f"right(bin(cast(('0x' || substr(h, {k + 1}, 1)) AS integer) + 16), 4)" for k in range(40))} AS bits FROM b)
+SELECT page_id, cast(payload_bytes AS bigint) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < latest THEN latest END AS refers_to
+FROM c
+"""
+
+ORACLES = {"op6_warc": OP6_SQL, "op3_decontamination": OP3_SQL, "op4_chat": OP4_SQL, "op5_mixing": OP5_SQL}
