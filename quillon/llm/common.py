@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,6 +18,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: What each byte value stands for in a polynomial.
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 #: The tables of powers, kept by each process.
 _TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -37,7 +39,7 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """s with s[j] - s[i] = hash of data[i:j] times base^i."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(mix64(data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, ego, minhash, mixing, pii, quality, sharding, warc
+from quillon.llm import chat, decontaminate, ego, minhash, mixing, pii, quality, sharding, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,7 +60,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_personal_data, op3_decontamination, op4_chat, op5_mixing, op6_warc, op7_embeddings, op9_quality, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_personal_data, op3_decontamination, op4_chat, op5_mixing, op6_warc, op7_embeddings, op8_suffix_dedup, op9_quality, op10_near_duplicates)}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
