@@ -13,3 +13,50 @@ def balanced(panel: DataFrame, event: str) -> DataFrame:
     at = F.lit(event).cast("date")
     rows = panel.withColumn("_a", F.min("date").over(firm)).withColumn("_b", F.max("date").over(firm))
     return rows.where((F.col("_a") < at) & (F.col("_b") >= at)).withColumn("post", (F.col("date") >= at).cast("int")).drop("_a", "_b")
+
+
+def demean_two_ways(df: DataFrame, columns: list[str], a: str = "stock_id", b: str = "period", rounds: int = 8) -> DataFrame:
+    """Sweeps out both fixed effects by turns; one turn is exact on balanced panels, a few suffice on others."""
+    out = df
+    for _ in range(rounds):
+        for key in (a, b):
+            out = out.withColumns({c: F.col(c) - F.avg(c).over(W.partitionBy(key)) for c in columns})
+    return out
+
+
+def _clustered(df: DataFrame, x: str, y: str, cluster: list[str]) -> DataFrame:
+    """Slope of demeaned ``y`` on demeaned ``x`` with a sandwich error clustered by ``cluster``: sums, then sums of squares of sums."""
+    slope = df.agg(F.try_divide(F.sum(F.col(x) * F.col(y)), F.when(F.sum(F.col(x) * F.col(x)) > 1e-12, F.sum(F.col(x) * F.col(x)))).alias("beta"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.count(y).alias("n"))
+    score = df.crossJoin(F.broadcast(slope)).groupBy(*cluster).agg(F.sum(F.col(x) * (F.col(y) - F.col("beta") * F.col(x))).alias("g"), F.first("beta").alias("beta"), F.first("xx").alias("xx"), F.first("n").alias("n"))
+    se = F.try_divide(F.sqrt(F.sum(F.col("g") * F.col("g"))), F.first("xx"))
+    return score.agg(F.first("beta").alias("beta"), se.alias("se"), F.try_divide(F.first("beta"), F.when(se > 0, se)).alias("t_stat"), F.first("n").alias("n"))
+
+
+def twfe(panel: DataFrame, rounds: int = 8) -> DataFrame:
+    """Two-way fixed-effects estimate of ``d`` on ``y``, clustered by security."""
+    rows = panel.where("y is not null and d is not null").withColumn("y", F.col("y").cast("double")).withColumn("d", F.col("d").cast("double"))
+    return _clustered(demean_two_ways(rows, ["y", "d"], rounds=rounds), "d", "y", ["stock_id"])
+
+
+def event_study(panel: DataFrame, event: str, days: int = 30, reach: int = 6) -> DataFrame:
+    """Effect of treatment by relative time, against the step before the event; both fixed effects are swept out.
+
+    Relative times are ``-reach`` to ``reach``, further ones count as the ends. The joint regression comes from moment sums.
+    """
+    from quillon.operators.regress import coefficients, moments
+
+    rel = F.greatest(F.least(F.floor(F.datediff("date", F.lit(event).cast("date")) / days), F.lit(reach)), F.lit(-reach)).cast("int")
+    steps = [k for k in range(-reach, reach + 1) if k != -1]
+    names = [f"t{k}" for k in steps]
+    rows = panel.where("y is not null").withColumn("_rel", rel).withColumns({n: (F.col("treated") & (F.col("_rel") == k)).cast("double") for n, k in zip(names, steps, strict=True)})
+    swept = demean_two_ways(rows.withColumn("y", F.col("y").cast("double")), ["y", *names], rounds=3).withColumn("_all", F.lit(1))
+    fit = coefficients(moments(swept, ["_all"], F.col("y"), [F.col(n) for n in names]), ["_all"], names, least=1)
+    return fit.unpivot(["n"], names, "step", "effect").select(F.substring("step", 2, 10).cast("int").alias("step"), "effect", "n")
+
+
+def levene(panel: DataFrame, value: str) -> DataFrame:
+    """Whether spread changes after the event: absolute deviations from the firm-period mean on ``post``, firm effects swept out, clustered by firm-period."""
+    rows = panel.where(F.col(value).isNotNull()).withColumn("_y", F.abs(F.col(value) - F.avg(value).over(W.partitionBy("stock_id", "post"))))
+    firm = W.partitionBy("stock_id")
+    rows = rows.withColumn("_x", F.col("post") - F.avg("post").over(firm)).withColumn("_y", F.col("_y") - F.avg("_y").over(firm))
+    return _clustered(rows, "_x", "_y", ["stock_id", "post"])

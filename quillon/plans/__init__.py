@@ -1,4 +1,4 @@
 """Queries by name, and their SQL."""
 
-from quillon.plans import factor_queries, panel_queries  # noqa: F401
+from quillon.plans import factor_queries, panel_queries, validation_queries  # noqa: F401
 from quillon.plans.registry import QUERIES, SQL

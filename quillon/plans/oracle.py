@@ -115,4 +115,4 @@ def with_ctes(sql: str) -> str:
     for name in _needs(sql):
         add(name)
     head = ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in out.items())
-    return f"WITH {head}\n{sql}" if out else sql
+    return f"WITH {head}\nSELECT * FROM ({sql})" if out else sql
