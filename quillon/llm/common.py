@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Words of the decontamination rule: runs of digits, ASCII lower-case letters and anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of the decontamination rule before A-Z are lower-cased: runs of digits, ASCII letters and anything beyond ASCII.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Words of the near-duplicate and size rules: runs of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 
@@ -36,6 +36,15 @@ def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Lowers the session's Arrow batches to ``limit`` bytes, so that texts of any length reach Python a few at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = spark.conf.get(key, "64m").strip().lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1:], 1)
+    if int(text.rstrip("kmg")) * unit > limit:
+        spark.conf.set(key, str(limit))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. ``lower`` does that wherever no other upper-case letter occurs, and is far faster than ``translate``."""
     other = text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, materialize
+from quillon.llm.common import bound_batches, connected_components, materialize
 
 COSINE = 0.93
 #: The axes are fitted on so many vectors at most (those of the smallest hashed ids); they steer pruning alone.
@@ -214,6 +214,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     empty table gives an empty result.
     """
     eps = math.sqrt(2 - 2 * cosine)
+    bound_batches(vectors.sparkSession)
     good = usable(vectors).withColumn("rep", F.xxhash64("grp", "v"))
     good = materialize(good, "ego-rows")
     reps = materialize(good.groupBy("rep", "grp", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("low")), "ego-reps")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents whose numbers fit the potentials; the rest of the table plays no part in the fit.
@@ -206,6 +208,7 @@ def find(docs: DataFrame) -> DataFrame:
     play no part; an empty table gives an empty result. Spans count code points, ends exclusive.
     """
     model = fit(docs)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)

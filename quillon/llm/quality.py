@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import TOKEN, materialize
+from quillon.llm.common import TOKEN, bound_batches, materialize
 
 #: The text classifier is fitted on so many labelled rows at most, those of the smallest hashed ids.
 FIT_ROWS = 20_000
@@ -73,6 +73,7 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The text classifier, from at most FIT_ROWS labelled documents. Without labels every logit is 0."""
+    bound_batches(docs.sparkSession)
     known = _labels(labels)
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "quality-sample")

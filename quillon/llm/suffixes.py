@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import bound_batches, materialize
 from quillon.llm.hashing import mix64, prefix_sums, spans
 
 LENGTH, GRAM = 50, 20
@@ -313,6 +313,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     repeated results; other columns play no part; an empty table gives an empty result. ``removed`` lists the
     maximal removed runs, ends exclusive.
     """
+    bound_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     chunks = materialize(text.mapInArrow(_pack, CHUNKS), "repeat-chunks", "uncompressed")
     total = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, shared_dir
+from quillon.llm.common import bound_batches, materialize, shared_dir
 
 #: Target of uncompressed bytes in a shard, and of compressed bytes in a file.
 SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
@@ -141,6 +141,7 @@ def write_archives(pages: DataFrame, base: str, min_bytes: int = 0, shard_bytes:
     by digest and url. Other columns play no part. An empty table gives an empty manifest. The folder holds
     ``_manifest`` once all files have their final names; without it an archive is not whole.
     """
+    bound_batches(pages.sparkSession)
     fs, root = pafs.FileSystem.from_uri(base)
     fs.create_dir(f"{root}/_temporary", recursive=True)
     records = materialize(plan_records(pages, min_bytes), "warc-records")
