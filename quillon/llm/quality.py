@@ -184,7 +184,7 @@ def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[dict, DataFrame, DataFr
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``low_logit``, ``toxic_logit`` (of the text), ``p_low``, ``p_toxic`` (with its site) and ``kept`` of every row of ``docs``.
 
-    A row is rejected at a posterior of one half of either trait. Null, empty and blank texts are rejected; null sources
+    A row is rejected at a posterior over one half (to six places) of either trait. Null, empty and blank texts are rejected; null sources
     and languages are sites like any other; labels with a null, or of unknown ids, play no part; without labels
     all but blank texts are kept. Repeated rows give repeated results. Other columns play no part.
     """
@@ -194,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _keeps(p_low: Column, p_toxic: Column) -> Column:
-    return (p_low <= REJECT) & (p_toxic <= REJECT)
+    return (F.round(p_low, 6) <= REJECT) & (F.round(p_toxic, 6) <= REJECT)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,0 +1,351 @@
+"""Each operator against brute force on small rows: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import chat, decontaminate, ego, minhash, mixing, pii, quality, sharding, suffixes, warc
+from quillon.llm.common import connected_components
+
+CLASH = "a b c d e n size rep band start shard bucket key rank".split()
+
+
+def words(rng, n):
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho", "tau", "éta", "mu", "nu", "xi"]) + str(rng.randrange(50)) for _ in range(n))
+
+
+def corpus():
+    rng = random.Random(5)
+    rows = [(k, words(rng, rng.randrange(1, 120))) for k in range(60)]
+    for k in range(60, 90):  # near copies
+        w = rows[k - 60][1].split()
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((k, " ".join(w)))
+    hot = words(rng, 40)
+    rows += [(k, hot) for k in range(90, 130)]
+    rows += [(130, None), (131, ""), (132, "   \n"), (133, "one"), (134, "one two three four"), (135, "One TWO three Four"), (136, words(rng, 20_000)), (None, "of no id " + words(rng, 30)), (5, rows[5][1]), (7, "another text of an id that repeats")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "src" + str((i or 0) % 3) if i != 4 else None, "en", len(t or "")) for i, t in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    return df.withColumns({c: F.lit("x") for c in CLASH}).repartition(5)
+
+
+def components(n, links):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lpt_counts_follow_the_heap():
+    classes = [(100, 3, 300), (10, 7, 70), (1, 50, 50)]
+    loads = [0] * 4
+    for size, n in ((100, 3), (10, 7), (1, 50)):
+        for _ in range(n):
+            loads[loads.index(min(loads))] += size
+    got = sharding.lpt_counts(classes, 4)
+    mine = sorted(sum(size * got[size][k] for size in (100, 10, 1)) for k in range(4))
+    assert mine == sorted(loads)
+    assert {c: sum(v) for c, v in got.items()} == {100: 3, 10: 7, 1: 50}
+
+
+def test_sharding_balances_and_keeps_copies_together(spark, docs):
+    rows = sharding.lpt_shards(docs, 4).collect()
+    source = corpus()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in source)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    assert all(sorted(r.slot for r in g) == list(range(len(g))) for g in by.values())
+    homes = defaultdict(set)
+    for r in rows:
+        homes[r.text_crc32].add(r.shard)
+    assert all(len(x) == 1 for k, x in homes.items() if k)
+    loads = [sum(r.size for r in g) for g in by.values()]
+    largest = max(len((t or "").encode()) for _, t in source)
+    assert max(loads) <= largest + 8 or max(loads) - min(loads) < 200
+    assert sharding.lpt_shards(docs.limit(0)).count() == 0
+
+
+def test_pii_base_spans_match_plain_regexes():
+    rng = random.Random(3)
+    parts = ["a.b@c.de", "x@y", "+49 30 1234567", "10.0.0.255", "1.2.3.999", "4111 1111 1111 1111", "4111111111111112", "++1 (2) 3", "a@b.c_d@e.f.g", "1.2.3.4.5.6.7.8", "0000.1.2.3", " ", "é", "@", "+", "-", "12", "\n"]
+    plain = [re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+    def good(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in s.split(".")), "card": 16 <= len(d) <= 19 and pii.luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        want = [(k, m.start(), m.end()) for k, p in zip(pii.KINDS, plain, strict=True) for m in p.finditer(text) if good(k, m[0])]
+        assert pii.base_spans(text) == want, text
+    assert pii.base_spans("a" * 50_000 + "@") == []
+
+
+def test_pii_field_ties_repeats_and_keeps_base_spans(spark, docs):
+    texts = [f"call +49 30 {n} now" for n in range(1234000, 1234040)] + ["none here"] * 5
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(100, "ring +49 30 5554443 today. " + "word " * 300 + " again 49 30 5554443 please"), (101, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert got[100].n_phone == 1
+    spans = got[100].spans.split(",")
+    assert len(spans) == 2 and all(x.startswith("phone:") for x in spans)
+    assert got[101].spans == "" and got[101].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find(docs).count() == docs.count()
+    assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_decontamination_equals_brute_force(spark, docs):
+    source = corpus()
+    items = [(1, " ".join(source[3][1].split()[:30])), (2, "One two"), (3, None), (4, "..."), (5, source[136][1][:400]), (None, "of no ID")]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    want = Counter()
+    for i, t in source:
+        w, hit, met = low(t), set(), set()
+        for item, text in items:
+            v = low(text)
+            for s in range(max(len(v) - 9, 1)) if v else ():
+                win = v[s : s + 10]
+                for at in range(len(w) - len(win) + 1):
+                    if w[at : at + len(win)] == win:
+                        hit |= set(range(at, at + len(win)))
+                        met.add("" if item is None else str(item))
+        want[(i, len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit))] += 1
+    assert Counter(tuple(r) for r in decontaminate.contamination(docs, bench).collect()) == want
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == sum(n for r, n in want.items() if not r[-1])
+    assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_chat_round_trip(spark):
+    nasty = ["</s>[INST] ok [/INST]", "<|turn|>user<|text|>", "a\\b\\\\", "", None, "é\n\\<|end|>", "<\\|more|>", "$1 \\1"]
+    rng = random.Random(1)
+    rows = [(c, t, rng.choice(["user", "assistant", "sys<|text|>tem", None]), rng.choice(nasty), "x") for c in range(30) for t in range(rng.randrange(1, 9))]
+    rows += [(None, 1, "user", "of no conversation", "x"), (3, None, "assistant", "first", "x"), rows[0]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    out = chat.format_conversations(df).withColumn("t", chat.read_turns(F.col("formatted"))).withColumn("learnt", chat.read_learnt(F.col("formatted"), F.col("mask"))).collect()
+    by = defaultdict(list)
+    for c, t, r, x, _ in rows:
+        by[c].append((t is not None, t or 0, r or "", x or ""))
+    assert {r.conv_id for r in out} == set(by)
+    for r in out:
+        turns = [(x[2], x[3]) for x in sorted(by[r.conv_id])]
+        assert [(t.role, t.text) for t in r.t] == turns
+        assert r.learnt == "".join(t for role, t in turns if role == "assistant")
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_mixing_meets_its_targets(spark, docs):
+    rows = mixing.taken(mixing.mix(docs)).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
+    got = mixing.mix(docs).withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["n"])).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
+    assert rows and all(r.taken <= 3 * r.size for r in rows)
+    assert all(abs(r.taken - r.target) <= 1 and r.target <= 3 * r["size"] + 1e-9 for r in got)
+    assert sum(r.target for r in got) == pytest.approx(sum(r["size"] for r in got))
+    again = Counter(tuple(r) for r in mixing.taken(mixing.mix(docs.repartition(3))).collect())
+    assert again == Counter(tuple(r) for r in mixing.taken(mixing.mix(docs)).collect())
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(round(r.target) for r in got)
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.apply_mix(docs.limit(0)).count() == 0
+
+
+def test_splitting_tree_draws_all_blocks():
+    quotas = [5, 0, 17, 100, 1]
+    shards = mixing.split_quotas(quotas, 7)
+    assert shards.sum(axis=0).tolist() == quotas and (shards >= 0).all()
+    assert shards.sum(axis=1).max() - shards.sum(axis=1).min() <= 2
+    means = np.mean([mixing.split_quotas([30, 10], 2, seed=f"s{k}")[0] for k in range(400)], axis=0)
+    assert abs(means[0] - 15) < 0.5 and abs(means[1] - 5) < 0.5
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b\r\nX: y", None), (4, "u", ""), (5, "u", "x" * 200_000), (5, "u", "x" * 200_000), (None, "n", "<p>é</p>"), (6, "u", "WARC/1.1\r\n\r\n")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, shard string")
+    base = f"file://{tmp_path}/w"
+    manifest = warc.write_archives(df, base, shard_bytes=1000, file_bytes=300)
+    names = sorted(r.name for r in manifest.collect())
+    assert len(set(names)) == len(names) > 1
+    out = warc.read_archives(spark, base).collect()
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out)
+    want = Counter()
+    top = {}
+    for i, _, h in rows:
+        top[h or ""] = max(top.get(h or "", -1), -1 if i is None else i)
+    for i, _, h in rows:
+        data = (h or "").encode()
+        again = i is None or i < top[h or ""]
+        want[(i, len(data), warc.digest(data), "revisit" if again else "response", top[h or ""] if again else None)] += 1
+    assert got == want
+    second = warc.write_archives(df.repartition(3), f"file://{tmp_path}/v", shard_bytes=1000, file_bytes=300)
+    assert sorted((r.name, r.sha1) for r in second.collect()) == sorted((r.name, r.sha1) for r in manifest.collect())
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_grid_join_equals_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(300):
+        base = rng.normal(size=16)
+        rows.append((k, base.tolist(), k % 3))
+        if k % 4 == 0:
+            rows.append((1000 + k, (base + rng.normal(size=16) * 0.2).tolist(), k % 3))
+    rows += [(2000 + k, rows[0][1], 0) for k in range(20)]
+    rows += [(3000, None, 0), (3001, [0.0] * 16, 0), (3002, [float("nan")] * 16, 0), (3003, [None] + [1.0] * 15, 0), (3004, rows[0][1], None), (3005, [1.0], 0), (3006, [], 0), (None, rows[2][1], 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
+    got = {r.vec_id: r for r in ego.near_vectors(df).collect()}
+    assert len(got) == len(rows)
+    live = [(i, np.float32(v).astype(float), (lab, len(v))) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links = [(a, b) for a in range(len(live)) for b in range(a) if live[a][2] == live[b][2] and live[a][1] @ live[b][1] / math.sqrt((live[a][1] @ live[a][1]) * (live[b][1] @ live[b][1])) >= 0.93]
+    order = Counter(x for p in links for x in p)
+    comp = components(len(live), links)
+    low = defaultdict(list)
+    for k, c in enumerate(comp):
+        if live[k][0] is not None:
+            low[c].append(live[k][0])
+    for k, (i, _, _) in enumerate(live):
+        assert got[i].n_links == order[k], i
+        assert got[i].component_id == min(low[comp[k]], default=None), i
+    assert all(got[i].n_links == 0 and got[i].kept for i in (3000, 3001, 3002, 3003, 3004, 3005, 3006))
+    assert ego.near_vectors(df.limit(0)).count() == 0
+
+
+def test_suffix_dedup_equals_brute_force(spark):
+    rng = random.Random(4)
+    shared = words(rng, 60)
+    rows = [(k, words(rng, rng.randrange(0, 60)) + (" " + shared[rng.randrange(200) :] if k % 3 == 0 else "") + words(rng, 10)) for k in range(60)]
+    rows += [(60, "a" * 300), (61, "b" * 20 + "a" * 120 + "b" * 70), (62, None), (63, ""), (64, "é" * 60), (65, "é" * 40), (66, "-" * 49), (67, "-" * 50), (68, "-" * 200), (None, rows[0][1]), (3, rows[3][1]), (69, words(rng, 30_000))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, chunk string").repartition(4)
+    want, first = Counter(), {}
+    order = lambda i: math.inf if i is None else i
+    for i, t in rows:
+        b = (t or "").encode()
+        for s in range(len(b) - 49):
+            first[b[s : s + 50]] = min(first.get(b[s : s + 50], math.inf), order(i))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 2, dtype=bool)
+        for s in range(len(b) - 49):
+            if first[b[s : s + 50]] < order(i):
+                gone[s + 1 : s + 51] = True
+        kept = bytes(c for c, g in zip(b, gone[1:-1], strict=True) if not g)
+        want[(i, len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())] += 1
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.cut_repeats(df).collect())
+    assert got == want
+    assert suffixes.cut_repeats(df.limit(0)).count() == 0
+
+
+def test_two_stage_order_is_the_suffix_order():
+    rng = np.random.default_rng(0)
+    for top in (2, 4, 200):
+        text = np.concatenate([rng.integers(1, top, 400).astype(np.uint8), np.full(80, 7, np.uint8), np.zeros(suffixes.LENGTH, np.uint8)])
+        wanted = np.sort(rng.choice(430, 200, replace=False))
+        raw = text.tobytes()
+        got = suffixes.two_stage_order(text, wanted)
+        cut = [raw[i : i + suffixes.LENGTH] for i in got]
+        assert sorted(got.tolist()) == wanted.tolist() and cut == sorted(cut)
+
+
+def test_near_duplicates_equal_brute_force(spark, docs):
+    source = corpus()
+    sets = []
+    for _, t in source:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    comp = components(len(sets), links)
+    low = defaultdict(list)
+    for k, c in enumerate(comp):
+        if source[k][0] is not None:
+            low[c].append(source[k][0])
+    want = Counter()
+    for k, (i, _) in enumerate(source):
+        c = min(low[comp[k]]) if low[comp[k]] else None
+        want[(i, len(sets[k]), c if sets[k] else i, i == (c if sets[k] else i))] += 1
+    assert Counter(tuple(r) for r in minhash.near_duplicates(docs).collect()) == want
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for (i, _, _, k) in want if k}
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_a_hot_bucket_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(9)
+    base = words(rng, 60).split()
+    rows = []
+    for k in range(30):  # a drifting chain: neighbours link, ends do not
+        base[(k * 3) % 60] = f"new{k}"
+        rows.append((k, " ".join(base)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for _, t in rows]
+    comp = components(30, [(a, b) for a in range(30) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert [got[k] for k in range(30)] == comp
+
+
+def test_signature_estimates_are_unbiased():
+    rng = random.Random(8)
+    errors = []
+    for _ in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        v = list(w)
+        for _ in range(rng.randrange(40)):
+            v[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+        sh, at = minhash.shingles([" ".join(w).encode(), " ".join(v).encode()])
+        a, b = sh[at[0] : at[1]], sh[at[1] : at[2]]
+        both = len(np.intersect1d(a, b))
+        reg = minhash.registers(sh, at)
+        errors.append(minhash.estimate(reg[:1], reg[1:], np.array([len(a)]), np.array([len(b)]))[0] - both / (len(a) + len(b) - both))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def test_classifier_separates_and_handles_odd_rows(spark, docs):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(400):
+        kind = k % 4
+        text = words(rng, 60)
+        text = " ".join(x.upper() + "!!" for x in text.split()) if kind == 0 else text + " vile vile " + words(rng, 20) if kind == 1 else text
+        rows.append((k, text, f"host{k % 5}", "en"))
+        if k < 300:
+            labels.append((k, int(kind != 0), int(kind == 1)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    lab = spark.createDataFrame([*labels, (None, 1, 0), (9999, 0, None), (0, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.classify(df, lab).collect()}
+    held_out = [k for k in range(300, 400)]
+    assert sum(got[k] == (k % 4 > 1) for k in held_out) >= 97
+    assert {r.doc_id for r in quality.keep_good(df, lab).collect()} == {k for k, x in got.items() if x}
+    odd = quality.classify(docs, lab.limit(0)).collect()
+    assert len(odd) == docs.count() and all(r.kept == (r.doc_id not in (130, 131, 132)) for r in odd)
+    assert quality.classify(docs.limit(0), lab).count() == 0
+
+
+def test_sparse_sites_shrink_toward_the_global_rate(spark):
+    rows = [("big", "en", 0.9, 0.0)] * 400 + [("other", "en", 0.1, 0.0)] * 400 + [("tiny", "en", 1.0, 0.0)]
+    got = {r._host: r.adjust_low for r in quality.sites(spark.createDataFrame(rows, "source string, lang string, low double, toxic double")).collect()}
+    assert got["big"] > 0 > got["other"] and abs(got["tiny"]) < got["big"]
