@@ -19,8 +19,8 @@ from quillon.llm.common import TOKEN, bound_batches, materialize
 
 #: The text classifier is fitted on so many labelled rows at most, those of the smallest hashed ids.
 FIT_ROWS = 20_000
-#: Words of the lexicon, and the least documents that show one.
-LEXICON, LEAST = 2000, 8
+#: Words of the lexicon, and the least documents that show one: this share of the labelled rows, three at least.
+LEXICON, LEAST, SHARE = 2000, 3, 1 / 2500
 TRAITS = ("low", "toxic")
 #: Site tables of up to so many paths are broadcast; larger ones are joined by a shuffle.
 BROADCAST_PATHS = 50_000
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         return {"lexicon": {}, "mean": None, "std": None, "coef": None}
     plain = F.lower(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
     words = F.array_distinct(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)))
-    seen = sample.select(F.explode(words).alias("word"), "y_low", "y_toxic").groupBy("word").agg(F.count("*").alias("n"), F.sum("y_low").alias("low"), F.sum("y_toxic").alias("toxic")).where(F.col("n") >= LEAST)
+    seen = sample.select(F.explode(words).alias("word"), "y_low", "y_toxic").groupBy("word").agg(F.count("*").alias("n"), F.sum("y_low").alias("low"), F.sum("y_toxic").alias("toxic")).where(F.col("n") >= max(LEAST, total[0] * SHARE))
     for trait, all_ in zip(TRAITS, total[1:], strict=True):
         rate = F.lit(max(all_, 0.5) / total[0])
         seen = seen.withColumn("z_" + trait, (F.col(trait) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1e-9))
