@@ -1,6 +1,7 @@
 """Registered queries against their SQL, and the rules of registration."""
 
 import os
+from numbers import Number
 
 import duckdb
 import pandas as pd
@@ -25,7 +26,7 @@ def duck():
 def plain(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = [("" if pd.isna(x) else f"{x:.4f}") if isinstance(x, float) else "" if x is None or x is pd.NaT or x is pd.NA else str(x)[:10] if hasattr(x, "year") else str(x) for x in df[c]]
+        df[c] = ["" if x is None or pd.isna(x) else f"{float(x):.4f}" if isinstance(x, Number) else str(x)[:10] for x in df[c]]
     return sorted(map(tuple, df.values.tolist()))
 
 
