@@ -19,43 +19,48 @@ BROADCAST_WINDOWS = 200_000
 
 
 def words(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased; null has none."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Words of a text as they are written; null has none."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item`` (the id as a string; null: empty) and ``win``, an array of words: every window of every item."""
-    item = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
+    """``item`` (the id as a string; null: empty) and ``win``, an array of words, A-Z lower-cased: every window of every item."""
+    item = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(ascii_lower(F.col("text"))).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     return item.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("win")).distinct()
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Rows (``doc_id``, ``content``, ``start``, ``n``, ``win_id``) of every occurrence, and (``win_id``, ``item``)."""
+    """Rows (``doc_id``, ``content``, ``start``, ``n``, ``win_id``) of every occurrence, and (``win_id``, ``item``).
+
+    Words are joined by ``lower``, which merges more than A-Z; what the join finds is then compared exactly.
+    """
     spark = docs.sparkSession
     pairs = materialize(item_windows(benchmark, window).withColumn("win_id", F.xxhash64("win")), "bench-windows")
     distinct = pairs.select("win_id", "win").distinct()
     small = distinct.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda df: df)
-    vocabulary = distinct.select(F.explode("win").alias("word")).distinct()
+    vocabulary = distinct.select(F.explode("win").alias("word")).select(F.lower("word").alias("word")).distinct()
     text = docs.select(F.col("doc_id"), F.xxhash64("text").alias("content"), words(F.col("text")).alias("w"))
     # How common each benchmark word is in the whole corpus.
-    seen = text.select(F.explode("w").alias("word")).join(hint(vocabulary), "word").groupBy("word").agg(F.count("*").alias("freq"))
+    seen = text.select(F.explode("w").alias("word")).select(F.lower("word").alias("word")).join(hint(vocabulary), "word").groupBy("word").agg(F.count("*").alias("freq"))
     rarity = materialize(vocabulary.join(seen, "word", "left").select("word", F.coalesce("freq", F.lit(0)).alias("freq")), "bench-rarity")
     prefix = (
-        distinct.select("win_id", "win", F.posexplode("win").alias("at", "word")).join(rarity, "word")
+        distinct.select("win_id", "win", F.posexplode("win").alias("at", "word")).withColumn("word", F.lower("word")).join(rarity, "word")
         .groupBy("win_id", "win").agg(F.min(F.struct("freq", "word", "at")).alias("p"))
-        .select("win_id", "win", F.col("p.word").alias("word"), F.col("p.at").alias("at"))
+        .select("win_id", F.array_join("win", " ").alias("win"), F.size("win").alias("n"), F.col("p.word").alias("word"), F.col("p.at").alias("at"))
     )
     prefix = materialize(prefix, "bench-prefix")
     start = F.col("pos") - F.col("at")
-    found = (
-        text.select("doc_id", "content", "w", F.posexplode("w").alias("pos", "word"))
+    # Candidates end their stage before the exact comparison: generated code stays small, and so does what compiling it takes.
+    candidates = (
+        text.select("doc_id", "content", "w", F.posexplode("w").alias("pos", "word")).withColumn("word", F.lower("word"))
         .join(hint(prefix), "word")
-        .where((start >= 0) & (start + F.size("win") <= F.size("w")))
-        .where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win"))
-        .select("doc_id", "content", start.alias("start"), F.size("win").alias("n"), "win_id")
+        .where((start >= 0) & (start + F.col("n") <= F.size("w")))
+        .select("doc_id", "content", start.alias("start"), "n", "win_id", "win", F.array_join(F.slice("w", start + 1, F.col("n")), " ").alias("got"))
     )
+    candidates = materialize(candidates, "bench-candidates")
+    found = candidates.where(ascii_lower(F.col("got")) == F.col("win")).select("doc_id", "content", "start", "n", "win_id")
     return found, pairs.select("win_id", "item")
 
 
@@ -82,7 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         .join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")))
         .select("d", "c", "n_hit", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("joined"))
     )
-    text = docs.select("doc_id", F.xxhash64("text").alias("content"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    text = docs.select("doc_id", F.xxhash64("text").alias("content"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     return text.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
