@@ -129,4 +129,24 @@ SELECT page_id, cast(payload_bytes AS bigint) AS payload_bytes, {_BASE32} AS pay
 FROM c
 """
 
-ORACLES = {"op6_warc": OP6_SQL, "op3_decontamination": OP3_SQL, "op4_chat": OP4_SQL, "op5_mixing": OP5_SQL}
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS n, vec_id AS c FROM v UNION SELECT n, y FROM reach JOIN links ON x = c),
+low AS (SELECT n, min(c) AS c FROM reach GROUP BY n), degree AS (SELECT x, count(*) AS k FROM links GROUP BY x)
+SELECT vec_id, coalesce(k, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN low ON n = vec_id LEFT JOIN degree ON x = vec_id
+"""
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 75 * (p.n + q.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT a, y FROM reach JOIN links ON x = c),
+low AS (SELECT a, min(c) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d JOIN low ON a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLES = {"op7_embeddings": OP7_SQL, "op10_near_duplicates": OP10_SQL, "op6_warc": OP6_SQL, "op3_decontamination": OP3_SQL, "op4_chat": OP4_SQL, "op5_mixing": OP5_SQL}
