@@ -43,10 +43,11 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges [start, end)."""
+def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, rough: bool = False) -> np.ndarray:
+    """Hashes of the byte ranges [start, end); ``rough`` ones are spread by one multiplication."""
     _, down = powers(len(sums))
-    return mix64((sums[end] - sums[start]) * down[start])
+    out = (sums[end] - sums[start]) * down[start]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) if rough else mix64(out)
 
 
 def slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -70,3 +71,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = turn[::2], turn[1::2]
     ends = np.cumsum([len(x) + 1 for x in texts])
     return spans(prefix_sums(data), start, end) + (end - start).astype(np.uint64), np.searchsorted(ends, start, side="right")
+
+
+def release() -> None:
+    """Gives memory that a finished task no longer needs back to the system; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

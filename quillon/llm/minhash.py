@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, materialize
-from quillon.llm.hashing import mix64, slices, word_hashes
+from quillon.llm.common import bound_batches, connected_components, materialize
+from quillon.llm.hashing import mix64, release, slices, word_hashes
 
 SHINGLE, NUM, DEN = 5, 75, 100
 #: 2^7 registers of 6 bits of exponent and 10 of mantissa, in 32 bands of 4: a pair at 0.75 is missed by all bands with probability 5e-6.
@@ -103,7 +103,7 @@ def contents(sh: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = 0
-        for texts in slices([x or b"" for x in batch.column(1).to_pylist()]):
+        for texts in slices([x or b"" for x in batch.column(1).to_pylist()], 1 << 18):
             sh, bounds = shingles(texts)
             reg, n = registers(sh, bounds), np.diff(bounds)
             rows = reg.reshape(len(texts), BANDS, BAND).astype(np.uint64)
@@ -115,19 +115,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = batch.column(0).slice(done, len(texts))
             done += len(texts)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(contents(sh, bounds), pa.binary()), pa.array([x.tobytes() for x in reg], pa.binary()), bands], ["doc_id", "n", "content", "reg", "bands"])
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of the texts; where an id is that of several texts, only those of the class asked for."""
     for batch in batches:
         done = 0
-        for texts in slices([x or b"" for x in batch.column(1).to_pylist()]):
+        for texts in slices([x or b"" for x in batch.column(1).to_pylist()], 1 << 18):
             sh, bounds = shingles(texts)
             part = batch.slice(done, len(texts))
             done += len(texts)
             sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sh.view(np.int64)))
             same = [x == y for x, y in zip(contents(sh, bounds), part.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), sets], ["rep", "sh"]).filter(pa.array(same, pa.bool_()))
+    release()
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -141,6 +143,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = batch.column(2), batch.column(3)
         keep = [_linked(left[k].values.to_numpy(), right[k].values.to_numpy()) for k in range(batch.num_rows)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    release()
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +182,8 @@ def _block_links(key: tuple, table: pa.Table) -> pa.Table:
             if (key[1].as_py() == key[2].as_py() or blk[j] != blk[k]) and (x := root(comp[k])) != (y := root(comp[j])):
                 parent[max(x, y)] = min(x, y)
                 found.append((int(reps[k]), int(reps[j])))
+    del sets, values, inverse, owner, order, posting
+    release()
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
@@ -190,6 +195,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     but never names a component unless all ids in it are null, and is kept only then; other columns play no
     part; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = materialize(text.mapInArrow(_sign, SIGNED), "near-signed")
     classes = signed.where("n > 0").groupBy("content", "n").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.xxhash64("content"), "reg", "bands")).alias("x"))
