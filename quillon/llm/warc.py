@@ -25,6 +25,8 @@ from quillon.llm.common import bound_batches, materialize, shared_dir
 
 #: Target of uncompressed bytes in a shard, and of compressed bytes in a file.
 SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
+#: Payloads that repeat are broadcast up to so many digests (some 20 MB); beyond, records are joined by a shuffle.
+BROADCAST_REPEATS = 200_000
 #: The id histogram has so many bins at most, whatever the input.
 BINS = 1 << 16
 
@@ -42,10 +44,11 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    # The largest id of each payload, gathered without the payloads; sums reach the shuffle, not rows.
-    latest = rows.groupBy("sha1").agg(F.max("page_id").alias("latest")).withColumnRenamed("sha1", "of")
-    paired = rows.join(latest, F.col("sha1") == F.col("of"))
-    again = (F.col("size") >= min_bytes) & F.coalesce(F.col("page_id") < F.col("latest"), F.col("latest").isNotNull())
+    # The largest id of each payload that repeats, gathered without the payloads, which then stay where they are.
+    seen = rows.groupBy("sha1").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1")
+    seen = materialize(seen.select(F.col("sha1").alias("of"), "latest"), "warc-repeats")
+    paired = rows.join(F.broadcast(seen) if seen.count() <= BROADCAST_REPEATS else seen, F.col("sha1") == F.col("of"), "left")
+    again = (F.col("size") >= min_bytes) & F.coalesce(F.col("page_id") < F.col("latest"), F.col("latest").isNotNull())  # no id comes before any
     return paired.select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "sha1",
         F.when(again, "revisit").otherwise("response").alias("type"), F.when(again, F.col("latest")).alias("refers_to"),
@@ -144,7 +147,7 @@ def write_archives(pages: DataFrame, base: str, min_bytes: int = 0, shard_bytes:
     bound_batches(pages.sparkSession)
     fs, root = pafs.FileSystem.from_uri(base)
     fs.create_dir(f"{root}/_temporary", recursive=True)
-    records = materialize(plan_records(pages, min_bytes), "warc-records")
+    records = materialize(plan_records(pages, min_bytes), "warc-records", "zstd")
     sharded = shards_by_range(records, shard_bytes)
     n = max(1, sharded.agg(F.max("shard")).first()[0] or 0) + 1
     sorted_ = sharded.repartition(min(n, 20_000), "shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
