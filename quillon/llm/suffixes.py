@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bound_batches, materialize
-from quillon.llm.hashing import mix64, prefix_sums, spans
+from quillon.llm.hashing import prefix_sums, release, spans
 
 LENGTH, GRAM = 50, 20
-CHUNK, SLICE = 4 << 20, 1 << 20
+CHUNK, SLICE = 1 << 20, 1 << 17
 #: Bytes of text for each bucket of anchors.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Rows without an id come after all others.
 LAST = np.iinfo(np.int64).max
 _KEY = 6  # bytes of an anchor's hash that are exchanged
@@ -55,6 +55,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, texts, held, chunk = [], [], 0, chunk + 1
     if texts:
         yield row()
+    texts.clear()
+    release()
 
 
 class Chunk:
@@ -75,7 +77,7 @@ class Chunk:
         data = self.data[at : end + LENGTH - 1]
         sums = prefix_sums(data)
         place = np.arange(len(data) - GRAM + 1, dtype=np.int64)
-        grams = spans(sums, place, place + GRAM)
+        grams = spans(sums, place, place + GRAM, rough=True)
         width, reach = LENGTH - GRAM + 1, 1
         low = (grams & ~np.uint64((1 << 21) - 1)) | place.astype(np.uint64)  # ties go to the leftmost
         while reach < width:
@@ -84,9 +86,10 @@ class Chunk:
             reach += step
         pick = (low & np.uint64((1 << 21) - 1)).astype(np.int64)
         # A window must end within the document that it starts in.
-        starts = np.arange(at, end)
-        doc_end = self.bounds[np.searchsorted(self.bounds, starts, side="right")]
-        valid = starts + LENGTH <= doc_end
+        valid = np.ones(end - at, dtype=bool)
+        ends = self.bounds[1:][(self.bounds[1:] > at) & (self.bounds[1:] < end + LENGTH)]
+        crossing = (ends[:, None] - at - np.arange(1, LENGTH)).ravel()
+        valid[crossing[(crossing >= 0) & (crossing < len(valid))]] = False
         new = valid.copy()
         new[1:] &= (pick[1:] != pick[:-1]) | ~valid[:-1]
         first = np.flatnonzero(new)
@@ -95,20 +98,15 @@ class Chunk:
         return first + at, n, grams[pick[first]], spans(sums, first, first + n + LENGTH - 1) + n.astype(np.uint64)
 
 
-def _parts(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+def _marks(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """What stands for an anchor between chunks: its bucket above _KEY bytes of its hash. Anchors that share it are merely looked at together."""
+    low = np.uint64(8 * _KEY)
+    return ((anchors >> low) % np.uint64(buckets) << low) | (anchors & np.uint64((1 << (8 * _KEY)) - 1))
 
 
-def _keys(hashes: np.ndarray) -> np.ndarray:
-    return hashes & np.uint64((1 << (8 * _KEY)) - 1)
-
-
-def _by_part(anchors: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors ordered by bucket and key, and each bucket's bounds."""
-    anchors = np.unique(anchors)
-    part = _parts(anchors, buckets)
-    anchors = anchors[np.lexsort((_keys(anchors), part))]
-    return anchors, np.searchsorted(_parts(anchors, buckets), np.arange(buckets + 1))
+def _bounds(marks: np.ndarray, buckets: int) -> np.ndarray:
+    """Bounds of the buckets among sorted marks."""
+    return np.searchsorted(marks, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(8 * _KEY))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -120,10 +118,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _send_anchors(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            anchors, at = _by_part(Chunk(row).anchor, buckets)
-            raw = np.ascontiguousarray(_keys(anchors)).view(np.uint8).reshape(-1, 8)[:, :_KEY]
+            marks = np.unique(_marks(Chunk(row).anchor, buckets))
+            at = _bounds(marks, buckets)
+            raw = marks.view(np.uint8).reshape(-1, 8)[:, :_KEY]
             some = np.flatnonzero(np.diff(at))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([raw[at[b] : at[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "chunk", "keys"])
+        release()
 
     return send
 
@@ -145,16 +145,14 @@ def _mark_common(table: pa.Table) -> pa.Table:
 
 def _common_runs(chunk: Chunk, marks: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs whose anchor occurs twice: their indices, the distinct run of each, a run for each distinct one, and bounds of those by bucket."""
-    anchors, at = _by_part(chunk.anchor, buckets)
+    anchors, index, count = np.unique(_marks(chunk.anchor, buckets), return_inverse=True, return_counts=True)
+    at = _bounds(anchors, buckets)
     hot = np.zeros(len(anchors), dtype=bool)
     for m in marks:
         lo, hi = at[m["bucket"]], at[m["bucket"] + 1]
         hot[lo:hi] = np.unpackbits(np.frombuffer(m["bits"], dtype=np.uint8), count=hi - lo).astype(bool)
-    order = np.argsort(anchors)
-    index = order[np.searchsorted(anchors, chunk.anchor, sorter=order)]
-    count = np.bincount(index, minlength=len(anchors))
     runs = np.flatnonzero((hot | (count > 1))[index])
-    part, content = _parts(chunk.anchor[runs], buckets), chunk.content[runs]
+    part, content = (anchors[index[runs]] >> np.uint64(8 * _KEY)).astype(np.int64), chunk.content[runs]
     order = np.lexsort((chunk.ids[chunk.doc[runs]], content, part))
     new = np.ones(len(runs), dtype=bool)
     new[1:] = (content[order][1:] != content[order][:-1]) | (part[order][1:] != part[order][:-1])
@@ -180,6 +178,7 @@ def _send_runs(buckets: int):
                 text = chunk.data[_gather(chunk.start[own], chunk.n[own] + LENGTH - 1)].tobytes()
                 columns = [[int(b)], [row["chunk"]], [chunk.n[own].astype(np.int32).tobytes()], [chunk.ids[chunk.doc[own]].tobytes()], [pa.compress(text, codec="zstd", asbytes=True)], [len(text)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["bucket", "chunk", "n", "docs", "text", "size"])
+        release()
 
     return send
 
@@ -187,8 +186,7 @@ def _send_runs(buckets: int):
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The LENGTH bytes from each position as big-endian words, which compare as the bytes do. ``text`` is padded."""
     out = np.zeros((len(at), -(-LENGTH // 8) * 8), dtype=np.uint8)
-    for lo in range(0, len(at), 1 << 17):
-        out[lo : lo + (1 << 17), :LENGTH] = text[at[lo : lo + (1 << 17), None] + np.arange(LENGTH)]
+    out[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at]
     return out.view(">u8").astype(np.uint64)
 
 
@@ -251,17 +249,21 @@ def _smallest(table: pa.Table) -> pa.Table:
     begin = np.concatenate([[0], np.cumsum(counts + LENGTH - 1)[:-1]])
     windows = _gather(begin, counts)
     order = two_stage_order(text, windows)
-    index = np.searchsorted(windows, order)
+    index = np.empty(len(text), dtype=np.int64)
+    index[windows] = np.arange(len(windows))
+    index = index[order]
     # Adjacent common prefixes: a class ends where fewer than LENGTH bytes agree.
     new = np.ones(len(order), dtype=bool)
     for lo in range(1, len(order), 1 << 17):
-        a, b = order[lo : lo + (1 << 17)], order[lo - 1 : lo - 1 + (1 << 17)][: len(order[lo : lo + (1 << 17)])]
-        new[lo : lo + (1 << 17)] = (text[a[:, None] + np.arange(LENGTH)] != text[b[:, None] + np.arange(LENGTH)]).any(axis=1)
+        first = _words(text, order[lo - 1 : lo + (1 << 17)])
+        new[lo : lo + (1 << 17)] = (first[1:] != first[:-1]).any(axis=1)
     owner = np.repeat(docs, counts)
     low = np.empty(len(windows), dtype=np.int64)
     low[index] = np.minimum.reduceat(owner[index], np.flatnonzero(new))[np.cumsum(new) - 1]
     ends = np.cumsum([x.sum() for x in n])
     packed = [pa.compress(low[e - x.sum() : e].tobytes(), codec="zstd", asbytes=True) for x, e in zip(n, ends, strict=True)]
+    del text, windows, order, index, new, owner, low
+    release()
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "low": pa.array(packed, pa.binary())})
 
 
@@ -296,6 +298,7 @@ def _cut(buckets: int):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+        release()
 
     return cut
 
