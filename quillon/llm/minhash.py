@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bound_batches, connected_components, materialize
+from quillon.llm.common import TOKEN, bound_batches, connected_components, materialize
 from quillon.llm.hashing import mix64, release, slices, word_hashes
 
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -87,16 +87,16 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.clip((share - chance) / np.maximum(1 - chance, 1e-9), 0, 1)
 
 
-SIGNED = "doc_id long, n long, content binary, reg binary, bands array<long>"
+SIGNED = "doc_id long, key long, n long, content binary, reg binary, bands array<long>"
 
 
 def contents(sh: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """A 128-bit digest of each text's whole set."""
     n = np.diff(bounds)
-    if not len(sh):
-        return [bytes(16)] * len(n)
-    at = np.minimum(bounds[:-1], len(sh) - 1)
-    two = [np.where(n > 0, op.reduceat(x, at), np.uint64(0)) for op, x in ((np.bitwise_xor, sh), (np.add, mix64(sh ^ np.uint64(0xA0761D6478BD642F))))]
+    if not len(n):
+        return []
+    # A closing zero, so that empty sets at the end take no value from the last set before them.
+    two = [np.where(n > 0, op.reduceat(np.append(x, np.uint64(0)), bounds[:-1]), np.uint64(0)) for op, x in ((np.bitwise_xor, sh), (np.add, mix64(sh ^ np.uint64(0xA0761D6478BD642F))))]
     return [x.tobytes() for x in np.stack(two, axis=1)]
 
 
@@ -112,9 +112,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, j])
             some = rows.any(axis=2)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], some.sum(axis=1).cumsum()]), pa.int32()), pa.array(key[some].view(np.int64)))
-            ids = batch.column(0).slice(done, len(texts))
+            ids, keys = batch.column(0).slice(done, len(texts)), batch.column(2).slice(done, len(texts))
             done += len(texts)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(contents(sh, bounds), pa.binary()), pa.array([x.tobytes() for x in reg], pa.binary()), bands], ["doc_id", "n", "content", "reg", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n, pa.int64()), pa.array(contents(sh, bounds), pa.binary()), pa.array([x.tobytes() for x in reg], pa.binary()), bands], ["doc_id", "key", "n", "content", "reg", "bands"])
     release()
 
 
@@ -187,17 +187,16 @@ def _block_links(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs`` (``doc_id``, ``text``).
+def _key() -> Column:
+    """What tells texts under one id apart."""
+    return F.xxhash64(F.col("text").cast("binary"))
 
-    Rows with equal shingle sets are one class, linked whole; texts without words (null, empty, white space) have
-    empty sets and link with nothing. Repeated rows give repeated results; a null id links like any other
-    but never names a component unless all ids in it are null, and is kept only then; other columns play no
-    part; an empty table gives an empty result.
-    """
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each row's ``doc_id``, ``key``, ``n`` and ``content``, and the component of each class: its name and smallest id."""
     bound_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(text.mapInArrow(_sign, SIGNED), "near-signed")
+    signed = materialize(text.withColumn("key", _key()).mapInArrow(_sign, SIGNED), "near-signed")
     classes = signed.where("n > 0").groupBy("content", "n").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.xxhash64("content"), "reg", "bands")).alias("x"))
     # Classes are named by a hash of their content: ids may repeat, or be null.
     classes = materialize(classes.select(F.xxhash64("content", "n").alias("rep"), "content", "n", "low", "x.reg", "x.bands"), "near-classes")
@@ -238,15 +237,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("content", "n", "low", F.coalesce("component", "rep").alias("comp"))
     least = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "comp").select("content", "n", "component_id")
-    out = signed.select("doc_id", "content", "n").join(named, ["content", "n"], "left")
+    return signed.select("doc_id", "key", "n", "content"), named.join(least, "comp").select("content", "n", "comp", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs`` (``doc_id``, ``text``).
+
+    Rows with equal shingle sets are one class, linked whole; texts without words (null, empty, white space) have
+    empty sets and link with nothing. Repeated rows give repeated results; a null id links like any other
+    but never names a component unless all ids in it are null, and is kept only then; other columns play no
+    part; an empty table gives an empty result.
+    """
+    signed, named = _components(docs)
+    out = signed.select("doc_id", "content", "n").join(named.drop("comp"), ["content", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest id. Rows that repeat an id and a text are one group."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    kept = materialize(kept, "near-kept").withColumnRenamed("doc_id", "_kept_id")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return rows.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns)
+    """One row of each group of near-duplicates: that of the smallest id, null ids last.
+
+    Groups are the components of texts, whatever their ids: unrelated texts under one id, or under none, all stay.
+    Texts without words link with nothing; of those only rows that repeat an id and a text are one group.
+    """
+    signed, named = _components(docs)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")
+    linked = signed.where("n > 0").join(named.select("content", "n", "comp"), ["content", "n"]).groupBy("comp").agg(best).select("x.doc_id", "x.key")
+    blank = signed.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "key")
+    kept = materialize(linked.unionByName(blank).distinct(), "near-kept").toDF("_kept_id", "_kept_key")
+
+    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(TOKEN), F.lit(False))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key"))
+    rows = docs.where(~loose).withColumn("_key", _key()).join(kept, same, "left_semi")
+    # Rows that repeat an id and a text differ in other columns at most.
+    first = W.partitionBy("doc_id", "_key").orderBy(F.xxhash64(*docs.columns))
+    rows = rows.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns)
+    return rows.unionByName(docs.where(loose))

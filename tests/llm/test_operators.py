@@ -294,6 +294,21 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_digest_is_that_of_the_text_alone():
+    alone, late = (minhash.contents(*minhash.shingles(x)) for x in ([b"a b c d e f g"], [b"x", b"a b c d e f g", b"", b" "]))
+    assert late[1] == alone[0] and late[2] == late[3] == bytes(16) and minhash.contents(*minhash.shingles([b"", b""])) == [bytes(16)] * 2
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark, docs):
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 30) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, d), (None, None), (None, ""), (None, ""), (8, ""), (8, ""), (8, None), (9, a)]
+    got = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(tuple(r) for r in got.collect()) == Counter([(9, a), (None, b), (5, c), (3, d), (None, None), (None, ""), (None, ""), (8, ""), (8, None)])
+    kept = Counter((r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs).collect())
+    assert kept[(7, "another text of an id that repeats")] == 1 and kept[(7, corpus()[7][1])] == 1 and max(kept.values()) == 1
+
+
 def test_blocks_of_a_hot_bucket_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
     rng = random.Random(9)
