@@ -3,7 +3,8 @@
 Texts are packed into chunks of a few megabytes. Each window of ``LENGTH`` bytes has an anchor, its smallest k-gram by
 hash, so equal windows have equal anchors; neighbouring windows with one anchor are a run. A first exchange of
 packed anchor hashes finds those that occur twice anywhere. Runs of those, each distinct one of a chunk once with
-its smallest document, go to the bucket of their anchor. A bucket's runs form one string whose suffixes are
+its smallest document, go to the bucket of their anchor. An anchor with too many runs is split: each distinct window
+of a chunk goes by itself to the bucket of its own hash, which equal windows share too. A bucket's runs form one string whose suffixes are
 sorted in two stages: suffixes smaller than their successors directly, all others by scans over the buckets of
 first bytes. Adjacent common prefixes of ``LENGTH`` bytes join windows to classes; the smallest document of each class
 goes back to the chunks, which cut what a smaller document has.
@@ -20,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bound_batches, materialize
-from quillon.llm.hashing import prefix_sums, release, spans
+from quillon.llm.hashing import mix64, prefix_sums, release, spans
 
 LENGTH, GRAM = 50, 20
 CHUNK, SLICE = 1 << 20, 1 << 17
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 4 << 20
+#: Runs of one anchor, distinct within their chunks, beyond which its windows are dealt by their own hashes.
+HOT_RUNS = 1 << 12
 #: Rows without an id come after all others.
 LAST = np.iinfo(np.int64).max
 _KEY = 6  # bytes of an anchor's hash that are exchanged
@@ -118,48 +121,85 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _send_anchors(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            marks = np.unique(_marks(Chunk(row).anchor, buckets))
+            chunk = Chunk(row)
+            all_marks = _marks(chunk.anchor, buckets)
+            order = np.lexsort((chunk.content, all_marks))
+            ranked, content = all_marks[order], chunk.content[order]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (ranked[1:] != ranked[:-1]) | (content[1:] != content[:-1])
+            marks, count = np.unique(ranked[new], return_counts=True)
+            count = np.minimum(count, np.iinfo(np.uint16).max).astype(np.uint16)
             at = _bounds(marks, buckets)
             raw = marks.view(np.uint8).reshape(-1, 8)[:, :_KEY]
             some = np.flatnonzero(np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([raw[at[b] : at[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "chunk", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([raw[at[b] : at[b + 1]].tobytes() for b in some], pa.binary()), pa.array([count[at[b] : at[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "chunk", "keys", "runs"])
         release()
 
     return send
 
 
-def _mark_common(table: pa.Table) -> pa.Table:
-    """For each chunk, a bit for each of its anchors in this bucket: another chunk has it too."""
-    raw = [np.frombuffer(x, dtype=np.uint8).reshape(-1, _KEY) for x in table["keys"].to_pylist()]
-    wide = np.zeros((sum(map(len, raw)), 8), dtype=np.uint8)
-    wide[:, :_KEY] = np.concatenate(raw)
-    keys = wide.view(np.uint64).ravel()
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    common = np.zeros(len(keys), dtype=bool)
-    common[order[1:][same]] = common[order[:-1][same]] = True
-    ends = np.cumsum([len(x) for x in raw])
-    bits = [np.packbits(common[e - len(x) : e]).tobytes() for x, e in zip(raw, ends, strict=True)]
-    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
-
-
-def _common_runs(chunk: Chunk, marks: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs whose anchor occurs twice: their indices, the distinct run of each, a run for each distinct one, and bounds of those by bucket."""
+def _mark_common(limit: int):
+    def mark(table: pa.Table) -> pa.Table:
+        """For each chunk, two bits for each of its anchors in this bucket: another chunk has it too; it has more than ``limit`` runs in all."""
+        raw = [np.frombuffer(x, dtype=np.uint8).reshape(-1, _KEY) for x in table["keys"].to_pylist()]
+        runs = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in table["runs"].to_pylist()])
+        wide = np.zeros((sum(map(len, raw)), 8), dtype=np.uint8)
+        wide[:, :_KEY] = np.concatenate(raw)
+        keys = wide.view(np.uint64).ravel()
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        times = np.diff(np.append(first, len(keys)))
+        common, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+        common[order] = np.repeat(times > 1, times)
+        hot[order] = np.repeat(np.add.reduceat(runs[order].astype(np.int64), first) > limit, times)
+        ends = np.cumsum([len(x) for x in raw])
+        bits = [[np.packbits(flag[e - len(x) : e]).tobytes() for x, e in zip(raw, ends, strict=True)] for flag in (common, hot)]
+        # Few buckets have an anchor to split.
+        hots = [b if any(b) else None for b in bits[1]]
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(bits[0], pa.binary()), "hots": pa.array(hots, pa.binary())})
+
+    return mark
+
+
+def _window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the LENGTH bytes from each position."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for lo in range(0, len(at), 1 << 17):
+        part = out[lo : lo + (1 << 17)]
+        for word in _words(data, at[lo : lo + (1 << 17)]).T:
+            part[:] = mix64(part * np.uint64(0x9E3779B97F4A7C15) + word)
+    return out
+
+
+def _common_runs(chunk: Chunk, marks: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves in ``chunk`` the runs whose anchor occurs twice, those of hot anchors as single windows.
+
+    Returns the distinct run of each, a run for each distinct one, and bounds of those by bucket.
+    """
     anchors, index, count = np.unique(_marks(chunk.anchor, buckets), return_inverse=True, return_counts=True)
     at = _bounds(anchors, buckets)
-    hot = np.zeros(len(anchors), dtype=bool)
+    common, hot = np.zeros(len(anchors), dtype=bool), np.zeros(len(anchors), dtype=bool)
     for m in marks:
         lo, hi = at[m["bucket"]], at[m["bucket"] + 1]
-        hot[lo:hi] = np.unpackbits(np.frombuffer(m["bits"], dtype=np.uint8), count=hi - lo).astype(bool)
-    runs = np.flatnonzero((hot | (count > 1))[index])
-    part, content = (anchors[index[runs]] >> np.uint64(8 * _KEY)).astype(np.int64), chunk.content[runs]
-    order = np.lexsort((chunk.ids[chunk.doc[runs]], content, part))
-    new = np.ones(len(runs), dtype=bool)
+        for flag, bits in ((common, m["bits"]), (hot, m["hots"])):
+            if bits is not None:
+                flag[lo:hi] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=hi - lo).astype(bool)
+    runs = np.flatnonzero((common | (count > 1))[index])
+    whole, split = runs[~hot[index[runs]]], runs[hot[index[runs]]]
+    single = _gather(chunk.start[split], chunk.n[split])
+    hashes = _window_hashes(chunk.data, single)
+    part = np.concatenate([(anchors[index[whole]] >> np.uint64(8 * _KEY)).astype(np.int64), (_marks(hashes, buckets) >> np.uint64(8 * _KEY)).astype(np.int64)])
+    content = np.concatenate([chunk.content[whole], hashes])
+    chunk.doc = np.concatenate([chunk.doc[whole], np.repeat(chunk.doc[split], chunk.n[split])])
+    chunk.start = np.concatenate([chunk.start[whole], single])
+    chunk.n = np.concatenate([chunk.n[whole], np.ones(len(single), dtype=np.int64)])
+    order = np.lexsort((chunk.ids[chunk.doc], content, part))
+    new = np.ones(len(order), dtype=bool)
     new[1:] = (content[order][1:] != content[order][:-1]) | (part[order][1:] != part[order][:-1])
-    distinct = np.empty(len(runs), dtype=np.int64)
+    distinct = np.empty(len(order), dtype=np.int64)
     distinct[order] = np.cumsum(new) - 1
-    one = runs[order[new]]  # of the smallest document
-    return runs, distinct, one, np.searchsorted(part[order[new]], np.arange(buckets + 1))
+    one = order[new]  # of the smallest document
+    return distinct, one, np.searchsorted(part[one], np.arange(buckets + 1))
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -172,7 +212,7 @@ def _send_runs(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row)
-            _, _, one, at = _common_runs(chunk, row["marks"] or [], buckets)
+            _, one, at = _common_runs(chunk, row["marks"] or [], buckets)
             for b in np.flatnonzero(np.diff(at)):
                 own = one[at[b] : at[b + 1]]
                 text = chunk.data[_gather(chunk.start[own], chunk.n[own] + LENGTH - 1)].tobytes()
@@ -274,15 +314,15 @@ def _cut(buckets: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row)
-            runs, distinct, one, at = _common_runs(chunk, row["marks"] or [], buckets)
+            distinct, one, at = _common_runs(chunk, row["marks"] or [], buckets)
             sizes = chunk.n[one]
             first = np.concatenate([[0], np.cumsum(sizes)])
             low = np.full(first[-1], LAST, dtype=np.int64)
             for m in row["lows"] or []:
                 lo, hi = first[at[m["bucket"]]], first[at[m["bucket"] + 1]]
                 low[lo:hi] = np.frombuffer(pa.decompress(m["low"], decompressed_size=int(hi - lo) * 8, codec="zstd", asbytes=True), dtype=np.int64)
-            windows = _gather(chunk.start[runs], chunk.n[runs])
-            smaller = low[_gather(first[distinct], chunk.n[runs])] < np.repeat(chunk.ids[chunk.doc[runs]], chunk.n[runs])
+            windows = _gather(chunk.start, chunk.n)
+            smaller = low[_gather(first[distinct], chunk.n)] < np.repeat(chunk.ids[chunk.doc], chunk.n)
             windows = windows[smaller]
             turn = np.bincount(windows, minlength=len(chunk.data) + 1) - np.bincount(windows + LENGTH, minlength=len(chunk.data) + 1)
             gone = np.cumsum(turn[:-1]) > 0
@@ -303,9 +343,9 @@ def _cut(buckets: int):
     return cut
 
 
-def _gathered(df: DataFrame, name: str, value: str) -> DataFrame:
+def _gathered(df: DataFrame, name: str, *values: str) -> DataFrame:
     """What the buckets say of each chunk: one entry for each bucket at most."""
-    return df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", value)).alias(name))
+    return df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", *values)).alias(name))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -321,8 +361,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     chunks = materialize(text.mapInArrow(_pack, CHUNKS), "repeat-chunks", "uncompressed")
     total = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = int(min(max(-(-total // BUCKET_BYTES), 8), 1 << 16))
-    sent = chunks.mapInArrow(_send_anchors(buckets), "bucket int, chunk long, keys binary")
-    marks = materialize(_gathered(sent.groupBy("bucket").applyInArrow(_mark_common, "chunk long, bucket int, bits binary"), "marks", "bits"), "repeat-marks")
+    sent = chunks.mapInArrow(_send_anchors(buckets), "bucket int, chunk long, keys binary, runs binary")
+    marks = materialize(_gathered(sent.groupBy("bucket").applyInArrow(_mark_common(HOT_RUNS), "chunk long, bucket int, bits binary, hots binary"), "marks", "bits", "hots"), "repeat-marks")
     marked = chunks.join(marks, "chunk", "left").select("chunk", "ids", "lens", "data", "marks")
     runs = marked.mapInArrow(_send_runs(buckets), "bucket int, chunk long, n binary, docs binary, text binary, size long")
     lows = materialize(_gathered(runs.groupBy("bucket").applyInArrow(_smallest, "chunk long, bucket int, low binary"), "lows", "low"), "repeat-lows")

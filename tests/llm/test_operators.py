@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,28 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffixes.cut_repeats(df.limit(0)).count() == 0
 
 
+def test_split_anchors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_RUNS", 3)
+    test_suffix_dedup_equals_brute_force(spark)
+
+
+def test_a_line_in_all_documents_does_not_fill_one_bucket():
+    rng, line, buckets = random.Random(6), "this licence line of some sixty bytes is in every document", 64
+    rows = [(k, f"{words(rng, 12)} {line} {words(rng, 12)}".encode()) for k in range(3000)]
+    batch = lambda names, rows: pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    chunks = [r for k in range(3) for b in suffixes._pack(iter([batch(["doc_id", "text"], rows[k::3])])) for r in b.to_pylist()]
+    for k, c in enumerate(chunks):
+        c["chunk"] = k
+    by = lambda batches: {b: [r for r in got if r["bucket"] == b] for got in [[r for x in batches for r in x.to_pylist()]] for b in {r["bucket"] for r in got}}
+    stream = lambda: iter([pa.RecordBatch.from_pylist(chunks)])
+    keys = by(suffixes._send_anchors(buckets)(stream())).values()
+    marks = [m for k in keys for m in suffixes._mark_common(500)(pa.Table.from_pylist(k)).to_pylist()]
+    for c in chunks:
+        c["marks"] = [m for m in marks if m["chunk"] == c["chunk"]]
+    sent = sorted(sum(r["size"] for r in b) for b in by(suffixes._send_runs(buckets)(stream())).values())
+    assert sent[-1] < 5 * sent[len(sent) // 2]
+
+
 def test_two_stage_order_is_the_suffix_order():
     rng = np.random.default_rng(0)
     for top in (2, 4, 200):
