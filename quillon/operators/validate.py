@@ -74,8 +74,11 @@ def newey_west(series: DataFrame, by: list[str], value: str = "coef") -> DataFra
     return total.select(*by, "mean_coef", se.alias("nw_se"), F.try_divide("mean_coef", F.when(se > 0, se)).alias("t_stat"), "n_periods")
 
 
-def average_correlation(scores: DataFrame, factors: list[str], threshold: float) -> DataFrame:
-    """Pairwise correlation per period, averaged over time; the pairs come from factor names, the sums from one pass."""
+def average_correlation(scores: DataFrame, factors: list[str], threshold: float, cutoffs: DataFrame | None = None) -> DataFrame:
+    """Pairwise correlation per period, averaged over time; the pairs come from factor names, the sums from one pass.
+
+    With ``cutoffs``, once for each ``cutoff``, over the periods up to it.
+    """
     pairs = [(a, b) for i, a in enumerate(sorted(factors)) for b in sorted(factors)[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
 
@@ -86,7 +89,10 @@ def average_correlation(scores: DataFrame, factors: list[str], threshold: float)
 
     wide = scores.groupBy("period").agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = wide.unpivot(["period"], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
-    out = long.groupBy(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b")).agg(F.avg("corr").alias("avg_corr"))
+    by = []
+    if cutoffs is not None:
+        long, by = long.join(F.broadcast(cutoffs), F.col("period") <= F.col("cutoff")), ["cutoff"]
+    out = long.groupBy(*by, F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b")).agg(F.avg("corr").alias("avg_corr"))
     return out.withColumn("redundant", F.coalesce(F.abs("avg_corr") > threshold, F.lit(False)))
 
 
@@ -204,26 +210,57 @@ def statistics_by_cutoff(series: DataFrame, cutoffs: DataFrame, by: list[str], v
     return rows.groupBy("cutoff", *by).agg(F.avg(value).alias("mean"), F.try_divide(F.avg(value), F.when(sd > 0, sd)).alias("ir"), F.count(value).alias("n"))
 
 
-def select_factors(ic: DataFrame, coefs: DataFrame, cutoffs: DataFrame, correlations: DataFrame, min_ir: float, min_t: float) -> DataFrame:
-    """Scorecard by cutoff: gates on information ratio or t, then the strongest factor of each redundant pair's group.
+def lasso_by_cutoff(panel: DataFrame, y: str, factors: list[str], chosen: DataFrame, horizon: int, universe: str = "sub_universe", tiny: float = 1e-5) -> DataFrame:
+    """``cutoff``, ``factor`` of the lasso's survivors in any sub-universe, fitted on each cutoff's ``chosen`` (cutoff, factor) alone.
+
+    Moments are added up per period, once for each set of factors that some cutoff chose: a row counts if those are
+    known. A cutoff takes the periods whose return, ``horizon`` months ahead, it has seen.
+    """
+    sets = chosen.groupBy("cutoff").agg(F.array_join(F.array_sort(F.collect_set("factor")), "|").alias("set")).cache()
+    rows = panel.crossJoin(F.broadcast(sets.select("set").distinct()))
+    inside = lambda x: F.array_contains(F.split("set", r"\|"), x)
+    sums = moments(rows, ["set", universe, "period"], F.col(y), [F.when(inside(x), F.col(x)).otherwise(0.0) for x in factors]).where("n > 0")
+    seen = sums.join(F.broadcast(sets), "set").where(F.add_months("period", horizon) <= F.col("cutoff"))
+    k = len(factors) + 1
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("period")
+        xx = np.stack(pdf["xx"].map(np.asarray)).astype(float).reshape(-1, k, k)
+        w = lasso_from_moments(pdf["n"].to_numpy(float), xx, np.stack(pdf["xy"].map(np.asarray)).astype(float), pdf["yy"].to_numpy(float))
+        return pd.DataFrame({"cutoff": pdf["cutoff"].iloc[0], "factor": [f for f, c in zip(factors, w, strict=True) if abs(c) > tiny]})
+
+    return seen.groupBy("cutoff", universe).applyInPandas(fit, "cutoff date, factor string").distinct()
+
+
+def select_factors(ic: DataFrame, coefs: DataFrame, cutoffs: DataFrame, correlations: DataFrame, min_ir: float, min_t: float, panel: DataFrame | None = None, y: str = "fwd1", style: list[str] | None = None, horizon: int = 3) -> DataFrame:
+    """Scorecard by cutoff: gates on information ratio or t, clusters of those that pass, then the lasso over style representatives.
 
-    ``correlations`` has (cutoff, a, b) of redundant pairs, from data up to that cutoff. A factor that passes is dropped
-    if a passing neighbour is stronger.
+    ``correlations`` has (cutoff, a, b) of redundant pairs, from data up to that cutoff. A cluster is represented by its
+    largest mean coefficient; one without a coefficient goes by its information ratio. ``panel`` has the ``style`` factors, ``y`` and
+    ``sub_universe``; representatives that are not style factors bypass the lasso, and all do without a panel.
+    ``cluster`` and ``lasso`` are null for factors that did not come so far.
     """
     ir = statistics_by_cutoff(ic.where("lag = 1"), cutoffs, ["factor"], "ic").select("cutoff", "factor", F.col("ir").alias("ir_lag1"))
     seen = coefs.join(F.broadcast(cutoffs), F.col("period") <= F.col("cutoff"))
     t = newey_west(seen, ["cutoff", "factor"]).select("cutoff", "factor", F.col("t_stat").alias("fm_t"), F.col("mean_coef").alias("fm_coef"))
     card = ir.join(t, ["cutoff", "factor"], "full")
-    card = card.withColumn("passed", F.coalesce(F.abs("ir_lag1") >= min_ir, F.lit(False)) | F.coalesce(F.abs("fm_t") >= min_t, F.lit(False)))
-    both = correlations.select("cutoff", "a", "b").unionByName(correlations.select("cutoff", F.col("b").alias("a"), F.col("a").alias("b")))
-    strength = lambda p: F.struct(F.coalesce(F.abs(f"{p}fm_t"), F.lit(-1.0)), F.col(f"{p}factor"))
-    other = card.where("passed").select(F.col("cutoff").alias("o_cutoff"), F.col("factor").alias("o_factor"), F.col("fm_t").alias("o_fm_t"))
-    beaten = (
-        card.where("passed").join(both.withColumnRenamed("a", "factor"), ["cutoff", "factor"])
-        .join(other, (F.col("cutoff") == F.col("o_cutoff")) & (F.col("b") == F.col("o_factor")))
-        .where(strength("o_") > strength("")).select("cutoff", "factor").distinct().withColumn("_beaten", F.lit(True))
-    )
-    return card.join(beaten, ["cutoff", "factor"], "left").withColumn("selected", F.col("passed") & F.col("_beaten").isNull()).drop("_beaten")
+    # A few rows a cutoff, used by each step.
+    card = card.withColumn("passed", F.coalesce(F.abs("ir_lag1") >= min_ir, F.lit(False)) | F.coalesce(F.abs("fm_t") >= min_t, F.lit(False))).cache()
+    node = lambda x: F.concat_ws("|", F.col("cutoff").cast("string"), x)
+    passed = card.where("passed").withColumn("node", node("factor"))
+    edges = correlations.select(node("a").alias("a"), node("b").alias("b"))
+    edges = edges.join(passed.select(F.col("node").alias("a")), "a", "left_semi").join(passed.select(F.col("node").alias("b")), "b", "left_semi").cache()
+    members = passed.join(clusters(passed.select("node"), edges), "node").withColumn("has", F.col("fm_coef").isNotNull()).withColumn("strength", F.coalesce("fm_coef", "ir_lag1")).cache()
+    best = representatives(members, "has", "strength").withColumn("representative", F.lit(True))
+    steps = members.join(best, ["cluster", "factor"], "left").select("cutoff", "factor", F.substring_index("cluster", "|", -1).alias("cluster"), "representative")
+    card = card.join(steps, ["cutoff", "factor"], "left").withColumn("representative", F.coalesce("representative", F.lit(False)))
+    if panel is None:
+        return card.withColumn("lasso", F.lit(None).cast("boolean")).withColumn("selected", F.col("representative"))
+    card = card.cache()
+    entered = F.col("representative") & F.col("factor").isin(style)
+    survivors = lasso_by_cutoff(panel, y, style, card.where(entered).select("cutoff", "factor"), horizon).withColumn("_kept", F.lit(True))
+    card = card.join(survivors, ["cutoff", "factor"], "left").withColumn("lasso", F.when(entered, F.coalesce("_kept", F.lit(False)))).drop("_kept")
+    return card.withColumn("selected", F.col("representative") & F.coalesce("lasso", F.lit(True)))
 
 
 def carry_forward(history: DataFrame, by: str = "cutoff") -> DataFrame:

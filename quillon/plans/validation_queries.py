@@ -152,10 +152,13 @@ def v13_representatives(spark, d):
     return validate.representatives(members, "has", "mean_coef")
 
 
+def lasso_panel(spark, d) -> DataFrame:
+    return design(spark, d).withColumn("sub_universe", F.when(F.col("industry") == "bank", "bank").otherwise("insurance"))
+
+
 @query()
 def v15_lasso(spark, d):
-    rows = design(spark, d).withColumn("sub_universe", F.when(F.col("industry") == "bank", "bank").otherwise("insurance"))
-    return validate.lasso_select(rows, "fwd1", STYLE)
+    return validate.lasso_select(lasso_panel(spark, d), "fwd1", STYLE)
 
 
 def cutoffs(spark) -> DataFrame:
@@ -168,13 +171,11 @@ def schedule(spark, first: str, last: str, months: int) -> DataFrame:
 
 def scorecard(spark, d) -> DataFrame:
     z, fwd = zscores(spark, d), forward(spark, d)
-    corr = w.fill_median(z, {"ep": F.lit(True)}).join(F.broadcast(cutoffs(spark)), F.col("period") <= F.col("cutoff"))
-    spread = F.stddev_samp("ep") * F.stddev_samp("dy")
-    pairs = corr.groupBy("cutoff", "period").agg(F.try_divide(F.covar_samp("ep", "dy"), F.when(spread > 0, spread)).alias("c")).groupBy("cutoff").agg(F.avg("c").alias("c"))
-    pairs = pairs.where("abs(c) > 0.3").select("cutoff", F.lit("dy").alias("a"), F.lit("ep").alias("b"))
+    filled = w.fill_median(z, {x: F.lit(True) for x in STYLE})
+    pairs = validate.average_correlation(filled, STYLE, 0.3, cutoffs(spark)).where("redundant").select("cutoff", "a", "b")
     ic = validate.rank_ic(z, fwd, STYLE, (1,))
     coefs = validate.premia(validate.fama_macbeth(z.join(fwd, ["stock_id", "period"]), "fwd1", STYLE), STYLE)
-    return validate.select_factors(ic, coefs, cutoffs(spark), pairs, 0.1, 1.0)
+    return validate.select_factors(ic, coefs, cutoffs(spark), pairs, 0.1, 1.0, lasso_panel(spark, d), "fwd1", STYLE)
 
 
 @query()

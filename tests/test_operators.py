@@ -194,6 +194,35 @@ def test_selection_drops_the_weaker_clone(spark):
     assert rows(got.where(first), "factor", "selected", "ir_lag1") == rows(late.where(first), "factor", "selected", "ir_lag1")
 
 
+def test_selection_runs_clusters_and_the_lasso_on_representatives(spark):
+    periods = [dt.date(2000 + k // 4, 1 + 3 * (k % 4), 1) for k in range(24)]
+    rng = np.random.default_rng(8)
+    # A chain a - b - c: c is no neighbour of a, but in its cluster. "idle" passes the gates, yet predicts nothing. "beta" is no style factor.
+    means = {"a": 0.3, "b": 0.2, "c": 0.1, "idle": 0.2, "beta": 0.2, "weak": 0.0}
+    ic = [(p, f, 1, float(m + rng.normal() * 0.02) if m else float((-1) ** k * 0.1), 30) for k, p in enumerate(periods) for f, m in means.items()]
+    a = spark.createDataFrame(ic, "period date, factor string, lag int, ic double, n long")
+    b = a.select("period", "factor", F.col("ic").alias("coef"))
+    cut = spark.createDataFrame([(dt.date(2004, 1, 1),), (dt.date(2006, 1, 1),)], "cutoff date")
+    pairs = cut.select("cutoff", F.explode(F.expr("array(struct('a' AS x, 'b' AS y), struct('b' AS x, 'c' AS y), struct('c' AS x, 'weak' AS y), struct('idle' AS x, 'weak' AS y))")).alias("p")).select("cutoff", F.col("p.x").alias("a"), F.col("p.y").alias("b"))
+    z = lambda: rng.normal(size=30)
+    cells = []
+    for p in periods:
+        x, idle = z(), z()
+        idle -= x * (x @ idle) / (x @ x)
+        cells += [(p, "bank", float(u), None, None, 0.0 if p < dt.date(2003, 1, 1) else float(v), float(0.5 * u + (5 * v if p >= dt.date(2004, 1, 1) else 0))) for u, v in zip(x, idle, strict=True)]
+    panel = spark.createDataFrame(cells, "period date, sub_universe string, a double, b double, c double, idle double, fwd1 double")
+    got = validate.select_factors(a, b, cut, pairs, 1.0, 1e9, panel, "fwd1", ["a", "b", "c", "idle"])
+    card = {(str(r.cutoff), r.factor): (r.cluster, r.representative, r.lasso, r.selected) for r in got.collect()}
+    for c in ("2004-01-01", "2006-01-01"):
+        assert card[c, "a"] == ("a", True, True, True) and card[c, "b"] == card[c, "c"] == ("a", False, None, False)
+        assert card[c, "beta"] == ("beta", True, None, True) and card[c, "weak"] == (None, False, None, False)
+        # What moves after a cutoff is not seen by it.
+        assert card[c, "idle"] == ("idle", True, c > "2005", c > "2005")
+    scores = spark.createDataFrame([(p, float(v), float(v if p < dt.date(2003, 1, 1) else -v), float(v)) for p in periods for v in range(4)], "period date, a double, b double, c double")
+    found = {(str(r.cutoff), r.a, r.b): r.redundant for r in validate.average_correlation(scores, ["a", "b", "c"], 0.3, cut).collect()}
+    assert found == {(c, x, y): (x, y) == ("a", "c") or c < "2005" for c in ("2004-01-01", "2006-01-01") for x, y in (("a", "b"), ("a", "c"), ("b", "c"))}
+
+
 def test_twfe_recovers_an_effect(spark):
     rng = np.random.default_rng(6)
     cells = [(f"s{i}", t, float(i + 0.3 * t + (2.0 if i % 2 and t >= 5 else 0) + rng.normal() * 0.01), float(i % 2 and t >= 5)) for i in range(20) for t in range(10)]
