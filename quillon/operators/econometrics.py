@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,13 +17,40 @@ def balanced(panel: DataFrame, event: str) -> DataFrame:
     return rows.where((F.col("_a") < at) & (F.col("_b") >= at)).withColumn("post", (F.col("date") >= at).cast("int")).drop("_a", "_b")
 
 
-def demean_two_ways(df: DataFrame, columns: list[str], a: str = "stock_id", b: str = "period", rounds: int = 8) -> DataFrame:
-    """Sweeps out both fixed effects by turns; one turn is exact on balanced panels, a few suffice on others."""
-    out = df
-    for _ in range(rounds):
-        for key in (a, b):
-            out = out.withColumns({c: F.col(c) - F.avg(c).over(W.partitionBy(key)) for c in columns})
-    return out
+def demean_two_ways(df: DataFrame, columns: list[str], a: str = "stock_id", b: str = "period") -> DataFrame:
+    """Sweeps out both fixed effects exactly, on balanced and unbalanced panels alike.
+
+    ``a`` may have any number of levels and goes by one window. What is left depends on ``b``, the calendar, through
+    normal equations with one row for each of its levels, whose counts come from firms that share a pattern of
+    periods; one task solves them (periods squared numbers), and the effects are joined back. Nulls count for nothing.
+    """
+    firm = W.partitionBy(a)
+    names = [f"_d{k}" for k in range(len(columns))]
+    rows = df.withColumns({n: F.col(c) - F.avg(c).over(firm) for n, c in zip(names, columns, strict=True)})
+    cells = df.groupBy(a, b).agg(F.count("*").alias("m"))
+    patterns = cells.groupBy(a).agg(F.sort_array(F.collect_list(F.struct(F.col(b).alias("t"), "m"))).alias("p")).groupBy("p").agg(F.count("*").alias("firms"))
+    total = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["m"])
+    pairs = patterns.select("p", (F.col("firms") / total).alias("w"), F.explode("p").alias("x")).select("w", "x", F.explode("p").alias("y"))
+    shared = pairs.groupBy(F.col("x.t").alias("t"), F.col("y.t").alias("s")).agg(F.sum(F.col("w") * F.col("x.m") * F.col("y.m")).alias("g"))
+    sums = rows.groupBy(F.col(b).alias("t")).agg(F.count("*").cast("double").alias("n"), *[F.sum(n).alias(n) for n in names])
+    system = shared.join(sums, "t").withColumn("_all", F.lit(1))
+    kind = df.schema[b].dataType.simpleString()
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels = sorted(pdf["t"].unique())
+        at = {t: k for k, t in enumerate(levels)}
+        i, j = pdf["t"].map(at).to_numpy(), pdf["s"].map(at).to_numpy()
+        left = np.zeros((len(levels), len(levels)))
+        left[i, j] = -pdf["g"].to_numpy(float)
+        first = pdf.drop_duplicates("t").sort_values("t")
+        left[np.diag_indices(len(levels))] += first["n"].to_numpy(float)
+        effects = np.linalg.pinv(left, rcond=1e-12, hermitian=True) @ first[names].to_numpy(float)
+        return pd.DataFrame({"_t": levels} | {f"_e{k}": effects[:, k] for k in range(len(names))})
+
+    effects = system.groupBy("_all").applyInPandas(solve, f"_t {kind}, " + ", ".join(f"_e{k} double" for k in range(len(names))))
+    joined = rows.join(F.broadcast(effects), F.col(b) == F.col("_t"))  # one row for each period
+    out = joined.withColumns({c: F.col(n) - F.col(f"_e{k}") + F.avg(f"_e{k}").over(firm) for k, (n, c) in enumerate(zip(names, columns, strict=True))})
+    return out.drop("_t", *names, *[f"_e{k}" for k in range(len(names))])
 
 
 def _clustered(df: DataFrame, x: str, y: str, cluster: list[str]) -> DataFrame:
@@ -32,10 +61,10 @@ def _clustered(df: DataFrame, x: str, y: str, cluster: list[str]) -> DataFrame:
     return score.agg(F.first("beta").alias("beta"), se.alias("se"), F.try_divide(F.first("beta"), F.when(se > 0, se)).alias("t_stat"), F.first("n").alias("n"))
 
 
-def twfe(panel: DataFrame, rounds: int = 8) -> DataFrame:
+def twfe(panel: DataFrame) -> DataFrame:
     """Two-way fixed-effects estimate of ``d`` on ``y``, clustered by security."""
     rows = panel.where("y is not null and d is not null").withColumn("y", F.col("y").cast("double")).withColumn("d", F.col("d").cast("double"))
-    return _clustered(demean_two_ways(rows, ["y", "d"], rounds=rounds), "d", "y", ["stock_id"])
+    return _clustered(demean_two_ways(rows, ["y", "d"]), "d", "y", ["stock_id"])
 
 
 def event_study(panel: DataFrame, event: str, days: int = 30, reach: int = 6) -> DataFrame:
@@ -49,7 +78,7 @@ def event_study(panel: DataFrame, event: str, days: int = 30, reach: int = 6) ->
     steps = [k for k in range(-reach, reach + 1) if k != -1]
     names = [f"t{k}" for k in steps]
     rows = panel.where("y is not null").withColumn("_rel", rel).withColumns({n: (F.col("treated") & (F.col("_rel") == k)).cast("double") for n, k in zip(names, steps, strict=True)})
-    swept = demean_two_ways(rows.withColumn("y", F.col("y").cast("double")), ["y", *names], rounds=3).withColumn("_all", F.lit(1))
+    swept = demean_two_ways(rows.withColumn("y", F.col("y").cast("double")), ["y", *names]).withColumn("_all", F.lit(1))
     fit = coefficients(moments(swept, ["_all"], F.col("y"), [F.col(n) for n in names]), ["_all"], names, least=1)
     return fit.unpivot(["n"], names, "step", "effect").select(F.substring("step", 2, 10).cast("int").alias("step"), "effect", "n")
 

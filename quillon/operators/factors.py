@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,10 @@ from quillon.functions.scalars import finite, in_universe, ratio
 
 @dataclass(frozen=True)
 class Factor:
-    """``expr`` gives a column of the sector panel; ``compute`` a frame of (stock_id, date, factor) instead."""
+    """``expr`` gives a column of the sector panel; ``compute`` instead makes a frame of (stock_id, date, factor) from the frames by name.
+
+    ``input_frame`` names the one whose rows it scores; a factor without it among the frames is an error.
+    """
 
     name: str
     sleeve: str
@@ -21,7 +25,7 @@ class Factor:
     neutralize: bool = True
     input_frame: str = "sector"
     expr: Callable[[], Column] | None = None
-    compute: Callable[[DataFrame], DataFrame] | None = None
+    compute: Callable[[dict[str, DataFrame]], DataFrame] | None = None
 
 
 REGISTRY: dict[str, Factor] = {}
@@ -79,20 +83,28 @@ def require_industry(frame: DataFrame, factors: list[str]) -> None:
 
 def ratio_scores(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
     """All expression factors in one projection; off their sub-universe they are null."""
-    names = names or [n for n, f in REGISTRY.items() if f.expr]
+    names = [n for n, f in REGISTRY.items() if f.expr] if names is None else names
     require_industry(panel, names)
     columns = [F.when(in_universe(F.col("industry"), REGISTRY[n].universe), REGISTRY[n].expr()).alias(n) for n in names]
     return panel.select("stock_id", "date", "industry", *columns)
 
 
 def factor_frames(frames: dict[str, DataFrame], names: list[str]) -> DataFrame:
-    """The wide score frame: expression factors in one pass, computed ones joined on by security and date."""
-    exprs = [n for n in names if REGISTRY[n].expr]
-    out = ratio_scores(frames["sector"], exprs)
+    """The wide score frame over the rows of the sector panel: expression factors in one projection, computed ones joined on by security and date.
+
+    Computed frames are stacked, gathered by one grouping and joined once, however many there are.
+    """
     for n in names:
-        if (f := REGISTRY[n]).compute:
-            out = out.join(f.compute(frames[f.input_frame]).select("stock_id", "date", n), ["stock_id", "date"], "left")
-    return out
+        if REGISTRY[n].input_frame not in frames:
+            raise ValueError(f"factor {n} needs the frame {REGISTRY[n].input_frame!r}")
+    base = ratio_scores(frames["sector"], [n for n in names if REGISTRY[n].expr])
+    computed = [n for n in names if REGISTRY[n].compute]
+    if not computed:
+        return base
+    made = [REGISTRY[n].compute(frames).select("stock_id", "date", F.lit(n).alias("_factor"), F.col(f"`{n}`").alias("_value")).where("_value is not null") for n in computed]
+    stacked = reduce(DataFrame.unionByName, made)
+    wide = stacked.groupBy("stock_id", "date").agg(*[F.max(F.when(F.col("_factor") == n, F.col("_value"))).alias(n) for n in computed])
+    return base.join(wide, ["stock_id", "date"], "left")
 
 
 def metadata(spark: SparkSession) -> DataFrame:

@@ -37,6 +37,18 @@ def to_usd(panel: DataFrame, fx: DataFrame, on: list[str]) -> DataFrame:
     return panel.join(fx, on, "left").withColumn("mcap_usd", F.col("mcap_local") * F.col("fx_to_usd"))
 
 
+def extend(fundamentals: DataFrame, extended: DataFrame) -> DataFrame:
+    """Fundamentals with the further items reported for the same security and date, where there are any."""
+    return fundamentals.join(extended, ["stock_id", "date_fundamental"], "left")
+
+
+def full_panel(prices: DataFrame, securities: DataFrame, fx: DataFrame, rates: DataFrame, fundamentals: DataFrame) -> DataFrame:
+    """Everything known of every row, unfiltered: references, dollars, excess returns, and the latest known fundamentals."""
+    rows = prices.join(F.broadcast(securities), "stock_id", "left")  # one row for each security: tens of thousands
+    rows = excess_return(to_usd(rows, fx, ["country_code"]), rates)
+    return asof_join(rows, fundamentals, "stock_id", "date", "observation_date")
+
+
 def sector_panel(panel: DataFrame, fundamentals: DataFrame) -> DataFrame:
     """Tradeable rows first, then the latest known fundamentals of each."""
     return asof_join(panel.where("tradeable"), fundamentals, "stock_id", "date", "observation_date")

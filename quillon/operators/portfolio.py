@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite
 from quillon.operators.regress import coefficients, moments
-from quillon.operators.windows import ema, james_stein, walk_forward
+from quillon.operators.windows import ema, james_stein, trailing_periods, walk_forward
+from quillon.sources.shared import materialize
 
 
 def systematic_return(premium: Column, z: Column) -> Column:
@@ -68,13 +68,14 @@ def factor_returns(panel: DataFrame, y: str, factors: list[str], least: int) ->
 
 
 def shrunk_covariance(returns: DataFrame, factors: list[str], window: int = 60) -> DataFrame:
-    """Covariances of factor returns over the trailing ``window`` rows, correlations shrunk to the identity (Ledoit-Wolf), variances kept.
+    """Covariances of factor returns over the trailing ``window`` period numbers, correlations shrunk to the identity (Ledoit-Wolf), variances kept.
 
     ``returns`` is wide: t, one column per factor, without nulls. With standardised Z, S = Z'Z/T and m = tr(S)/K:
     d2 = |S - mI|^2, b2 = (sum_t |z_t|^4 / T - |S|^2) / T, and off-diagonals scale by 1 - min(b2, d2)/d2.
+    Each row is handed to the ``window`` periods that see it, so they meet by an equal key.
     """
     at = returns.select(F.col("t").alias("at"))
-    seen = at.join(returns, (F.col("t") <= F.col("at")) & (F.col("t") > F.col("at") - window))
+    seen = returns.withColumn("at", F.explode(F.sequence(F.col("t"), F.col("t") + window - 1))).join(at, "at", "left_semi")
     w = W.partitionBy("at")
     z = seen.withColumns({f"z_{f}": F.try_divide(F.col(f) - F.avg(f).over(w), F.when(F.stddev_pop(f).over(w) > 0, F.stddev_pop(f).over(w))) for f in factors})
     norm = sum((F.coalesce(F.col(f"z_{f}"), F.lit(0.0)) ** 2 for f in factors), F.lit(0.0))
@@ -94,7 +95,7 @@ def shrunk_covariance(returns: DataFrame, factors: list[str], window: int = 60)
 
 def idio_variance(resid: DataFrame, window: int, least: int) -> DataFrame:
     """Residual variance of each security over the trailing ``window`` period numbers ``t``; null below ``least``."""
-    w = W.partitionBy("stock_id").orderBy("t").rangeBetween(1 - window, 0)
+    w = trailing_periods(window, ["stock_id"])
     return resid.select("stock_id", "t", F.when(F.count("resid").over(w) >= least, F.var_samp("resid").over(w)).alias("idio"), F.count("resid").over(w).alias("n"))
 
 
@@ -119,6 +120,17 @@ def smooth_risk(df: DataFrame, value: str, keys: list[str], keep: float, scale:
     return ema(df.withColumn(value, F.col(value) * scale), value, keys, keep)
 
 
+def risk_panel(covariance: DataFrame, idio: DataFrame, keep: float, scale: float = 1.0) -> DataFrame:
+    """Factor covariances (t, a, b, cov) and own variances (t, stock_id, v) as one long table, each cell smoothed over its own past.
+
+    ``kind`` is "factor" or "idio"; cells go by names, so a factor or security that comes or goes moves no other.
+    """
+    cells = covariance.select(F.lit("factor").alias("kind"), "a", "b", "t", F.col("cov").alias("v"))
+    key = F.col("stock_id").cast("string")
+    long = cells.unionByName(idio.select(F.lit("idio").alias("kind"), key.alias("a"), key.alias("b"), "t", "v"))
+    return smooth_risk(long, "v", ["kind", "a", "b"], keep, scale).select("kind", "a", "b", "t", F.col("ema").alias("value"))
+
+
 def portfolio_risk(weights: DataFrame, exposures: DataFrame, covariance: DataFrame, idio: DataFrame, factors: list[str]) -> DataFrame:
     """b'Fb + sum of D w^2 per strategy and period, with b the weighted exposures. ``covariance`` has pairs a <= b once."""
     keys = ["strategy_id", "t"]
@@ -132,12 +144,18 @@ def portfolio_risk(weights: DataFrame, exposures: DataFrame, covariance: DataFra
 
 
 def free_float_cap(df: DataFrame, group: str) -> DataFrame:
-    """Market cap times free float. Percent scales are told by a median over 1; shares are held within 0 and 1; nulls take the group's median, else 1."""
+    """Market cap times free float. Percent scales are told by a median over 1; shares are held within 0 and 1; nulls take the group's median, else 1.
+
+    Medians are grouped and joined back: no window holds a whole group of a large panel.
+    """
     scale = df.agg(F.when(F.median("free_float_percentage") > 1, 100.0).otherwise(1.0).alias("_scale"))  # one row
     rows = df.crossJoin(F.broadcast(scale)).withColumn("_share", F.least(F.greatest(F.try_divide("free_float_percentage", "_scale"), F.lit(0.0)), F.lit(1.0)))
     rows = rows.withColumn("_share", F.when(F.col("free_float_percentage").isNotNull(), F.col("_share")))
-    share = F.coalesce("_share", F.median("_share").over(W.partitionBy(group)), F.lit(1.0))
-    return rows.withColumn("free_float_mcap", F.col("mcap_usd") * share).drop("_scale", "_share")
+    # Shares repeat often: medians come from counts by value, so no task sees a group's rows.
+    typical = rows.groupBy(group, "_share").agg(F.count("*").alias("_n")).groupBy(F.col(group).alias("_g")).agg(F.percentile("_share", 0.5, F.col("_n")).alias("_median"))
+    share = F.coalesce("_share", "_median", F.lit(1.0))
+    joined = rows.join(F.broadcast(typical), F.col(group).eqNullSafe(F.col("_g")), "left")  # one row for each group
+    return joined.withColumn("free_float_mcap", F.col("mcap_usd") * share).drop("_scale", "_share", "_g", "_median")
 
 
 def cost_coefficient(mcap: Column) -> Column:
@@ -152,60 +170,65 @@ def turnover_cost(trades: DataFrame, by: list[str]) -> DataFrame:
     return trades.groupBy(*by).agg(F.sum(step).alias("turnover"), F.sum(step * F.col("cost")).alias("tc"))
 
 
-def build_weights(df: DataFrame, risk_aversion: Column | float, cap: Column | float, gross: Column | float) -> DataFrame:
+def build_weights(df: DataFrame, risk_aversion: Column | float, cap: Column | float, gross: Column | float, net: Column | bool = True) -> DataFrame:
     """Separable optimum per name: no trade within costs of the marginal return, else the step to it; then the name cap, a
-    zero net position, and gross scaling per strategy and period.
+    zero net position (unless ``net`` is false), and gross scaling per strategy and period.
 
     ``df``: strategy_id, period, stock_id, mu, d (variance), c (cost), w0.
     """
-    lam = risk_aversion if isinstance(risk_aversion, Column) else F.lit(float(risk_aversion))
+    lam, limit, target = (x if isinstance(x, Column) else F.lit(float(x)) for x in (risk_aversion, cap, gross))
     pull = F.col("mu") - lam * F.col("d") * F.col("w0")
     soft = F.signum(pull) * F.greatest(F.abs(pull) - F.col("c"), F.lit(0.0))
     step = F.coalesce(F.try_divide(soft, lam * F.col("d")), F.lit(0.0))
-    limit = cap if isinstance(cap, Column) else F.lit(float(cap))
     rows = df.withColumn("_w", F.least(F.greatest(F.col("w0") + step, -limit), limit))
     book = W.partitionBy("strategy_id", "period")
-    rows = rows.withColumn("_w", F.col("_w") - F.avg("_w").over(book))
+    rows = rows.withColumn("_w", F.col("_w") - F.when(net if isinstance(net, Column) else F.lit(net), F.avg("_w").over(book)).otherwise(0.0))
     total = F.sum(F.abs("_w")).over(book)
-    target = gross if isinstance(gross, Column) else F.lit(float(gross))
     return rows.withColumn("w", F.col("_w") * F.when(total > target, target / total).otherwise(1.0)).drop("_w")
 
 
-ACCOUNT = "strategy_id string, period date, gross double, turnover double, tc double, net double, leverage double, net_exposure double, n_long long, n_short long"
-
-
-def account(books: DataFrame, reset: float = 1e-3) -> DataFrame:
+def account(books: DataFrame, reset: float = 1e-3, tolerance: float = 1e-10) -> DataFrame:
     """Books over time: gross return, turnover against drifted weights, costs, net return, exposures.
 
     ``books``: strategy_id, period, stock_id, w, r (null: 0), c, voluntary (an exit by choice, which costs).
-    Weights drift by (1 + r) / (1 + net); at 1 + net <= ``reset`` the book starts anew. Strategies
-    are independent, so the recursion runs by strategy and scales over them.
+    Weights drift by (1 + r) / (1 + net); at 1 + net <= ``reset`` the book starts anew. All periods are done at once:
+    each row meets its security's row of the strategy's period before, and the one thing that runs through time, the
+    net return in the drift, comes from sweeps. A sweep scales an error by costs times turnover (some 1e-3), so a few
+    meet ``tolerance``; whatever the costs, each sweep settles one more period, so there are as many as periods at most.
+    """
+    keys = ["strategy_id", "t"]
+    periods = books.select("strategy_id", "period").distinct().withColumn("t", F.row_number().over(W.partitionBy("strategy_id").orderBy("period")))
+    rows = books.join(periods, ["strategy_id", "period"]).select(*keys, "stock_id", "w", F.coalesce("r", F.lit(0.0)).alias("r"), "c", "voluntary")
+    last = periods.groupBy("strategy_id").agg(F.max("t").alias("_last"))
+    held = rows.join(last, "strategy_id").where("t < _last").select("strategy_id", (F.col("t") + 1).alias("t"), "stock_id", (F.col("w") * (1 + F.col("r"))).alias("h"))
+    both = rows.join(held, [*keys, "stock_id"], "full")
+    zero = F.lit(0.0)
+    w, pays = F.coalesce("w", zero), F.coalesce("voluntary", F.lit(False)) | (F.coalesce("w", zero) != 0)
+    pairs = materialize(both.select(*keys, w.alias("w"), F.coalesce("h", zero).alias("h"), F.coalesce("r", zero).alias("r"), F.when(pays, F.coalesce("c", zero)).otherwise(0.0).alias("c")), "book-pairs")
+    fixed = pairs.groupBy(*keys).agg(
+        F.sum(F.col("w") * F.col("r")).alias("gross"), F.sum(F.abs("w")).alias("leverage"), F.sum("w").alias("net_exposure"),
+        F.sum((F.col("w") > 0).cast("long")).alias("n_long"), F.sum((F.col("w") < 0).cast("long")).alias("n_short"),
+    )
+    totals = materialize(fixed, "book-totals")  # one row for each strategy and period
+    known = totals.select(*keys, F.col("gross").alias("net"))
+    moved = tolerance + 1
+    while moved > tolerance:
+        before = known.select("strategy_id", (F.col("t") + 1).alias("t"), F.when(1 + F.col("net") > reset, 1 / (1 + F.col("net"))).otherwise(0.0).alias("k"))
+        step = F.abs(F.col("w") - F.col("h") * F.coalesce("k", zero))
+        traded = pairs.join(before, keys, "left").groupBy(*keys).agg(F.sum(step).alias("turnover"), F.sum(step * F.col("c")).alias("tc"))
+        now = totals.join(traded, keys).join(known.select(*keys, F.col("net").alias("_old")), keys)
+        known = materialize(now.withColumn("net", F.col("gross") - F.col("tc")).withColumn("_moved", F.abs(F.col("net") - F.col("_old"))), "book-sweep")
+        moved = known.agg(F.max("_moved")).first()[0] or 0.0
+    return known.join(periods, keys).select("strategy_id", "period", "gross", "turnover", "tc", "net", "leverage", "net_exposure", "n_long", "n_short")
+
+
+def knob_grid(spark, knobs: dict[str, list[float]], mode: str = "full") -> DataFrame:
+    """Settings of a sweep, with an id: every combination (``full``), each knob moved by itself from the first values
+    (``one_at_a_time``, these included), or the first values alone (``baseline``). Products of short lists, not of data.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pd.Series(dtype=float)
-        rows = []
-        for period, g in pdf.sort_values(["period", "stock_id"]).groupby("period"):
-            g = g.set_index("stock_id")
-            before = held.reindex(g.index.union(held.index)).fillna(0.0)
-            after = g["w"].reindex(before.index).fillna(0.0)
-            cost = g["c"].reindex(before.index).fillna(0.0)
-            pays = g["voluntary"].reindex(before.index, fill_value=False).astype(bool) | (after != 0)
-            step = (after - before).abs()
-            r = g["r"].reindex(before.index).fillna(0.0)
-            gross, tc = float((after * r).sum()), float((step * cost * pays).sum())
-            net = gross - tc
-            rows.append((pdf["strategy_id"].iloc[0], period, gross, float(step.sum()), tc, net, float(after.abs().sum()), float(after.sum()), int((after > 0).sum()), int((after < 0).sum())))
-            held = after * (1 + r) / (1 + net) if 1 + net > reset else pd.Series(dtype=float)
-            held = held[held != 0]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in ACCOUNT.split(", ")])
-
-    return books.groupBy("strategy_id").applyInPandas(run, ACCOUNT)
-
-
-def knob_grid(spark, knobs: dict[str, list[float]]) -> DataFrame:
-    """Every combination of a few settings, with an id. The product of short lists, not of data."""
     grid = spark.range(1)
     for name, values in knobs.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    moved = sum((F.when(F.col(k) != float(v[0]), 1).otherwise(0) for k, v in knobs.items()), F.lit(0))
+    grid = grid.where(moved <= {"full": len(knobs), "one_at_a_time": 1, "baseline": 0}[mode])
     return grid.select(F.concat_ws("|", *[F.format_string(f"{k}=%.4f", k) for k in knobs]).alias("strategy_id"), *knobs)

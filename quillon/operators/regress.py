@@ -50,6 +50,18 @@ def coefficients(moment_rows: DataFrame, keys: list[str], names: list[str], leas
     return solved.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ["const", *names]})
 
 
+#: What names a row of a loadings frame; all else is a regressor.
+ID_COLUMNS = ("stock_id", "date", "period", "industry", "sub_universe")
+
+
+def design_columns(loadings: DataFrame, ids: tuple[str, ...] = ID_COLUMNS) -> list[str]:
+    """The regressors of a loadings frame: every column that does not name its rows. None at all is an error."""
+    names = [c for c in loadings.columns if c not in ids]
+    if not names:
+        raise ValueError("the loadings have no regressor")
+    return names
+
+
 def residuals(df: DataFrame, keys: list[str], ys: list[str], xs: list[str]) -> DataFrame:
     """Each of ``ys`` less its fit on ``xs`` within its group; a null target or regressor leaves a null."""
     out = df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.regress import coefficients, moments
 from quillon.operators.windows import average_rank, quantile_bucket
+from quillon.sources.shared import materialize, shared_dir
 
 
 def correlation(a: str, b: str) -> Column:
@@ -74,7 +75,7 @@ def newey_west(series: DataFrame, by: list[str], value: str = "coef") -> DataFra
     return total.select(*by, "mean_coef", se.alias("nw_se"), F.try_divide("mean_coef", F.when(se > 0, se)).alias("t_stat"), "n_periods")
 
 
-def average_correlation(scores: DataFrame, factors: list[str], threshold: float, cutoffs: DataFrame | None = None) -> DataFrame:
+def average_correlation(scores: DataFrame, factors: list[str], threshold: float, cutoffs: DataFrame | None = None, train: int | None = None) -> DataFrame:
     """Pairwise correlation per period, averaged over time; the pairs come from factor names, the sums from one pass.
 
     With ``cutoffs``, once for each ``cutoff``, over the periods up to it.
@@ -91,36 +92,79 @@ def average_correlation(scores: DataFrame, factors: list[str], threshold: float,
     long = wide.unpivot(["period"], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
     by = []
     if cutoffs is not None:
-        long, by = long.join(F.broadcast(cutoffs), F.col("period") <= F.col("cutoff")), ["cutoff"]
+        long, by = long.join(F.broadcast(cutoffs), in_sight(0, train)), ["cutoff"]
     out = long.groupBy(*by, F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b")).agg(F.avg("corr").alias("avg_corr"))
     return out.withColumn("redundant", F.coalesce(F.abs("avg_corr") > threshold, F.lit(False)))
 
 
-def clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components: every node takes the smallest label around it until none changes.
 
-    ``nodes`` has ``node``; ``edges`` has ``a`` and ``b``. Each round is a join and a grouped minimum, and is
-    checkpointed if a checkpoint folder is set.
+    ``nodes`` has ``node``; ``edges`` has ``a`` and ``b``. Each round is a join and a grouped minimum, checkpointed in the
+    shared folder; a label also jumps to the label of its label, so a chain takes the logarithm of its length.
+    Components that have not settled after ``rounds`` are an error.
     """
+    shared_dir(nodes.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = nodes.select("node", F.col("node").alias("cluster"))
-    keep = nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("cluster").alias("low"))
         new = labels.join(near, labels.node == near.a, "left").select("node", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"), F.col("cluster").alias("old"))
-        new = new.checkpoint() if keep else new.cache()
-        moved = new.where("cluster <> old").limit(1).count()
+        far = new.select(F.col("node").alias("via"), F.col("cluster").alias("jump"))
+        new = new.join(far, F.col("cluster") == F.col("via"), "left").select("node", F.least("cluster", F.coalesce("jump", "cluster")).alias("cluster"), "old").checkpoint()
         labels = new.select("node", "cluster")
-        if not moved:
-            break
-    return labels
+        if not new.where("cluster <> old").limit(1).count():
+            return labels
+    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+
+
+def clusters_within(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """Clusters of many small graphs at once, one for each ``by``: a graph has a node for each registered factor at most.
+
+    ``nodes`` has ``by`` and ``factor``; ``edges`` has ``by``, ``a`` and ``b``, of which those between other nodes are left out.
+    """
+    kind = nodes.schema[by].dataType.simpleString()
+    graph = nodes.select(by, F.col("factor").alias("a"), F.col("factor").alias("b")).unionByName(edges.select(by, "a", "b"))
 
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = {x: x for x in pdf.loc[pdf["a"] == pdf["b"], "a"]}
+        pairs = [(x, y) for x, y in zip(pdf["a"], pdf["b"], strict=True) if x in low and y in low and x != y]
+        for _ in low:
+            for x, y in pairs:
+                low[x] = low[y] = min(low[x], low[y])
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(low), "factor": list(low), "cluster": list(low.values())}, dtype=object)
 
-def representatives(members: DataFrame, has: str, strength: str) -> DataFrame:
+    return graph.groupBy(by).applyInPandas(label, f"{by} {kind}, factor string, cluster string")
+
+
+def representatives(members: DataFrame, has: str, strength: str, by: tuple[str, ...] = ()) -> DataFrame:
     """The strongest factor of each cluster; one with a statistic beats one without, then the smaller name wins."""
     order = F.struct(F.col(has), F.abs(strength))
-    best = members.groupBy("cluster").agg(F.max(order).alias("_best"))
-    return members.join(best, "cluster").where(order.eqNullSafe(F.col("_best"))).groupBy("cluster").agg(F.min("factor").alias("factor"))
+    keys = [*by, "cluster"]
+    best = members.groupBy(*keys).agg(F.max(order).alias("_best"))
+    return members.join(best, keys).where(order.eqNullSafe(F.col("_best"))).groupBy(*keys).agg(F.min("factor").alias("factor"))
+
+
+def best_ir(members: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Representatives by the largest information ratio, whatever its sign."""
+    return representatives(members.withColumn("_has", F.col("ir").isNotNull()), "_has", "ir", by)
+
+
+def scorecard_order(card: DataFrame) -> DataFrame:
+    """Numbers the rows of a scorecard: by cutoff, selected first, then by size of IR and of t, nulls last, then by name."""
+    order = [F.col("selected").desc_nulls_last(), F.abs("ir_lag1").desc_nulls_last(), F.abs("fm_t").desc_nulls_last(), F.col("factor")]
+    return card.withColumn("place", F.row_number().over(W.partitionBy("cutoff").orderBy(*order)).cast("long"))
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the first by ``order``."""
+    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def reproducible_pick(df: DataFrame, keys: list[str], seed: str, n: int = 1) -> DataFrame:
+    """``n`` distinct keys picked at random, the same on every run and however rows are partitioned: those of the smallest seeded digests."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    return df.select(*keys).distinct().orderBy(digest, *keys).limit(n)
 
 
 def best_rows(df: DataFrame, key: str, strength: str) -> DataFrame:
@@ -200,65 +244,68 @@ def lasso_select(panel: DataFrame, y: str, factors: list[str], universe: str = "
     return sums.groupBy(universe).applyInPandas(fit, f"{universe} string, factor string, coef double, selected boolean")
 
 
-def statistics_by_cutoff(series: DataFrame, cutoffs: DataFrame, by: list[str], value: str, train: int | None = None) -> DataFrame:
-    """Statistics of what each cutoff may see: periods up to it, ``train`` months back at most; all cutoffs in one join."""
-    seen = F.col("period") <= F.col("cutoff")
-    if train is not None:
-        seen = seen & (F.col("period") > F.add_months("cutoff", -train))
-    rows = series.join(F.broadcast(cutoffs), seen)  # a few dozen cutoffs
+def in_sight(horizon: int = 0, train: int | None = None) -> Column:
+    """Whether a cutoff may use a period: what it predicts, ``horizon`` months ahead, is known; at most ``train`` months back."""
+    seen = F.add_months("period", horizon) <= F.col("cutoff") if horizon else F.col("period") <= F.col("cutoff")
+    return seen if train is None else seen & (F.col("period") > F.add_months("cutoff", -train))
+
+
+def statistics_by_cutoff(series: DataFrame, cutoffs: DataFrame, by: list[str], value: str, train: int | None = None, horizon: int = 0) -> DataFrame:
+    """Statistics of what each cutoff may see, all cutoffs in one join."""
+    rows = series.join(F.broadcast(cutoffs), in_sight(horizon, train))  # a few dozen cutoffs
     sd = F.stddev_samp(value)
     return rows.groupBy("cutoff", *by).agg(F.avg(value).alias("mean"), F.try_divide(F.avg(value), F.when(sd > 0, sd)).alias("ir"), F.count(value).alias("n"))
 
 
-def lasso_by_cutoff(panel: DataFrame, y: str, factors: list[str], chosen: DataFrame, horizon: int, universe: str = "sub_universe", tiny: float = 1e-5) -> DataFrame:
+def lasso_by_cutoff(panel: DataFrame, y: str, factors: list[str], chosen: DataFrame, horizon: int, train: int | None = None, universe: str = "sub_universe", tiny: float = 1e-5) -> DataFrame:
     """``cutoff``, ``factor`` of the lasso's survivors in any sub-universe, fitted on each cutoff's ``chosen`` (cutoff, factor) alone.
 
     Moments are added up per period, once for each set of factors that some cutoff chose: a row counts if those are
-    known. A cutoff takes the periods whose return, ``horizon`` months ahead, it has seen.
+    known. A cutoff takes the periods in its sight.
     """
-    sets = chosen.groupBy("cutoff").agg(F.array_join(F.array_sort(F.collect_set("factor")), "|").alias("set")).cache()
-    rows = panel.crossJoin(F.broadcast(sets.select("set").distinct()))
+    sets = materialize(chosen.groupBy("cutoff").agg(F.array_join(F.array_sort(F.collect_set("factor")), "|").alias("set")), "lasso-sets")
+    rows = panel.crossJoin(F.broadcast(sets.select("set").distinct()))  # one row for each cutoff at most
     inside = lambda x: F.array_contains(F.split("set", r"\|"), x)
     sums = moments(rows, ["set", universe, "period"], F.col(y), [F.when(inside(x), F.col(x)).otherwise(0.0) for x in factors]).where("n > 0")
-    seen = sums.join(F.broadcast(sets), "set").where(F.add_months("period", horizon) <= F.col("cutoff"))
+    seen = sums.join(F.broadcast(sets), "set").where(in_sight(horizon, train))
     k = len(factors) + 1
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period")
         xx = np.stack(pdf["xx"].map(np.asarray)).astype(float).reshape(-1, k, k)
         w = lasso_from_moments(pdf["n"].to_numpy(float), xx, np.stack(pdf["xy"].map(np.asarray)).astype(float), pdf["yy"].to_numpy(float))
-        return pd.DataFrame({"cutoff": pdf["cutoff"].iloc[0], "factor": [f for f, c in zip(factors, w, strict=True) if abs(c) > tiny]})
+        return pd.DataFrame({"cutoff": [pdf["cutoff"].iloc[0]] * len(w), "factor": list(factors), "coef": w})
 
-    return seen.groupBy("cutoff", universe).applyInPandas(fit, "cutoff date, factor string").distinct()
+    return seen.groupBy("cutoff", universe).applyInPandas(fit, "cutoff date, factor string, coef double").where(F.abs("coef") > tiny).select("cutoff", "factor").distinct()
 
 
-def select_factors(ic: DataFrame, coefs: DataFrame, cutoffs: DataFrame, correlations: DataFrame, min_ir: float, min_t: float, panel: DataFrame | None = None, y: str = "fwd1", style: list[str] | None = None, horizon: int = 3) -> DataFrame:
+def select_factors(ic: DataFrame, coefs: DataFrame, cutoffs: DataFrame, correlations: DataFrame, min_ir: float, min_t: float, panel: DataFrame | None = None, y: str = "fwd1", style: list[str] | None = None, horizon: int = 3, train: int | None = None) -> DataFrame:
     """Scorecard by cutoff: gates on information ratio or t, clusters of those that pass, then the lasso over style representatives.
 
+    A cutoff sees periods whose return, ``horizon`` months ahead, is known by then, ``train`` months back at most.
     ``correlations`` has (cutoff, a, b) of redundant pairs, from data up to that cutoff. A cluster is represented by its
     largest mean coefficient; one without a coefficient goes by its information ratio. ``panel`` has the ``style`` factors, ``y`` and
     ``sub_universe``; representatives that are not style factors bypass the lasso, and all do without a panel.
-    ``cluster`` and ``lasso`` are null for factors that did not come so far.
+    ``cluster`` and ``lasso`` are null for factors that did not come so far. Each step's table, a few rows for each
+    cutoff, is written once.
     """
-    ir = statistics_by_cutoff(ic.where("lag = 1"), cutoffs, ["factor"], "ic").select("cutoff", "factor", F.col("ir").alias("ir_lag1"))
-    seen = coefs.join(F.broadcast(cutoffs), F.col("period") <= F.col("cutoff"))
+    ir = statistics_by_cutoff(ic.where("lag = 1"), cutoffs, ["factor"], "ic", train, horizon).select("cutoff", "factor", F.col("ir").alias("ir_lag1"))
+    seen = coefs.join(F.broadcast(cutoffs), in_sight(horizon, train))
     t = newey_west(seen, ["cutoff", "factor"]).select("cutoff", "factor", F.col("t_stat").alias("fm_t"), F.col("mean_coef").alias("fm_coef"))
     card = ir.join(t, ["cutoff", "factor"], "full")
-    # A few rows a cutoff, used by each step.
-    card = card.withColumn("passed", F.coalesce(F.abs("ir_lag1") >= min_ir, F.lit(False)) | F.coalesce(F.abs("fm_t") >= min_t, F.lit(False))).cache()
-    node = lambda x: F.concat_ws("|", F.col("cutoff").cast("string"), x)
-    passed = card.where("passed").withColumn("node", node("factor"))
-    edges = correlations.select(node("a").alias("a"), node("b").alias("b"))
-    edges = edges.join(passed.select(F.col("node").alias("a")), "a", "left_semi").join(passed.select(F.col("node").alias("b")), "b", "left_semi").cache()
-    members = passed.join(clusters(passed.select("node"), edges), "node").withColumn("has", F.col("fm_coef").isNotNull()).withColumn("strength", F.coalesce("fm_coef", "ir_lag1")).cache()
-    best = representatives(members, "has", "strength").withColumn("representative", F.lit(True))
-    steps = members.join(best, ["cluster", "factor"], "left").select("cutoff", "factor", F.substring_index("cluster", "|", -1).alias("cluster"), "representative")
+    card = materialize(card.withColumn("passed", F.coalesce(F.abs("ir_lag1") >= min_ir, F.lit(False)) | F.coalesce(F.abs("fm_t") >= min_t, F.lit(False))), "selection-gates")
+    passed = card.where("passed")
+    labels = clusters_within(passed.select("cutoff", "factor"), correlations.select("cutoff", "a", "b"), "cutoff")
+    members = passed.join(labels, ["cutoff", "factor"]).withColumn("has", F.col("fm_coef").isNotNull()).withColumn("strength", F.coalesce("fm_coef", "ir_lag1"))
+    members = materialize(members, "selection-clusters")
+    best = representatives(members, "has", "strength", ("cutoff",)).select("cutoff", "factor", F.lit(True).alias("representative"))
+    steps = members.select("cutoff", "factor", "cluster").join(best, ["cutoff", "factor"], "left")
     card = card.join(steps, ["cutoff", "factor"], "left").withColumn("representative", F.coalesce("representative", F.lit(False)))
     if panel is None:
         return card.withColumn("lasso", F.lit(None).cast("boolean")).withColumn("selected", F.col("representative"))
-    card = card.cache()
+    card = materialize(card, "selection-card")
     entered = F.col("representative") & F.col("factor").isin(style)
-    survivors = lasso_by_cutoff(panel, y, style, card.where(entered).select("cutoff", "factor"), horizon).withColumn("_kept", F.lit(True))
+    survivors = lasso_by_cutoff(panel, y, style, card.where(entered).select("cutoff", "factor"), horizon, train).withColumn("_kept", F.lit(True))
     card = card.join(survivors, ["cutoff", "factor"], "left").withColumn("lasso", F.when(entered, F.coalesce("_kept", F.lit(False)))).drop("_kept")
     return card.withColumn("selected", F.col("representative") & F.coalesce("lasso", F.lit(True)))
 

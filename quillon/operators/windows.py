@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,6 +73,22 @@ def forward(periodic: DataFrame, column: str, lags: tuple[int, ...] = (1,)) -> D
     return periodic.withColumns({f"fwd{k}": F.lead(column, k).over(order) for k in lags})
 
 
+def forward_returns(frame: DataFrame, column: str, kind: str, events: DataFrame | None, lags: tuple[int, ...] = (1,), months: int = 3) -> DataFrame:
+    """Forward returns from either kind of input: ``daily`` rows are trimmed, winsorized, compounded and settled first; ``periodic`` ones are shifted as they are.
+
+    ``events`` must be named for daily rows (pass an empty frame for none): a return without its exits is not a return.
+    """
+    from quillon.operators.resample import periodic_returns
+
+    if kind == "periodic":
+        return forward(frame, column, lags)
+    if kind != "daily":
+        raise ValueError(f"unknown kind of returns {kind!r}: daily or periodic")
+    if events is None:
+        raise ValueError("daily returns need the table of exits")
+    return forward(periodic_returns(frame, events, months), column, lags)
+
+
 def rolling_vol(panel: DataFrame, column: str, rows: int = 756, least: int = 252) -> DataFrame:
     w = _stock(rows, "date")
     return panel.withColumn("vol", F.when(F.count(column).over(w) >= least, F.stddev_samp(column).over(w)))
@@ -148,15 +166,20 @@ def average_rank(df: DataFrame, column: str, by: list[str], out: str) -> DataFra
 
 
 def ema(df: DataFrame, column: str, keys: list[str], keep: float) -> DataFrame:
-    """keep * previous + (1 - keep) * new, seeded by the first value; restarts after a missing period number ``t``."""
-    order = W.partitionBy(*keys).orderBy("t")
-    rows = df.withColumn("_run", F.col("t") - F.row_number().over(order))
-    path = F.collect_list(column).over(W.partitionBy(*keys, "_run").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
-    fold = F.aggregate(F.slice(path, 2, F.size(path)), F.element_at(path, 1), lambda a, x: keep * a + (1 - keep) * x)
-    return rows.withColumn("ema", fold).drop("_run")
+    """keep * previous + (1 - keep) * new, seeded by the first value; restarts after a missing period number ``t``.
+
+    A null value counts as a missing period: its own result is null, and the next value starts anew. A row folds the
+    values before it only as far back as their weight exceeds 1e-18, so frames are bounded however long a run is.
+    """
+    reach = 1 if keep <= 0 else max(1, math.ceil(math.log(1e-18) / math.log(keep)))
+    order = W.partitionBy(*keys, "_known").orderBy("t")
+    rows = df.withColumn("_known", F.col(column).isNotNull()).withColumn("_run", F.col("t") - F.row_number().over(order))
+    path = F.collect_list(column).over(W.partitionBy(*keys, "_known", "_run").orderBy("t").rowsBetween(-reach, 0))
+    fold = F.aggregate(F.slice(path, 2, F.size(path)), F.try_element_at(path, F.lit(1)), lambda a, x: keep * a + (1 - keep) * x)
+    return rows.withColumn("ema", F.when(F.col("_known"), fold)).drop("_run", "_known")
 
 
-def trailing_periods(df: DataFrame, n: int, by: list[str], t: str = "t"):
+def trailing_periods(n: int, by: list[str], t: str = "t"):
     """A frame of the last ``n`` distinct period numbers."""
     return W.partitionBy(*by).orderBy(t).rangeBetween(1 - n, 0)
 

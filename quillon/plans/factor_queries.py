@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import in_universe, period_key, row_mean
-from quillon.operators import curves, factors
+from quillon.operators import computed, curves, factors
 from quillon.operators import joins as j
 from quillon.operators import resample as r
 from quillon.operators import windows as w
@@ -15,6 +15,7 @@ from quillon.plans.oracle import define
 from quillon.plans.panel_queries import cleaned, market_daily, monthly, periodic, sector
 from quillon.plans.registry import query
 from quillon.sources import surrogate as s
+from quillon.sources.shared import artifact
 
 RATIOS = {
     "E/P": ("earnings_ltm", "mcap_local", None), "DY": ("dividend_ltm", "mcap_local", None), "TBV/P": ("book_value - goodwill", "mcap_local", "bank"),
@@ -51,6 +52,10 @@ NAMES = "ep dy size nim fiy"
 
 
 def scores(spark, d) -> DataFrame:
+    return artifact(spark, d, "scores", lambda: make_scores(spark, d))
+
+
+def make_scores(spark, d) -> DataFrame:
     rows = sector(spark, d)
     rows = j.downsample(rows, r.rebalance_grid(rows))
     wide = factors.ratio_scores(rows, ["E/P", "DY", "ln(MCap)", "NIM", "FIY"]).toDF("stock_id", "date", "industry", "ep", "dy", "size", "nim", "fiy")
@@ -63,7 +68,7 @@ def masks() -> dict:
 
 
 def zscores(spark, d) -> DataFrame:
-    return w.regularize(scores(spark, d), masks())
+    return artifact(spark, d, "zscores", lambda: w.regularize(scores(spark, d), masks()))
 
 
 @query(f"SELECT stock_id, date, industry, {_RATIO_SQL}, ln(CASE WHEN mcap_usd > 0 THEN mcap_usd END) AS \"ln(MCap)\", CASE WHEN starts_with(industry, 'bank') THEN tier1_capital_ratio END AS \"T1CR\", CASE WHEN starts_with(industry, 'bank') THEN net_interest_margin END AS \"NIM\" FROM sector_grid")
@@ -91,7 +96,7 @@ def w3_fill_median(spark, d):
 
 @query(_Z, NAMES)
 def w5_regularize(spark, d):
-    return zscores(spark, d)
+    return w.regularize(scores(spark, d), masks())
 
 
 @query("SELECT stock_id, period, beta - median(beta) OVER (PARTITION BY date_trunc('month', date), industry) AS beta FROM mktbeta", "beta")
@@ -154,13 +159,7 @@ def _two_sql(src: str, y: str, rows: int, least: int, keep: str) -> str:
 
 
 def rates_quarterly(spark, d) -> DataFrame:
-    curve = curves.simple_curve(s.zero_curve(spark, d)).withColumnRenamed("date", "month")
-    rows = sector(spark, d).withColumn("month", F.trunc("date", "MM")).withColumn("currency", F.col("country_code") % 5).join(curve, ["month", "currency"], "left")
-    fiy = F.try_divide("investment_income", "insurance_reserves")
-    return rows.groupBy("stock_id", period_key(F.col("date"), 3).alias("period")).agg(
-        F.max("date").alias("date_"), F.max_by("net_interest_margin", "date").alias("nim"), F.max_by(fiy, F.col("date")).alias("fiy"),
-        F.avg("level").alias("level"), F.avg("slope").alias("slope"), F.max_by("industry", "date").alias("industry"),
-    ).withColumnRenamed("date_", "date")
+    return computed.quarterly_rates(sector(spark, d), s.zero_curve(spark, d))
 
 
 @query("SELECT stock_id, period, date, nim, fiy, level, slope FROM rates_quarterly", "nim fiy level slope", 8)
@@ -170,15 +169,13 @@ def a8_quarterly_metric(spark, d):
 
 @query(_two_sql("rates_diff", "d_nim", 12, 6, "stock_id, period"), "beta_d_level beta_d_slope", 4)
 def w14_nim_rate_betas(spark, d):
-    rows = w.difference(rates_quarterly(spark, d), ["nim", "level", "slope"])
-    return w.rolling_two(rows, "d_nim", "d_level", "d_slope", 12, 6).select("stock_id", "period", "beta_d_level", "beta_d_slope")
+    return computed.metric_rate_betas(rates_quarterly(spark, d), "nim").select("stock_id", "period", "beta_d_level", "beta_d_slope")
 
 
 @query(f"SELECT stock_id, period, CASE WHEN starts_with(industry, 'insurance') THEN beta_d_level END AS \"FIY~Level\", CASE WHEN starts_with(industry, 'insurance') THEN beta_d_slope END AS \"FIY~Slope\" FROM ({_two_sql('rates_diff', 'd_fiy', 12, 6, 'stock_id, period, industry')})")
 def f24_fiy_rate_betas(spark, d):
-    rows = w.difference(rates_quarterly(spark, d), ["fiy", "level", "slope"])
     own = in_universe(F.col("industry"), "insurance")
-    out = w.rolling_two(rows, "d_fiy", "d_level", "d_slope", 12, 6)
+    out = computed.metric_rate_betas(rates_quarterly(spark, d), "fiy")
     return out.select("stock_id", "period", F.when(own, F.col("beta_d_level")).alias("FIY~Level"), F.when(own, F.col("beta_d_slope")).alias("FIY~Slope"))
 
 
@@ -188,16 +185,8 @@ define("monthly_rates", """SELECT m.stock_id, m.period, ret, level - lag(level)
 
 @query(_two_sql("monthly_rates", "ret", 36, 18, "stock_id, period"), "beta_d_level beta_d_slope", 3)
 def f26_return_rate_betas(spark, d):
-    curve = curves.simple_curve(s.zero_curve(spark, d)).withColumnRenamed("date", "period")
-    rows = monthly(spark, d).join(s.securities(spark, d).select("stock_id", (F.col("country_code") % 5).alias("currency")), "stock_id").join(curve, ["period", "currency"], "left")
-    rows = w.difference(rows, ["level", "slope"])
-    return w.rolling_two(rows, "ret", "d_level", "d_slope", 36, 18).select("stock_id", "period", "beta_d_level", "beta_d_slope")
-
-
-def _group_beta(spark, d, group: str, parents: tuple[str, ...]):
-    panel = cleaned(spark, d)
-    factor = r.relative_factor(panel, group, parents).withColumnRenamed("factor", "x")
-    return w.rolling_beta(r.monthly_returns(panel.where("tradeable"), factor, ["date", group], (group,)))
+    rows = monthly(spark, d).join(s.securities(spark, d).select("stock_id", (F.col("country_code") % 5).alias("currency")), "stock_id")
+    return computed.return_rate_betas(rows, s.zero_curve(spark, d)).select("stock_id", "period", "beta_d_level", "beta_d_slope")
 
 
 def _group_sql(group: str, parents: str, extra: str = "") -> str:
@@ -211,21 +200,52 @@ def _group_sql(group: str, parents: str, extra: str = "") -> str:
 
 @query(f"SELECT stock_id, period, country_code, beta FROM ({_group_sql('country_code', ', region_code')})", "beta", 4)
 def n2_country_beta(spark, d):
-    return _group_beta(spark, d, "country_code", ("region_code",)).select("stock_id", "period", "country_code", "beta")
+    return computed.group_betas(cleaned(spark, d), "country_code", ("region_code",)).select("stock_id", "period", "country_code", "beta")
 
 
 @query(f"SELECT stock_id, period, industry, beta FROM ({_group_sql('industry', '', 'WHERE tradeable')})", "beta", 4)
 def n3_industry_beta(spark, d):
-    panel = cleaned(spark, d).where("tradeable")
-    factor = r.relative_factor(panel, "industry").withColumnRenamed("factor", "x")
-    return w.rolling_beta(r.monthly_returns(panel, factor, ["date", "industry"], ("industry",))).select("stock_id", "period", "industry", "beta")
+    return computed.group_betas(cleaned(spark, d), "industry", (), True).select("stock_id", "period", "industry", "beta")
+
+
+def frames(spark, d) -> dict[str, DataFrame]:
+    return {"sector": sector(spark, d), "market": cleaned(spark, d), "curve": s.zero_curve(spark, d)}
+
+
+_CENTRED = "SELECT stock_id, date, {g}, beta - median(beta) OVER (PARTITION BY date_trunc('month', date), {g}) AS b FROM ({sql})"
+_IND = _CENTRED.format(g="industry", sql=_group_sql("industry", "", "WHERE tradeable"))
+_CTRY = _CENTRED.format(g="country_code", sql=_group_sql("country_code", ", region_code"))
+
+
+@query(f"""SELECT stock_id, date, CASE WHEN starts_with(industry, 'bank') THEN b END AS bank, CASE WHEN starts_with(industry, 'insurance') THEN b END AS insurance FROM ({_IND})""", "bank insurance", 4)
+def f30_industry_beta_signals(spark, d):
+    made = frames(spark, d)
+    own, other = (factors.REGISTRY[n].compute(made) for n in ("Beta~IND (B)", "Beta~IND (I)"))
+    return own.join(other, ["stock_id", "date"]).select("stock_id", "date", F.col("`Beta~IND (B)`").alias("bank"), F.col("`Beta~IND (I)`").alias("insurance"))
+
+
+_RATES_J12 = _two_sql("rates_diff", "{y}", 12, 6, "stock_id, date, industry")
+
+
+@query(f"""SELECT p.stock_id, p.date, p.industry, p.earnings_ltm / nullif(p.mcap_local, 0) AS ep, CASE WHEN starts_with(p.industry, 'bank') THEN p.net_interest_margin END AS nim,
+   CASE WHEN count(p.excess_return) OVER v >= 252 THEN stddev_samp(p.excess_return) OVER v END AS trv,
+   CASE WHEN starts_with(p.industry, 'bank') THEN n.beta_d_level END AS nim_level, CASE WHEN starts_with(p.industry, 'insurance') THEN f.beta_d_slope END AS fiy_slope,
+   r.beta_d_level AS ret_level, m.beta AS beta_mkt, c.b AS beta_ctry, CASE WHEN starts_with(p.industry, 'bank') THEN i.b END AS beta_ind_b
+   FROM sector p LEFT JOIN ({_RATES_J12.format(y="d_nim")}) n ON p.stock_id = n.stock_id AND p.date = n.date LEFT JOIN ({_RATES_J12.format(y="d_fiy")}) f ON p.stock_id = f.stock_id AND p.date = f.date
+   LEFT JOIN mktbeta m ON p.stock_id = m.stock_id AND p.date = m.date LEFT JOIN ({_CTRY}) c ON p.stock_id = c.stock_id AND p.date = c.date LEFT JOIN ({_IND}) i ON p.stock_id = i.stock_id AND p.date = i.date
+   LEFT JOIN (SELECT x.*, y.date FROM ({_two_sql("monthly_rates", "ret", 36, 18, "stock_id, period")}) x JOIN monthly y USING (stock_id, period)) r ON p.stock_id = r.stock_id AND p.date = r.date
+   WINDOW v AS (PARTITION BY p.stock_id ORDER BY p.date ROWS BETWEEN 755 PRECEDING AND CURRENT ROW)""", "ep nim trv nim_level fiy_slope ret_level beta_mkt beta_ctry beta_ind_b", 3)
+def j12_factor_frame(spark, d):
+    names = {"E/P": "ep", "NIM": "nim", "TRV": "trv", "NIM~Level": "nim_level", "FIY~Slope": "fiy_slope", "Ret~Level": "ret_level", "Beta~MKT": "beta_mkt", "Beta~CTRY": "beta_ctry", "Beta~IND (B)": "beta_ind_b"}
+    wide = factors.factor_frames(frames(spark, d), list(names))
+    return wide.select("stock_id", "date", "industry", *[F.col(f"`{a}`").alias(b) for a, b in names.items()])
 
 
 @query(f"""SELECT m.stock_id, m.period, m.beta AS "Beta~MKT", n.b AS "Beta~CTRY" FROM mktbeta m JOIN
            (SELECT stock_id, period, beta - median(beta) OVER (PARTITION BY date_trunc('month', date), country_code) AS b FROM ({_group_sql('country_code', ', region_code')})) n USING (stock_id, period)""")
 def f28_beta_signals(spark, d):
     mkt = w.rolling_beta(monthly(spark, d)).select("stock_id", "period", F.col("beta").alias("Beta~MKT"))
-    own = w.center_by_group(_group_beta(spark, d, "country_code", ("region_code",)), "beta", "country_code")
+    own = w.center_by_group(computed.group_betas(cleaned(spark, d), "country_code", ("region_code",)), "beta", "country_code")
     return mkt.join(own.select("stock_id", "period", F.col("beta").alias("Beta~CTRY")), ["stock_id", "period"])
 
 
@@ -243,7 +263,7 @@ def n4_nelson_siegel(spark, d):
     return curves.nelson_siegel(s.zero_curve(spark, d))
 
 
-@query("SELECT period AS date, currency, level, slope FROM curve_simple", "level slope", 8)
+@query("SELECT period AS date, currency, level, slope FROM curve_simple", "level slope", 7)
 def n5_simple_curve(spark, d):
     return curves.simple_curve(s.zero_curve(spark, d))
 

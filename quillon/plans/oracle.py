@@ -61,13 +61,16 @@ CTES = {
         FROM (SELECT l_suppkey::bigint AS stock_id, (date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::date AS end_, round(sum(l_extendedprice), 2) AS e,
                      round(sum(l_extendedprice * l_discount), 4) AS d, round(sum(l_extendedprice * l_tax), 4) AS t, round(sum(l_quantity), 2) AS cash_and_st_investments,
                      round(avg(l_tax), 6) AS net_interest_margin, round(avg(l_discount), 6) AS tier1_capital_ratio FROM lineitem GROUP BY 1, 2)""",
+    "extended": """
+        SELECT l_suppkey::bigint AS stock_id, (date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::date AS date_fundamental, count(*) AS n_lines, round(max(l_quantity), 2) AS top_quantity
+        FROM lineitem WHERE l_suppkey % 4 <> 1 GROUP BY 1, 2""",
     "sector": """
         SELECT c.*, f.* EXCLUDE (stock_id) FROM (SELECT * FROM clean WHERE tradeable) c
         ASOF LEFT JOIN fundamentals f ON c.stock_id = f.stock_id AND c.date >= f.observation_date""",
     "curve": """
         SELECT date_trunc('month', o_orderdate)::date AS date, (c_nationkey % 5)::bigint AS currency,
                CASE left(o_orderpriority, 1) WHEN '1' THEN '6M' WHEN '2' THEN '12M' WHEN '3' THEN '24M' WHEN '4' THEN '60M' ELSE '120M' END AS tenor_description,
-               round(avg(o_totalprice) / 1e7, 8) AS zero_rate
+               round(avg(o_totalprice) / 1e7, 12) AS zero_rate
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3""",
     "mkt_daily": """
         SELECT date, coalesce(sum(excess_return * mcap_usd), 0) / coalesce(sum(mcap_usd), 0) AS r FROM clean GROUP BY date""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,35 +13,54 @@ from quillon.operators import clean as c
 from quillon.operators import joins as j
 from quillon.operators import resample as r
 from quillon.operators import windows as w
+from quillon.operators.validate import first_rows, reproducible_pick
+from quillon.plans.oracle import define
 from quillon.plans.registry import query
 from quillon.sources import catalog
 from quillon.sources import surrogate as s
+from quillon.sources.shared import artifact, materialize, shared_dir
+
+
+# Frames that many queries start from are artifacts: built once per application, then rescanned. The queries of the operators
+# that build them run those operators themselves.
 
 
 def cleaned(spark, d) -> DataFrame:
-    return c.clean(s.market_frame(spark, d))
+    return artifact(spark, d, "clean", lambda: c.clean(s.market_frame(spark, d)))
 
 
 def events(spark, d) -> DataFrame:
-    return c.delist_events(s.prices(spark, d))
+    return artifact(spark, d, "exits", lambda: c.delist_events(s.prices(spark, d)))
 
 
 def market_daily(spark, d) -> DataFrame:
     return r.cap_weighted(cleaned(spark, d), ["date"]).select("date", F.col("r").alias("x"))
 
 
-def monthly(spark, d) -> DataFrame:
+def make_monthly(spark, d) -> DataFrame:
     return r.monthly_returns(cleaned(spark, d).where("tradeable"), market_daily(spark, d), ["date"], ("mcap_usd", "industry"))
 
 
-def periodic(spark, d) -> DataFrame:
+def monthly(spark, d) -> DataFrame:
+    return artifact(spark, d, "monthly", lambda: make_monthly(spark, d))
+
+
+def make_periodic(spark, d) -> DataFrame:
     return r.periodic_returns(cleaned(spark, d).where("tradeable"), events(spark, d))
 
 
-def sector(spark, d) -> DataFrame:
+def periodic(spark, d) -> DataFrame:
+    return artifact(spark, d, "periodic", lambda: make_periodic(spark, d))
+
+
+def make_sector(spark, d) -> DataFrame:
     return j.sector_panel(cleaned(spark, d), s.fundamentals(spark, d))
 
 
+def sector(spark, d) -> DataFrame:
+    return artifact(spark, d, "sector", lambda: make_sector(spark, d))
+
+
 @query("SELECT stock_id::varchar AS stock_id, country_code::varchar AS country_code, region_code::varchar AS region_code, industry FROM securities")
 def s3_cast_ids(spark, d):
     return catalog.cast_ids(s.securities(spark, d)).select("stock_id", "country_code", "region_code", "industry")
@@ -84,7 +106,83 @@ def p15_investable(spark, d):
 
 @query("SELECT stock_id, date, date_fundamental, earnings_ltm FROM sector", "earnings_ltm")
 def j1_asof_fundamentals(spark, d):
-    return sector(spark, d).select("stock_id", "date", "date_fundamental", "earnings_ltm")
+    return make_sector(spark, d).select("stock_id", "date", "date_fundamental", "earnings_ltm")
+
+
+TABLES = "region nation customer supplier part orders lineitem events".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
+def s2_load_all(spark, d):
+    tables = catalog.load_all(spark, {t: f"{d}/{t}.parquet" for t in TABLES})
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t, df in tables.items()])
+
+
+@query("SELECT stock_id, date, price_local, volume FROM prices", "price_local volume")
+def s5_materialize(spark, d):
+    return materialize(s.prices(spark, d), "prices").select("stock_id", "date", "price_local", "volume")
+
+
+@query("SELECT 'exits' AS artifact, count(*) AS rows FROM exits UNION ALL SELECT 'periodic', count(*) FROM periodic")
+def s7_manifest(spark, d):
+    return catalog.write_with_manifest({"exits": events(spark, d), "periodic": periodic(spark, d)}, f"{shared_dir(spark)}/build-{uuid.uuid4().hex}")
+
+
+@query("SELECT stock_id, reason, delist_return FROM exits")
+def s4_load_artifacts(spark, d):
+    folder = f"{shared_dir(spark)}/build-{uuid.uuid4().hex}"
+    catalog.write_artifact(events(spark, d), folder, "exits")
+    return catalog.load_artifacts(spark, folder, ["exits"], "the build")["exits"].select("stock_id", "reason", "delist_return")
+
+
+_STEPS = "SELECT cohort, currency, 'level' AS outcome, round(avg(CASE WHEN date >= cohort THEN level END) - avg(CASE WHEN date < cohort THEN level END), 9) AS coef FROM curve_simple_all, (VALUES (DATE '1997-01-01'), (DATE '1999-01-01')) c(cohort) GROUP BY 1, 2"
+define("curve_simple_all", "SELECT date, currency, max(CASE WHEN tenor_description = '120M' THEN zero_rate END) AS level FROM curve GROUP BY 1, 2")
+
+
+@query(f"SELECT b.date, b.currency, level - coalesce((SELECT sum(coef) FROM ({_STEPS}) s WHERE s.currency = b.currency AND s.cohort <= b.date), 0) AS level FROM curve_simple_all b", "level", 6)
+def s9_did_table(spark, d):
+    from quillon.operators.curves import simple_curve
+
+    curve = simple_curve(s.zero_curve(spark, d)).select("date", "currency", "level")
+    cohorts = F.explode(F.array(*[F.lit(x).cast("date") for x in ("1997-01-01", "1999-01-01")]))
+    x = lambda after: F.avg(F.when((F.col("date") >= F.col("cohort")) == F.lit(after), F.col("level")))
+    made = curve.withColumn("cohort", cohorts).groupBy("cohort", "currency").agg(F.round(x(True) - x(False), 9).alias("coef")).withColumn("outcome", F.lit("level"))
+    folder = f"{shared_dir(spark)}/did-{uuid.uuid4().hex}"
+    catalog.write_artifact(made, folder, "did")
+    return j.step_correction(curve, catalog.did_table(spark, f"{folder}/did"), {"level": "level"}).select("date", "currency", "level")
+
+
+@query("SELECT f.stock_id, f.date_fundamental, earnings_ltm, n_lines, top_quantity FROM fundamentals f LEFT JOIN extended x ON f.stock_id = x.stock_id AND f.date_fundamental = x.date_fundamental", "earnings_ltm")
+def j2_extended_fundamentals(spark, d):
+    return j.extend(s.fundamentals(spark, d), s.extended(spark, d)).select("stock_id", "date_fundamental", "earnings_ltm", "n_lines", "top_quantity")
+
+
+@query("""SELECT m.stock_id, m.date, m.industry, m.mcap_usd, m.excess_return, f.earnings_ltm, f.n_lines FROM market m ASOF LEFT JOIN
+          (SELECT f.stock_id, f.observation_date, earnings_ltm, n_lines FROM fundamentals f LEFT JOIN extended x ON f.stock_id = x.stock_id AND f.date_fundamental = x.date_fundamental) f
+          ON m.stock_id = f.stock_id AND m.date >= f.observation_date""", "mcap_usd excess_return earnings_ltm", 4)
+def j8_full_panel(spark, d):
+    known = j.extend(s.fundamentals(spark, d), s.extended(spark, d))
+    rows = j.full_panel(s.prices(spark, d), s.securities(spark, d), s.fx_rates(spark, d), s.risk_free(spark, d), known)
+    return rows.select("stock_id", "date", "industry", "mcap_usd", "excess_return", "earnings_ltm", "n_lines")
+
+
+@query("SELECT * FROM (SELECT stock_id, date_trunc('quarter', date)::date AS period, date, price_local FROM clean) QUALIFY row_number() OVER (PARTITION BY stock_id, period ORDER BY date) = 1", "price_local")
+def t3_first_rows(spark, d):
+    rows = cleaned(spark, d).select("stock_id", period_key(F.col("date"), 3).alias("period"), "date", "price_local")
+    return first_rows(rows, ["stock_id", "period"], ["date"])
+
+
+@query("SELECT date, currency FROM (SELECT DISTINCT date, currency FROM curve) ORDER BY md5('spot|' || date::varchar || '|' || currency::varchar), date, currency LIMIT 3")
+def t8_reproducible_pick(spark, d):
+    return reproducible_pick(s.zero_curve(spark, d), ["date", "currency"], "spot", 3)
+
+
+@query("""SELECT 'daily' AS kind, stock_id, period, fwd1 FROM forward UNION ALL
+          SELECT 'periodic', stock_id, period, lead(ret_raw) OVER (PARTITION BY stock_id ORDER BY period) FROM periodic""", "fwd1", 5)
+def w9_forward_dispatch(spark, d):
+    daily = w.forward_returns(cleaned(spark, d).where("tradeable"), "ret_wins", "daily", events(spark, d))
+    shifted = w.forward_returns(periodic(spark, d), "ret_raw", "periodic", None)
+    return daily.select(F.lit("daily").alias("kind"), "stock_id", "period", "fwd1").unionByName(shifted.select(F.lit("periodic").alias("kind"), "stock_id", "period", "fwd1"))
 
 
 @query("""SELECT v.event_id, v.user_id, b.event_id AS buy_id FROM (SELECT * FROM events WHERE event_type = 'view') v
@@ -103,7 +201,7 @@ def j6_market_frame(spark, d):
 
 @query("SELECT industry, date_trunc('quarter', date)::date AS period, count(*) AS n, count(earnings_ltm) AS n_known, sum(mcap_usd) AS mcap_usd FROM sector GROUP BY 1, 2", "mcap_usd", 2)
 def j7_sector_panel(spark, d):
-    return sector(spark, d).groupBy("industry", period_key(F.col("date"), 3).alias("period")).agg(F.count("*").alias("n"), F.count("earnings_ltm").alias("n_known"), F.sum("mcap_usd").alias("mcap_usd"))
+    return make_sector(spark, d).groupBy("industry", period_key(F.col("date"), 3).alias("period")).agg(F.count("*").alias("n"), F.count("earnings_ltm").alias("n_known"), F.sum("mcap_usd").alias("mcap_usd"))
 
 
 _COEFS = [("1996-01-01", 0, "level", 0.0005), ("1998-01-01", 0, "level", 0.0002), ("1997-06-01", 2, "slope", -0.0003), ("1999-01-01", 3, "level", 0.0001)]
@@ -113,7 +211,7 @@ _COEFS = [("1996-01-01", 0, "level", 0.0005), ("1998-01-01", 0, "level", 0.0002)
           base AS (SELECT date, currency, max(CASE WHEN tenor_description = '120M' THEN zero_rate END) AS level,
                    max(CASE WHEN tenor_description = '24M' THEN zero_rate END) - max(CASE WHEN tenor_description = '120M' THEN zero_rate END) AS slope FROM curve GROUP BY 1, 2)
           SELECT date, currency, level - coalesce((SELECT sum(coef) FROM co WHERE co.currency = b.currency AND outcome = 'level' AND cohort <= b.date), 0) AS level,
-                 slope - coalesce((SELECT sum(coef) FROM co WHERE co.currency = b.currency AND outcome = 'slope' AND cohort <= b.date), 0) AS slope FROM base b""", "level slope", 8)
+                 slope - coalesce((SELECT sum(coef) FROM co WHERE co.currency = b.currency AND outcome = 'slope' AND cohort <= b.date), 0) AS slope FROM base b""", "level slope", 7)
 def j10_step_correction(spark, d):
     from quillon.operators.curves import simple_curve
 
@@ -134,12 +232,12 @@ def j15_trim_after_exit(spark, d):
 
 @query("SELECT stock_id, date, price_local, total_return, excess_return, px_blanked, ret_gated FROM clean", "price_local total_return excess_return")
 def c4_clean(spark, d):
-    return cleaned(spark, d).select("stock_id", "date", "price_local", "total_return", "excess_return", "px_blanked", "ret_gated")
+    return c.clean(s.market_frame(spark, d)).select("stock_id", "date", "price_local", "total_return", "excess_return", "px_blanked", "ret_gated")
 
 
 @query("SELECT * FROM exits")
 def c8_delist_events(spark, d):
-    return events(spark, d)
+    return c.delist_events(s.prices(spark, d))
 
 
 @query("""SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT stock_id) AS n_stocks, round(avg((price_local IS NULL)::int), 9) AS null_price,
@@ -182,12 +280,12 @@ def a6_rebalance_grid(spark, d):
 
 @query("SELECT stock_id, period, date, ret, x, mcap_usd, industry FROM monthly", "ret x mcap_usd", 5)
 def a7_monthly_returns(spark, d):
-    return monthly(spark, d)
+    return make_monthly(spark, d)
 
 
 @query("SELECT stock_id, period, date, industry, mcap_usd, free_float_percentage, ret_raw, ret_wins FROM periodic", "mcap_usd ret_raw ret_wins", 5)
 def a9_periodic_returns(spark, d):
-    return periodic(spark, d).select("stock_id", "period", "date", "industry", "mcap_usd", "free_float_percentage", "ret_raw", "ret_wins")
+    return make_periodic(spark, d).select("stock_id", "period", "date", "industry", "mcap_usd", "free_float_percentage", "ret_raw", "ret_wins")
 
 
 @query("SELECT period, max(CASE WHEN industry = 'bank' THEN r END) AS bank, max(CASE WHEN industry = 'insurance_life' THEN r END) AS insurance_life, max(CASE WHEN industry = 'insurance_pc' THEN r END) AS insurance_pc FROM (SELECT period, industry, avg(ret_raw) AS r FROM periodic GROUP BY 1, 2) GROUP BY period", "bank insurance_life insurance_pc")

@@ -57,6 +57,18 @@ def w16_james_stein(spark, d):
     return w.james_stein(rows, ["period"])
 
 
+@query("""SELECT z.stock_id, z.period, p.mean * ep AS systematic, i.mean * sigma * ep AS behavioural FROM zscores z JOIN (SELECT * FROM wfpremia WHERE factor = 'ep') p ON p.period = z.period
+          JOIN (SELECT * FROM wfic WHERE factor = 'ep') i ON i.period = z.period JOIN (SELECT period, stddev_samp(ret_wins) AS sigma FROM periodic GROUP BY 1) s ON s.period = z.period""", "systematic behavioural", 5)
+def r1_expected_returns(spark, d):
+    ep = F.col("factor") == "ep"
+    premium = w.walk_forward(premia(spark, d), "coef", ["factor"]).where(ep).select("period", F.col("mean").alias("premium"))
+    skill = w.walk_forward(ic1(spark, d), "ic", ["factor"]).where(ep).select("period", F.col("mean").alias("skill"))
+    sigma = periodic(spark, d).groupBy("period").agg(F.stddev_samp("ret_wins").alias("sigma"))
+    rows = zscores(spark, d).join(premium, "period").join(skill, "period").join(sigma, "period")
+    z = F.col("ep")
+    return rows.select("stock_id", "period", p.systematic_return(F.col("premium"), z).alias("systematic"), p.behavioural_return(F.col("skill"), F.col("sigma"), z).alias("behavioural"))
+
+
 @query("SELECT factor, period, mean, se2, n, mean / nullif(sqrt(se2 * n), 0) AS ir FROM wfic", "mean se2 ir", 5)
 def r5_walk_forward_ir(spark, d):
     return p.walk_forward_ir(ic1(spark, d))
@@ -102,13 +114,26 @@ def _t() -> Column:
     return (F.year("period") * 4 + F.quarter("period")).cast("long")
 
 
-@query()
-def r8_shrunk_covariance(spark, d):
+define("shrunk", """WITH f AS (SELECT (year(period) * 4 + quarter(period))::bigint AS t, ep, size FROM frets WHERE ep IS NOT NULL AND size IS NOT NULL),
+  s AS (SELECT a.t, b.ep, b.size FROM f a JOIN f b ON b.t <= a.t AND b.t > a.t - 20),
+  z AS (SELECT t, (ep - avg(ep) OVER w) / nullif(stddev_pop(ep) OVER w, 0) AS x, (size - avg(size) OVER w) / nullif(stddev_pop(size) OVER w, 0) AS y, var_pop(ep) OVER w AS vx, var_pop(size) OVER w AS vy FROM s WINDOW w AS (PARTITION BY t)),
+  m AS (SELECT t, count(*) AS n, avg((coalesce(x, 0) ** 2 + coalesce(y, 0) ** 2) ** 2) AS q, coalesce(avg(x * x), 0) AS xx, coalesce(avg(y * y), 0) AS yy, coalesce(avg(x * y), 0) AS xy, any_value(vx) AS vx, any_value(vy) AS vy FROM z GROUP BY 1 HAVING count(*) > 1),
+  d AS (SELECT *, xx * xx + yy * yy + 2 * xy * xy - (xx + yy) ** 2 / 2 AS d2, (q - (xx * xx + yy * yy + 2 * xy * xy)) / n AS b2 FROM m),
+  e AS (SELECT *, CASE WHEN d2 > 1e-12 THEN least(greatest(b2, 0), d2) / d2 ELSE 0 END AS delta FROM d)
+  SELECT t, delta, unnest(['ep', 'ep', 'size']) AS a, unnest(['ep', 'size', 'size']) AS b, unnest([sqrt(vx * vx) * xx, sqrt(vx * vy) * xy * (1 - delta), sqrt(vy * vy) * yy]) AS cov FROM e""")
+
+
+def factor_covariance(spark, d) -> DataFrame:
     long, _ = risk_inputs(spark, d)
     wide = long.groupBy("period").pivot("factor", ["ep", "size"]).agg(F.first("f")).where("ep is not null and size is not null").select(_t().alias("t"), "ep", "size")
     return p.shrunk_covariance(wide, ["ep", "size"], 20)
 
 
+@query("SELECT t, delta, a, b, cov FROM shrunk", "delta cov", 7)
+def r8_shrunk_covariance(spark, d):
+    return factor_covariance(spark, d)
+
+
 _IDIO = """SELECT r.stock_id, t, industry, CASE WHEN count(resid) OVER w >= 4 THEN var_samp(resid) OVER w END AS idio, count(resid) OVER w AS n FROM resids r JOIN securities USING (stock_id)
  WINDOW w AS (PARTITION BY r.stock_id ORDER BY t RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)"""
 _FILL = f"SELECT stock_id, t, industry, CASE WHEN idio IS NULL THEN 4 ELSE n END AS n, coalesce(idio, median(idio) OVER (PARTITION BY t, industry), median(idio) OVER (PARTITION BY t)) AS idio FROM ({_IDIO})"
@@ -135,16 +160,23 @@ def r10_fill_idio(spark, d):
     return idio(spark, d).select("stock_id", "t", "industry", "n", "idio")
 
 
-@query(f"""SELECT stock_id, t, (1 - delta) * idio + delta * bar AS idio_shrunk FROM (SELECT *, CASE WHEN spread > 0 THEN least(greatest(noise / spread, 0), 1) ELSE 1 END AS delta FROM
-           (SELECT *, avg((idio - bar) ** 2) OVER (PARTITION BY t) AS spread, avg(2 * idio ** 2 / greatest(n - 1, 1)) OVER (PARTITION BY t) AS noise FROM (SELECT *, avg(idio) OVER (PARTITION BY t) AS bar FROM ({_FILL}))))""", "idio_shrunk", 7)
+define("idioshrunk", f"""SELECT stock_id, t, (1 - delta) * idio + delta * bar AS idio_shrunk FROM (SELECT *, CASE WHEN spread > 0 THEN least(greatest(noise / spread, 0), 1) ELSE 1 END AS delta FROM
+           (SELECT *, avg((idio - bar) ** 2) OVER (PARTITION BY t) AS spread, avg(2 * idio ** 2 / greatest(n - 1, 1)) OVER (PARTITION BY t) AS noise FROM (SELECT *, avg(idio) OVER (PARTITION BY t) AS bar FROM ({_FILL}))))""")
+
+
+@query("SELECT stock_id, t, idio_shrunk FROM idioshrunk", "idio_shrunk", 7)
 def r9_shrink_idio(spark, d):
     return p.shrink_idio(idio(spark, d)).select("stock_id", "t", "idio_shrunk")
 
 
-@query()
+# Half-yearly rebalancing over quarterly returns: variances count twice.
+@query("""WITH RECURSIVE q AS (SELECT 'factor' AS kind, a, b, t, 2 * cov AS x FROM shrunk UNION ALL SELECT 'idio', stock_id::varchar, stock_id::varchar, t, 2 * idio_shrunk FROM idioshrunk WHERE idio_shrunk IS NOT NULL),
+          e AS (SELECT q.kind, q.a, q.b, q.t, q.x AS ema FROM q LEFT JOIN q p ON p.kind = q.kind AND p.a = q.a AND p.b = q.b AND p.t = q.t - 1 WHERE p.t IS NULL
+                UNION ALL SELECT q.kind, q.a, q.b, q.t, 0.5 * e.ema + 0.5 * q.x FROM e JOIN q ON q.kind = e.kind AND q.a = e.a AND q.b = e.b AND q.t = e.t + 1)
+          SELECT kind, a, b, t, ema AS value FROM e UNION ALL SELECT 'idio', stock_id::varchar, stock_id::varchar, t, NULL FROM idioshrunk WHERE idio_shrunk IS NULL""", "value", 7)
 def r11_risk_panel(spark, d):
-    shrunk = p.shrink_idio(idio(spark, d)).select("stock_id", "t", F.col("idio_shrunk").alias("v"))
-    return p.smooth_risk(shrunk, "v", ["stock_id"], 0.5).select("stock_id", "t", F.col("ema").alias("idio"))
+    own = p.shrink_idio(idio(spark, d)).select("stock_id", "t", F.col("idio_shrunk").alias("v"))
+    return p.risk_panel(factor_covariance(spark, d), own, 0.5, 2.0)
 
 
 define("books", """SELECT 'q' || bucket AS strategy_id, stock_id, period, fwd1 AS r, mcap_usd, 1.0::double / count(*) OVER (PARTITION BY period, bucket) AS w FROM (SELECT z.stock_id, z.period, fwd1, mcap_usd,
@@ -158,11 +190,16 @@ def books(spark, d) -> DataFrame:
     return rows.select(F.concat(F.lit("q"), F.col("bucket").cast("string")).alias("strategy_id"), "stock_id", "period", F.col("fwd1").alias("r"), "mcap_usd", (1.0 / F.count("*").over(each)).alias("w"))
 
 
-@query()
+@query("""WITH h AS (SELECT strategy_id, (year(period) * 4 + quarter(period))::bigint AS t, stock_id, w FROM books), z AS (SELECT stock_id, (year(period) * 4 + quarter(period))::bigint AS t, ep, size FROM zscores),
+  b AS (SELECT strategy_id, h.t, sum(w * ep) AS bx, sum(w * size) AS by_ FROM h JOIN z ON h.stock_id = z.stock_id AND h.t = z.t GROUP BY 1, 2),
+  f AS (SELECT t, max(CASE WHEN a = 'ep' AND b = 'ep' THEN cov END) AS xx, max(CASE WHEN a = 'ep' AND b = 'size' THEN cov END) AS xy, max(CASE WHEN a = 'size' THEN cov END) AS yy FROM shrunk GROUP BY 1),
+  i AS (SELECT strategy_id, h.t, sum(idio_shrunk * w ** 2) AS idio_var FROM h JOIN idioshrunk s ON h.stock_id = s.stock_id AND h.t = s.t GROUP BY 1, 2)
+  SELECT strategy_id, t, bx * bx * xx + 2 * bx * by_ * xy + by_ * by_ * yy AS factor_var, idio_var, bx * bx * xx + 2 * bx * by_ * xy + by_ * by_ * yy + idio_var AS variance FROM b JOIN f USING (t) JOIN i USING (strategy_id, t)""", "factor_var idio_var variance", 7)
 def r12_portfolio_risk(spark, d):
     held = books(spark, d).withColumn("t", _t()).select("strategy_id", "t", "stock_id", "w")
     exposures = zscores(spark, d).withColumn("t", _t()).select("stock_id", "t", "ep", "size")
-    return p.portfolio_risk(held, exposures, r8_shrunk_covariance(spark, d), p.shrink_idio(idio(spark, d)).select("stock_id", "t", F.col("idio_shrunk").alias("idio")), ["ep", "size"])
+    own = p.shrink_idio(idio(spark, d)).select("stock_id", "t", F.col("idio_shrunk").alias("idio"))
+    return p.portfolio_risk(held, exposures, factor_covariance(spark, d), own, ["ep", "size"])
 
 
 @query("""SELECT stock_id, period, mcap_usd * coalesce(share, median(share) OVER (PARTITION BY industry), 1) AS free_float_mcap FROM (SELECT *, CASE WHEN ff IS NOT NULL THEN least(greatest(ff / CASE WHEN (SELECT median(free_float_percentage) FROM periodic WHERE stock_id % 9 <> 0) > 1 THEN 100 ELSE 1 END, 0), 1) END AS share
@@ -191,21 +228,40 @@ def _targets(spark, d) -> DataFrame:
     return z.select("stock_id", "period", (F.col("ep") * 0.01 + F.col("size") * 0.005).alias("mu"), F.lit(0.04).alias("d"), F.lit(0.001).alias("c"), F.lit(0.0).alias("w0"))
 
 
-_BUILD = """SELECT strategy_id, stock_id, period, v * CASE WHEN sum(abs(v)) OVER b > 1 THEN 1 / sum(abs(v)) OVER b ELSE 1 END AS w FROM (SELECT *, u - avg(u) OVER (PARTITION BY strategy_id, period) AS v FROM
+_BUILD = """SELECT strategy_id, stock_id, period, c, v * CASE WHEN sum(abs(v)) OVER b > gross THEN gross / sum(abs(v)) OVER b ELSE 1 END AS w FROM (SELECT *, u - CASE WHEN net = 1 THEN avg(u) OVER (PARTITION BY strategy_id, period) ELSE 0 END AS v FROM
  (SELECT *, least(greatest(w0 + sign(mu - lam * d * w0) * greatest(abs(mu - lam * d * w0) - c, 0) / (lam * d), -cap), cap) AS u FROM ({t}))) WINDOW b AS (PARTITION BY strategy_id, period)"""
 
 
-@query(_BUILD.format(t=f"SELECT 'base' AS strategy_id, 5::double AS lam, 0.05::double AS cap, * FROM ({_MU})"), "w")
+@query(f"""SELECT strategy_id, stock_id, period, w FROM ({_BUILD.format(t=f"SELECT 'base' AS strategy_id, 5::double AS lam, 0.05::double AS cap, 1::double AS gross, 1 AS net, * FROM ({_MU})")})""", "w")
 def r16_build_weights(spark, d):
     return p.build_weights(_targets(spark, d).withColumn("strategy_id", F.lit("base")), 5.0, 0.05, 1.0).select("strategy_id", "stock_id", "period", "w")
 
 
+def _account_sql(src: str, sweeps: int = 5) -> str:
+    """Book accounting over (strategy_id, period, stock_id, w, r, c), every name charged but those without a row."""
+    ks = ["k0 AS (SELECT strategy_id, t, gross AS net, 0.0::double AS turnover, 0.0::double AS tc FROM g)"]
+    for i in range(sweeps):
+        ks.append(f"""k{i + 1} AS (SELECT g.strategy_id, g.t, gross - tc AS net, turnover, tc FROM g JOIN (SELECT bb.strategy_id, bb.t, sum(abs(w - h * coalesce(k, 0))) AS turnover, sum(abs(w - h * coalesce(k, 0)) * c) AS tc FROM bb
+            LEFT JOIN (SELECT strategy_id, t + 1 AS t, CASE WHEN 1 + net > 1e-3 THEN 1 / (1 + net) ELSE 0 END AS k FROM k{i}) d ON d.strategy_id = bb.strategy_id AND d.t = bb.t GROUP BY 1, 2) s ON s.strategy_id = g.strategy_id AND s.t = g.t)""")
+    return f"""WITH pp AS (SELECT *, dense_rank() OVER (PARTITION BY strategy_id ORDER BY period) AS t FROM ({src})), l AS (SELECT strategy_id, max(t) AS last FROM pp GROUP BY 1),
+      h AS (SELECT pp.strategy_id, t + 1 AS t, stock_id, w * (1 + coalesce(r, 0)) AS h FROM pp JOIN l ON l.strategy_id = pp.strategy_id WHERE t < last),
+      bb AS (SELECT coalesce(pp.strategy_id, h.strategy_id) AS strategy_id, coalesce(pp.t, h.t) AS t, coalesce(w, 0) AS w, coalesce(r, 0) AS r, coalesce(h, 0) AS h, coalesce(c, 0) AS c
+             FROM pp FULL JOIN h ON pp.strategy_id = h.strategy_id AND pp.t = h.t AND pp.stock_id = h.stock_id),
+      g AS (SELECT strategy_id, t, sum(w * r) AS gross, sum(abs(w)) AS leverage, sum(w) AS net_exposure, sum((w > 0)::int)::bigint AS n_long, sum((w < 0)::int)::bigint AS n_short FROM bb GROUP BY 1, 2),
+      {", ".join(ks)}
+      SELECT g.strategy_id, q.period, gross, turnover, tc, net, leverage, net_exposure, n_long, n_short FROM g JOIN k{sweeps} k ON k.strategy_id = g.strategy_id AND k.t = g.t JOIN (SELECT DISTINCT strategy_id, t, period FROM pp) q ON q.strategy_id = g.strategy_id AND q.t = g.t"""
+
+
+define("accounts", _account_sql("SELECT strategy_id, period, stock_id, w, r, (3 * (11 / log10(greatest(coalesce(mcap_usd, 1e7), 1e7))) ** 6 + 3) * 1e-4 AS c FROM books"))
+_FIGURES = "gross turnover tc net leverage net_exposure"
+
+
 def booked(spark, d) -> DataFrame:
     rows = books(spark, d).withColumn("c", p.cost_coefficient(F.col("mcap_usd"))).withColumn("voluntary", F.lit(True))
     return p.account(rows.select("strategy_id", "period", "stock_id", "w", "r", "c", "voluntary"))
 
 
-@query()
+@query("SELECT * FROM accounts", _FIGURES)
 def r17_book_accounting(spark, d):
     return booked(spark, d)
 
@@ -233,15 +289,38 @@ def r20_shortlist_history(spark, d):
     return validate.carry_forward(scorecard(spark, d))
 
 
-_GRID = "SELECT printf('lam=%.4f', lam) || printf('|cap=%.4f', cap) AS strategy_id, lam, cap, m.* FROM (VALUES (2.0::double), (5.0::double), (10.0::double)) l(lam), (VALUES (0.02::double), (0.05::double)) k(cap), ({}) m".format(_MU)
+#: The reference has six knobs as well, 216 settings in all.
+KNOBS = {"lam": [5, 2, 10], "cap": [0.05, 0.02, 0.1], "gross": [1, 0.5, 2], "cost": [1, 2], "tilt": [1, 0.5], "net": [1, 0]}
+_LISTS = " CROSS JOIN ".join(f"(SELECT unnest([{', '.join(f'{float(v)}::double' for v in values)}]) AS {k}) AS list_{k}" for k, values in KNOBS.items())
+_IDS = " || '|' || ".join(f"printf('{k}=%.4f', {k})" for k in KNOBS)
+_GRID = f"SELECT {_IDS} AS strategy_id, lam, cap, gross, net, stock_id, period, ep * 0.01::double + tilt * size * 0.005::double AS mu, 0.04::double AS d, cost * 0.001::double AS c, 0::double AS w0 FROM zscores CROSS JOIN {_LISTS} WHERE ep IS NOT NULL AND size IS NOT NULL"
+define("sweepbooks", f"SELECT x.*, fwd1 AS r FROM ({_BUILD.format(t=_GRID)}) x LEFT JOIN fwd USING (stock_id, period)")
+
 
+def sweep(spark, d, mode: str) -> DataFrame:
+    """Books of every setting, built, held and accounted for in one job."""
+    z = zscores(spark, d).where("ep is not null and size is not null").select("stock_id", "period", "ep", "size")
+    rows = z.join(forward(spark, d).select("stock_id", "period", F.col("fwd1").alias("r")), ["stock_id", "period"], "left").crossJoin(F.broadcast(p.knob_grid(spark, KNOBS, mode)))  # 216 settings at most
+    rows = rows.withColumns({"mu": F.col("ep") * 0.01 + F.col("tilt") * F.col("size") * 0.005, "d": F.lit(0.04), "c": F.col("cost") * 0.001, "w0": F.lit(0.0)})
+    books = p.build_weights(rows, F.col("lam"), F.col("cap"), F.col("gross"), F.col("net") == 1)
+    return p.account(books.select("strategy_id", "period", "stock_id", "w", "r", "c", F.lit(True).alias("voluntary")))
 
-@query(f"SELECT strategy_id, period, sum(abs(w)) AS gross, max(abs(w)) AS top, sum(w * coalesce(fwd1, 0)) AS pnl FROM ({_BUILD.format(t=_GRID)}) x LEFT JOIN fwd USING (stock_id, period) GROUP BY 1, 2", "gross top pnl")
+
+_SWEPT = "SELECT strategy_id, avg(net) AS mean, stddev_samp(net) AS std, avg(turnover) AS turnover, avg(tc) AS tc, avg(leverage) AS leverage, count(*) AS n FROM ({}) GROUP BY 1"
+
+
+@query(_SWEPT.format(_account_sql("SELECT * FROM sweepbooks", 4)), "mean std turnover tc leverage")
 def r21_grid_sweep(spark, d):
-    knobs = p.knob_grid(spark, {"lam": [2, 5, 10], "cap": [0.02, 0.05]})
-    rows = p.build_weights(_targets(spark, d).crossJoin(F.broadcast(knobs)), F.col("lam"), F.col("cap"), 1.0)  # six settings
-    both = rows.join(forward(spark, d).select("stock_id", "period", "fwd1"), ["stock_id", "period"], "left")
-    return both.groupBy("strategy_id", "period").agg(F.sum(F.abs("w")).alias("gross"), F.max(F.abs("w")).alias("top"), F.sum(F.col("w") * F.coalesce("fwd1", F.lit(0.0))).alias("pnl"))
+    return sweep(spark, d, "full").groupBy("strategy_id").agg(F.avg("net").alias("mean"), F.stddev_samp("net").alias("std"), F.avg("turnover").alias("turnover"), F.avg("tc").alias("tc"), F.avg("leverage").alias("leverage"), F.count("*").alias("n"))
+
+
+_FIRST = {k: float(v[0]) for k, v in KNOBS.items()}
+_ONE = f"SELECT * FROM ({_GRID.replace('mu,', 'mu, cost, tilt,', 1)}) WHERE {' + '.join(f'({k} <> {v})::int' for k, v in _FIRST.items())} <= 1"
+
+
+@query(_account_sql(f"SELECT x.*, fwd1 AS r FROM ({_BUILD.format(t=_ONE)}) x LEFT JOIN fwd USING (stock_id, period)", 4), _FIGURES)
+def r21_one_at_a_time(spark, d):
+    return sweep(spark, d, "one_at_a_time")
 
 
 define("perf", "SELECT strategy_id, period, sum(w * coalesce(r, 0)) AS net, sum(abs(w)) AS turnover, 0.001::double * sum(abs(w)) AS tc FROM books GROUP BY 1, 2")
@@ -283,6 +362,27 @@ def picks(spark, d) -> DataFrame:
     return stats.select("cutoff", "factor", F.coalesce(F.abs("ir") > 0.15, F.lit(False)).alias("selected"), "mean")
 
 
+@query("SELECT factor, cutoff, selected, mean FROM picks QUALIFY row_number() OVER (PARTITION BY factor ORDER BY abs(mean) DESC NULLS LAST, cutoff, selected) = 1", "mean", 5)
+def t1_best_rows(spark, d):
+    return validate.best_rows(picks(spark, d), "factor", "mean")
+
+
+define("cards", """SELECT cutoff, factor, abs(avg(ic) / nullif(stddev_samp(ic), 0)) > 0.15 AS selected, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS ir_lag1, count(ic)::double AS fm_t
+       FROM ic_lag1 JOIN (SELECT unnest(generate_series(DATE '1998-01-01', DATE '2001-10-01', INTERVAL 12 MONTH))::date AS cutoff) ON period <= cutoff GROUP BY 1, 2""")
+
+
+@query("SELECT cutoff, factor, selected, row_number() OVER (PARTITION BY cutoff ORDER BY selected DESC NULLS LAST, abs(ir_lag1) DESC NULLS LAST, abs(fm_t) DESC NULLS LAST, factor) AS place FROM cards")
+def t2_scorecard_order(spark, d):
+    stats = validate.statistics_by_cutoff(ic1(spark, d), schedule(spark, "1998-01-01", "2001-10-01", 12), ["factor"], "ic")
+    card = stats.select("cutoff", "factor", (F.abs("ir") > 0.15).alias("selected"), F.round("ir", 6).alias("ir_lag1"), F.col("n").cast("double").alias("fm_t"))
+    return validate.scorecard_order(card).select("cutoff", "factor", "selected", "place")
+
+
+@query("SELECT cutoff, last_value(CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END IGNORE NULLS) OVER (ORDER BY cutoff) AS shortlist FROM (SELECT cutoff, coalesce(list(factor ORDER BY factor) FILTER (selected), []) AS l FROM picks GROUP BY cutoff)")
+def r20_carry_forward(spark, d):
+    return validate.carry_forward(picks(spark, d)).select("cutoff", F.array_join("shortlist", ",").alias("shortlist"))
+
+
 @query("""SELECT factor, count(CASE WHEN selected THEN 1 END) AS n_selected, avg(selected::int) AS share, min(CASE WHEN selected THEN cutoff END) AS first_selected, max(CASE WHEN selected THEN cutoff END) AS last_selected,
           bool_or(selected AND cutoff = (SELECT max(cutoff) FROM picks)) AS current FROM picks GROUP BY factor""", "share")
 def m5_selection_frequency(spark, d):
@@ -306,7 +406,9 @@ def m8_factor_health(spark, d):
     return m.health(picks(spark, d), ["mean"])
 
 
-@query()
+@query("""SELECT strategy_id, avg(net) AS mean, stddev_samp(net) AS std, avg(net) / nullif(stddev_samp(net), 0) * 2 AS sharpe, avg(gross) / nullif(stddev_samp(gross), 0) * 2 AS gross_sharpe, min(net) AS worst, max(net) AS best,
+          avg((net > 0)::int) AS hit_rate, avg(turnover) AS turnover, avg(tc) AS cost, avg(leverage) AS leverage, avg(net_exposure) AS net_exposure, avg(n_long) AS n_long, avg(n_short) AS n_short FROM accounts GROUP BY 1""",
+       "mean std sharpe gross_sharpe worst best hit_rate turnover cost leverage net_exposure n_long n_short", 5)
 def m11_summary(spark, d):
     return m.summary(booked(spark, d), "strategy_id", 4)
 

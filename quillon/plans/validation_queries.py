@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.operators import econometrics as ec
@@ -13,12 +14,13 @@ from quillon.plans.oracle import define
 from quillon.plans.panel_queries import monthly, periodic
 from quillon.plans.registry import query
 from quillon.sources import surrogate as s
+from quillon.sources.shared import artifact, materialize
 
 STYLE = ["ep", "dy", "size"]
 
 
 def forward(spark, d) -> DataFrame:
-    return w.forward(periodic(spark, d), "ret_wins", (1, 2)).select("stock_id", "period", "fwd1", "fwd2", "mcap_usd")
+    return artifact(spark, d, "forward", lambda: w.forward(periodic(spark, d), "ret_wins", (1, 2)).select("stock_id", "period", "fwd1", "fwd2", "mcap_usd"))
 
 
 def design(spark, d) -> DataFrame:
@@ -112,11 +114,42 @@ def v8_newey_west(spark, d):
     return validate.newey_west(validate.premia(fm_coefs(spark, d), ["ep", "size"]), ["factor"])
 
 
-@query()
+def _ols_sql(src: str, keys: str, y: str, xs: list[str], least: int, const: bool = True) -> str:
+    """Least squares by group in plain SQL: moment sums, then one elimination step for each regressor, each a table of its own."""
+    names = (["1.0::double"] if const else []) + xs
+    k = len(names)
+    known = " AND ".join(f"{x} IS NOT NULL" for x in [y, *xs])
+    cell = lambda i, j: f"sum({names[i]} * {names[j] if j < k else y}) AS m{i}_{j}"
+    steps = [f"s0 AS (SELECT {keys}, count(*) AS n, {', '.join(cell(i, j) for i in range(k) for j in range(k + 1))} FROM ({src}) WHERE {known} GROUP BY {keys} HAVING count(*) >= {least})"]
+    for p in range(k):
+        row = lambda j, p=p: f"m{p}_{j} / m{p}_{p}"
+        out = [f"{row(j) if i == p else f'm{i}_{j} - m{i}_{p} * {row(j)}'} AS m{i}_{j}" for i in range(k) for j in range(p + 1, k + 1)]
+        steps.append(f"s{p + 1} AS (SELECT {keys}, n, {', '.join(out)} FROM s{p})")
+    betas = ", ".join(f"m{i}_{k} AS {x}" for i, x in enumerate((["const"] if const else []) + xs))
+    return f"WITH {', '.join(steps)} SELECT {keys}, n, {betas} FROM s{k}"
+
+
+FIVE = ["ep", "dy", "size", "nim", "fiy"]
+define("pooled", """SELECT z.stock_id, z.period, fwd1, ep, dy, size, CASE WHEN starts_with(industry, 'bank') THEN nim ELSE 0 END AS nim, CASE WHEN starts_with(industry, 'insurance') THEN fiy ELSE 0 END AS fiy
+       FROM zscores z JOIN fwd ON z.stock_id = fwd.stock_id AND z.period = fwd.period""")
+define("pooledprem", f"SELECT period, unnest(['ep', 'dy', 'size', 'nim', 'fiy']) AS factor, unnest([ep, dy, size, nim, fiy]) AS coef FROM ({_ols_sql('SELECT * FROM pooled', 'period', 'fwd1', FIVE, 6)})")
+
+
+@query(_NW.replace("premia", "pooledprem"), "mean_coef nw_se t_stat", 4)
 def v9_pooled_fama_macbeth(spark, d):
-    names = ["ep", "dy", "size", "nim", "fiy"]
     rows = validate.pooled_design(design(spark, d), masks())
-    return validate.newey_west(validate.premia(validate.fama_macbeth(rows, "fwd1", names), names), ["factor"])
+    return validate.newey_west(validate.premia(validate.fama_macbeth(rows, "fwd1", FIVE), FIVE), ["factor"])
+
+
+@query("""WITH m AS (SELECT z.stock_id, z.period, ep, size, mkt FROM zscores z JOIN qbeta q ON z.stock_id = q.stock_id AND z.period = q.q WHERE mkt IS NOT NULL AND ep IS NOT NULL AND size IS NOT NULL),
+          s AS (SELECT period, avg(ep) AS my, avg(mkt) AS ma, avg(size) AS mb, var_pop(mkt) AS aa, var_pop(size) AS bb, covar_pop(mkt, size) AS ab, covar_pop(ep, mkt) AS ya, covar_pop(ep, size) AS yb, count(*) AS n FROM m GROUP BY 1)
+          SELECT stock_id, m.period, ep - my - (ya * bb - yb * ab) / (aa * bb - ab * ab) * (mkt - ma) - (yb * aa - ya * ab) / (aa * bb - ab * ab) * (size - mb) AS ep FROM m JOIN s USING (period) WHERE n >= 8""", "ep", 5)
+def p13_design_residuals(spark, d):
+    loadings = quarter_beta(spark, d).join(zscores(spark, d).select("stock_id", "period", "size"), ["stock_id", "period"])
+    names = regress.design_columns(loadings)
+    rows = zscores(spark, d).select("stock_id", "period", "ep").join(loadings, ["stock_id", "period"]).dropna(subset=["ep", *names])
+    rows = rows.withColumn("n", F.count("*").over(W.partitionBy("period"))).where("n >= 8")
+    return regress.residuals(rows, ["period"], ["ep"], names).select("stock_id", "period", "ep")
 
 
 @query("SELECT period, factor, coef FROM premia", "coef", 5)
@@ -152,8 +185,17 @@ def v13_representatives(spark, d):
     return validate.representatives(members, "has", "mean_coef")
 
 
+@query(f"""WITH c AS ({_REACH}), i AS (SELECT factor, avg(ic) / nullif(stddev_samp(ic), 0) AS ir FROM icser WHERE lag = 1 GROUP BY 1), m AS (SELECT cluster, node AS factor, ir FROM c LEFT JOIN i ON i.factor = c.node)
+           SELECT cluster, factor FROM m QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY ir IS NOT NULL DESC, abs(ir) DESC NULLS LAST, factor) = 1""")
+def v13_best_ir(spark, d):
+    ir = validate.information_ratio(validate.rank_ic(zscores(spark, d), forward(spark, d), STYLE, (1,))).select(F.col("factor").alias("node"), "ir")
+    members = factor_clusters(spark, d).join(ir, "node", "left").select("cluster", F.col("node").alias("factor"), "ir")
+    return validate.best_ir(members)
+
+
 def lasso_panel(spark, d) -> DataFrame:
-    return design(spark, d).withColumn("sub_universe", F.when(F.col("industry") == "bank", "bank").otherwise("insurance"))
+    rows = validate.pooled_design(design(spark, d), masks())
+    return rows.withColumn("sub_universe", F.when(F.col("industry") == "bank", "bank").otherwise("insurance"))
 
 
 @query()
@@ -169,30 +211,54 @@ def schedule(spark, first: str, last: str, months: int) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}', interval {months} months)) AS cutoff")
 
 
-def scorecard(spark, d) -> DataFrame:
-    z, fwd = zscores(spark, d), forward(spark, d)
-    filled = w.fill_median(z, {x: F.lit(True) for x in STYLE})
-    pairs = validate.average_correlation(filled, STYLE, 0.3, cutoffs(spark)).where("redundant").select("cutoff", "a", "b")
-    ic = validate.rank_ic(z, fwd, STYLE, (1,))
-    coefs = validate.premia(validate.fama_macbeth(z.join(fwd, ["stock_id", "period"]), "fwd1", STYLE), STYLE)
-    return validate.select_factors(ic, coefs, cutoffs(spark), pairs, 0.1, 1.0, lasso_panel(spark, d), "fwd1", STYLE)
+def scorecard(spark, d, train: int = 60) -> DataFrame:
+    """The three-step selection over all style factors and the market beta, which bypasses the lasso, at each cutoff."""
+    z, fwd, cut = zscores(spark, d), forward(spark, d), cutoffs(spark)
+    pairs = validate.average_correlation(w.fill_median(z, masks()), FIVE, 0.3, cut, train).where("redundant").select("cutoff", "a", "b")
+    both = z.join(quarter_beta(spark, d).select("stock_id", "period", F.col("mkt").alias("beta")), ["stock_id", "period"], "left")
+    ic = validate.rank_ic(both, fwd, [*FIVE, "beta"], (1,))
+    panel = materialize(lasso_panel(spark, d), "selection-panel")
+    coefs = validate.premia(validate.fama_macbeth(panel, "fwd1", FIVE), FIVE)
+    return validate.select_factors(ic, coefs, cut, pairs, 0.1, 1.0, panel, "fwd1", FIVE, 3, train)
 
 
 @query()
 def v16_selection(spark, d):
-    return scorecard(spark, d)
+    return validate.scorecard_order(scorecard(spark, d))
 
 
-@query()
+def _swept_sql(src: str, columns: list[str], rounds: int = 120) -> str:
+    """Both fixed effects swept out by turns, far past convergence."""
+    by = lambda key: ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {key}) AS {c}" for c in columns)
+    return f"""WITH RECURSIVE it AS (SELECT 0 AS step, stock_id, period, {", ".join(columns)} FROM ({src}) UNION ALL
+       SELECT step + 1, stock_id, period, {by("period")} FROM (SELECT step, stock_id, period, {by("stock_id")} FROM it WHERE step < {rounds}))
+       SELECT stock_id, period, {", ".join(columns)} FROM it WHERE step = {rounds}"""
+
+
+_DID = "SELECT stock_id, period, ret_wins AS y, (stock_id % 2 = 0 AND period >= DATE '1998-01-01')::int::double AS d FROM periodic WHERE ret_wins IS NOT NULL"
+
+
+@query(f"""WITH w AS ({_swept_sql(_DID, ["y", "d"])}), o AS (SELECT sum(y * d) / sum(d * d) AS beta, sum(d * d) AS xx, count(*) AS n FROM w),
+  c AS (SELECT sum(d * (y - beta * d)) AS g FROM w, o GROUP BY stock_id)
+  SELECT any_value(beta) AS beta, sqrt(sum(g * g)) / any_value(xx) AS se, any_value(beta) / (sqrt(sum(g * g)) / any_value(xx)) AS t_stat, any_value(n) AS n FROM c, o""", "beta se t_stat")
 def v17_twfe_did(spark, d):
     rows = periodic(spark, d).withColumn("d", ((F.col("stock_id") % 2 == 0) & (F.col("period") >= "1998-01-01")).cast("double"))
     return ec.twfe(rows.select("stock_id", "period", F.col("ret_wins").alias("y"), "d"))
 
 
-@query()
+_STEPS = [k for k in range(-4, 5) if k != -1]
+_DUMMY = [f"t{k + 4}" for k in _STEPS]
+_REL = "greatest(least(floor(date_diff('day', DATE '1998-01-01', period) / 92), 4), -4)"
+_EVENT = f"SELECT stock_id, period, ret_wins AS y, {', '.join(f'(stock_id % 2 = 0 AND {_REL} = {k})::int::double AS {n}' for k, n in zip(_STEPS, _DUMMY, strict=True))} FROM periodic WHERE ret_wins IS NOT NULL"
+
+
+_EVENT_FIT = _ols_sql(f"SELECT 1 AS one, * FROM ({_swept_sql(_EVENT, ['y', *_DUMMY])})", "one", "y", _DUMMY, 1, const=False)
+
+
+@query(f"SELECT unnest({_STEPS}) AS step, unnest([{', '.join(_DUMMY)}]) AS effect, n FROM ({_EVENT_FIT})", "effect", 5)
 def v18_event_study(spark, d):
     rows = periodic(spark, d).withColumn("date", F.col("period"))
-    return ec.event_study(rows.select("stock_id", "period", "date", F.col("ret_wins").alias("y"), (F.col("stock_id") % 2 == 0).alias("treated")), "1998-01-01", 91, 4)
+    return ec.event_study(rows.select("stock_id", "period", "date", F.col("ret_wins").alias("y"), (F.col("stock_id") % 2 == 0).alias("treated")), "1998-01-01", 92, 4)
 
 
 _BAL = """SELECT stock_id, date_fundamental, (date_fundamental >= DATE '1998-01-01')::int AS post, loan_loss_provision / nullif(net_loans, 0) AS pr, losses / nullif(insurance_premium, 0) AS lr

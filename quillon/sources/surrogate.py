@@ -84,9 +84,24 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Further items per security and quarter, which a quarter of the securities do not report."""
+    quarter = F.trunc("date", "quarter")
+    sums = lines(spark, sf_dir).where("stock_id % 4 <> 1").groupBy("stock_id", quarter.alias("q")).agg(F.count("*").alias("n_lines"), F.round(F.max("qty"), 2).alias("top_quantity"))
+    return sums.select("stock_id", F.date_sub(F.add_months("q", 3), 1).alias("date_fundamental"), "n_lines", "top_quantity")
+
+
+def risk_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk-free rate by country and day, where it is known."""
+    days = lines(spark, sf_dir).select("date").distinct()
+    key = F.col("country_code")
+    known = fx_rates(spark, sf_dir).select("country_code").crossJoin(days).where(~((key == 3) & (F.col("date") < "1996-01-01")))  # countries by days
+    return known.withColumn("risk_free_rate", 0.00001 * (1 + key % 5))
+
+
 def zero_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five tenors per month and currency-like key, from order priorities."""
     o, c = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
     tenor = F.element_at(F.create_map(*[F.lit(x) for kv in (("1", "6M"), ("2", "12M"), ("3", "24M"), ("4", "60M"), ("5", "120M")) for x in kv]), F.substring("o_orderpriority", 1, 1))
     rows = o.join(c, o.o_custkey == c.c_custkey).select(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("date"), (F.col("c_nationkey") % 5).cast("long").alias("currency"), tenor.alias("tenor_description"), "o_totalprice")
-    return rows.groupBy("date", "currency", "tenor_description").agg(F.round(F.avg("o_totalprice") / 1e7, 8).alias("zero_rate"))
+    return rows.groupBy("date", "currency", "tenor_description").agg(F.round(F.avg("o_totalprice") / 1e7, 12).alias("zero_rate"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import clip, compound, finite, period_key, ratio, row_mean, tenor_years
 from quillon.operators import clean, curves, econometrics, factors, joins, metrics, portfolio, regress, resample, validate, windows
+from quillon.operators import computed  # noqa: F401 (registers the computed factors)
 from quillon.sources import catalog
 
 
@@ -130,6 +131,17 @@ def test_momentum_marks_total_losses(spark):
     assert got[day(7)] is None and got[day(12)] < 0 and got[day(20)] is not None
 
 
+def test_ema_counts_a_null_as_a_gap_and_bounds_its_frame(spark):
+    df = spark.createDataFrame([("k", 1, None), ("k", 2, 4.0), ("k", 3, 2.0), ("k", 4, None), ("k", 5, 8.0)], "k string, t long, x double")
+    assert rows(windows.ema(df, "x", ["k"], 0.5), "t", "ema") == sorted([(1, None), (2, 4.0), (3, 3.0), (4, None), (5, 8.0)], key=str)
+    x = np.random.default_rng(2).normal(size=300)
+    want = x[0]
+    for v in x[1:]:
+        want = 0.5 * want + 0.5 * v
+    long = spark.createDataFrame([("k", t, float(v)) for t, v in enumerate(x)], "k string, t long, x double")
+    assert windows.ema(long, "x", ["k"], 0.5).where("t = 299").first().ema == pytest.approx(want)
+
+
 def test_ema_restarts_after_a_gap(spark):
     df = spark.createDataFrame([("k", t, float(t)) for t in (1, 2, 4, 5)], "k string, t long, x double")
     assert rows(windows.ema(df, "x", ["k"], 0.5), "t", "ema") == [(1, 1.0), (2, 1.5), (4, 4.0), (5, 4.5)]
@@ -178,6 +190,36 @@ def test_clusters_and_representatives(spark):
     assert rows(validate.representatives(members, "has", "v"), "cluster", "factor") == [(1, "y"), (2, "w")]
 
 
+def test_a_long_chain_is_one_cluster(spark):
+    n = 130
+    nodes = spark.createDataFrame([(f"{k:03d}",) for k in range(n)], "node string")
+    edges = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(n - 1)], "a string, b string")
+    assert {r.cluster for r in validate.clusters(nodes, edges).collect()} == {"000"}
+    with pytest.raises(RuntimeError):
+        validate.clusters(nodes, edges, rounds=1)
+
+
+def test_orders_picks_and_first_rows(spark):
+    card = spark.createDataFrame([("c", "a", False, 0.9, None), ("c", "b", True, None, 2.0), ("c", "d", True, -0.5, 1.0)], "cutoff string, factor string, selected boolean, ir_lag1 double, fm_t double")
+    assert [r.factor for r in validate.scorecard_order(card).orderBy("place").collect()] == ["d", "b", "a"]
+    df = spark.createDataFrame([("x", k, k % 7) for k in range(50)], "s string, k int, v int")
+    once = [tuple(r) for r in validate.reproducible_pick(df, ["k"], "seed", 3).collect()]
+    assert len(once) == 3 and once == [tuple(r) for r in validate.reproducible_pick(df.repartition(7), ["k"], "seed", 3).collect()]
+    assert rows(validate.first_rows(df, ["v"], ["k"]), "v", "k") == [(v, v) for v in range(7)]
+    assert rows(validate.best_rows(card, "cutoff", "fm_t"), "factor") == [("b",)]
+    m = spark.createDataFrame([(1, "x", 0.1), (1, "y", -0.3), (1, "z", None), (2, "w", None)], "cluster int, factor string, ir double")
+    assert rows(validate.best_ir(m), "cluster", "factor") == [(1, "y"), (2, "w")]
+
+
+def test_forward_returns_dispatch(spark):
+    df = spark.createDataFrame([("A", day(0), 0.1), ("A", day(91), 0.2)], "stock_id string, period date, r double")
+    assert rows(windows.forward_returns(df, "r", "periodic", None), "fwd1") == sorted([(0.2,), (None,)], key=str)
+    with pytest.raises(ValueError):
+        windows.forward_returns(df, "r", "daily", None)
+    with pytest.raises(ValueError):
+        windows.forward_returns(df, "r", "weekly", None)
+
+
 def test_selection_drops_the_weaker_clone(spark):
     periods = [dt.date(2000 + k // 4, 1 + 3 * (k % 4), 1) for k in range(24)]
     rng = np.random.default_rng(5)
@@ -226,10 +268,25 @@ def test_selection_runs_clusters_and_the_lasso_on_representatives(spark):
 def test_twfe_recovers_an_effect(spark):
     rng = np.random.default_rng(6)
     cells = [(f"s{i}", t, float(i + 0.3 * t + (2.0 if i % 2 and t >= 5 else 0) + rng.normal() * 0.01), float(i % 2 and t >= 5)) for i in range(20) for t in range(10)]
-    r = econometrics.twfe(spark.createDataFrame(cells, "stock_id string, period int, y double, d double"), rounds=2).first()
+    r = econometrics.twfe(spark.createDataFrame(cells, "stock_id string, period int, y double, d double")).first()
     assert r.beta == pytest.approx(2.0, abs=0.02) and r.t_stat > 50
 
 
+def test_both_fixed_effects_go_on_unbalanced_panels(spark):
+    rng = np.random.default_rng(9)
+    cells = [(f"s{i}", t, float(i * 3 + t * t + rng.normal()), float(rng.normal())) for i in range(25) for t in range(30) if rng.random() < 0.3 + 0.4 * (i % 2) or t == i]
+    cells += cells[:5]
+    df = spark.createDataFrame(cells, "stock_id string, period int, y double, d double")
+    i, t = (np.unique([c[k] for c in cells], return_inverse=True)[1] for k in (0, 1))
+    dummies = np.hstack([np.eye(i.max() + 1)[i], np.eye(t.max() + 1)[t]])
+    y, d = (np.array([c[k] for c in cells]) for k in (2, 3))
+    left = lambda v: v - dummies @ np.linalg.lstsq(dummies, v, rcond=None)[0]
+    got = econometrics.demean_two_ways(df, ["y", "d"])
+    assert got.columns == df.columns
+    assert np.allclose(sorted(r.y for r in got.collect()), sorted(left(y)), atol=1e-8)
+    assert econometrics.twfe(df).first().beta == pytest.approx(left(y) @ left(d) / (left(d) @ left(d)))
+
+
 def test_weights_follow_the_analytic_optimum(spark):
     df = spark.createDataFrame([("s", day(0), str(k), mu, 0.04, 0.001, 0.0) for k, mu in enumerate((0.01, -0.01, 0.0005, -0.0005))], "strategy_id string, period date, stock_id string, mu double, d double, c double, w0 double")
     got = {r.stock_id: r.w for r in portfolio.build_weights(df, 5.0, 1.0, 10.0).collect()}
@@ -244,6 +301,22 @@ def test_account_identities(spark):
     assert got[1].turnover == pytest.approx(1.0 - held) and (got[1].n_long, got[1].n_short) == (1, 0)
 
 
+def test_account_equals_the_recursion(spark):
+    rng = np.random.default_rng(12)
+    cells = [(s, day(91 * t), k, float(rng.normal()), float(max(rng.normal() * 0.1, -1)), 0.01, bool(rng.random() < 0.5)) for s in "ab" for t in range(12) for k in "uvwxyz" if rng.random() < 0.8]
+    cells += [("wiped", day(0), "u", 1.0, -1.0, 0.001, True), ("wiped", day(91), "u", 1.0, 0.5, 0.001, True)]
+    got = {(r.strategy_id, r.period): (r.net, r.turnover, r.tc) for r in portfolio.account(spark.createDataFrame(cells, "strategy_id string, period date, stock_id string, w double, r double, c double, voluntary boolean")).collect()}
+    for s in ("a", "b", "wiped"):
+        held = {}
+        for p in sorted({c[1] for c in cells if c[0] == s}):
+            rows = {c[2]: c for c in cells if c[0] == s and c[1] == p}
+            step = {k: abs((rows[k][3] if k in rows else 0) - held.get(k, 0)) for k in {*rows, *held}}
+            tc = sum(x * rows[k][5] for k, x in step.items() if k in rows and (rows[k][6] or rows[k][3]))
+            net = sum(c[3] * c[4] for c in rows.values()) - tc
+            assert got[s, p] == (pytest.approx(net), pytest.approx(sum(step.values())), pytest.approx(tc)), (s, p)
+            held = {k: c[3] * (1 + c[4]) / (1 + net) for k, c in rows.items()} if 1 + net > 1e-3 else {}
+
+
 def test_covariance_shrinks_correlations_alone(spark):
     x = np.random.default_rng(7).normal(size=(40, 2)) @ np.array([[1.0, 0.5], [0.0, 1.0]])
     df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)], "t long, a double, b double")
@@ -273,6 +346,23 @@ def test_metrics(spark):
     assert [r.hedged for r in metrics.hedged(h).collect()] == [None, pytest.approx(0.07)]
 
 
+def test_computed_factors_and_designs(spark, tmp_path):
+    assert {"TRV", "Momentum", "NIM~Level", "FIY~Slope", "Ret~Level", "Beta~MKT", "Beta~CTRY", "Beta~IND (B)", "Beta~IND (I)"} <= {n for n, f in factors.REGISTRY.items() if f.compute}
+    market = spark.createDataFrame([(f"s{i}", dt.date(2000 + m // 12, 1 + m % 12, 5), "bank" if i % 2 else "insurance_pc", 100.0 + i, 0.01 * ((m * (i + 1)) % 7 - 3), True) for i in range(4) for m in range(30)], "stock_id string, date date, industry string, mcap_usd double, excess_return double, tradeable boolean")
+    got = factors.factor_frames({"sector": market.withColumn("net_interest_margin", F.lit(0.1)), "market": market}, ["NIM", "Beta~MKT", "Beta~IND (B)"])
+    assert got.columns == ["stock_id", "date", "industry", "NIM", "Beta~MKT", "Beta~IND (B)"] and got.count() == market.count()
+    assert got.where("`Beta~MKT` is not null").count() > 0 and got.where("industry <> 'bank' and (`Beta~IND (B)` is not null or NIM is not null)").count() == 0
+    with pytest.raises(ValueError):
+        factors.factor_frames({"sector": market}, ["Beta~MKT"])
+    assert regress.design_columns(market.select("stock_id", "date", "mcap_usd")) == ["mcap_usd"]
+    with pytest.raises(ValueError):
+        regress.design_columns(market.select("stock_id", "date"))
+    tables = catalog.load_all(spark, {"m": catalog.write_artifact(market, str(tmp_path), "m").inputFiles()[0]}, views=True)
+    assert spark.table("m").count() == tables["m"].count()
+    grid = {"a": [1, 2], "b": [3, 4, 5]}
+    assert [portfolio.knob_grid(spark, grid, x).count() for x in ("full", "one_at_a_time", "baseline")] == [6, 4, 1]
+
+
 def test_registry_and_catalog(spark, tmp_path):
     assert factors.REGISTRY["NIM"].universe == "bank" and "E/P" in factors.applicable("insurance", ["E/P", "NIM", "B/P"]) and "NIM" not in factors.applicable("insurance", ["NIM"])
     with pytest.raises(ValueError):
