@@ -2,8 +2,9 @@
 
 A benchmark item is a set of windows of ``window`` consecutive words. A document holds a window only if it
 holds each of its words, so under containment one word is the necessary prefix: the window's rarest word by the
-corpus's own counts. Documents are joined on that word alone; a match's start and end must lie within
-the document (length and positional bounds), and the words in between must equal the window.
+corpus's own counts. Documents' words are joined on that word alone, without their texts; a match's start and end must lie
+within the document (length and positional bounds) and the words on either side must fit. Texts with a candidate are
+then fetched once each, and the words in between must equal the window.
 """
 
 from __future__ import annotations
@@ -11,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, ascii_lower, materialize
+from quillon.llm.common import WORD, ascii_lower, materialize, packed, unpacked
 
 WINDOW = 10
 #: Broadcast the windows only up to so many of them; beyond, Spark joins by a shuffle on the prefix word.
 BROADCAST_WINDOWS = 200_000
+#: Broadcast what is found of texts only up to so many texts; beyond, it is joined by a shuffle on their digest.
+BROADCAST_TEXTS = 100_000
+#: In a shuffle, words and texts that occur more often than this, and more than a 2,000th of all, are dealt over SALTS tasks.
+HOT, SALTS = 100_000, 64
 
 
 def words(text: Column) -> Column:
@@ -30,38 +35,70 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return item.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("win")).distinct()
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Rows (``doc_id``, ``content``, ``start``, ``n``, ``win_id``) of every occurrence, and (``win_id``, ``item``).
+def _content(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row for each distinct text that holds a window: ``content`` (its digest), ``spans`` (sorted starts and ends) and ``items``.
 
     Words are joined by ``lower``, which merges more than A-Z; what the join finds is then compared exactly.
     """
-    spark = docs.sparkSession
-    pairs = materialize(item_windows(benchmark, window).withColumn("win_id", F.xxhash64("win")), "bench-windows")
-    distinct = pairs.select("win_id", "win").distinct()
-    small = distinct.count() <= BROADCAST_WINDOWS
+    pairs = item_windows(benchmark, window).withColumn("win", F.array_join("win", " ")).withColumn("n", F.size(F.split("win", " ")))
+    pairs = pairs.groupBy("win", "n").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    pairs = materialize(pairs, "bench-windows")
+    small = pairs.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda df: df)
-    vocabulary = distinct.select(F.explode("win").alias("word")).select(F.lower("word").alias("word")).distinct()
-    text = docs.select(F.col("doc_id"), F.xxhash64("text").alias("content"), words(F.col("text")).alias("w"))
+    vocabulary = pairs.select(F.explode(F.split("win", " ")).alias("word")).select(F.lower("word").alias("word")).distinct()
+    listed = docs.select(_content(F.col("text")).alias("content"), words(F.col("text")).alias("w"))
     # How common each benchmark word is in the whole corpus.
-    seen = text.select(F.explode("w").alias("word")).select(F.lower("word").alias("word")).join(hint(vocabulary), "word").groupBy("word").agg(F.count("*").alias("freq"))
+    said = listed.select(F.explode("w").alias("word")).select(F.lower("word").alias("word"))
+    count = lambda df: df.groupBy("word").agg(F.count("*").alias("freq"))
+    seen = count(said.join(F.broadcast(vocabulary), "word")) if small else count(said).join(vocabulary, "word")
     rarity = materialize(vocabulary.join(seen, "word", "left").select("word", F.coalesce("freq", F.lit(0)).alias("freq")), "bench-rarity")
+    at = lambda k: F.lower(F.try_element_at(F.split("win", " "), (F.col("p.at") + 1 + k).cast("int")))
     prefix = (
-        distinct.select("win_id", "win", F.posexplode("win").alias("at", "word")).withColumn("word", F.lower("word")).join(rarity, "word")
-        .groupBy("win_id", "win").agg(F.min(F.struct("freq", "word", "at")).alias("p"))
-        .select("win_id", F.array_join("win", " ").alias("win"), F.size("win").alias("n"), F.col("p.word").alias("word"), F.col("p.at").alias("at"))
+        pairs.select("win", "n", F.posexplode(F.split("win", " ")).alias("at", "word")).withColumn("word", F.lower("word")).join(rarity, "word")
+        .groupBy("win", "n").agg(F.min(F.struct("freq", "word", "at")).alias("p"))
+        .select("win", "n", F.col("p.word").alias("word"), F.col("p.freq").alias("freq"), F.col("p.at").alias("at"), F.when(F.col("p.at") > 0, at(-1)).alias("left"), at(1).alias("right"))
     )
     prefix = materialize(prefix, "bench-prefix")
+    # Each word with its place and neighbours; the array of words itself goes no further.
+    near = F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.lower(x).alias("word"), F.when(i > 0, F.try_element_at("w", i)).alias("before"), F.try_element_at("w", i + 2).alias("after")))
+    placed = listed.select("content", F.size("w").alias("words"), F.explode(near).alias("x")).select("content", "words", "x.*")
+    if not small:
+        total = rarity.agg(F.sum("freq")).first()[0] or 0
+        common = prefix.where(F.col("freq") > max(HOT, total // 2000)).select("word").distinct().withColumn("hot", F.lit(True))  # 2,000 words at most
+        salted = placed.join(F.broadcast(common), "word", "left")
+        placed = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("content", "pos"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        prefix = prefix.join(F.broadcast(common), "word", "left").withColumn("salt", F.explode(salts)).drop("hot")
     start = F.col("pos") - F.col("at")
-    # Candidates end their stage before the exact comparison: generated code stays small, and so does what compiling it takes.
-    candidates = (
-        text.select("doc_id", "content", "w", F.posexplode("w").alias("pos", "word")).withColumn("word", F.lower("word"))
-        .join(hint(prefix), "word")
-        .where((start >= 0) & (start + F.col("n") <= F.size("w")))
-        .select("doc_id", "content", start.alias("start"), "n", "win_id", "win", F.array_join(F.slice("w", start + 1, F.col("n")), " ").alias("got"))
-    )
-    candidates = materialize(candidates, "bench-candidates")
-    found = candidates.where(ascii_lower(F.col("got")) == F.col("win")).select("doc_id", "content", "start", "n", "win_id")
-    return found, pairs.select("win_id", "item")
+    fits = (start >= 0) & (start + F.col("n") <= F.col("words"))
+    for mine, its in (("left", "before"), ("right", "after")):
+        fits = fits & (F.col(mine).isNull() | (F.lower(its) == F.col(mine)))
+    met = placed.join(hint(prefix), ["word"] if small else ["word", "salt"]).where(fits).select("content", F.struct(start.alias("start"), "n", "win").alias("c")).distinct()
+    # A text's candidates are fewer than its words times the windows that share a prefix and its neighbours.
+    candidates = materialize(met.groupBy("content").agg(F.collect_list("c").alias("c")), "bench-candidates")
+    holders = _attach(docs.select("text", _content(F.col("text")).alias("_content")), candidates, "inner").dropDuplicates(["content"])
+    again = holders.select("content", "c", words(F.col("text")).alias("w"))
+    same = lambda c: ascii_lower(F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ")) == c["win"]
+    found = again.select("content", F.explode(F.filter("c", same)).alias("c")).select("content", "c.*")
+    found = found.join(hint(pairs.select("win", "items")), "win")
+    spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
+    return materialize(found.groupBy("content").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")), "bench-found")
+
+
+def _attach(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Joins what is known of texts to ``docs`` by their digest ``_content``: by broadcast if it is small, else by a shuffle that deals frequent texts over tasks."""
+    if found.count() <= BROADCAST_TEXTS:
+        return docs.join(F.broadcast(found), F.col("_content") == F.col("content"), how)
+    many = docs.groupBy("_content").agg(F.count("*").alias("n"))
+    limit = max(HOT, (many.agg(F.sum("n")).first()[0] or 0) // 2000)
+    hot = materialize(many.where(F.col("n") > limit).select(F.col("_content").alias("hot")), "bench-hot")  # 2,000 texts at most
+    told = found.join(F.broadcast(hot), F.col("content") == F.col("hot"), "left_semi")
+    rest = docs.join(F.broadcast(hot), F.col("_content") == F.col("hot"), "left_anti").join(found, F.col("_content") == F.col("content"), how)
+    return rest.unionByName(docs.join(F.broadcast(hot), F.col("_content") == F.col("hot"), "left_semi").join(F.broadcast(told), F.col("_content") == F.col("content"), how))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -71,25 +108,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     the window is one window by itself. Repeated rows give repeated results, null ids are kept, other columns
     play no part; an empty benchmark leaves every document clean.
     """
-    found, items = occurrences(docs, benchmark, window)
-    found = materialize(found, "bench-found")
-    key = ["doc_id", "content"]
-    spans = found.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("n")).alias("end")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    found = occurrences(docs, benchmark, window)
     none = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("hit"))
     union = F.aggregate("spans", none, lambda a, s: F.struct(F.greatest(a["to"], s["end"]).alias("to"), (a["hit"] + F.greatest(s["end"] - F.greatest(s["start"], a["to"]), F.lit(0))).cast("long").alias("hit")))
-    met = (
-        found.select(*key, "win_id").distinct().join(items, "win_id").groupBy(*key)
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
-        .select(F.col("doc_id").alias("d"), F.col("content").alias("c"), "items")
-    )
-    hits = (
-        spans.select(*key, union["hit"].alias("n_hit"))
-        .join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")))
-        .select("d", "c", "n_hit", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("joined"))
-    )
-    text = docs.select("doc_id", F.xxhash64("text").alias("content"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    hits = found.select("content", union["hit"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("joined"))
+    text = docs.select("doc_id", _content(F.col("text")).alias("_content"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
-    return text.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")), "left").select(
+    return _attach(text, hits, "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.sha2(F.coalesce("joined", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
     )
@@ -97,6 +122,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold an occurrence of a benchmark window; all columns stay as they are."""
-    found, _ = occurrences(docs, benchmark, window)
-    bad = materialize(found.select("doc_id", "content").distinct(), "bench-bad").select(F.col("doc_id").alias("_bad_id"), F.col("content").alias("_bad_text"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_text")), "left_anti")
+    bad = occurrences(docs, benchmark, window).select("content")
+    return unpacked(_attach(docs.select(packed(docs), _content(F.col("text")).alias("_content")), bad, "left_anti"))

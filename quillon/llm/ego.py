@@ -2,9 +2,9 @@
 
 Vectors of one label, scaled to length 1, are sorted by the grid cells (of width epsilon) of their coordinates on
 leading principal axes, and the sequence is cut into intervals. An interval knows the box around its
-coordinates; two intervals whose boxes are further apart than epsilon hold no link. Long intervals are joined
-first, what is left of them block by block, and blocks in a task again by halves, down to small leaves, which are
-compared in double precision. Equal vectors are one representative with a count, so copies never meet in pairs.
+coordinates; two intervals whose boxes are further apart than epsilon hold no link. Pairs of long intervals are split
+into pairs of shorter ones, level by level down to blocks, and blocks in a task again by halves, down to small leaves,
+which are compared in double precision. Equal vectors are one representative with a count, so copies never meet in pairs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bound_batches, connected_components, materialize
@@ -22,7 +23,7 @@ from quillon.llm.common import bound_batches, connected_components, materialize
 COSINE = 0.93
 #: The axes are fitted on so many vectors at most (those of the smallest hashed ids); they steer pruning alone.
 FIT_VECTORS, AXES = 4096, 8
-BLOCK, LEAF, SUPER = 1024, 128, 32
+BLOCK, LEAF, FAN = 1024, 128, 32
 
 
 def _whole() -> Column:
@@ -68,14 +69,20 @@ def _coordinates(unit: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
 def _grid(axes: dict[int, np.ndarray], eps: float):
     def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [np.floor(_coordinates(_scaled(np.array([v])), axes)[0] / eps).astype(int) for v in batch.column(2).to_pylist()]
-            order = pa.array([[int(c) for c in x] for x in cells], pa.list_(pa.int32()))
+            vectors = batch.column(2)
+            lengths, at = vectors.value_lengths().to_numpy(), vectors.offsets.to_numpy()
+            flat = vectors.values.to_numpy()
+            cells = np.zeros((batch.num_rows, AXES), dtype=np.int32)
+            for n in np.unique(lengths):  # nearly always one length
+                own = np.flatnonzero(lengths == n)
+                cells[own] = np.floor(_coordinates(_scaled(flat[at[own][:, None] + np.arange(n)]), axes) / eps)
+            order = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * AXES, pa.int32()), pa.array(cells.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, order], ["grp", "rep", "v", "n", "cell"])
 
     return grid
 
 
-BLOCKS = "grp string, blk long, lo array<double>, hi array<double>, reps array<long>, counts array<long>, v array<double>"
+BLOCKS = "grp string, part int, blk long, lo array<double>, hi array<double>, reps array<long>, counts array<long>, v array<double>"
 
 
 def _blocks(axes: dict[int, np.ndarray]):
@@ -85,13 +92,13 @@ def _blocks(axes: dict[int, np.ndarray]):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        blk = (context.partitionId() if context else 0) << 32
+        part, blk = context.partitionId() if context else 0, 0
         held: list[tuple] = []
 
         def block() -> pa.RecordBatch:
             x = _coordinates(_scaled(np.array([h[2] for h in held])), axes)
-            row = {"grp": held[0][0], "blk": blk, "lo": x.min(axis=0).tolist(), "hi": x.max(axis=0).tolist(), "reps": [h[1] for h in held], "counts": [h[3] for h in held], "v": np.array([h[2] for h in held]).ravel().tolist()}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("grp", pa.string()), ("blk", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("reps", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("v", pa.list_(pa.float64()))]))
+            row = {"grp": held[0][0], "part": part, "blk": blk, "lo": x.min(axis=0).tolist(), "hi": x.max(axis=0).tolist(), "reps": [h[1] for h in held], "counts": [h[3] for h in held], "v": np.array([h[2] for h in held]).ravel().tolist()}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("grp", pa.string()), ("part", pa.int32()), ("blk", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("reps", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("v", pa.list_(pa.float64()))]))
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -111,18 +118,38 @@ def _near(a: str, b: str, eps: float):
     return F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps + 1e-9
 
 
+def numbered(blocks: DataFrame) -> DataFrame:
+    """Numbers the blocks through in the order of the sequence: those of earlier partitions come first."""
+    sizes = blocks.groupBy("part").agg(F.count("*").alias("n"))  # one row for each partition, 20,000 at most
+    ahead = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return blocks.join(F.broadcast(ahead), F.col("part") == F.col("p")).withColumn("blk", F.col("blk") + F.col("ahead")).drop("part", "p", "ahead")
+
+
 def block_pairs(boxes: DataFrame, eps: float) -> DataFrame:
-    """Pairs (``a``, ``b``), a <= b, of blocks of one group that may hold links: long intervals first, then the blocks of near ones."""
-    boxes = boxes.withColumn("sup", F.floor(F.col("blk") / SUPER))
-    # Element-wise bounds of the blocks of each long interval.
+    """Pairs (``a``, ``b``), a <= b, of blocks of one group that may hold links.
+
+    Intervals of FAN blocks, of FAN such intervals and so on have the boxes around theirs. From the longest, of which
+    a group has FAN at most, pairs of near intervals are split into the pairs of their parts, level by level,
+    so what is provably apart is dropped early and no task meets all pairs of a group.
+    """
     axis = lambda f, c, k: f(F.element_at(c, k))
-    supers = boxes.groupBy("grp", "sup").agg(
-        F.array(*[axis(F.min, "lo", k + 1) for k in range(AXES)]).alias("lo"), F.array(*[axis(F.max, "hi", k + 1) for k in range(AXES)]).alias("hi")
-    )
-    left, right = (supers.select("grp", F.col("sup").alias(f"{s}_sup"), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi")) for s in "ab")
-    near = left.join(right, "grp").where(F.col("a_sup") <= F.col("b_sup")).where(_near("a", "b", eps)).select("grp", "a_sup", "b_sup")
-    left, right = (boxes.select("grp", F.col("sup").alias(f"{s}_sup"), F.col("blk").alias(s), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi")) for s in "ab")
-    return near.join(left, ["grp", "a_sup"]).join(right, ["grp", "b_sup"]).where("a <= b").where(_near("a", "b", eps)).select("a", "b")
+    last = boxes.agg(F.max("blk")).first()[0] or 0
+    levels = [boxes.select("grp", F.col("blk").alias("node"), "lo", "hi")]
+    while last >= FAN:
+        last //= FAN
+        up = levels[-1].groupBy("grp", F.floor(F.col("node") / FAN).alias("node")).agg(
+            F.array(*[axis(F.min, "lo", k + 1) for k in range(AXES)]).alias("lo"), F.array(*[axis(F.max, "hi", k + 1) for k in range(AXES)]).alias("hi")
+        )
+        levels.append(materialize(up, "ego-level"))
+    side = lambda nodes, s: nodes.select("grp", F.floor(F.col("node") / FAN).alias(f"{s}_up"), F.col("node").alias(s), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"))
+    near = (F.col("a") <= F.col("b")) & _near("a", "b", eps)
+    top = levels.pop()
+    pairs = side(top, "a").drop("a_up").join(side(top, "b").drop("b_up"), "grp").where(near).select("grp", "a", "b")  # FAN nodes of a group at most
+    while levels:
+        nodes = levels.pop()
+        above = materialize(pairs.select("grp", F.col("a").alias("a_up"), F.col("b").alias("b_up")), "ego-pairs")
+        pairs = above.join(side(nodes, "a"), ["grp", "a_up"]).join(side(nodes, "b"), ["grp", "b_up"]).where(near).select("grp", "a", "b")
+    return pairs.select("a", "b")
 
 
 def _leaves(xa: np.ndarray, xb: np.ndarray, a: slice, b: slice, eps: float) -> Iterator[tuple[slice, slice]]:
@@ -220,10 +247,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     reps = materialize(good.groupBy("rep", "grp", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("low")), "ego-reps")
     n = reps.count()
     axes = fit_axes(reps)
-    gridded = reps.select("grp", "rep", "v", "n").mapInArrow(_grid(axes, eps), "grp string, rep long, v array<double>, n long, cell array<int>")
+    # Written once: sorting by ranges reads its input twice.
+    gridded = materialize(reps.select("grp", "rep", "v", "n").mapInArrow(_grid(axes, eps), "grp string, rep long, v array<double>, n long, cell array<int>"), "ego-grid")
     parts = max(1, min(n // (8 * BLOCK), 20_000))
     ordered = gridded.repartitionByRange(parts, "grp", "cell", "rep").sortWithinPartitions("grp", "cell", "rep")
-    blocks = materialize(ordered.select("grp", "rep", "v", "n").mapInArrow(_blocks(axes), BLOCKS), "ego-blocks")
+    blocks = numbered(materialize(ordered.select("grp", "rep", "v", "n").mapInArrow(_blocks(axes), BLOCKS), "ego-blocks"))
     pairs = block_pairs(blocks.select("grp", "blk", "lo", "hi"), eps)
     left, right = (blocks.select(F.col("blk").alias(s), F.col("reps").alias(f"{s}_reps"), F.col("counts").alias(f"{s}_counts"), F.col("v").alias(f"{s}_v")) for s in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_reps", "a_counts", "a_v", "b_reps", "b_counts", "b_v")

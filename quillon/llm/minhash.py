@@ -3,8 +3,9 @@
 A signature has one register per hash bucket: the leading-zero count of the bucket's smallest hash and the
 mantissa bits that follow it. Bands of registers find candidates; the collision-corrected Jaccard estimate
 drops hopeless ones; whatever is left is confirmed on whole shingle sets. Documents with equal sets are one
-class, so copies never meet in pairs. Within a band's bucket everyone is compared with the smallest member; what
-is not yet connected then is compared block by block, so no task holds a whole hot bucket.
+class, so copies never meet in pairs. Within a band's bucket everyone is compared with the smallest member. Where that
+leaves several components, a prefix filter over the rarest shingles drops members that can link to no other
+component; the rest of a bucket's smaller components meet all its members, block by block.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import TOKEN, bound_batches, connected_components, materialize
+from quillon.llm.common import TOKEN, bound_batches, connected_components, hot_keys, join_hot, materialize, packed, unpacked
 from quillon.llm.hashing import mix64, release, slices, word_hashes
 
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -159,8 +160,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_links(key: tuple, table: pa.Table) -> pa.Table:
-    """Links between members of two blocks of a bucket that earlier links do not connect yet; a spanning set of them."""
-    reps, comp, blk = table["rep"].to_numpy(), table["comp"].to_numpy(), table["blk"].to_numpy()
+    """Links between a block of a bucket's minority and a block of all its members, of components that are not one yet; a spanning set of them."""
+    reps, comp, minor = table["rep"].to_numpy(), table["comp"].to_numpy(), table["minor"].to_numpy(zero_copy_only=False)
     sets = [x.values.to_numpy() for x in table["sh"].combine_chunks()]
     parent = {c: c for c in set(comp.tolist())}
 
@@ -170,16 +171,15 @@ def _block_links(key: tuple, table: pa.Table) -> pa.Table:
         return c
 
     values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    size, at, found = np.array([len(x) for x in sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), []
+    owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(inverse, kind="stable")
     posting, starts = owner[order], np.searchsorted(inverse[order], np.arange(len(values) + 1))
-    size, at, found = np.array([len(x) for x in sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), []
-    for k in range(len(sets)):
+    for k in np.flatnonzero(minor):
         ids = inverse[at[k] : at[k + 1]]
         both = np.bincount(np.concatenate([posting[starts[i] : starts[i + 1]] for i in ids]), minlength=len(sets))
-        hit = np.flatnonzero((DEN * both >= NUM * (size + size[k] - both)) & (np.arange(len(sets)) > k))
-        for j in hit:
-            if (key[1].as_py() == key[2].as_py() or blk[j] != blk[k]) and (x := root(comp[k])) != (y := root(comp[j])):
+        for j in np.flatnonzero((DEN * both >= NUM * (size + size[k] - both)) & (comp != comp[k])):
+            if (x := root(comp[k])) != (y := root(comp[j])):
                 parent[max(x, y)] = min(x, y)
                 found.append((int(reps[k]), int(reps[j])))
     del sets, values, inverse, owner, order, posting
@@ -187,6 +187,19 @@ def _block_links(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
+def _may_cross(loose: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``rep`` of those rows of ``loose`` (rep, comp) that may link to another component.
+
+    Prefix filter: in order of rarity among these sets, two sets that link share one of their first n - ceil(0.75 n) + 1
+    shingles. A set whose prefix meets its own component only links to no other, whatever common passages it has.
+    """
+    each = loose.join(sets, "rep").select("rep", "comp", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    known = each.groupBy("s").agg(F.count("*").alias("f"), (F.min("comp") < F.max("comp")).alias("shared"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int")
+    ranked = each.join(known, "s").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s", "shared"))).alias("x"))
+    return ranked.where(F.exists(F.slice("x", 1, prefix), lambda x: x["shared"])).select("rep")
+
+
 def _key() -> Column:
     """What tells texts under one id apart."""
     return F.xxhash64(F.col("text").cast("binary"))
@@ -204,12 +217,14 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = classes.select(F.explode("bands").alias("band"), "rep")
     # Buckets with the same members need one look: their count, sum and smallest member tell them apart.
     buckets = rows.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("lead"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-    buckets = buckets.where("m > 1").groupBy("m", "lead", "who").agg(F.min("band").alias("band"))
-    members = materialize(rows.join(buckets.select("band", "lead", "m"), "band"), "near-members")
+    buckets = materialize(buckets.where("m > 1").groupBy("m", "lead", "who").agg(F.min("band").alias("band")).select("band", "lead", "m"), "near-buckets")
+    top = [r.band for r in buckets.where("m > 1000").orderBy(F.desc("m"), "band").limit(200).collect()]
+    members = materialize(join_hot(rows, buckets, "band", top), "near-members")
 
-    pairs = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = materialize(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    hubs = hot_keys(pairs, "a")
     regs = classes.select("rep", "reg", "n")
-    signed_pairs = pairs.join(regs.toDF("a", "reg_a", "n_a"), "a").join(regs.toDF("b", "reg_b", "n_b"), "b").select("a", "b", "reg_a", "reg_b", "n_a", "n_b")
+    signed_pairs = join_hot(pairs, regs.toDF("a", "reg_a", "n_a"), "a", hubs).join(regs.toDF("b", "reg_b", "n_b"), "b").select("a", "b", "reg_a", "reg_b", "n_a", "n_b")
     likely = materialize(signed_pairs.mapInArrow(_likely, "a long, b long"), "near-likely")
 
     # Full sets, of the classes that some comparison asks for only: one document of each.
@@ -221,17 +236,24 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = texts.mapInArrow(_sets, "rep long, sh array<long>")
     sets = materialize(sets.dropDuplicates(["rep"]), "near-sets")
 
-    linked = likely.join(sets.toDF("a", "sh_a"), "a").join(sets.toDF("b", "sh_b"), "b").select("a", "b", "sh_a", "sh_b")
+    linked = join_hot(likely, sets.toDF("a", "sh_a"), "a", hubs).join(sets.toDF("b", "sh_b"), "b").select("a", "b", "sh_a", "sh_b")
     links = materialize(linked.mapInArrow(_confirm, "a long, b long"), "near-links")
     comps = materialize(connected_components(links), "near-star")
 
     # Buckets of three and more whose members the comparisons with the smallest left apart.
-    state = members.where("m > 2").join(comps, F.col("rep") == F.col("node"), "left").select("band", "m", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = state.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    state = state.join(open_, "band").withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    state = state.select("band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "comp")
-    more = state.join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_block_links, "a long, b long")
+    state = members.where("m > 2").join(comps, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    split = lambda df: df.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    state = materialize(state.join(split(state), "band"), "near-open")
+    state = state.join(_may_cross(state.select("rep", "comp").distinct(), sets), "rep")
+    state = materialize(state.join(split(state), "band").select("band", "rep", "comp"), "near-loose")
+    # Each bucket's largest component needs no look at itself: the others, its minority, meet all members, block by block.
+    main = state.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("m"))
+    state = state.join(main, "band").withColumn("minor", F.col("comp") != F.col("main"))
+    down, across = (F.ceil(x / BLOCK).cast("int") for x in (F.col("m") - F.col("most"), F.col("m")))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cells = state.where("minor").withColumn("i", own(down)).withColumn("j", all_of(across)).unionByName(state.withColumn("minor", F.lit(False)).withColumn("j", own(across)).withColumn("i", all_of(down)))
+    more = cells.select("band", "i", "j", "rep", "comp", "minor").join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_block_links, "a long, b long")
     links = links.unionByName(materialize(more, "near-more"))
     comps = materialize(connected_components(links), "near-comps")
 
@@ -266,9 +288,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = materialize(linked.unionByName(blank).distinct(), "near-kept").toDF("_kept_id", "_kept_key")
 
     loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(TOKEN), F.lit(False))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key"))
-    rows = docs.where(~loose).withColumn("_key", _key()).join(kept, same, "left_semi")
+    rows = docs.where(~loose).select(packed(docs), F.col("doc_id").cast("long").alias("_id"), _key().alias("_key"))
+    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
     # Rows that repeat an id and a text differ in other columns at most.
-    first = W.partitionBy("doc_id", "_key").orderBy(F.xxhash64(*docs.columns))
-    rows = rows.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns)
-    return rows.unionByName(docs.where(loose))
+    first = W.partitionBy("_id", "_key").orderBy(F.xxhash64("_row"))
+    rows = rows.withColumn("_first", F.row_number().over(first)).where("_first = 1")
+    return unpacked(rows).unionByName(docs.where(loose))

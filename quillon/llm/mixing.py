@@ -1,9 +1,9 @@
 """Mixing sources to target weights over a multivariate-hypergeometric splitting tree (DataFrame operations only).
 
 Each source is a stream of words: its documents in a seeded permutation, repeated as often as its target asks. The
-stream is cut into blocks; a source's quota is its number of blocks. A binary tree over the output
+stream is cut into blocks of whole documents; a source's quota is its number of blocks. A binary tree over the output
 shards splits the vector of quotas: at each node the left half draws its share of blocks from all sources without
-replacement. Leaves own disjoint runs of each source's permuted blocks and order them by a seeded hash.
+replacement. Leaves own disjoint runs of each source's permuted blocks, take their documents, and shuffle them.
 Only the vector of sources (id, size, quota) and the tree pass through the driver; rows never do.
 """
 
@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import TOKEN, materialize
+from quillon.llm.common import TOKEN, materialize, packed, unpacked
 
 WEIGHTS, MAX_EPOCHS, SHARDS, BLOCK, SEED = (5.0, 2.0, 1.0), 3, 16, 4096, "mix-1"
+#: Words of an output shard (beyond the least number of shards), shards at most, and words that one task shuffles.
+LEAF, LEAVES, SLICE = 1 << 30, 4096, 1 << 26
 
 
 def n_words(text: Column) -> Column:
@@ -55,15 +57,14 @@ def split_quotas(quotas: list[int], shards: int, seed: str = SEED) -> np.ndarray
         if hi - lo == 1:
             out[lo] = left
             return
-        mid, total = (lo + hi) // 2, int(left.sum())
+        mid, rest = (lo + hi) // 2, int(left.sum())
         rng = np.random.default_rng([*seed.encode(), lo, hi])
-        draw = total * (mid - lo) // (hi - lo)
+        need = rest * (mid - lo) // (hi - lo)
         part = np.zeros_like(left)
-        rest = total
-        for k, q in enumerate(left):  # marginals one after the other give the multivariate draw
-            rest -= int(q)
-            need = draw - int(part[:k].sum())
-            part[k] = _hypergeometric(rng, int(q), rest, need)
+        for k, q in enumerate(left.tolist()):  # marginals one after the other give the multivariate draw
+            rest -= q
+            part[k] = _hypergeometric(rng, q, rest, need)
+            need -= int(part[k])
         split(lo, mid, part)
         split(mid, hi, left - part)
 
@@ -79,11 +80,17 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return int(rng.hypergeometric(good, bad, draws))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """``doc_id``, ``source``, ``key``, ``size``, ``source_size``, ``target``, ``copies`` and ``pieces`` of every row.
+def leaves(total: int, least: int = SHARDS) -> int:
+    """Output shards for so many words: ``least``, or one for each LEAF words, LEAVES at most."""
+    return max(least, min(LEAVES, -(-total // LEAF)))
 
-    ``copies`` has the words each pass over the source takes of the row; ``pieces`` says where
-    they go: pass, first word, words, shard, and the order within the shard. A null or empty text has size 0
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int | None = None, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """``doc_id``, ``source``, ``key``, ``size``, ``source_size``, ``target`` and ``pieces`` of every row.
+
+    ``pieces`` has one entry for each pass over the source that takes words of the row: pass, words, the block it
+    belongs to (that of its first word in the source's stream), the shard whose draw holds that block, and the
+    block's order within the shard. What no shard has drawn is not taken. A null or empty text has size 0
     and no pieces; a null source is a source and sorts last; repeated rows are documents of their own; sources
     without words have target 0. Results depend on the rows and the seed alone. Other columns play no part.
     """
@@ -91,8 +98,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
     rows = materialize(rows.withColumn("bucket", F.substring("key", 1, 3)), "mix-rows")
     buckets = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
     goal = materialize(targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs), "mix-targets")
-    per = goal.select("source", F.ceil(F.round("target") / block).cast("long").alias("quota")).orderBy(F.col("source").asc_nulls_last()).collect()  # one row per source
-    dealt = split_quotas([r.quota for r in per], shards, seed).cumsum(axis=0) if per else np.zeros((shards, 0), dtype=np.int64)
+    per = goal.select("source", "source_size", F.ceil(F.round("target") / block).cast("long").alias("quota")).orderBy(F.col("source").asc_nulls_last()).collect()  # one row per source
+    n_shards = shards or leaves(sum(r.source_size for r in per))
+    dealt = split_quotas([r.quota for r in per], n_shards, seed).cumsum(axis=0) if per else np.zeros((n_shards, 0), dtype=np.int64)
     ends = docs.sparkSession.createDataFrame([(r.source, [int(x) for x in dealt[:, k]]) for k, r in enumerate(per)], "src string, ends array<long>")
     plan = goal.join(ends, F.col("source").eqNullSafe(F.col("src"))).select("src", "source_size", "target", "ends")
     ahead = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -101,28 +109,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
     placed = (
         rows.withColumn("within", within)
         .join(start, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        .join(F.broadcast(plan) if len(per) <= 100_000 else plan, F.col("source").eqNullSafe(F.col("src")))
+        .join(F.broadcast(plan) if len(per) <= 10_000 else plan, F.col("source").eqNullSafe(F.col("src")))
         .withColumn("at", F.col("ahead") + F.col("within"))
         .withColumn("asked", F.round("target").cast("long"))
     )
-    took = lambda e: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("asked") - F.col("at") - e * F.col("source_size")))
-    copies = F.transform(F.array(*[F.lit(e).cast("long") for e in range(max_epochs)]), took)
+    zero = F.lit(0).cast("long")
 
-    def pieces_of(n: Column, epoch: Column) -> Column:
+    def piece(epoch: Column) -> Column:
         first = epoch * F.col("source_size") + F.col("at")
-        blocks = F.when(n > 0, F.sequence(F.floor(first / block), F.floor((first + n - 1) / block))).otherwise(F.array().cast("array<bigint>"))
-
-        def piece(b: Column) -> Column:
-            lo, hi = F.greatest(b * block, first), F.least((b + 1) * block, first + n)
-            return F.struct(
-                epoch.cast("int").alias("epoch"), (lo - first).cast("long").alias("start"), (hi - lo).cast("long").alias("n"),
-                F.size(F.filter("ends", lambda end: end <= b)).cast("int").alias("shard"), F.xxhash64(F.lit(seed), F.col("source"), b).alias("order"),
-            )
-
-        return F.transform(blocks, piece)
+        own = F.floor(first / block)
+        return F.struct(
+            epoch.cast("int").alias("epoch"), F.greatest(zero, F.least(F.col("size"), F.col("asked") - first)).cast("long").alias("n"), own.alias("block"),
+            F.size(F.filter("ends", lambda end: end <= own)).cast("int").alias("shard"), F.xxhash64(F.lit(seed), F.col("source"), own).alias("order"),
+        )
 
-    pieces = F.flatten(F.transform("copies", pieces_of))
-    return placed.withColumn("copies", copies).select("doc_id", "source", "key", "size", "source_size", "target", "copies", pieces.alias("pieces"))
+    passes = F.transform(F.array(*[F.lit(e).cast("long") for e in range(max_epochs)]), piece)
+    pieces = F.filter(passes, lambda p: (p["n"] > 0) & (p["shard"] < F.size("ends")))
+    return placed.withColumn("pieces", pieces).select("doc_id", "source", "key", "size", "source_size", "target", "pieces")
 
 
 def taken(mixed: DataFrame) -> DataFrame:
@@ -131,18 +134,34 @@ def taken(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round(F.col("target"), 6).alias("target"), words.alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each pass that takes words of a row.
+def draw_shards(docs: DataFrame, **options) -> DataFrame:
+    """The mix as its shards hold it: ``shard``, ``order`` (the block's place in it), ``epoch``, ``n``, and ``_row``, the document's row.
 
-    The one document of a source at which the stream ends may be taken in part: its first words, with the white
-    space between them. Columns are those of ``docs``; ``n_chars``, if there, follows the text. Of rows that
-    agree in id, source and text, the further columns of one stand for all.
+    Each shard's blocks are drawn and shuffled locally: rows are partitioned by shard (a large shard by slices of its
+    order as well) and sorted by block, then by a digest of their own, within. The one document of a source at which the
+    stream ends may be taken in part: its first words, with the white space between them; ``n_chars``, if there, follows
+    the text. Of rows that agree in id, source and text, the further columns of one stand for all.
     """
-    takes = mix(docs, **options).select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.explode("copies").alias("_n")).where("_n > 0")
     seed = options.get("seed", SEED)
-    rows = docs.withColumn("_key", permutation_key(seed)).join(takes.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + TOKEN), F.lit(0)), 1, F.col("_n").cast("int")), "")
-    out = rows.join(takes, "_key").withColumn("text", F.when(F.col("_n") >= F.col("_size"), F.col("text")).otherwise(part))
+    mixed = mix(docs, **options).select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.explode("pieces").alias("_p"))
+    takes = mixed.select("_key", "_size", F.col("_p.n").alias("_n"), F.col("_p.shard").alias("_shard"), F.col("_p.order").alias("_order"), F.col("_p.epoch").alias("_epoch"))
+    takes = materialize(takes, "mix-takes")
+    words, top = takes.agg(F.sum("_n"), F.max("_shard")).first()
+    slices = max(1, -(-(words or 0) // ((top or 0) + 1) // SLICE))
+    rows = docs.select(packed(docs), permutation_key(seed).alias("_key"))
+    rows = rows.join(takes.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    text = F.col("_row.text")
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + TOKEN), F.lit(0)), 1, F.col("_n").cast("int")), "")
+    cut = F.when(F.col("_n") >= F.col("_size"), text).otherwise(part)
+    out = rows.join(takes, "_key").withColumn("_row", F.col("_row").withField("text", cut))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("_row", F.col("_row").withField("n_chars", F.length("_row.text").cast(docs.schema["n_chars"].dataType)))
+    slice_ = F.pmod(F.col("_order"), F.lit(slices)).cast("int")
+    out = out.repartitionById(((top or 0) + 1) * slices, F.col("_shard") * slices + slice_)
+    out = out.sortWithinPartitions("_shard", "_order", F.xxhash64(F.lit(seed), "_epoch", "_key"))
+    return out.select(F.col("_shard").alias("shard"), F.col("_order").alias("order"), F.col("_epoch").alias("epoch"), F.col("_n").alias("n"), "_row")
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the shards of the mix hold them, in their order: a row for each pass that takes words of a row. Columns are those of ``docs``."""
+    return unpacked(draw_shards(docs, **options))

@@ -1,8 +1,8 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 A document has two kinds of evidence. Its text gives logits of being low in quality and of being toxic, from logistic
-regressions over surface measures and a learnt lexicon. Its site gives posteriors of the same two rates: those of
-the path (source and language) shrink toward those of the host (source), which shrink toward the
+regressions over surface measures and a learnt lexicon. Its site's other documents give posteriors of the same two
+rates: those of the path (source and language) shrink toward those of the host (source), which shrink toward the
 global rate, each by a prior strength that the spread between hosts or paths sets. The two are added as logits.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import TOKEN, bound_batches, materialize
+from quillon.llm.common import TOKEN, bound_batches, materialize, packed, unpacked
 
 #: The text classifier is fitted on so many labelled rows at most, those of the smallest hashed ids.
 FIT_ROWS = 20_000
@@ -24,6 +24,8 @@ LEXICON, LEAST, SHARE = 2000, 3, 1 / 2500
 TRAITS = ("low", "toxic")
 #: Site tables of up to so many paths are broadcast; larger ones are joined by a shuffle.
 BROADCAST_PATHS = 50_000
+#: Labels are broadcast up to so many ids.
+BROADCAST_LABELS = 200_000
 REJECT = 0.5
 
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b"#$%&*+=^~@|\\/_<>{}[]", b".,;:", b"\n", b" \t\r")
@@ -133,7 +135,7 @@ def _strength(mean: Column, spread: Column, noise: Column) -> Column:
 
 
 def sites(scored: DataFrame) -> DataFrame:
-    """Adjustments in logits, ``adjust_low`` and ``adjust_toxic``, by ``source`` and ``lang``.
+    """What is known of sites: sums of each trait by ``source`` and ``lang``, by source, and of all, with the prior strengths.
 
     ``scored`` has a rate of 0 to 1 for each trait in every row: its label if it has one, else its probability by text. Sums
     by path roll up to hosts and to all, so rows are grouped once, with partial sums before the shuffle.
@@ -152,12 +154,22 @@ def sites(scored: DataFrame) -> DataFrame:
         spread.append(out.agg(_strength(F.first(mean), deviation(t, "n"), noise).alias("k_path_" + t)))
     for one in spread:
         out = out.crossJoin(F.broadcast(one))  # one row
-    for t in TRAITS:
-        mean = F.col("all_" + t) / F.col("all_n")
-        host = (F.col("host_" + t) + F.col("k_host_" + t) * mean) / (F.col("host_n") + F.col("k_host_" + t))
-        path = (F.col(t) + F.col("k_path_" + t) * host) / (F.col("n") + F.col("k_path_" + t))
-        out = out.withColumn("adjust_" + t, _logit(path) - _logit(mean))
-    return materialize(out.select(F.col("source").alias("_host"), F.col("lang").alias("_path"), *["adjust_" + t for t in TRAITS]), "quality-sites")
+    sums = [x + t for t in TRAITS for x in ("", "host_", "all_", "k_host_", "k_path_")]
+    return materialize(out.select(F.col("source").alias("_host"), F.col("lang").alias("_path"), *[F.col(c).alias("_" + c) for c in ("n", "host_n", "all_n", *sums)]), "quality-sites")
+
+
+def _others(sum_: Column, n: Column, own: Column, prior: Column, strength: Column) -> Column:
+    """Posterior rate of a group of ``n`` rows without the row whose rate is ``own``."""
+    return (F.greatest(sum_ - own, F.lit(0.0)) + strength * prior) / (n - 1 + strength)
+
+
+def adjustment(trait: str, own: Column) -> Column:
+    """What a row's site says of it, in logits: the path's posterior, shrunk toward the host's and that toward the rate of all, each without the row itself."""
+    col = lambda c: F.col("_" + c)
+    mean = F.when(col("all_n") > 1, (col("all_" + trait) - own) / (col("all_n") - 1)).otherwise(0.5)
+    host = _others(col("host_" + trait), col("host_n"), own, mean, col("k_host_" + trait))
+    path = _others(col(trait), col("n"), own, host, col("k_path_" + trait))
+    return F.coalesce(_logit(path) - _logit(mean), F.lit(0.0))
 
 
 def _probability(logit: Column) -> Column:
@@ -169,28 +181,31 @@ def _with_sites(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table, F.col("source").eqNullSafe(F.col("_host")) & F.col("lang").eqNullSafe(F.col("_path")), "left")
 
 
-def _posterior(trait: str, logit: Column) -> Column:
-    return _probability(logit + F.coalesce(F.col("adjust_" + trait), F.lit(0.0)))
-
-
-def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
+def _scored(docs: DataFrame, labels: DataFrame, keep_rows: bool) -> DataFrame:
+    """Each row's logits by text and posteriors, with the row itself (``_row``) if asked for; texts are scored once."""
     model = fit(docs, labels)
-    scored = materialize(docs.select("doc_id", "source", "lang", scorer(model)(F.col("text")).alias("s")).select("doc_id", "source", "lang", "s.low", "s.toxic"), "quality-scored")
+    key = F.col("doc_id").cast("long")
+    first = docs.select(*([packed(docs)] if keep_rows else []), key.alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), scorer(model)(F.col("text").cast("string")).alias("_s"))
+    rest = ["_row"] if keep_rows else []
+    scored = materialize(first.select(*rest, "doc_id", "source", "lang", "_s.low", "_s.toxic"), "quality-scored")
     known = _labels(labels).withColumnRenamed("doc_id", "_id")
-    rates = scored.join(known, F.col("doc_id") == F.col("_id"), "left").select("source", "lang", *[F.coalesce("y_" + t, _probability(F.col(t))).alias(t) for t in TRAITS])
-    return model, scored, sites(rates)
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    rated = scored.join(known, F.col("doc_id") == F.col("_id"), "left").withColumns({"r_" + t: F.coalesce("y_" + t, _probability(F.col(t))) for t in TRAITS})
+    table = sites(rated.select("source", "lang", *[F.col("r_" + t).alias(t) for t in TRAITS]))
+    sited = _with_sites(rated, table)
+    return sited.select(*rest, "doc_id", *[F.col(t).alias(t + "_logit") for t in TRAITS], *[_probability(F.col(t) + adjustment(t, F.col("r_" + t))).alias("p_" + t) for t in TRAITS])
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``low_logit``, ``toxic_logit`` (of the text), ``p_low``, ``p_toxic`` (with its site) and ``kept`` of every row of ``docs``.
 
-    A row is rejected at a posterior over one half (to six places) of either trait. Null, empty and blank texts are rejected; null sources
+    The host is ``source`` and the path within it ``lang``: the table has no other column that divides a site. A row's
+    own label or score plays no part in what its site says of it. A row is rejected at a posterior over one half
+    (to six places) of either trait. Null, empty and blank texts are rejected; null sources
     and languages are sites like any other; labels with a null, or of unknown ids, play no part; without labels
     all but blank texts are kept. Repeated rows give repeated results. Other columns play no part.
     """
-    _, scored, table = _fitted(docs, labels)
-    out = _with_sites(scored, table).select("doc_id", F.col("low").alias("low_logit"), F.col("toxic").alias("toxic_logit"), *[_posterior(t, F.col(t)).alias("p_" + t) for t in TRAITS])
-    return out.withColumn("kept", _keeps(F.col("p_low"), F.col("p_toxic")))
+    return _scored(docs, labels, False).withColumn("kept", _keeps(F.col("p_low"), F.col("p_toxic")))
 
 
 def _keeps(p_low: Column, p_toxic: Column) -> Column:
@@ -198,7 +213,5 @@ def _keeps(p_low: Column, p_toxic: Column) -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``classify`` rejects; texts stay where they are, only site tables are joined."""
-    model, _, table = _fitted(docs, labels)
-    rows = _with_sites(docs.withColumn("_s", scorer(model)(F.col("text"))), table)
-    return rows.where(_keeps(*[_posterior(t, F.col("_s")[t]) for t in TRAITS])).select(*docs.columns)
+    """``docs`` without the rows that ``classify`` rejects. Rows are written once beside their scores, so no text is scored twice."""
+    return unpacked(_scored(docs, labels, True).where(_keeps(F.col("p_low"), F.col("p_toxic"))))

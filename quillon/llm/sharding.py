@@ -1,63 +1,62 @@
 """Sharding by longest processing time.
 
 Groups that must stay together (equal texts) are ordered by their total size, largest first, and each
-goes to the least-loaded shard, which a heap yields. What reaches the driver is a histogram: group sizes
-are kept to ten significant binary digits, so there are at most about 28,000 classes whatever the input,
-and runs of equal classes are dealt out in whole rounds. Which groups of a class go where is settled
-by a distributed rank (salted row numbers plus offsets), so no task sees all groups of a class.
+goes to the least-loaded shard, which a heap yields. What reaches the driver is the histogram of exact group sizes:
+D distinct sizes take at least D(D + 1)/2 bytes, so it has fewer rows than the square root of twice the corpus's bytes
+(250,000 for 30 GB, 14 million for 100 TB, if no two sizes were alike). Groups of one size are interchangeable;
+which of them goes where is settled by a distributed rank (row numbers within slices of the digest, plus
+offsets), so no task sees all groups of a size.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize
 
-SHARDS, SALTS = 24, 512
+SHARDS = 24
+#: The plan is broadcast up to so many rows; beyond, groups meet it by a shuffle on their size.
+BROADCAST_SIZES = 200_000
 
 
-def lpt_counts(classes: Iterable[tuple[int, int, int]], shards: int) -> dict[int, list[int]]:
-    """How many groups of each class each shard gets.
+def lpt_counts(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """For each (size, groups), the shards that get groups of it, and running counts of how many.
 
-    ``classes`` holds (class, groups, bytes of all of them). Longest first, each group goes to the shard with
-    the least load; a shard that stays the least loaded takes several at once, and once all loads are
-    within one group of each other, whole rounds are dealt.
+    Sizes come largest first. Each group goes to the shard with the least load (of equal ones, the first). A shard that
+    stays the least loaded takes several at once, and while all loads are within one group of each other, whole
+    rounds are dealt: the outcome is that of one group after the other.
     """
-    heap = [(0.0, k) for k in range(shards)]
-    out = {}
-    for cls, left, total in sorted(classes, reverse=True):
-        size, got = total / left, [0] * shards
+    heap = [(0, k) for k in range(shards)]
+    for size, left in sizes:
+        got: dict[int, int] = {}
         while left:
-            high = max(heap)[0]
-            if high - heap[0][0] <= size and left >= shards:
+            if left >= shards and max(heap)[0] - heap[0][0] < size:
                 rounds, left = divmod(left, shards)
                 heap = [(load + rounds * size, k) for load, k in heap]
-                got = [g + rounds for g in got]
                 heapq.heapify(heap)
+                for k in range(shards):
+                    got[k] = got.get(k, 0) + rounds
                 continue
             load, k = heapq.heappop(heap)
-            gap = (heap[0][0] - load) / size if heap else left
-            n = int(min(left, max(1, gap)))
+            n = min(left, max(1, (heap[0][0] - load) // size)) if heap else left
             heapq.heappush(heap, (load + n * size, k))
-            got[k] += n
+            got[k] = got.get(k, 0) + n
             left -= n
-        out[cls] = got
-    return out
-
-
-def size_class(total: Column) -> Column:
-    """``total`` with all but its ten leading binary digits cleared."""
-    drop = F.greatest(F.length(F.bin(total)) - F.lit(10), F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", total, drop), drop)
+        homes, ends, at = sorted(got), [], 0
+        for k in homes:
+            at += got[k]
+            ends.append(at)
+        yield size, homes, ends
 
 
 def _offsets(df: DataFrame, keys: list[str], salt: str) -> DataFrame:
-    """Rows that come before each salt within ``keys``."""
+    """Rows that come before each slice within ``keys``."""
     order = W.partitionBy(*keys).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)
     return df.groupBy(*keys, salt).agg(F.count("*").alias("n")).select(*keys, salt, F.coalesce(F.sum("n").over(order), F.lit(0)).alias("ahead"))
 
@@ -75,6 +74,7 @@ def lpt_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         raise ValueError("shards must be at least 1")
     spark = docs.sparkSession
     text = F.col("text")
+    slice_of = lambda c: F.substring(F.hex(c), 1, 3)
     rows = materialize(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -84,36 +84,31 @@ def lpt_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         ),
         "shard-rows",
     )
-    groups = (
-        rows.groupBy("content", "size").agg(F.count("*").alias("n"))
-        .withColumn("total", F.col("size") * F.col("n"))
-        .withColumn("cls", size_class(F.col("total")))
-        .withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int"))
-        .select("content", "total", "cls", "salt")
-    )
-    groups = materialize(groups, "shard-groups")
-    histogram = groups.groupBy("cls").agg(F.count("*").alias("n"), F.sum("total").alias("total")).collect()  # bounded by size_class
-    counts = lpt_counts(((r.cls, r.n, r.total) for r in histogram), shards)
-    plan = spark.createDataFrame([(c, _running(got)) for c, got in counts.items()], "cls long, ends array<long>")
-    rank = F.row_number().over(W.partitionBy("cls", "salt").orderBy("content"))
-    dealt = (
-        groups.withColumn("rank", rank - 1)
-        .join(_offsets(groups, ["cls"], "salt"), ["cls", "salt"])
-        .join(F.broadcast(plan), "cls")
-        .select("content", F.size(F.filter("ends", lambda end: end <= F.col("rank") + F.col("ahead"))).cast("int").alias("shard"))
+    groups = rows.groupBy("content", "size").agg(F.count("*").alias("n"))
+    groups = materialize(groups.select("content", "n", (F.col("size") * F.col("n")).alias("total"), slice_of("content").alias("salt")), "shard-groups")
+    histogram = groups.groupBy("total").agg(F.count("*").alias("n")).orderBy(F.desc("total")).toPandas()  # bounded: see above
+    dealt = pd.DataFrame(lpt_counts(zip(histogram["total"].tolist(), histogram["n"].tolist(), strict=True), shards), columns=["total", "homes", "ends"])
+    plan = spark.createDataFrame(dealt, "total long, homes array<int>, ends array<long>")
+    small = (lambda df: F.broadcast(df)) if len(dealt) <= BROADCAST_SIZES else (lambda df: df)
+    rank = F.row_number().over(W.partitionBy("total", "salt").orderBy("content")) - 1
+    place = F.size(F.filter("ends", lambda end: end <= F.col("rank") + F.col("ahead"))) + 1
+    homed = (
+        groups.withColumn("rank", rank)
+        .join(_offsets(groups, ["total"], "salt"), ["total", "salt"])
+        .join(small(plan), "total")
+        .select("content", "n", F.element_at("homes", place).alias("shard"))
     )
-    placed = rows.join(dealt, "content").withColumn("salt", F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int"))
-    placed = materialize(placed, "shard-placed")
+    homed = materialize(homed, "shard-homes")
+    # A text with more than a 2,000th of all rows is told by broadcast (there are 2,000 such at most); all others by a shuffle.
+    limit = max(1000, (groups.agg(F.sum("n")).first()[0] or 0) // 2000)
+    hot = homed.where(F.col("n") > limit).select("content", "shard")
+    cold = homed.where(F.col("n") <= limit).select("content", "shard")
+    placed = rows.join(F.broadcast(hot), "content").unionByName(rows.join(F.broadcast(hot.select("content")), "content", "left_anti").join(cold, "content"))
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lower(F.hex("content"))))
+    placed = materialize(placed.withColumn("salt", F.substring(digest, 1, 3)), "shard-placed")
     slot = F.row_number().over(W.partitionBy("shard", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "content")) - 1
     return (
         placed.withColumn("rank", slot)
-        .join(F.broadcast(_offsets(placed, ["shard"], "salt")), ["shard", "salt"])  # shards x SALTS rows at most
+        .join(F.broadcast(_offsets(placed, ["shard"], "salt")), ["shard", "salt"])  # shards x 4,096 rows at most
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") + F.col("ahead")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
-
-
-def _running(counts: list[int]) -> list[int]:
-    out = [0]
-    for n in counts:
-        out.append(out[-1] + n)
-    return out[1:]

@@ -25,8 +25,10 @@ from quillon.llm.common import bound_batches, materialize, shared_dir
 
 #: Target of uncompressed bytes in a shard, and of compressed bytes in a file.
 SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
-#: Payloads that repeat are broadcast up to so many digests (some 20 MB); beyond, records are joined by a shuffle.
-BROADCAST_REPEATS = 200_000
+#: Payloads that repeat are broadcast up to so many digests (some 5 MB); beyond, records are joined by a shuffle.
+BROADCAST_REPEATS = 50_000
+#: Tasks that read archives, at most; each takes whole shards.
+READERS = 20_000
 #: The id histogram has so many bins at most, whatever the input.
 BINS = 1 << 16
 
@@ -44,10 +46,17 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    # The largest id of each payload that repeats, gathered without the payloads, which then stay where they are.
+    # The largest id of each payload that repeats, gathered without the payloads.
     seen = rows.groupBy("sha1").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1")
-    seen = materialize(seen.select(F.col("sha1").alias("of"), "latest"), "warc-repeats")
-    paired = rows.join(F.broadcast(seen) if seen.count() <= BROADCAST_REPEATS else seen, F.col("sha1") == F.col("of"), "left")
+    seen = materialize(seen.select(F.col("sha1").alias("of"), "latest", "n"), "warc-repeats")
+    repeats, total = seen.agg(F.count("*"), F.sum("n")).first()
+    if repeats <= BROADCAST_REPEATS:
+        paired = rows.join(F.broadcast(seen), F.col("sha1") == F.col("of"), "left")
+    else:  # payloads with over a 2,000th of the repeats by broadcast, all others by a shuffle
+        hot = F.broadcast(seen.where(F.col("n") > max(1000, total // 2000)))
+        cold = seen.where(F.col("n") <= max(1000, total // 2000))
+        same = F.col("sha1") == F.col("of")
+        paired = rows.join(hot, same).unionByName(rows.join(hot.select("of"), same, "left_anti").join(cold, same, "left"))
     again = (F.col("size") >= min_bytes) & F.coalesce(F.col("page_id") < F.col("latest"), F.col("latest").isNotNull())  # no id comes before any
     return paired.select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "sha1",
@@ -150,9 +159,10 @@ def write_archives(pages: DataFrame, base: str, min_bytes: int = 0, shard_bytes:
     records = materialize(plan_records(pages, min_bytes), "warc-records", "zstd")
     sharded = shards_by_range(records, shard_bytes)
     n = max(1, sharded.agg(F.max("shard")).first()[0] or 0) + 1
-    sorted_ = sharded.repartition(min(n, 20_000), "shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
+    # One partition for each shard: shards are ranges of ids already.
+    sorted_ = sharded.repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
     manifest = materialize(sorted_.select("shard", "page_id", "url", "payload", "size", "sha1", "type", "refers_to").mapInArrow(_writer(base, file_bytes), MANIFEST), "warc-attempts")
-    final = manifest.repartition(max(1, min(n, 200)), "name").mapInArrow(_renamer(base), MANIFEST)
+    final = manifest.repartitionById(min(n, 200), F.pmod("shard", F.lit(min(n, 200)))).mapInArrow(_renamer(base), MANIFEST)
     final.write.parquet(f"{base}/_manifest")
     return records.sparkSession.read.schema(manifest.schema).parquet(f"{base}/_manifest")
 
@@ -206,8 +216,9 @@ def _reader(base: str):
 
 def read_archives(spark: SparkSession, base: str) -> DataFrame:
     """The records of whole archives under ``base``; every block and payload is checked against its digest. Revisits have no payload."""
-    manifest = spark.read.parquet(f"{base}/_manifest").select("name")
-    return manifest.repartition("name").mapInArrow(_reader(base), READ)
+    manifest = spark.read.parquet(f"{base}/_manifest")
+    readers = min((manifest.agg(F.max("shard")).first()[0] or 0) + 1, READERS)
+    return manifest.repartitionById(readers, F.pmod("shard", F.lit(readers))).select("name").mapInArrow(_reader(base), READ)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
