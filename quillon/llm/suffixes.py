@@ -1,15 +1,15 @@
 """Exact substring dedup over suffix arrays built by two-stage sorting.
 
-Texts are packed into chunks of a megabyte. Each window of ``LENGTH`` bytes has an anchor, its smallest k-gram by
+Texts are packed into chunks of a few megabytes. Each window of ``LENGTH`` bytes has an anchor, its smallest k-gram by
 hash, so equal windows have equal anchors; neighbouring windows with one anchor are a run. A first exchange of
-anchors finds those that several chunks have. Runs of those, each distinct one of a chunk once with
-its smallest document, then meet by their anchor. An anchor with too many runs is split: each distinct window
-of a chunk goes by itself and by its own hash, which equal windows share too. Both exchanges are rows hashed over
-partitions whose number follows the corpus, so they grow as it does. A partition is taken in slices of whole anchors: their
-runs form one string whose suffixes are
+packed anchor hashes finds those that occur twice anywhere. Runs of those, each distinct one of a chunk once with
+its smallest document, go to the bucket of their anchor. An anchor with too many runs is split: each distinct window
+of a chunk goes by itself to the bucket of its own hash, which equal windows share too. Buckets follow the corpus
+without a limit. A row of an exchange holds what one chunk has for one bucket, so rows are never more than anchors
+or runs, whose number follows the corpus. A bucket's runs form one string whose suffixes are
 sorted in two stages: suffixes smaller than their successors directly, all others by scans over the buckets of
-first bytes. Adjacent common prefixes of ``LENGTH`` bytes join windows to classes; where the smallest document of a class
-is not the run's own it goes back to the chunk, which cuts what a smaller document has.
+first bytes. Adjacent common prefixes of ``LENGTH`` bytes join windows to classes; the smallest document of each class
+goes back to the chunks, which cut what a smaller document has.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +27,8 @@ from quillon.llm.hashing import mix64, prefix_sums, release, spans
 
 LENGTH, GRAM = 50, 20
 CHUNK, SLICE = 1 << 20, 1 << 17
-#: Bytes of corpus for each partition of the exchange of anchors, and of runs; bytes of runs whose suffixes are sorted at a time.
-ANCHOR_BYTES, RUN_BYTES, SORT_BYTES = 32 << 20, 16 << 20, 4 << 20
+#: Bytes of text for each bucket of anchors.
+BUCKET_BYTES = 4 << 20
 #: Runs of one anchor, distinct within their chunks, beyond which its windows are dealt by their own hashes.
 HOT_RUNS = 1 << 12
 #: Rows without an id come after all others.
@@ -103,47 +102,74 @@ class Chunk:
         return first + at, n, grams[pick[first]], spans(sums, first, first + n + LENGTH - 1) + n.astype(np.uint64)
 
 
+def _key(buckets: int) -> int:
+    """Bytes of an anchor's hash that are exchanged; its bucket takes the rest of eight: 6 up to 65,536 buckets (270 GB), 5 up to 70 TB, 4 beyond."""
+    return 6 if buckets <= 1 << 16 else 5 if buckets <= 1 << 24 else 4
+
+
+def _marks(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """What stands for an anchor between chunks: its bucket above bytes of its hash. Anchors that share it are merely looked at together."""
+    low = np.uint64(8 * _key(buckets))
+    return ((mix64(anchors) % np.uint64(buckets)) << low) | (anchors & ((np.uint64(1) << low) - np.uint64(1)))
+
+
+def _cuts(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and the bounds of each."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(sorted_)])
+    return sorted_[first], np.append(first, len(sorted_))
+
+
+def _bucket(marks: np.ndarray, buckets: int) -> np.ndarray:
+    return (marks >> np.uint64(8 * _key(buckets))).astype(np.int64)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of each chunk, each once, and how many distinct runs it has there."""
-    for row in _rows(batches):
-        chunk = Chunk(row)
-        order = np.lexsort((chunk.content, chunk.anchor))
-        anchor, content = chunk.anchor[order], chunk.content[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-        found, count = np.unique(anchor[new], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), row["chunk"], dtype=np.int64)), pa.array(count.astype(np.int32))], ["anchor", "chunk", "runs"])
-    release()
+def _send_anchors(buckets: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            all_marks = _marks(chunk.anchor, buckets)
+            order = np.lexsort((chunk.content, all_marks))
+            ranked, content = all_marks[order], chunk.content[order]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (ranked[1:] != ranked[:-1]) | (content[1:] != content[:-1])
+            marks, count = np.unique(ranked[new], return_counts=True)
+            count = np.minimum(count, np.iinfo(np.uint16).max).astype(np.uint16)
+            raw = marks.view(np.uint8).reshape(-1, 8)[:, : _key(buckets)]
+            some, at = _cuts(_bucket(marks, buckets))
+            ends = list(zip(at[:-1], at[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([raw[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([count[a:b].tobytes() for a, b in ends], pa.binary())], ["bucket", "chunk", "keys", "runs"])
+        release()
 
+    return send
 
-def _repeated(limit: int):
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a partition's anchors those of several chunks, and whether they have more than ``limit`` runs in all."""
-        parts = [[batch.column(k).to_numpy() for k in range(3)] for batch in batches]
-        if not parts:
-            return
-        anchor, chunk, runs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(anchor)
-        anchor, chunk, runs = anchor[order], chunk[order], runs[order]
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(anchor)])
-        times = np.diff(np.append(first, len(anchor)))
-        if len(first):
-            hot = np.repeat(np.add.reduceat(runs.astype(np.int64), first) > limit, times)
-            keep = np.flatnonzero(np.repeat(times > 1, times))
-            for lo in range(0, len(keep), 1 << 16):
-                k = keep[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[k]), pa.array(anchor[k]), pa.array(hot[k])], ["chunk", "anchor", "hot"])
-        del anchor, chunk, runs, order
-        release()
 
-    return repeated
+def _mark_common(limit: int, buckets: int):
+    def mark(table: pa.Table) -> pa.Table:
+        """For each chunk, two bits for each of its anchors in this bucket: another chunk has it too; it has more than ``limit`` runs in all."""
+        raw = [np.frombuffer(x, dtype=np.uint8).reshape(-1, _key(buckets)) for x in table["keys"].to_pylist()]
+        runs = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in table["runs"].to_pylist()])
+        wide = np.zeros((sum(map(len, raw)), 8), dtype=np.uint8)
+        wide[:, : _key(buckets)] = np.concatenate(raw)
+        keys = wide.view(np.uint64).ravel()
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        times = np.diff(np.append(first, len(keys)))
+        common, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+        common[order] = np.repeat(times > 1, times)
+        hot[order] = np.repeat(np.add.reduceat(runs[order].astype(np.int64), first) > limit, times)
+        ends = np.cumsum([len(x) for x in raw])
+        bits = [[np.packbits(flag[e - len(x) : e]).tobytes() for x, e in zip(raw, ends, strict=True)] for flag in (common, hot)]
+        # Few buckets have an anchor to split.
+        hots = [b if any(b) else None for b in bits[1]]
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(bits[0], pa.binary()), "hots": pa.array(hots, pa.binary())})
+
+    return mark
 
 
 def _window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -156,47 +182,36 @@ def _window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _member(values: np.ndarray, among: list[int] | None) -> np.ndarray:
-    """Which of the hashes are among those that were sent back."""
-    return np.isin(values, np.array(among or [], dtype=np.int64).view(np.uint64))
-
-
-class Pieces:
-    """Runs of a chunk, those of hot anchors as single windows: start, windows, document, what tells them apart, and where they go."""
-
-    def __init__(self, chunk: Chunk, whole: np.ndarray, split: np.ndarray) -> None:
-        single = _gather(chunk.start[split], chunk.n[split])
-        hashes = _window_hashes(chunk.data, single)
-        self.start = np.concatenate([chunk.start[whole], single])
-        self.n = np.concatenate([chunk.n[whole], np.ones(len(single), dtype=np.int64)])
-        self.doc = np.concatenate([chunk.doc[whole], np.repeat(chunk.doc[split], chunk.n[split])])
-        self.route = np.concatenate([chunk.anchor[whole], hashes])
-        content = np.concatenate([chunk.content[whole], hashes])
-        order = np.lexsort((chunk.ids[self.doc], content, self.n == 1))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (content[order][1:] != content[order][:-1]) | (self.n[order][1:] != self.n[order][:-1])
-        #: The distinct piece of each, and a piece of the smallest document for each distinct one.
-        self.distinct = np.empty(len(order), dtype=np.int64)
-        self.distinct[order] = np.cumsum(new) - 1
-        self.one = order[new]
-
-
-def _send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct run, or window, whose anchor occurs twice: where it goes, its chunk and place, its smallest document, and its bytes."""
-    for row in _rows(batches):
-        chunk = Chunk(row)
-        _, index, count = np.unique(chunk.anchor, return_inverse=True, return_counts=True)
-        common = _member(chunk.anchor, row["common"]) | (count > 1)[index]
-        hot = _member(chunk.anchor, row["hot"])
-        pieces = Pieces(chunk, np.flatnonzero(common & ~hot), np.flatnonzero(hot))
-        for lo in range(0, len(pieces.one), 1 << 13):
-            own = pieces.one[lo : lo + (1 << 13)]
-            size = pieces.n[own] + LENGTH - 1
-            text = chunk.data[_gather(pieces.start[own], size)]
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            binary = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(text.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(pieces.route[own].view(np.int64)), pa.array(np.full(len(own), row["chunk"], dtype=np.int64)), pa.array(pieces.start[own]), pa.array(chunk.ids[pieces.doc[own]]), binary], ["route", "chunk", "at", "doc", "text"])
-    release()
+def _common_runs(chunk: Chunk, marks: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Leaves in ``chunk`` the runs whose anchor occurs twice, those of hot anchors as single windows.
+
+    Returns the distinct run of each, a run for each distinct one, and the buckets of those with their bounds.
+    """
+    anchors, index, count = np.unique(_marks(chunk.anchor, buckets), return_inverse=True, return_counts=True)
+    some, bounds = _cuts(_bucket(anchors, buckets))
+    at = {b: (lo, hi) for b, lo, hi in zip(some.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)}
+    common, hot = np.zeros(len(anchors), dtype=bool), np.zeros(len(anchors), dtype=bool)
+    for m in marks:
+        lo, hi = at[m["bucket"]]
+        for flag, bits in ((common, m["bits"]), (hot, m["hots"])):
+            if bits is not None:
+                flag[lo:hi] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=hi - lo).astype(bool)
+    runs = np.flatnonzero((common | (count > 1))[index])
+    whole, split = runs[~hot[index[runs]]], runs[hot[index[runs]]]
+    single = _gather(chunk.start[split], chunk.n[split])
+    hashes = _window_hashes(chunk.data, single)
+    part = np.concatenate([_bucket(anchors[index[whole]], buckets), _bucket(_marks(hashes, buckets), buckets)])
+    content = np.concatenate([chunk.content[whole], hashes])
+    chunk.doc = np.concatenate([chunk.doc[whole], np.repeat(chunk.doc[split], chunk.n[split])])
+    chunk.start = np.concatenate([chunk.start[whole], single])
+    chunk.n = np.concatenate([chunk.n[whole], np.ones(len(single), dtype=np.int64)])
+    order = np.lexsort((chunk.ids[chunk.doc], content, part))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (content[order][1:] != content[order][:-1]) | (part[order][1:] != part[order][:-1])
+    distinct = np.empty(len(order), dtype=np.int64)
+    distinct[order] = np.cumsum(new) - 1
+    one = order[new]  # of the smallest document
+    return distinct, one, _cuts(part[one])
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -205,6 +220,21 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
 
 
+def _send_runs(buckets: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            _, one, (some, at) = _common_runs(chunk, row["marks"] or [], buckets)
+            for b, lo, hi in zip(some, at[:-1], at[1:], strict=True):
+                own = one[lo:hi]
+                text = chunk.data[_gather(chunk.start[own], chunk.n[own] + LENGTH - 1)].tobytes()
+                columns = [[int(b)], [row["chunk"]], [chunk.n[own].astype(np.int32).tobytes()], [chunk.ids[chunk.doc[own]].tobytes()], [pa.compress(text, codec="zstd", asbytes=True)], [len(text)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["bucket", "chunk", "n", "docs", "text", "size"])
+        release()
+
+    return send
+
+
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The LENGTH bytes from each position as big-endian words, which compare as the bytes do. ``text`` is padded."""
     out = np.zeros((len(at), -(-LENGTH // 8) * 8), dtype=np.uint8)
@@ -260,10 +290,16 @@ def two_stage_order(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return order[keep[order]]
 
 
-def _lows(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The smallest document of each window's class. ``text`` is runs of ``sizes`` windows, one after the other, and padding."""
-    begin = np.concatenate([[0], np.cumsum(sizes + LENGTH - 1)[:-1]])
-    windows = _gather(begin, sizes)
+def _smallest(table: pa.Table) -> pa.Table:
+    """For each chunk of a bucket, the smallest document of each window's class."""
+    texts = [pa.decompress(t, decompressed_size=s, codec="zstd", asbytes=True) for t, s in zip(table["text"].to_pylist(), table["size"].to_pylist(), strict=True)]
+    n = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in table["n"].to_pylist()]
+    docs = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table["docs"].to_pylist()])
+    text = np.frombuffer(b"".join(texts) + bytes(LENGTH), dtype=np.uint8)
+    del texts
+    counts = np.concatenate(n)
+    begin = np.concatenate([[0], np.cumsum(counts + LENGTH - 1)[:-1]])
+    windows = _gather(begin, counts)
     order = two_stage_order(text, windows)
     index = np.empty(len(text), dtype=np.int64)
     index[windows] = np.arange(len(windows))
@@ -273,91 +309,56 @@ def _lows(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     for lo in range(1, len(order), 1 << 17):
         first = _words(text, order[lo - 1 : lo + (1 << 17)])
         new[lo : lo + (1 << 17)] = (first[1:] != first[:-1]).any(axis=1)
-    owner = np.repeat(docs, sizes)
+    owner = np.repeat(docs, counts)
     low = np.empty(len(windows), dtype=np.int64)
     low[index] = np.minimum.reduceat(owner[index], np.flatnonzero(new))[np.cumsum(new) - 1]
-    return low
-
+    ends = np.cumsum([x.sum() for x in n])
+    packed = [pa.compress(low[e - x.sum() : e].tobytes(), codec="zstd", asbytes=True) for x, e in zip(n, ends, strict=True)]
+    del text, windows, order, index, new, owner, low
+    release()
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "low": pa.array(packed, pa.binary())})
 
-def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For runs sorted by where they went: those with a window that a smaller document has, and the smallest document of each window."""
 
-    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        text = b"".join(table["text"].to_pylist())
-        sizes = np.array(pc.binary_length(table["text"]), dtype=np.int64) - (LENGTH - 1)
-        docs = table["doc"].to_numpy()
-        low = _lows(np.frombuffer(text + bytes(LENGTH), dtype=np.uint8), sizes, docs)
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        better = np.flatnonzero(np.minimum.reduceat(low, first[:-1]) < docs)
-        packed = [low[first[k] : first[k + 1]].tobytes() for k in better]
-        return pa.RecordBatch.from_arrays([pa.array(table["chunk"].to_numpy()[better]), pa.array(table["at"].to_numpy()[better]), pa.array(packed, pa.binary())], ["chunk", "at", "low"])
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
 
-    held, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        route = batch.column(0).to_numpy()
-        if held and size >= SORT_BYTES:
-            # The slice ends with the last route of what is held, of which this batch may have more.
-            more = int(np.searchsorted(route != held[-1].column(0)[-1].as_py(), True)) if (route != held[-1].column(0)[-1].as_py()).any() else batch.num_rows
-            if more:
-                held.append(batch.slice(0, more))
-            if more < batch.num_rows:
-                yield solve(held)
-                held, size, batch = [], 0, batch.slice(more)
-            else:
-                continue
-        held.append(batch)
-        size += batch.nbytes
-    if held:
-        yield solve(held)
-    held.clear()
-    release()
 
+def _cut(buckets: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            distinct, one, (some, at) = _common_runs(chunk, row["marks"] or [], buckets)
+            held = {b: (lo, hi) for b, lo, hi in zip(some.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
+            sizes = chunk.n[one]
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            low = np.full(first[-1], LAST, dtype=np.int64)
+            for m in row["lows"] or []:
+                lo, hi = (first[x] for x in held[m["bucket"]])
+                low[lo:hi] = np.frombuffer(pa.decompress(m["low"], decompressed_size=int(hi - lo) * 8, codec="zstd", asbytes=True), dtype=np.int64)
+            windows = _gather(chunk.start, chunk.n)
+            smaller = low[_gather(first[distinct], chunk.n)] < np.repeat(chunk.ids[chunk.doc], chunk.n)
+            windows = windows[smaller]
+            turn = np.bincount(windows, minlength=len(chunk.data) + 1) - np.bincount(windows + LENGTH, minlength=len(chunk.data) + 1)
+            gone = np.cumsum(turn[:-1]) > 0
+            out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "removed": []}
+            for k, doc_id in enumerate(row["ids"]):
+                lo, hi = chunk.bounds[k], chunk.bounds[k + 1]
+                mask = np.concatenate([[False], gone[lo:hi], [False]])
+                turns = np.flatnonzero(mask[1:] != mask[:-1])
+                part = chunk.data[lo:hi]
+                kept = part[~gone[lo:hi]] if len(turns) else part
+                values = (doc_id, hi - lo, hi - lo - len(kept), len(turns) // 2, hashlib.sha256(kept.tobytes()).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)])
+                for column, value in zip(out.values(), values, strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+        release()
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
+    return cut
 
 
-def _covered(chunk: Chunk, row: dict) -> np.ndarray:
-    """Which bytes of the chunk lie in a window that a smaller document has."""
-    back = sorted((x["at"], x["low"]) for x in row["lows"] or [])
-    at = np.array([x[0] for x in back], dtype=np.int64)
-    hot = _member(chunk.anchor, row["hot"])
-    # Runs that repeat within the chunk, and those of which something came back; windows of hot anchors one by one.
-    _, index, count = np.unique(chunk.content, return_inverse=True, return_counts=True)
-    told = np.zeros(len(count), dtype=bool)
-    told[index[np.isin(chunk.start, at) & ~hot]] = True
-    pieces = Pieces(chunk, np.flatnonzero(((count > 1) | told)[index] & ~hot), np.flatnonzero(hot))
-    sizes = pieces.n[pieces.one]
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    low = np.repeat(chunk.ids[pieces.doc[pieces.one]], sizes)
-    place = np.searchsorted(at, pieces.start[pieces.one])
-    for k in np.flatnonzero(np.isin(pieces.start[pieces.one], at)):
-        low[first[k] : first[k + 1]] = np.frombuffer(back[place[k]][1], dtype=np.int64)
-    windows = _gather(pieces.start, pieces.n)
-    windows = windows[low[_gather(first[pieces.distinct], pieces.n)] < np.repeat(chunk.ids[pieces.doc], pieces.n)]
-    turn = np.bincount(windows, minlength=len(chunk.data) + 1) - np.bincount(windows + LENGTH, minlength=len(chunk.data) + 1)
-    return np.cumsum(turn[:-1]) > 0
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        chunk = Chunk(row)
-        gone = _covered(chunk, row)
-        out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "removed": []}
-        for k, doc_id in enumerate(row["ids"]):
-            lo, hi = chunk.bounds[k], chunk.bounds[k + 1]
-            mask = np.concatenate([[False], gone[lo:hi], [False]])
-            turns = np.flatnonzero(mask[1:] != mask[:-1])
-            part = chunk.data[lo:hi]
-            kept = part[~gone[lo:hi]] if len(turns) else part
-            values = (doc_id, hi - lo, hi - lo - len(kept), len(turns) // 2, hashlib.sha256(kept.tobytes()).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)])
-            for column, value in zip(out.values(), values, strict=True):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
-    release()
+def _gathered(df: DataFrame, name: str, *values: str) -> DataFrame:
+    """What the buckets say of each chunk: one entry for each bucket at most."""
+    return df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", *values)).alias(name))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -372,14 +373,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     chunks = materialize(text.mapInArrow(_pack, CHUNKS), "repeat-chunks", "uncompressed")
     total = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    parts = lambda size: max(8, -(-total // size))
-    sent = chunks.mapInArrow(_anchors, "anchor long, chunk long, runs int").repartition(parts(ANCHOR_BYTES), "anchor")
-    marks = sent.mapInArrow(_repeated(HOT_RUNS), "chunk long, anchor long, hot boolean")
-    # A chunk's anchors are fewer than its bytes.
-    marks = marks.groupBy("chunk").agg(F.collect_list("anchor").alias("common"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    marks = materialize(marks, "repeat-marks")
-    runs = chunks.join(marks, "chunk", "left").select("chunk", "ids", "lens", "data", "common", "hot").mapInArrow(_send_runs, "route long, chunk long, at long, doc long, text binary")
-    lows = runs.repartition(parts(RUN_BYTES), "route").sortWithinPartitions("route").mapInArrow(_smallest, "chunk long, at long, low binary")
-    lows = materialize(lows.groupBy("chunk").agg(F.collect_list(F.struct("at", "low")).alias("lows")), "repeat-lows")
-    told = marks.where("size(hot) > 0").select("chunk", "hot").join(lows, "chunk", "full")
-    return chunks.join(told, "chunk", "left").select("chunk", "ids", "lens", "data", "hot", "lows").mapInArrow(_cut, RESULT)
+    buckets = int(max(-(-total // BUCKET_BYTES), 8))
+    sent = chunks.mapInArrow(_send_anchors(buckets), "bucket long, chunk long, keys binary, runs binary")
+    marks = materialize(_gathered(sent.groupBy("bucket").applyInArrow(_mark_common(HOT_RUNS, buckets), "chunk long, bucket long, bits binary, hots binary"), "marks", "bits", "hots"), "repeat-marks")
+    marked = chunks.join(marks, "chunk", "left").select("chunk", "ids", "lens", "data", "marks")
+    runs = marked.mapInArrow(_send_runs(buckets), "bucket long, chunk long, n binary, docs binary, text binary, size long")
+    lows = materialize(_gathered(runs.groupBy("bucket").applyInArrow(_smallest, "chunk long, bucket long, low binary"), "lows", "low"), "repeat-lows")
+    return marked.join(lows, "chunk", "left").select("chunk", "ids", "lens", "data", "marks", "lows").mapInArrow(_cut(buckets), RESULT)

@@ -372,28 +372,26 @@ def test_split_anchors_equal_brute_force(spark, monkeypatch):
     test_suffix_dedup_equals_brute_force(spark)
 
 
-def test_a_line_in_all_documents_is_dealt_over_partitions():
-    rng, line = random.Random(6), "this licence line of some sixty bytes is in every document"
+def test_a_line_in_all_documents_does_not_fill_one_bucket():
+    rng, line, buckets = random.Random(6), "this licence line of some sixty bytes is in every document", 64
     rows = [(k, f"{words(rng, 12)} {line} {words(rng, 12)}".encode()) for k in range(3000)]
     batch = lambda names, rows: pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
     chunks = [r for k in range(3) for b in suffixes._pack(iter([batch(["doc_id", "text"], rows[k::3])])) for r in b.to_pylist()]
     for k, c in enumerate(chunks):
         c["chunk"] = k
+    by = lambda batches: {b: [r for r in got if r["bucket"] == b] for got in [[r for x in batches for r in x.to_pylist()]] for b in {r["bucket"] for r in got}}
     stream = lambda: iter([pa.RecordBatch.from_pylist(chunks)])
-    marks = [m for b in suffixes._repeated(500)(suffixes._anchors(stream())) for m in b.to_pylist()]
+    keys = by(suffixes._send_anchors(buckets)(stream())).values()
+    marks = [m for k in keys for m in suffixes._mark_common(500, buckets)(pa.Table.from_pylist(k)).to_pylist()]
     for c in chunks:
-        c["common"] = [m["anchor"] for m in marks if m["chunk"] == c["chunk"]]
-        c["hot"] = [m["anchor"] for m in marks if m["chunk"] == c["chunk"] and m["hot"]]
-    assert any(c["hot"] for c in chunks)
-    sent = Counter()
-    for b in suffixes._send_runs(stream()):
-        for r in b.to_pylist():
-            sent[r["route"] % 64] += len(r["text"])
-    assert max(sent.values()) < 5 * sorted(sent.values())[len(sent) // 2]
-
-
-def test_slices_end_with_whole_routes(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "SORT_BYTES", 500)
+        c["marks"] = [m for m in marks if m["chunk"] == c["chunk"]]
+    sent = sorted(sum(r["size"] for r in b) for b in by(suffixes._send_runs(buckets)(stream())).values())
+    assert sent[-1] < 5 * sent[len(sent) // 2]
+
+
+def test_more_buckets_than_two_bytes_number(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 3)
+    assert suffixes._key(1 << 16) == 6 and suffixes._key(1 + (1 << 16)) == 5 and suffixes._key(1 + (1 << 24)) == 4
     test_suffix_dedup_equals_brute_force(spark)
 
 
