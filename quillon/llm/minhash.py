@@ -4,8 +4,7 @@ A signature has one register per hash bucket: the leading-zero count of the buck
 mantissa bits that follow it. Bands of registers find candidates; the collision-corrected Jaccard estimate
 drops hopeless ones; whatever is left is confirmed on whole shingle sets. Documents with equal sets are one
 class, so copies never meet in pairs. Within a band's bucket everyone is compared with the smallest member. Where that
-leaves several components, a prefix filter over the rarest shingles drops members that can link to no other
-component; the rest of a bucket's smaller components meet all its members, block by block.
+leaves several components, the members of all but the largest meet all members, block by block.
 """
 
 from __future__ import annotations
@@ -187,19 +186,6 @@ def _block_links(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def _may_cross(loose: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``rep`` of those rows of ``loose`` (rep, comp) that may link to another component.
-
-    Prefix filter: in order of rarity among these sets, two sets that link share one of their first n - ceil(0.75 n) + 1
-    shingles. A set whose prefix meets its own component only links to no other, whatever common passages it has.
-    """
-    each = loose.join(sets, "rep").select("rep", "comp", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    known = each.groupBy("s").agg(F.count("*").alias("f"), (F.min("comp") < F.max("comp")).alias("shared"))
-    prefix = (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int")
-    ranked = each.join(known, "s").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s", "shared"))).alias("x"))
-    return ranked.where(F.exists(F.slice("x", 1, prefix), lambda x: x["shared"])).select("rep")
-
-
 def _key() -> Column:
     """What tells texts under one id apart."""
     return F.xxhash64(F.col("text").cast("binary"))
@@ -244,8 +230,6 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = members.where("m > 2").join(comps, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     split = lambda df: df.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     state = materialize(state.join(split(state), "band"), "near-open")
-    state = state.join(_may_cross(state.select("rep", "comp").distinct(), sets), "rep")
-    state = materialize(state.join(split(state), "band").select("band", "rep", "comp"), "near-loose")
     # Each bucket's largest component needs no look at itself: the others, its minority, meet all members, block by block.
     main = state.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("m"))
     state = state.join(main, "band").withColumn("minor", F.col("comp") != F.col("main"))
