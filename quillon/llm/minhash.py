@@ -236,7 +236,8 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     down, across = (F.ceil(x / BLOCK).cast("int") for x in (F.col("m") - F.col("most"), F.col("m")))
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cells = state.where("minor").withColumn("i", own(down)).withColumn("j", all_of(across)).unionByName(state.withColumn("minor", F.lit(False)).withColumn("j", own(across)).withColumn("i", all_of(down)))
+    side = state.where(~F.col("minor") | (F.col("m") > BLOCK))  # in a bucket of one block the minority is there already
+    cells = state.where("minor").withColumn("i", own(down)).withColumn("j", all_of(across)).unionByName(side.withColumn("minor", F.lit(False)).withColumn("j", own(across)).withColumn("i", all_of(down)))
     more = cells.select("band", "i", "j", "rep", "comp", "minor").join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_block_links, "a long, b long")
     links = links.unionByName(materialize(more, "near-more"))
     comps = materialize(connected_components(links), "near-comps")

@@ -187,7 +187,7 @@ def _scored(docs: DataFrame, labels: DataFrame, keep_rows: bool) -> DataFrame:
     key = F.col("doc_id").cast("long")
     first = docs.select(*([packed(docs)] if keep_rows else []), key.alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), scorer(model)(F.col("text").cast("string")).alias("_s"))
     rest = ["_row"] if keep_rows else []
-    scored = materialize(first.select(*rest, "doc_id", "source", "lang", "_s.low", "_s.toxic"), "quality-scored")
+    scored = materialize(first.select(*rest, "doc_id", "source", "lang", "_s.low", "_s.toxic"), "quality-scored", "zstd")
     known = _labels(labels).withColumnRenamed("doc_id", "_id")
     known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     rated = scored.join(known, F.col("doc_id") == F.col("_id"), "left").withColumns({"r_" + t: F.coalesce("y_" + t, _probability(F.col(t))) for t in TRAITS})
