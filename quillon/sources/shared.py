@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes a plan's shuffle files when it has run; else they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables derived once per application and input folder: (application, folder, name) to path and schema.
 _MADE: dict[tuple[str, str, str], tuple] = {}
 
@@ -28,10 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of a plan once that has run, as nothing but its written result is read again."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def write_shared(df: DataFrame, what: str, compression: str = "snappy") -> str:
     """Writes ``df`` as a new table in the shared folder; returns its path."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return path
 
 
