@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources.shared import materialize, shared_dir
+from quillon.sources.shared import materialize, shared_dir, shuffles_dropped
 
 __all__ = ["TOKEN", "UPPER", "WORD", "ascii_lower", "bound_batches", "connected_components", "hot_keys", "join_hot", "materialize", "packed", "shared_dir", "unpacked"]
 
@@ -86,7 +86,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     shared_dir(spark)
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    with shuffles_dropped(spark):
+        edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     before = _signature(edges)
     for _ in range(max_rounds):
         limit, most = max(HUB, before[0] // 200), before[2]
@@ -95,7 +96,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = _meet(both, low, limit, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         moved = _meet(large, low, limit, most).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = low.select("a", F.col("m").alias("b")).unionByName(moved).where("a <> b").distinct().checkpoint()
+        with shuffles_dropped(spark):
+            edges = low.select("a", F.col("m").alias("b")).unionByName(moved).where("a <> b").distinct().checkpoint()
         after = _signature(edges)
         if after[:2] == before[:2]:
             break
