@@ -4,7 +4,8 @@ A signature has one register per hash bucket: the leading-zero count of the buck
 mantissa bits that follow it. Bands of registers find candidates; the collision-corrected Jaccard estimate
 drops hopeless ones; whatever is left is confirmed on whole shingle sets. Documents with equal sets are one
 class, so copies never meet in pairs. Within a band's bucket everyone is compared with the smallest member. Where that
-leaves several components, the members of all but the largest meet all members, block by block.
+leaves several components, the members of all but the largest meet all members, block by block: by signature first,
+then those with a likely partner by whole sets.
 """
 
 from __future__ import annotations
@@ -152,12 +153,37 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
-        na, nb = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-        sized = DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)
-        keep = sized & ((np.minimum(na, nb) < 64) | (estimate(a, b, na, nb) >= NUM / DEN - SLACK))
+        keep = _hopeful(a, b, batch.column(4).to_numpy(), batch.column(5).to_numpy())
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _hopeful(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Which pairs of signatures (rows) may belong to linked documents. Correction only lowers an estimate, so it is for those that agree enough without."""
+    keep = DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)
+    wide = np.flatnonzero(keep & (np.minimum(na, nb) >= 64))
+    raw = ((a[wide] == b[wide]) & (a[wide] > 0)).sum(axis=1) / np.maximum(((a[wide] > 0) | (b[wide] > 0)).sum(axis=1), 1)
+    near = wide[raw >= NUM / DEN - SLACK]
+    keep[wide] = False
+    keep[near] = estimate(a[near], b[near], na[near], nb[near]) >= NUM / DEN - SLACK
+    return keep
+
+
+CELL = "band long, i int, j int, rep long, comp long, minor boolean"
+
+
+def _block_hopes(key: tuple, table: pa.Table) -> pa.Table:
+    """The rows of two blocks, as in ``_block_links``, whose signature agrees well enough with one of another component across them."""
+    n, minor = table["n"].to_numpy(), table["minor"].to_numpy(zero_copy_only=False)
+    reg = np.frombuffer(b"".join(table["reg"].to_pylist()), dtype=np.uint16).reshape(len(n), -1)
+    comp, hope = table["comp"].to_numpy(), np.zeros(len(n), dtype=bool)
+    for k in np.flatnonzero(minor):
+        other = np.flatnonzero((comp != comp[k]) & (DEN * np.minimum(n, n[k]) >= NUM * np.maximum(n, n[k])))
+        met = other[_hopeful(reg[other], np.broadcast_to(reg[k], (len(other), reg.shape[1])), n[other], np.full(len(other), n[k]))]
+        hope[met] = True
+        hope[k] |= len(met) > 0
+    return table.select(["band", "i", "j", "rep", "comp", "minor"]).filter(pa.array(hope, pa.bool_()))
+
+
 def _block_links(key: tuple, table: pa.Table) -> pa.Table:
     """Links between a block of a bucket's minority and a block of all its members, of components that are not one yet; a spanning set of them."""
     reps, comp, minor = table["rep"].to_numpy(), table["comp"].to_numpy(), table["minor"].to_numpy(zero_copy_only=False)
@@ -191,6 +217,13 @@ def _key() -> Column:
     return F.xxhash64(F.col("text").cast("binary"))
 
 
+def _whole_sets(text: DataFrame, signed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rep`` and the whole set ``sh`` of each class in ``chosen``, from one document that holds it."""
+    holders = signed.join(chosen.select("content", "n", "rep"), ["content", "n"]).groupBy("rep", "content").agg(F.min("doc_id").alias("doc_id"))
+    texts = text.join(holders, text.doc_id.eqNullSafe(holders.doc_id)).select("rep", "text", "content")
+    return materialize(texts.mapInArrow(_sets, "rep long, sh array<long>").dropDuplicates(["rep"]), "near-sets")
+
+
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each row's ``doc_id``, ``key``, ``n`` and ``content``, and the component of each class: its name and smallest id."""
     bound_batches(docs.sparkSession)
@@ -214,14 +247,8 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     likely = materialize(signed_pairs.mapInArrow(_likely, "a long, b long"), "near-likely")
 
     # Full sets, of the classes that some comparison asks for only: one document of each.
-    wide = members.where("m > 2").select("rep").distinct()
-    asked = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).unionByName(wide).distinct()
-    chosen = classes.join(asked, "rep").select("content", "n", "rep")
-    holders = signed.join(chosen, ["content", "n"]).groupBy("rep", "content").agg(F.min(F.col("doc_id")).alias("doc_id"))
-    texts = text.join(holders, text.doc_id.eqNullSafe(holders.doc_id)).select("rep", "text", "content")
-    sets = texts.mapInArrow(_sets, "rep long, sh array<long>")
-    sets = materialize(sets.dropDuplicates(["rep"]), "near-sets")
-
+    asked = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
+    sets = _whole_sets(text, signed, classes.join(asked, "rep"))
     linked = join_hot(likely, sets.toDF("a", "sh_a"), "a", hubs).join(sets.toDF("b", "sh_b"), "b").select("a", "b", "sh_a", "sh_b")
     links = materialize(linked.mapInArrow(_confirm, "a long, b long"), "near-links")
     comps = materialize(connected_components(links), "near-star")
@@ -238,7 +265,11 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     side = state.where(~F.col("minor") | (F.col("m") > BLOCK))  # in a bucket of one block the minority is there already
     cells = state.where("minor").withColumn("i", own(down)).withColumn("j", all_of(across)).unionByName(side.withColumn("minor", F.lit(False)).withColumn("j", own(across)).withColumn("i", all_of(down)))
-    more = cells.select("band", "i", "j", "rep", "comp", "minor").join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_block_links, "a long, b long")
+    # Signatures meet first: whole sets are fetched for, and sent to, the cells of those that agree well enough there.
+    hopes = cells.select("band", "i", "j", "rep", "comp", "minor").join(regs, "rep").groupBy("band", "i", "j").applyInArrow(_block_hopes, CELL)
+    hopes = materialize(hopes, "near-hopes")
+    late = _whole_sets(text, signed, classes.join(hopes.select("rep").distinct(), "rep").join(asked, "rep", "left_anti"))
+    more = hopes.join(sets.unionByName(late), "rep").groupBy("band", "i", "j").applyInArrow(_block_links, "a long, b long")
     links = links.unionByName(materialize(more, "near-more"))
     comps = materialize(connected_components(links), "near-comps")
 
