@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, ego, minhash, mixing, pii, quality, sharding, suffixes, warc
+from quillon.llm import chat, decontaminate, ego, infill, minhash, mixing, pii, quality, search, sharding, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_personal_data, op3_decontamination, op4_chat, op5_mixing, op6_warc, op7_embeddings, op8_suffix_dedup, op9_quality, op10_near_duplicates)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restored(infill.fill_in_middle(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_personal_data, op3_decontamination, op4_chat, op5_mixing, op6_warc, op7_embeddings, op8_suffix_dedup, op9_quality, op10_near_duplicates,
+        op11_fill_in_middle, op12_toxicity, op13_search,
+    )
+}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,4 +168,35 @@ low AS (SELECT a, min(c) AS c FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d JOIN low ON a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLES = {"op7_embeddings": OP7_SQL, "op10_near_duplicates": OP10_SQL, "op6_warc": OP6_SQL, "op3_decontamination": OP3_SQL, "op4_chat": OP4_SQL, "op5_mixing": OP5_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256(concat('7:', cast(doc_id AS varchar))) AS x FROM documents),
+h AS (SELECT *, cast(len(u) AS bigint) AS n, cast(('0x' || substr(x, 1, 8)) AS bigint) AS h1, cast(('0x' || substr(x, 9, 8)) AS bigint) AS h2, cast(('0x' || substr(x, 25, 8)) AS bigint) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN cast(length(prefix) AS bigint) END AS prefix_chars, CASE WHEN form <> 'plain' THEN cast(length(middle) AS bigint) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark),
+a AS (SELECT count(*) AS n_docs, cast(sum(len(w)) AS bigint) AS n_words FROM d WHERE len(w) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY 1, 2),
+t AS (SELECT term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double)) AS bigint) AS weight FROM p, a GROUP BY term, n_docs),
+s AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest(w) AS term FROM i) GROUP BY 1, 2, 3),
+m AS (SELECT q, item_id, p.r, cast(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(d.w) * n_docs) // n_words)))) AS bigint) AS score
+      FROM s JOIN t USING (term) JOIN p USING (term) JOIN d ON d.r = p.r CROSS JOIN a GROUP BY 1, 2, 3)
+SELECT item_id, cast(row_number() OVER o AS integer) AS rank, doc_id, score FROM m JOIN d ON d.r = m.r WHERE score > 0
+WINDOW o AS (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER o <= 20
+"""
+
+ORACLES = {
+    "op7_embeddings": OP7_SQL, "op10_near_duplicates": OP10_SQL, "op6_warc": OP6_SQL, "op3_decontamination": OP3_SQL, "op4_chat": OP4_SQL, "op5_mixing": OP5_SQL,
+    "op11_fill_in_middle": OP11_SQL, "op13_search": OP13_SQL,
+}
