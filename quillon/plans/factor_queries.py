@@ -249,7 +249,7 @@ def f28_beta_signals(spark, d):
     return mkt.join(own.select("stock_id", "period", F.col("beta").alias("Beta~CTRY")), ["stock_id", "period"])
 
 
-_NS = """WITH pts AS (SELECT date, currency, zero_rate AS y, regexp_extract(tenor_description, '(\\d+)', 1)::double / 12 AS t FROM curve),
+NS_SQL = """WITH pts AS (SELECT date, currency, zero_rate AS y, regexp_extract(tenor_description, '(\\d+)', 1)::double / 12 AS t FROM curve),
  b AS (SELECT date, currency, y, (1 - exp(-t / 2)) / (t / 2) AS p, (1 - exp(-t / 2)) / (t / 2) - exp(-t / 2) AS q FROM pts),
  m AS (SELECT date, currency, count(*) AS n, sum(p) AS sp, sum(q) AS sq, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(y) AS sy, sum(p * y) AS py, sum(q * y) AS qy FROM b GROUP BY 1, 2 HAVING count(*) >= 3),
  e AS (SELECT *, n * (pp * qq - pq * pq) - sp * (sp * qq - pq * sq) + sq * (sp * pq - pp * sq) AS det FROM m)
@@ -258,7 +258,7 @@ _NS = """WITH pts AS (SELECT date, currency, zero_rate AS y, regexp_extract(teno
    (n * (pp * qy - py * pq) - sp * (sp * qy - py * sq) + sy * (sp * pq - pp * sq)) / nullif(det, 0) AS curvature FROM e"""
 
 
-@query(_NS, "level slope curvature", 4)
+@query(NS_SQL, "level slope curvature", 4)
 def n4_nelson_siegel(spark, d):
     return curves.nelson_siegel(s.zero_curve(spark, d))
 
@@ -270,7 +270,7 @@ def n5_simple_curve(spark, d):
 
 @query(f"""SELECT c.date, c.currency, sqrt(avg((zero_rate - f) ** 2)) AS rmse, max(abs(zero_rate - f)) AS worst FROM (SELECT k.date, k.currency, zero_rate,
            level + slope * (1 - exp(-t / 2)) / (t / 2) + curvature * ((1 - exp(-t / 2)) / (t / 2) - exp(-t / 2)) AS f
-           FROM (SELECT *, regexp_extract(tenor_description, '(\\d+)', 1)::double / 12 AS t FROM curve) k JOIN ({_NS}) n USING (date, currency)) c GROUP BY 1, 2""", "rmse worst")
+           FROM (SELECT *, regexp_extract(tenor_description, '(\\d+)', 1)::double / 12 AS t FROM curve) k JOIN ({NS_SQL}) n USING (date, currency)) c GROUP BY 1, 2""", "rmse worst")
 def n7_curve_fit(spark, d):
     curve = s.zero_curve(spark, d)
     return curves.ns_residuals(curve, curves.nelson_siegel(curve))

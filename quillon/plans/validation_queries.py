@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.operators import curves as cv
 from quillon.operators import econometrics as ec
 from quillon.operators import regress, validate
 from quillon.operators import windows as w
-from quillon.plans.factor_queries import _reg_sql, masks, zscores
-from quillon.plans.oracle import define
+from quillon.plans.factor_queries import NS_SQL, _reg_sql, masks, zscores
+from quillon.plans.oracle import CTES, define
 from quillon.plans.panel_queries import monthly, periodic
 from quillon.plans.registry import query
 from quillon.sources import surrogate as s
@@ -246,19 +247,113 @@ def v17_twfe_did(spark, d):
     return ec.twfe(rows.select("stock_id", "period", F.col("ret_wins").alias("y"), "d"))
 
 
+def _solve_sql(src: str, keep: str, k: int) -> str:
+    """Solves M z = r in every row of ``src`` (columns m0_0, ..., r0, ...) by elimination; regressors without variation get the row of the identity."""
+    steps = [f"e0 AS (SELECT {keep}, {', '.join(f'CASE WHEN m{i}_{i} > 1e-9 THEN m{i}_{i} ELSE 1 END AS m{i}_{i}' if i == j else f'm{i}_{j}' for i in range(k) for j in range(k))}, {', '.join(f'r{i}' for i in range(k))} FROM ({src}))"]
+    for p in range(k):
+        cells = [f"{f'm{p}_{j} / m{p}_{p}' if i == p else f'm{i}_{j} - m{i}_{p} * m{p}_{j} / m{p}_{p}'} AS m{i}_{j}" for i in range(k) for j in range(p + 1, k)]
+        right = [f"{f'r{p} / m{p}_{p}' if i == p else f'r{i} - m{i}_{p} * r{p} / m{p}_{p}'} AS r{i}" for i in range(k)]
+        steps.append(f"e{p + 1} AS (SELECT {keep}, {', '.join(cells + right)} FROM e{p})")
+    return f"WITH {', '.join(steps)} SELECT {keep}, {', '.join(f'r{i} AS z{i}' for i in range(k))} FROM e{k}"
+
+
+def _clustered_sql(swept: str, keys: str, y: str, xs: list[str], a: str, b: str) -> tuple[str, str]:
+    """Coefficients z0, ... with n, df by design; and each cluster's z: the inverse of X'X times its score vector."""
+    k = len(xs)
+    cells = ", ".join(f"sum({xs[i]} * {xs[j]}) AS m{i}_{j}" for i in range(k) for j in range(k))
+    live = " + ".join(f"(sum({x} * {x}) > 1e-9)::int" for x in xs)
+    gram = f"SELECT {keys}, count(*) AS n, count(*) - ({live}) - count(DISTINCT {a}) - count(DISTINCT {b}) + 1 AS df, {cells}, {', '.join(f'sum({x} * {y}) AS r{i}' for i, x in enumerate(xs))} FROM ({swept}) GROUP BY {keys}"
+    fit = _solve_sql(gram, f"{keys}, n, df", k)
+    resid = f"{y} - ({' + '.join(f'z{i} * {x}' for i, x in enumerate(xs))})"
+    scores = f"SELECT {keys}, {a}, {', '.join(f'sum({x} * e) AS r{i}' for i, x in enumerate(xs))} FROM (SELECT *, {resid} AS e FROM ({swept}) JOIN ({fit}) USING ({keys})) GROUP BY {keys}, {a}"
+    both = f"SELECT {keys}, {a}, {', '.join(f'm{i}_{j}' for i in range(k) for j in range(k))}, {', '.join(f's.r{i}' for i in range(k))} FROM ({scores}) s JOIN ({gram}) g USING ({keys})"
+    return fit, _solve_sql(both, f"{keys}, {a}", k)
+
+
+def _student_sql(t: str, nu: str) -> str:
+    """Two-sided tail of Student's t for whole degrees of freedom, by the finite sums over powers of the cosine."""
+    c2, angle = f"({nu} / ({nu} + ({t}) ** 2))", f"atan(abs({t}) / sqrt({nu}))"
+    even = f"sin({angle}) * list_sum(list_transform(generate_series(0, ({nu} - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi()) + k * ln({c2}))))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * list_sum(list_transform(generate_series(0, ({nu} - 3) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + 0.5 * ln(pi()) - ln(2) + k * ln({c2})))))"
+    return f"1 - CASE WHEN {nu} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+def _f_sql(f: str, a: str, b: str) -> str:
+    """Upper tail of F by Simpson's rule over the angle whose squared sine is beta-distributed."""
+    top = f"asin(sqrt({b} / ({b} + {a} * ({f}))))"
+    body = lambda x: f"2 * exp(lgamma(({a} + {b}) / 2) - lgamma({a} / 2) - lgamma({b} / 2)) * sin({x}) ** ({b} - 1) * cos({x}) ** ({a} - 1)"
+    point = f"({top} * k / 4000)"
+    return f"{top} / 12000 * list_sum(list_transform(generate_series(0, 4000), lambda k: (CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {body(point)}))"
+
+
+_COHORTS = {"1997-01-01": [0, 1, 2], "1998-07-01": [3, 4], "1999-07-01": [5]}
+_UNITS = " UNION ALL ".join(f"SELECT DATE '{d}' AS cohort, {u}::bigint AS unit, {i} AS slot" for d, us in _COHORTS.items() for i, u in enumerate(us))
+define("curveten", CTES["curve"].replace("c_nationkey % 5", "c_nationkey % 10"))
+define("curvepanel", f"""SELECT 'nelson_siegel' AS method, date, currency, level, slope FROM ({NS_SQL.replace("FROM curve)", "FROM curveten)")}) UNION ALL
+  SELECT 'simple', date, currency, max(CASE WHEN tenor_description = '120M' THEN zero_rate END),
+         max(CASE WHEN tenor_description = '24M' THEN zero_rate END) - max(CASE WHEN tenor_description = '120M' THEN zero_rate END) FROM curveten GROUP BY 2, 3""")
+define("didrows", f"""WITH u AS ({_UNITS}), f AS (SELECT p.*, c.cohort, slot FROM curvepanel p CROSS JOIN (SELECT DISTINCT cohort FROM u) c LEFT JOIN u ON u.cohort = c.cohort AND u.unit = p.currency
+    WHERE (slot IS NOT NULL OR p.currency NOT IN (SELECT unit FROM u)) AND date BETWEEN c.cohort - INTERVAL 24 MONTH AND c.cohort + INTERVAL 24 MONTH)
+  SELECT method || '/' || cohort::varchar || '/' || outcome AS design, currency AS stock_id, date AS period, y, {", ".join(f"(coalesce(slot, -1) = {i} AND date >= cohort)::int::double AS x{i}" for i in range(3))}
+  FROM (SELECT *, unnest(['level', 'slope']) AS outcome, unnest([level, slope]) AS y FROM f) WHERE y IS NOT NULL""")
+
+
+def _swept_by_sql(src: str, columns: list[str], rounds: int = 200) -> str:
+    by = lambda key: ", ".join(f"{c} - avg({c}) OVER (PARTITION BY design, {key}) AS {c}" for c in columns)
+    return f"""WITH RECURSIVE it AS (SELECT 0 AS step, design, stock_id, period, {", ".join(columns)} FROM {src} UNION ALL
+       SELECT step + 1, design, stock_id, period, {by("period")} FROM (SELECT step, design, stock_id, period, {by("stock_id")} FROM it WHERE step < {rounds}))
+       SELECT design, stock_id, period, {", ".join(columns)} FROM it WHERE step = {rounds}"""
+
+
+define("didswept", _swept_by_sql("didrows", ["y", "x0", "x1", "x2"]))
+_DID_FIT, _DID_Z = _clustered_sql("SELECT * FROM didswept", "design", "y", ["x0", "x1", "x2"], "stock_id", "period")
+define("didfit", _DID_FIT)
+define("didvar", f"SELECT design, {', '.join(f'sum(z{i} * z{i}) AS v{i}' for i in range(3))} FROM ({_DID_Z}) GROUP BY design")
+
+
+def curve_panel(spark, d) -> DataFrame:
+    """Level and slope by currency and month, by either method of fitting."""
+    curve = s.zero_curve(spark, d, 10)
+    fitted = [cv.nelson_siegel(curve).select("date", "currency", "level", "slope"), cv.simple_curve(curve)]
+    return fitted[0].withColumn("method", F.lit("nelson_siegel")).unionByName(fitted[1].withColumn("method", F.lit("simple")))
+
+
+@query(f"""WITH u AS ({_UNITS}), e AS (SELECT split_part(design, '/', 1) AS method, split_part(design, '/', 2)::date AS cohort, split_part(design, '/', 3) AS outcome, slot, n, df,
+            CASE slot WHEN 0 THEN z0 WHEN 1 THEN z1 ELSE z2 END AS coef, sqrt(CASE slot WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END * n / df) AS se FROM didfit JOIN didvar USING (design) CROSS JOIN (SELECT unnest([0, 1, 2]) AS slot))
+  SELECT method, cohort, outcome, unit AS currency, coef, se, coef / se AS t_stat, {_student_sql("coef / se", "df")} AS p_value, n FROM e JOIN u USING (cohort, slot)""", "coef se t_stat p_value", 5)
+def v17_did_by_unit(spark, d):
+    return ec.did_by_unit(curve_panel(spark, d), _COHORTS, ["level", "slope"], 24)
+
+
 _STEPS = [k for k in range(-4, 5) if k != -1]
 _DUMMY = [f"t{k + 4}" for k in _STEPS]
 _REL = "greatest(least(floor(date_diff('day', DATE '1998-01-01', period) / 92), 4), -4)"
 _EVENT = f"SELECT stock_id, period, ret_wins AS y, {', '.join(f'(stock_id % 2 = 0 AND {_REL} = {k})::int::double AS {n}' for k, n in zip(_STEPS, _DUMMY, strict=True))} FROM periodic WHERE ret_wins IS NOT NULL"
+define("eventswept", f"SELECT 1 AS one, * FROM ({_swept_sql(_EVENT, ['y', *_DUMMY])})")
+_EVENT_FIT, _EVENT_Z = _clustered_sql("SELECT * FROM eventswept", "one", "y", _DUMMY, "stock_id", "period")
+define("eventfit", _EVENT_FIT)
+define("eventz", _EVENT_Z)
+_EVENT_VAR = f"SELECT {', '.join(f'sum(z{i} * z{i}) AS v{i}' for i in range(8))} FROM eventz"
 
 
-_EVENT_FIT = _ols_sql(f"SELECT 1 AS one, * FROM ({_swept_sql(_EVENT, ['y', *_DUMMY])})", "one", "y", _DUMMY, 1, const=False)
+@query(f"""SELECT step, effect, se, effect / se AS t_stat, {_student_sql("effect / se", "df")} AS p_value, n FROM (SELECT unnest({_STEPS}) AS step, unnest([{', '.join(f'z{i}' for i in range(8))}]) AS effect,
+           unnest([{', '.join(f'sqrt(v{i} * n / df)' for i in range(8))}]) AS se, n, df FROM eventfit, ({_EVENT_VAR}))""", "effect se t_stat p_value", 5)
+def v18_event_study(spark, d):
+    return ec.event_study(event_panel(spark, d), "1998-01-01", 92, 4)
 
 
-@query(f"SELECT unnest({_STEPS}) AS step, unnest([{', '.join(_DUMMY)}]) AS effect, n FROM ({_EVENT_FIT})", "effect", 5)
-def v18_event_study(spark, d):
+_PRE = f"SELECT n, df, {', '.join(f'sum(c.z{i} * c.z{j}) * any_value(n) / any_value(df) AS m{i}_{j}' for i in range(3) for j in range(3))}, {', '.join(f'any_value(f.z{i}) AS r{i}, any_value(f.z{i}) AS b{i}' for i in range(3))} FROM eventz c, eventfit f GROUP BY n, df"
+
+
+@query(f"""WITH w AS (SELECT df, {' + '.join(f'b{i} * z{i}' for i in range(3))} AS wald FROM ({_solve_sql(_PRE, "df, b0, b1, b2", 3)}))
+  SELECT wald, 3 AS df1, df AS df2, wald / 3 AS f_stat, {_f_sql("wald / 3", "3.0::double", "df::double")} AS p_value FROM w""", "wald f_stat p_value", 4)
+def v18_pre_trend(spark, d):
+    return ec.pre_trend(event_panel(spark, d), "1998-01-01", 92, 4)
+
+
+def event_panel(spark, d) -> DataFrame:
     rows = periodic(spark, d).withColumn("date", F.col("period"))
-    return ec.event_study(rows.select("stock_id", "period", "date", F.col("ret_wins").alias("y"), (F.col("stock_id") % 2 == 0).alias("treated")), "1998-01-01", 92, 4)
+    return rows.select("stock_id", "period", "date", F.col("ret_wins").alias("y"), (F.col("stock_id") % 2 == 0).alias("treated"))
 
 
 _BAL = """SELECT stock_id, date_fundamental, (date_fundamental >= DATE '1998-01-01')::int AS post, loan_loss_provision / nullif(net_loans, 0) AS pr, losses / nullif(insurance_premium, 0) AS lr

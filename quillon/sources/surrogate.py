@@ -99,9 +99,9 @@ def risk_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.withColumn("risk_free_rate", 0.00001 * (1 + key % 5))
 
 
-def zero_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+def zero_curve(spark: SparkSession, sf_dir: str, currencies: int = 5) -> DataFrame:
     """Five tenors per month and currency-like key, from order priorities."""
     o, c = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
     tenor = F.element_at(F.create_map(*[F.lit(x) for kv in (("1", "6M"), ("2", "12M"), ("3", "24M"), ("4", "60M"), ("5", "120M")) for x in kv]), F.substring("o_orderpriority", 1, 1))
-    rows = o.join(c, o.o_custkey == c.c_custkey).select(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("date"), (F.col("c_nationkey") % 5).cast("long").alias("currency"), tenor.alias("tenor_description"), "o_totalprice")
+    rows = o.join(c, o.o_custkey == c.c_custkey).select(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("date"), (F.col("c_nationkey") % currencies).cast("long").alias("currency"), tenor.alias("tenor_description"), "o_totalprice")
     return rows.groupBy("date", "currency", "tenor_description").agg(F.round(F.avg("o_totalprice") / 1e7, 12).alias("zero_rate"))
