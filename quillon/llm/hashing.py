@@ -1,7 +1,8 @@
-"""Vectorised hashing of byte strings: polynomials modulo 2^64, finished by an avalanche step."""
+"""Vectorised hashing of byte strings: words by a mixing step for every eight bytes, byte ranges of one text by polynomials modulo 2^64."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,14 +64,38 @@ def slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
         yield run
 
 
+#: Words of more bytes are hashed one by one, by a digest.
+LONG = 64
+
+
+def _chained(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges of LONG bytes at most: their length, then eight bytes at a time, each mixed in before the next. ``data`` has eight spare bytes."""
+    out = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    lanes = np.arange(8)
+    live = np.arange(len(start))
+    for at in range(0, LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        chunk = data[(start[live] + at)[:, None] + lanes].view("<u8")[:, 0].astype(np.uint64)
+        spare = (8 * np.maximum(at + 8 - size[live], 0)).astype(np.uint64)
+        out[live] = mix64((out[live] ^ ((chunk << spare) >> spare)) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts (split at ASCII white space, A-Z lower-cased), in order, and the text that each is of."""
-    data = np.frombuffer(b" ".join(texts).lower(), dtype=np.uint8)
+    whole = b" ".join(texts).lower()
+    data = np.frombuffer(whole + b" " * 8, dtype=np.uint8)
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
     turn = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = turn[::2], turn[1::2]
+    size = end - start
+    out = _chained(data, start, np.minimum(size, LONG))
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(whole[start[k] : end[k]], digest_size=8).digest(), "little")
     ends = np.cumsum([len(x) + 1 for x in texts])
-    return spans(prefix_sums(data), start, end) + (end - start).astype(np.uint64), np.searchsorted(ends, start, side="right")
+    return out, np.searchsorted(ends, start, side="right")
 
 
 def release() -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import chat, decontaminate, ego, minhash, mixing, pii, quality, sharding, suffixes, warc
 from quillon.llm.common import connected_components
+from quillon.llm.hashing import word_hashes
 
 CLASH = "a b c d e n size rep band start shard bucket key rank".split()
 
@@ -434,6 +435,28 @@ def test_a_digest_is_that_of_the_text_alone():
     assert late[1] == alone[0] and late[2] == late[3] == bytes(16) and minhash.contents(*minhash.shingles([b"", b""])) == [bytes(16)] * 2
 
 
+def test_long_words_over_two_letters_do_not_collide(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))  # the word whose polynomial hashes modulo powers of two all meet those of its complement
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = [x[:n] for n in (32, 64, 65, 512, 1024, 2048) for x in (a, b)]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got)
+    hashes, of = word_hashes([" ".join(texts).encode(), b"", b"One oNE\tx\n" + b"y" * 9])
+    assert len(set(hashes[: len(texts)].tolist())) == len(texts) and of.tolist() == [0] * len(texts) + [2] * 4
+    assert hashes[len(texts)] == hashes[len(texts) + 1] and len(set(hashes[-3:].tolist())) == 3
+
+
+def test_words_hash_alike_wherever_they_stand():
+    rng = random.Random(6)
+    bag = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+    one = dict(zip(bag, word_hashes([" ".join(bag).encode()])[0].tolist(), strict=True))
+    rng.shuffle(bag)
+    again = word_hashes([("\n".join(bag)).upper().replace("É", "é").encode(), b" " + bag[0].encode()])[0].tolist()
+    assert again == [one[w] for w in bag] + [one[bag[0]]] and len(set(one.values())) == len(one)
+
+
 def test_one_row_of_each_component_stays_whatever_its_id(spark, docs):
     rng = random.Random(11)
     a, b, c, d = (words(rng, 30) for _ in range(4))
