@@ -42,17 +42,42 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def write_shared(df: DataFrame, what: str, compression: str = "snappy") -> str:
+#: Work tables of the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def work_tables_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, ``materialize`` writes tables that are deleted at its end, but for those that it is told to keep. What lives on must read none of them."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop_table(spark, path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_shared(df: DataFrame, what: str, compression: str = "snappy", keep: bool = False) -> str:
     """Writes ``df`` as a new table in the shared folder; returns its path."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     with shuffles_dropped(df.sparkSession):
         df.write.option("compression", compression).parquet(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     return path
 
 
-def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written as a table in the shared folder and read back, which cuts the lineage: a lost executor costs no rebuild."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, what, compression))
+def materialize(df: DataFrame, what: str, compression: str = "snappy", keep: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back, which cuts the lineage: a lost executor costs no rebuild.
+
+    ``keep`` tells that the table outlives the scope of ``work_tables_dropped`` around it.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, what, compression, keep))
 
 
 def artifact(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -63,6 +88,6 @@ def artifact(spark: SparkSession, folder: str, name: str, build: Callable[[], Da
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _MADE:
         df = build()
-        _MADE[key] = (write_shared(df, name), df.schema)
+        _MADE[key] = (write_shared(df, name, keep=True), df.schema)
     path, schema = _MADE[key]
     return spark.read.schema(schema).parquet(path)
