@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.sources.shared import materialize, shared_dir, shuffles_dropped
+from quillon.sources.shared import materialize, shared_dir, shuffles_dropped, work_tables_dropped
 
-__all__ = ["TOKEN", "UPPER", "WORD", "ascii_lower", "bound_batches", "connected_components", "hot_keys", "join_hot", "materialize", "packed", "shared_dir", "unpacked"]
+__all__ = ["TOKEN", "UPPER", "WORD", "ascii_lower", "bound_batches", "connected_components", "hot_keys", "join_hot", "materialize", "packed", "shared_dir", "unpacked", "work_tables_dropped"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of the decontamination rule before A-Z are lower-cased: runs of digits, ASCII letters and anything beyond ASCII.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import TOKEN, bound_batches, connected_components, hot_keys, join_hot, materialize, packed, unpacked
+from quillon.llm.common import TOKEN, bound_batches, connected_components, hot_keys, join_hot, materialize, packed, unpacked, work_tables_dropped
 from quillon.llm.hashing import mix64, release, slices, word_hashes
 
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -295,11 +295,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Groups are the components of texts, whatever their ids: unrelated texts under one id, or under none, all stay.
     Texts without words link with nothing; of those only rows that repeat an id and a text are one group.
     """
-    signed, named = _components(docs)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")
-    linked = signed.where("n > 0").join(named.select("content", "n", "comp"), ["content", "n"]).groupBy("comp").agg(best).select("x.doc_id", "x.key")
-    blank = signed.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "key")
-    kept = materialize(linked.unionByName(blank).distinct(), "near-kept").toDF("_kept_id", "_kept_key")
+    with work_tables_dropped(docs.sparkSession):
+        signed, named = _components(docs)
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")
+        linked = signed.where("n > 0").join(named.select("content", "n", "comp"), ["content", "n"]).groupBy("comp").agg(best).select("x.doc_id", "x.key")
+        blank = signed.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "key")
+        kept = materialize(linked.unionByName(blank).distinct(), "near-kept", keep=True).toDF("_kept_id", "_kept_key")
 
     loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(TOKEN), F.lit(False))
     rows = docs.where(~loose).select(packed(docs), F.col("doc_id").cast("long").alias("_id"), _key().alias("_key"))

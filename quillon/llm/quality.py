@@ -193,7 +193,9 @@ def _scored(docs: DataFrame, labels: DataFrame, keep_rows: bool) -> DataFrame:
     rated = scored.join(known, F.col("doc_id") == F.col("_id"), "left").withColumns({"r_" + t: F.coalesce("y_" + t, _probability(F.col(t))) for t in TRAITS})
     table = sites(rated.select("source", "lang", *[F.col("r_" + t).alias(t) for t in TRAITS]))
     sited = _with_sites(rated, table)
-    return sited.select(*rest, "doc_id", *[F.col(t).alias(t + "_logit") for t in TRAITS], *[_probability(F.col(t) + adjustment(t, F.col("r_" + t))).alias("p_" + t) for t in TRAITS])
+    # Without labels nothing is known of sites either: blank texts alone would speak for them.
+    said = lambda t: adjustment(t, F.col("r_" + t)) if model["coef"] is not None else F.lit(0.0)
+    return sited.select(*rest, "doc_id", *[F.col(t).alias(t + "_logit") for t in TRAITS], *[_probability(F.col(t) + said(t)).alias("p_" + t) for t in TRAITS])
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

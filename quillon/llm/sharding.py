@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, packed
 
 SHARDS = 24
 #: The plan is broadcast up to so many rows; beyond, groups meet it by a shuffle on their size.
@@ -61,28 +61,37 @@ def _offsets(df: DataFrame, keys: list[str], salt: str) -> DataFrame:
     return df.groupBy(*keys, salt).agg(F.count("*").alias("n")).select(*keys, salt, F.coalesce(F.sum("n").over(order), F.lit(0)).alias("ahead"))
 
 
-def lpt_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows of ``docs``, all their columns, with ``shard`` and ``slot`` as ``lpt_shards`` deals them; columns of these two names are replaced."""
+    dealt = lpt_shards(docs, shards, carry=True)
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return dealt.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "shard", "slot")
+
+
+def lpt_shards(docs: DataFrame, shards: int = SHARDS, carry: bool = False) -> DataFrame:
     """Shard and slot of every row of ``docs`` (``doc_id``, ``text``), sizes near equal.
 
     A row's size is the UTF-8 bytes of its text plus 8; a null text has no bytes and CRC 0. Equal texts form one
     group and share a shard (null texts are a group of their own). Repeated rows each get a slot; null ids are
     kept and come first within their slice of slots. An empty table gives an empty result. Columns of ``docs``
     other than ``doc_id`` and ``text`` play no part. ``grown_shard`` is null: under the law ``bytes`` nothing is
-    promised about one more shard.
+    promised about one more shard. With ``carry`` each result row holds its row of ``docs`` as ``_row``.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     spark = docs.sparkSession
-    text = F.col("text")
+    text, rest = F.col("text"), ["_row"] if carry else []
     slice_of = lambda c: F.substring(F.hex(c), 1, 3)
     rows = materialize(
         docs.select(
+            *([packed(docs)] if carry else []),
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
             F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"")).alias("content"),
         ),
         "shard-rows",
+        "zstd" if carry else "snappy",
     )
     groups = rows.groupBy("content", "size").agg(F.count("*").alias("n"))
     groups = materialize(groups.select("content", "n", (F.col("size") * F.col("n")).alias("total"), slice_of("content").alias("salt")), "shard-groups")
@@ -105,10 +114,10 @@ def lpt_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cold = homed.where(F.col("n") <= limit).select("content", "shard")
     placed = rows.join(F.broadcast(hot), "content").unionByName(rows.join(F.broadcast(hot.select("content")), "content", "left_anti").join(cold, "content"))
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lower(F.hex("content"))))
-    placed = materialize(placed.withColumn("salt", F.substring(digest, 1, 3)), "shard-placed")
+    placed = materialize(placed.withColumn("salt", F.substring(digest, 1, 3)), "shard-placed", "zstd" if carry else "snappy")
     slot = F.row_number().over(W.partitionBy("shard", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "content")) - 1
     return (
         placed.withColumn("rank", slot)
         .join(F.broadcast(_offsets(placed, ["shard"], "salt")), ["shard", "salt"])  # shards x 4,096 rows at most
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") + F.col("ahead")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") + F.col("ahead")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *rest)
     )

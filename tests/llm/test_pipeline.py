@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -44,4 +45,29 @@ def test_stages_in_order_and_their_effects(spark):
     dirty = {k for k, t in seen[2].items() if any(tuple(low(t)[i : i + n]) in windows for n in sizes for i in range(len(low(t)) - n + 1))}
     assert set(seen[3]) == set(seen[2]) - dirty
     out = corpus_pipeline.STAGES[4][1](spark, docs, SF)
-    assert out.count() == docs.count() and out.where(F.col("shard").between(0, 23)).count() == docs.count()
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    rows = out.collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in rows) == Counter(map(tuple, docs.collect()))
+    assert {r.shard for r in rows} == set(range(24))
+    for shard in range(24):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    homes = {}
+    assert all(homes.setdefault(r.text, r.shard) == r.shard for r in rows)
+
+
+def test_odd_rows_and_columns_pass_all_stages(spark, tmp_path):
+    odd = [(None, None, None, None), (1, None, "en", "a"), (2, "", "en", "a"), (3, " \n", None, "a"), (None, "of no id, with words of its own", "en", None), (4, "word " * 30_000, "en", "b"), (4, "word " * 30_000, "en", "b")]
+    plain = [(k, f"document {k} says " + " ".join(f"w{k * 7 + j}" for j in range(40)), "en", "abc"[k % 3]) for k in range(10, 60)]
+    docs = spark.createDataFrame(odd + plain, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(c) for c in ("n", "size", "shard", "key", "content", "_row", "rank")})
+    empty = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, empty), "test-stage")
+        assert [c for c in docs.columns if c not in ("shard", "slot")] == [c for c in before.columns if c not in ("shard", "slot")], name
+    kept = {r.doc_id for r in docs.collect()}
+    assert kept == {None, 4, *range(10, 60)} and docs.where("n <> 'n' or _row <> '_row'").count() == 0
+    none = before.where("false").drop("shard")
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, empty)
+    assert none.count() == 0 and none.columns[-2:] == ["shard", "slot"]
