@@ -1,6 +1,13 @@
 """The corpus pipeline: drop poor and toxic documents, near-duplicates and benchmark leaks, mix the sources, deal out shards.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. The last returns the corpus:
+the mixed rows with their texts, a shard and a slot each. A row is there once for each pass of the mix over its source, and a source's last
+document may be cut to the words that were still asked for, so rows go by shard and slot, not by ``doc_id``.
+
+Null, empty and blank texts go with the first stage, so no later one meets them in a run; by themselves all stages take them. Null ids, sources and
+languages are kept as such. Rows that repeat an id and a text become one in the second stage. Of linked documents the one of the smallest id stays, null ids last.
+Without labels only blank texts go, without a benchmark nothing leaks, and an empty table gives an empty corpus. Extra columns of the documents are
+carried through all stages, whatever their names, but for ``shard`` and ``slot``, which the last stage replaces.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.lpt_shards(docs)
+    return sharding.shard_rows(docs)
 
 
 STAGES = [
