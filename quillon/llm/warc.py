@@ -1,6 +1,6 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Records are dealt to shards by ranges of the page id that hold about as many bytes each, sorted within, and
+Records are dealt to shards by ranges of (page id, digest, url) that hold about as many bytes each, sorted within, and
 written as one gzip member per record; a file is closed when its compressed size reaches the limit. Headers,
 block digests and payload digests are made anew. Tasks write under temporary names of their own, so retried and
 speculative attempts never meet; a manifest of the attempts that count is written, their files are renamed, and
@@ -14,14 +14,17 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bound_batches, materialize, shared_dir
+from quillon.llm.common import bound_batches, materialize, shared_dir, work_tables_dropped
 
 #: Target of uncompressed bytes in a shard, and of compressed bytes in a file.
 SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
@@ -29,8 +32,8 @@ SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
 BROADCAST_REPEATS = 50_000
 #: Tasks that read archives, at most; each takes whole shards.
 READERS = 20_000
-#: The id histogram has so many bins at most, whatever the input.
-BINS = 1 << 16
+#: Shards at most: beyond, they grow. Their bounds, a row each, are what the driver sees and tasks are sent.
+MOST_SHARDS = 1 << 16
 
 
 def digest(data: bytes) -> str:
@@ -64,23 +67,46 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def shards_by_range(records: DataFrame, shard_bytes: int) -> DataFrame:
-    """Adds ``shard``: ranges of ids cut where the running bytes pass a multiple of ``shard_bytes``; an id bin that is larger itself is dealt out by payload."""
+def shard_bounds(records: DataFrame, shard_bytes: int) -> list[tuple]:
+    """The first (page id, digest, url) of every shard, ascending: shards are cut where the running bytes of the whole order pass a multiple of ``shard_bytes``.
+
+    The order is that of the rows alone: keys are range-sorted without their payloads, running sums are added up within ranges and
+    carried over from range to range, so neither the ids' spread nor Spark's choice of ranges plays a part. A shard ends at a key, so
+    only rows that agree in id, payload and url can make one larger than asked.
+    """
+    spark = records.sparkSession
     weight = F.coalesce(F.octet_length("payload"), F.lit(0)) + 512
-    low, high = records.agg(F.min("page_id"), F.max("page_id")).first()
-    width = 1 if low is None else (high - low) // BINS + 1
-    bin_of = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    binned = records.withColumn("bin", bin_of).withColumn("weight", weight)
-    plan, at, shard = [], 0, 0
-    for r in binned.groupBy("bin").agg(F.sum("weight").alias("w")).orderBy("bin").collect():  # BINS + 1 rows at most
-        ways = max(1, -(-r.w // (2 * shard_bytes)))
-        if at and at + r.w > shard_bytes:
-            at, shard = 0, shard + 1
-        plan.append((r.bin, shard, ways))
-        at, shard = (0, shard + ways) if ways > 1 else (at + r.w, shard)
-    table = F.broadcast(records.sparkSession.createDataFrame(plan, "bin long, first int, ways int"))
-    own = F.pmod(F.crc32(F.col("sha1").cast("binary")), F.col("ways")).cast("int")
-    return binned.join(table, "bin").withColumn("shard", F.col("first") + own).drop("bin", "weight", "first", "ways")
+    order = ["page_id", "sha1", "url"]
+    keys = records.groupBy(*order).agg(F.sum(weight).alias("w"))
+    parts = max(1, min(READERS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    with work_tables_dropped(spark):
+        ranged = materialize(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "warc-keys", "zstd")
+        sums = ranged.groupBy("part").agg(F.sum("w").alias("w"))  # READERS rows at most
+        ahead = sums.select("part", (F.sum("w").over(W.orderBy("part")) - F.col("w")).alias("ahead"))
+        total = sums.agg(F.sum("w")).first()[0] or 0
+        size = max(shard_bytes, total // MOST_SHARDS + 1)
+        within = F.sum("w").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("w")
+        placed = ranged.withColumn("within", within).join(F.broadcast(ahead), "part")
+        at = F.floor((F.col("ahead") + F.col("within")) / F.lit(size))
+        firsts = placed.groupBy(at.alias("at")).agg(F.min(F.struct(*order)).alias("k")).orderBy("at").collect()
+    return [_sortable(r.k.page_id, r.k.sha1, r.k.url) for r in firsts]
+
+
+def _sortable(page_id: int | None, sha1: str, url: str | None) -> tuple:
+    return (page_id is not None, page_id or 0, sha1, url is not None, url or "")
+
+
+def shards_by_range(records: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Adds ``shard``, by ``shard_bounds``; and the number of shards."""
+    bounds = shard_bounds(records, shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard(ids: pd.Series, sums: pd.Series, urls: pd.Series) -> pd.Series:
+        rows = zip(ids, sums, urls, strict=True)
+        return pd.Series([bisect_right(bounds, _sortable(None if i is None else int(i), s, u)) - 1 for i, s, u in rows], dtype="int32")
+
+    # Ids go as strings: a column of longs with nulls would pass through doubles.
+    return records.withColumn("shard", shard(F.col("page_id").cast("string"), F.col("sha1"), F.col("url"))), max(1, len(bounds))
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes | None, size: int, sha1: str, kind: str, refers_to: int | None) -> bytes:
@@ -157,8 +183,7 @@ def write_archives(pages: DataFrame, base: str, min_bytes: int = 0, shard_bytes:
     fs, root = pafs.FileSystem.from_uri(base)
     fs.create_dir(f"{root}/_temporary", recursive=True)
     records = materialize(plan_records(pages, min_bytes), "warc-records", "zstd")
-    sharded = shards_by_range(records, shard_bytes)
-    n = max(1, sharded.agg(F.max("shard")).first()[0] or 0) + 1
+    sharded, n = shards_by_range(records, shard_bytes)
     # One partition for each shard: shards are ranges of ids already.
     sorted_ = sharded.repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
     manifest = materialize(sorted_.select("shard", "page_id", "url", "payload", "size", "sha1", "type", "refers_to").mapInArrow(_writer(base, file_bytes), MANIFEST), "warc-attempts")

@@ -315,6 +315,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[-(2**62) - 5, 1, 2**62 + 5, -(2**63), 2**63 - 1], [*range(300), 2**60], [7] * 40, [None] * 40])
+def test_warc_shards_are_ranges_whatever_the_ids(spark, tmp_path, ids):
+    rows = [(i, f"u{k}", f"page {k} " + "x" * (k % 7) * 30) for k, i in enumerate(ids)]
+    base, df = f"file://{tmp_path}/w", spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archives(df.repartition(3), base, shard_bytes=1500).collect()
+    out = warc.read_archives(spark, base).withColumn("file", F.input_file_name()).collect()
+    assert Counter((r.page_id, r.url) for r in out) == Counter(r[:2] for r in rows)
+    records = warc.materialize(warc.plan_records(df), "test-records")
+    dealt, n = warc.shards_by_range(records, 1500)
+    by = defaultdict(list)
+    for r in dealt.collect():
+        by[r.shard].append(((r.page_id is not None, r.page_id or 0), r.sha1, len(r.payload) + 512))
+    assert sorted(by) == list(range(n)) and n == len({m.shard for m in manifest}) > 1
+    for k in range(1, n):
+        assert max(x[:2] for x in by[k - 1]) < min(x[:2] for x in by[k])
+    assert all(sum(x[2] for x in v) < 1500 + 1200 for v in by.values())
+    again, m = warc.shards_by_range(warc.materialize(warc.plan_records(df.repartition(5)), "test-records"), 1500)
+    assert m == n and Counter((r.url, r.shard) for r in again.select("url", "shard").collect()) == Counter((r.url, r.shard) for r in dealt.select("url", "shard").collect())
+
+
 def test_grid_join_equals_all_pairs(spark):
     rng = np.random.default_rng(2)
     rows = []
