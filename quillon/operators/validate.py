@@ -31,6 +31,14 @@ def rank_ic(scores: DataFrame, forward: DataFrame, factors: list[str], lags: tup
     return ranked.groupBy(*by).agg(correlation("_a", "_b").alias("ic"), F.count("*").alias("n"))
 
 
+def residual_returns(forward: DataFrame, exposures: DataFrame, xs: list[str], lags: tuple[int, ...]) -> DataFrame:
+    """Forward returns net of what ``exposures`` (``stock_id``, ``period``, ``xs``) explain of them within each period; unknown exposures leave a null."""
+    from quillon.operators.regress import residuals
+
+    ys = [f"fwd{k}" for k in lags]
+    return residuals(forward.select("stock_id", "period", *ys).join(exposures.select("stock_id", "period", *xs), ["stock_id", "period"], "left"), ["period"], ys, xs).drop(*xs)
+
+
 def information_ratio(ic: DataFrame) -> DataFrame:
     sd = F.stddev_samp("ic")
     return ic.groupBy("factor", "lag").agg(F.avg("ic").alias("mean_ic"), F.try_divide(F.avg("ic"), F.when(sd > 0, sd)).alias("ir"), F.count("ic").alias("n"))
@@ -50,6 +58,37 @@ def fama_macbeth(panel: DataFrame, y: str, factors: list[str], keys: tuple[str,
     return coefficients(moments(panel, list(keys), F.col(y), [F.col(x) for x in factors]), list(keys), factors, least)
 
 
+def fama_macbeth_runs(panel: DataFrame, y: str, common: list[str], sectors: dict[str, list[str]], member: dict[str, Column], pooled: bool) -> DataFrame:
+    """Coefficients by ``sub_universe`` and period of all runs in one job; ``factor`` has ``const`` and what a run reports.
+
+    Pooled: one run "all" over every member of a sector, sector factors 0 off their sector, reports the common factors; each sector's
+    run, with the common factors as controls, reports its own. Otherwise a run for each sector reports everything. A row takes part with
+    all of its run's factors known; a period needs more rows than factors. Regressors that are no run's are zeros in it, with
+    coefficients of 0 that are not reported.
+    """
+    names = [*common, *[f for own in sectors.values() for f in own]]
+    inside = {sector: F.coalesce(m, F.lit(False)) for sector, m in member.items()}
+    held = {f: inside[sector] for sector, own in sectors.items() for f in own}
+    runs = []
+    if pooled:
+        some = F.lit(False)
+        for m in inside.values():
+            some = some | m
+        cells = [F.col(f).cast("double").alias(f) if f in common else F.when(held[f], F.col(f).cast("double")).otherwise(0.0).alias(f) for f in names]
+        runs.append(F.when(some, F.struct(F.lit("all").alias("sub_universe"), F.lit(len(names)).alias("k"), *cells)))
+    for sector, own in sectors.items():
+        cells = [F.col(f).cast("double").alias(f) if f in common or f in own else F.lit(0.0).alias(f) for f in names]
+        runs.append(F.when(inside[sector], F.struct(F.lit(sector).alias("sub_universe"), F.lit(len(common) + len(own)).alias("k"), *cells)))
+    rows = panel.select("period", F.col(y).alias("_y"), F.explode(F.array(*runs)).alias("_r")).where("_r is not null").select("period", "_y", "_r.*")
+    fit = coefficients(moments(rows, ["sub_universe", "k", "period"], F.col("_y"), [F.col(f) for f in names]), ["sub_universe", "k", "period"], names, 1).where(F.col("n") > F.col("k"))
+    long = fit.unpivot(["sub_universe", "period"], ["const", *names], "factor", "coef")
+    told = F.col("factor") == "const"
+    for run in (["all"] if pooled else []) + list(sectors):
+        own = common if run == "all" else sectors[run] if pooled else [*common, *sectors[run]]
+        told = told | ((F.col("sub_universe") == run) & F.col("factor").isin(own))
+    return long.where(told)
+
+
 def pooled_design(panel: DataFrame, masks: dict[str, Column]) -> DataFrame:
     """Sector factors count as 0 off their sector, so each factor is tested once with all names as controls."""
     return panel.withColumns({c: F.when(m, F.col(c)).otherwise(0.0) for c, m in masks.items()})

@@ -22,18 +22,23 @@ def winsorize(df: DataFrame, masks: Masks, low: float, high: float, by: str = "p
 
     ``linear`` interpolates between ranks; ``nearest`` takes the value at the rounded rank.
     """
-    cross = W.partitionBy(by)
-    out = {}
-    for c, mask in masks.items():
-        x = masked(mask, F.col(c))
-        if interpolation == "linear":
-            lo, hi = F.percentile(x, low).over(cross), F.percentile(x, high).over(cross)
-        else:
-            values = F.sort_array(F.collect_list(x).over(cross))
-            pick = lambda q, v=values: F.try_element_at(v, (F.round((F.size(v) - 1) * q) + 1).cast("int"))
-            lo, hi = pick(low), pick(high)
-        out[c] = clip(x, lo, hi)
-    return df.withColumns(out)
+    inside = {c: masked(mask, F.col(c)) for c, mask in masks.items()}
+    if interpolation == "linear":
+        cross = W.partitionBy(by)
+        return df.withColumns({c: clip(x, F.percentile(x, low).over(cross), F.percentile(x, high).over(cross)) for c, x in inside.items()})
+    # Bounds are grouped and joined back: counts by value, and the value whose counts pass the rounded rank.
+    found = None
+    for k, (c, x) in enumerate(inside.items()):
+        counts = df.select(F.col(by).alias("_by"), x.alias("_x")).where("_x is not null").groupBy("_by", "_x").agg(F.count("*").alias("_n"))
+        order = W.partitionBy("_by").orderBy("_x")
+        ranked = counts.withColumn("_to", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(W.partitionBy("_by")))
+        at = lambda q: F.min(F.when(F.col("_to") > F.round((F.col("_all") - 1) * q), F.col("_x")))
+        bounds = ranked.groupBy("_by").agg(at(low).alias(f"_lo{k}"), at(high).alias(f"_hi{k}"))
+        found = bounds if found is None else found.join(bounds, "_by", "full")
+    if found is None:
+        return df
+    out = df.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").withColumns({c: clip(x, F.col(f"_lo{k}"), F.col(f"_hi{k}")) for k, (c, x) in enumerate(inside.items())})
+    return out.drop("_by", *[f"_{e}{k}" for k in range(len(inside)) for e in ("lo", "hi")])
 
 
 def fill_median(df: DataFrame, masks: Masks, by: str = "period") -> DataFrame:

@@ -46,7 +46,7 @@ def _reg_sql(src: str, cols: dict[str, str]) -> tuple[str, str, str]:
 
 
 _MASKS = {"ep": "true", "dy": "true", "size": "true", "nim": "starts_with(industry, 'bank')", "fiy": "starts_with(industry, 'insurance')"}
-_A, _B, _Z = _reg_sql("scores", _MASKS)
+WINSORIZED_SQL, FILLED_SQL, _Z = _reg_sql("scores", _MASKS)
 define("zscores", _Z)
 NAMES = "ep dy size nim fiy"
 
@@ -77,7 +77,7 @@ def f1_ratio_factors(spark, d):
     return factors.ratio_scores(j.downsample(rows, r.rebalance_grid(rows)))
 
 
-@query(_A, NAMES)
+@query(WINSORIZED_SQL, NAMES)
 def w1_winsorize(spark, d):
     return w.winsorize(scores(spark, d), masks(), 0.01, 0.99)
 
@@ -89,7 +89,7 @@ def w2_winsorize_series(spark, d):
     return w.winsorize(rows, {"x": F.lit(True)}, 0.05, 0.95)
 
 
-@query(_B, NAMES)
+@query(FILLED_SQL, NAMES)
 def w3_fill_median(spark, d):
     return w.fill_median(w.winsorize(scores(spark, d), masks(), 0.01, 0.99), masks())
 

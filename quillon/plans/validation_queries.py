@@ -325,6 +325,44 @@ def v17_did_by_unit(spark, d):
     return ec.did_by_unit(curve_panel(spark, d), _COHORTS, ["level", "slope"], 24)
 
 
+define("fwdresid", """SELECT f.stock_id, f.period, mkt, fwd1 - (regr_intercept(fwd1, mkt) OVER p + regr_slope(fwd1, mkt) OVER p * mkt) AS fwd1, fwd2 - (regr_intercept(fwd2, mkt) OVER p + regr_slope(fwd2, mkt) OVER p * mkt) AS fwd2
+       FROM fwd f LEFT JOIN qbeta q ON f.stock_id = q.stock_id AND f.period = q.q WINDOW p AS (PARTITION BY f.period)""")
+
+
+@query("""WITH l AS (SELECT stock_id, period, unnest(['ep', 'dy', 'size']) AS factor, unnest([ep, dy, size]) AS score FROM zscores), f AS (SELECT stock_id, period, unnest([1, 2]) AS lag, unnest([fwd1, fwd2]) AS fwd FROM fwdresid),
+          b AS (SELECT l.period, factor, lag, score, round(fwd, 9) AS fwd FROM l JOIN f ON l.stock_id = f.stock_id AND l.period = f.period WHERE score IS NOT NULL AND fwd IS NOT NULL),
+          k AS (SELECT *, rank() OVER (PARTITION BY period, factor, lag ORDER BY score) + (count(*) OVER (PARTITION BY period, factor, lag, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY period, factor, lag ORDER BY fwd) + (count(*) OVER (PARTITION BY period, factor, lag, fwd) - 1) / 2.0 AS c FROM b)
+          SELECT period, factor, lag, covar_samp(a, c) / nullif(stddev_samp(a) * stddev_samp(c), 0) AS ic, count(*) AS n FROM k GROUP BY 1, 2, 3""", "ic")
+def v3_rank_ic_residual(spark, d):
+    net = validate.residual_returns(forward(spark, d), quarter_beta(spark, d), ["mkt"], (1, 2))
+    return validate.rank_ic(zscores(spark, d), net.withColumns({c: F.round(c, 9) for c in ("fwd1", "fwd2")}), STYLE, (1, 2))
+
+
+_SECTORS = {"bank": ["nim"], "insurance": ["fiy"]}
+
+
+def _runs_sql() -> str:
+    """Every run's premia as a series, ``factor`` naming run, sub-universe and factor."""
+    out = []
+    for kind in ("pooled", "legacy"):
+        runs = ([("all", FIVE, "SELECT * FROM pooled WHERE true", ["const", *STYLE])] if kind == "pooled" else []) + [
+            (sector, [*STYLE, *own], f"SELECT z.period, fwd1, ep, dy, size, nim, fiy FROM zscores z JOIN fwd ON z.stock_id = fwd.stock_id AND z.period = fwd.period WHERE starts_with(industry, '{sector}')", ["const", *([] if kind == "pooled" else STYLE), *own]) for sector, own in _SECTORS.items()]
+        for sub, xs, src, told in runs:
+            out.append(f"SELECT period, unnest([{', '.join(repr(f'{kind}/{sub}/{x}') for x in told)}]) AS factor, unnest([{', '.join(told)}]) AS coef FROM ({_ols_sql(src, 'period', 'fwd1', xs, len(xs) + 1)})")
+    return " UNION ALL ".join(out)
+
+
+define("runprem", _runs_sql())
+
+
+@query(f"SELECT split_part(factor, '/', 1) AS run, split_part(factor, '/', 2) AS sub_universe, * REPLACE (split_part(factor, '/', 3) AS factor) FROM ({_NW.replace('premia', 'runprem')})", "mean_coef nw_se t_stat", 4)
+def v9_fama_macbeth_runs(spark, d):
+    rows = design(spark, d)
+    member = {k: F.col("industry").startswith(k) for k in _SECTORS}
+    series = [validate.fama_macbeth_runs(rows, "fwd1", STYLE, _SECTORS, member, pooled).withColumn("run", F.lit("pooled" if pooled else "legacy")) for pooled in (True, False)]
+    return validate.newey_west(series[0].unionByName(series[1]), ["run", "sub_universe", "factor"])
+
+
 _STEPS = [k for k in range(-4, 5) if k != -1]
 _DUMMY = [f"t{k + 4}" for k in _STEPS]
 _REL = "greatest(least(floor(date_diff('day', DATE '1998-01-01', period) / 92), 4), -4)"
