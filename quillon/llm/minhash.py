@@ -28,7 +28,8 @@ BUCKET_BITS, MANTISSA, BAND = 7, 10, 4
 BANDS = (1 << BUCKET_BITS) // BAND
 #: Candidates estimated this far below the threshold (over four standard errors) are not confirmed.
 SLACK = 0.17
-BLOCK = 512
+#: Members of an open bucket that meet at once; each is sent to as many blocks as the other side has.
+BLOCK = 1024
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
