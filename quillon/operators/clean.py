@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite
+from quillon.sources.shared import materialize
 
 
 def clean(panel: DataFrame, min_price_usd: float | None = 0.1, max_gap_days: int | None = 10, max_abs_return: float | None = 1.0) -> DataFrame:
@@ -85,6 +86,39 @@ def quality_report(panel: DataFrame) -> DataFrame:
     )
 
 
+def quality_cells(panel: DataFrame, coverage: list[str]) -> DataFrame:
+    """What the full report adds up, by ranges of 32,768 ids and days: counts, sums and extremes, and bitmaps of the ids and days seen. One scan, no row twice."""
+    n = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0)).cast("long")
+    missing = lambda c: n(F.col(c).isNull())
+    day = F.unix_date("date").cast("long")
+    spread = []
+    for short, c in (("tr", "total_return"), ("er", "excess_return")):
+        spread += [F.min(c).alias(f"{short}_min"), F.max(c).alias(f"{short}_max"), F.sum(c).alias(f"{short}_sum"), F.count(c).alias(f"{short}_n"), missing(c).alias(f"{short}_null")]
+    return panel.groupBy(F.bitmap_bucket_number(F.col("stock_id").cast("long")).alias("ids"), F.bitmap_bucket_number(day).alias("days")).agg(
+        F.count("*").alias("n_rows"), F.min("date").alias("date_min"), F.max("date").alias("date_max"),
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("stock_id").cast("long"))).alias("id_map"), F.bitmap_construct_agg(F.bitmap_bit_position(day)).alias("day_map"),
+        *[missing(c).alias(f"null_{c}") for c in coverage], n(F.col("price_local") <= 0).alias("n_nonpositive_price"), n(F.col("mcap_local") <= 0).alias("n_nonpositive_mcap"), n(F.col("volume") < 0).alias("n_negative_volume"),
+        n(F.col("total_return") == 0).alias("tr_zero"), n(F.abs("total_return") > 0.5).alias("tr_extreme_50pct"), *spread,
+    )
+
+
+def full_quality_report(panel: DataFrame, coverage: list[str]) -> DataFrame:
+    """The whole quality report in one row: shape, null share of every ``coverage`` column, sanity counts, and both return distributions.
+
+    Exact distinct ids and days come from bitmaps that are joined by bucket, so nothing is expanded for them. ``stock_id`` is a whole number; null ids and days are no value.
+    """
+    cells = materialize(quality_cells(panel, coverage), "quality-cells")
+    distinct = lambda bucket, bits: cells.where(F.col(bucket).isNotNull()).groupBy(bucket).agg(F.bitmap_count(F.bitmap_or_agg(bits)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias(f"_{bucket}"))
+    counts = ["n_nonpositive_price", "n_nonpositive_mcap", "n_negative_volume", "tr_null", "tr_zero", "tr_extreme_50pct", "er_null"]
+    rows = cells.agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).cast("long").alias("n_rows"), F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"),
+        *[F.try_divide(F.sum(f"null_{c}"), F.sum("n_rows")).alias(f"null_pct_{c}") for c in coverage], *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts],
+        *[f(f"{s}_{e}").alias(f"{s}_{e}") for s in ("tr", "er") for e, f in (("min", F.min), ("max", F.max))], *[F.try_divide(F.sum(f"{s}_sum"), F.sum(f"{s}_n")).alias(f"{s}_mean") for s in ("tr", "er")],
+    )
+    whole = rows.crossJoin(F.broadcast(distinct("ids", "id_map"))).crossJoin(F.broadcast(distinct("days", "day_map")))  # one row each
+    return whole.withColumnsRenamed({"_ids": "n_securities", "_days": "n_dates"})
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

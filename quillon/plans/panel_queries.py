@@ -16,7 +16,7 @@ from quillon.operators import windows as w
 from quillon.operators.validate import first_rows, reproducible_pick
 from quillon.plans.oracle import define
 from quillon.plans.registry import query
-from quillon.sources import catalog
+from quillon.sources import catalog, versioned
 from quillon.sources import surrogate as s
 from quillon.sources.shared import artifact, materialize, shared_dir
 
@@ -98,6 +98,16 @@ def p8_pit_slice(spark, d):
     return w.forward(periodic(spark, d).where("period between '1997-01-01' and '1999-12-31'"), "ret_wins").select("stock_id", "period", "ret_wins", "fwd1")
 
 
+@query("SELECT stock_id, period, ret_wins, fwd1 FROM (SELECT *, lead(ret_wins) OVER (PARTITION BY stock_id ORDER BY period) AS fwd1 FROM periodic WHERE period BETWEEN DATE '1997-01-01' AND DATE '1999-12-31')", "ret_wins fwd1")
+def p8_pit_slice_pruned(spark, d):
+    base = f"{shared_dir(spark)}/periodic-{uuid.uuid4().hex}"
+    versioned.publish(periodic(spark, d), base, "period")
+    late = periodic(spark, d).where("period >= '1999-01-01'")
+    versioned.publish(late, base, "period", replace=False)  # a rebuild of the last years leaves the others as they are
+    rows = versioned.current(spark, base).where("period between '1997-01-01' and '1999-12-31'")
+    return w.forward(rows, "ret_wins").select("stock_id", "period", "ret_wins", "fwd1")
+
+
 @query("""SELECT p.stock_id, p.period FROM periodic p JOIN mktbeta b ON p.stock_id = b.stock_id AND p.period = b.period LEFT JOIN exits e ON p.stock_id = e.stock_id
           WHERE (p.ret_raw IS NOT NULL OR p.mcap_usd IS NOT NULL) AND NOT coalesce(delist_date <= p.date, false)""")
 def p15_investable(spark, d):
@@ -247,6 +257,19 @@ def c9_quality_report(spark, d):
     return c.quality_report(s.market_frame(spark, d))
 
 
+_COVERED = ["country_code", "industry", "fx_to_usd", "risk_free_rate", "mcap_usd", "stock_start_date", "earnings_ltm", "book_value"]
+
+
+@query(f"""SELECT count(*) AS n_rows, min(date) AS date_min, max(date) AS date_max, count(DISTINCT stock_id) AS n_securities, count(DISTINCT date) AS n_dates, {", ".join(f"avg(({c} IS NULL)::int) AS null_pct_{c}" for c in _COVERED)},
+          coalesce(sum((price_local <= 0)::int), 0)::bigint AS n_nonpositive_price, coalesce(sum((mcap_local <= 0)::int), 0)::bigint AS n_nonpositive_mcap, coalesce(sum((volume < 0)::int), 0)::bigint AS n_negative_volume,
+          min(total_return) AS tr_min, max(total_return) AS tr_max, avg(total_return) AS tr_mean, sum((total_return IS NULL)::int)::bigint AS tr_null, coalesce(sum((total_return = 0)::int), 0)::bigint AS tr_zero, coalesce(sum((abs(total_return) > 0.5)::int), 0)::bigint AS tr_extreme_50pct,
+          min(excess_return) AS er_min, max(excess_return) AS er_max, avg(excess_return) AS er_mean, sum((excess_return IS NULL)::int)::bigint AS er_null
+          FROM market m ASOF LEFT JOIN (SELECT stock_id AS fid, observation_date, earnings_ltm, book_value FROM fundamentals) f ON m.stock_id = f.fid AND m.date >= f.observation_date""",
+       " ".join(f"null_pct_{c}" for c in _COVERED) + " tr_min tr_max tr_mean er_min er_max er_mean", 7)
+def c9_quality_full(spark, d):
+    return c.full_quality_report(j.asof_join(s.market_frame(spark, d), s.fundamentals(spark, d), "stock_id", "date", "observation_date"), _COVERED)
+
+
 @query("SELECT l_suppkey::bigint AS stock_id, l_shipdate::date AS date, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def c10_duplicate_keys(spark, d):
     return c.duplicate_keys(s.lines(spark, d), ["stock_id", "date"])
