@@ -42,6 +42,12 @@ def walk_forward_ir(ic: DataFrame, least: int = 8, shift: int = 1) -> DataFrame:
     return known.withColumn("ir", F.try_divide("mean", F.when(sd > 0, sd)))
 
 
+def walk_forward_ic(ic: DataFrame, least: int = 8, lag: int = 1, shrink: bool = True) -> DataFrame:
+    """``period``, ``factor`` and the information coefficient as known then: the mean up to ``lag`` periods back, shrunk toward that of all factors if asked."""
+    known = walk_forward(ic, "ic", ["factor"], least, lag)
+    return james_stein(known, ["period"]).select("period", "factor", F.col("mean_js").alias("ic")) if shrink else known.select("period", "factor", F.col("mean").alias("ic"))
+
+
 def integrated_return(scores: DataFrame, factors: list[str], premia: DataFrame, alphas: DataFrame) -> DataFrame:
     """Sum over factors of weight x premium x score. A sub-universe's own premium overrides the pooled one ("all"); a null
     score counts as 0, but a row without any score is dropped.
@@ -56,14 +62,15 @@ def integrated_return(scores: DataFrame, factors: list[str], premia: DataFrame,
     return rows.groupBy("stock_id", "period").agg(F.sum(mu).alias("mu"), F.count("z").alias("n")).where("n > 0").drop("n")
 
 
-def factor_returns(panel: DataFrame, y: str, factors: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """Cross-sectional regressions of next returns on exposures: factor returns (long) and residuals."""
+def factor_returns(panel: DataFrame, y: str, factors: list[str], least: int, const: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cross-sectional regressions of next returns on exposures: factor returns (long), the intercept's as ``const`` if asked, and residuals."""
     fit = coefficients(moments(panel, ["period"], F.col(y), [F.col(f) for f in factors]), ["period"], [f"f_{f}" for f in factors], least)
     line = F.col("const")
     for f in factors:
         line = line + F.col(f"f_{f}") * F.col(f)
     resid = panel.join(fit, "period").select("stock_id", "period", (F.col(y) - line).alias("resid"))
-    long = fit.select("period", *[F.col(f"f_{f}").alias(f) for f in factors]).unpivot(["period"], factors, "factor", "f")
+    told = [*(["const"] if const else []), *factors]
+    long = fit.select("period", *(["const"] if const else []), *[F.col(f"f_{f}").alias(f) for f in factors]).unpivot(["period"], told, "factor", "f")
     return long, resid
 
 
@@ -93,6 +100,21 @@ def shrunk_covariance(returns: DataFrame, factors: list[str], window: int = 60)
     return rows.where("T > 1").select(F.col("at").alias("t"), "delta", cells.alias("c")).select("t", "delta", "c.*")
 
 
+def present_periods(df: DataFrame, period: str = "period") -> DataFrame:
+    """``df`` with ``t``, the number of its period among those present: a window of N numbers is one of N periods that there are, whatever the calendar lacks."""
+    found = df.select(period).where(F.col(period).isNotNull()).distinct()
+    numbered = found.select(F.col(period).alias("_p"), F.row_number().over(W.orderBy(period)).cast("long").alias("t"))  # a row for each period
+    return df.join(F.broadcast(numbered), F.col(period) == F.col("_p")).drop("_p")
+
+
+def present_covariance(returns: DataFrame, factors: list[str], window: int) -> DataFrame:
+    """``shrunk_covariance`` over the last ``window`` periods present; a factor without a return in one of them counts as 0. ``returns`` is long: period, factor, f."""
+    wide = returns.where(F.col("f").isNotNull()).groupBy("period").agg(*[F.coalesce(F.max(F.when(F.col("factor") == f, F.col("f"))), F.lit(0.0)).alias(f) for f in factors])
+    numbered = present_periods(wide)
+    names = numbered.select(F.col("t"), "period")
+    return shrunk_covariance(numbered.select("t", *factors), factors, window).join(names, "t").drop("t")
+
+
 def idio_variance(resid: DataFrame, window: int, least: int) -> DataFrame:
     """Residual variance of each security over the trailing ``window`` period numbers ``t``; null below ``least``."""
     w = trailing_periods(window, ["stock_id"])

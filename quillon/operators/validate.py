@@ -58,6 +58,16 @@ def fama_macbeth(panel: DataFrame, y: str, factors: list[str], keys: tuple[str,
     return coefficients(moments(panel, list(keys), F.col(y), [F.col(x) for x in factors]), list(keys), factors, least)
 
 
+def composite(scores: DataFrame, members: list[str], out: str, by: str = "period") -> DataFrame:
+    """``out``: the mean of a cluster's known scores, standardised again within each period; 0 where a period has no spread."""
+    from quillon.functions.scalars import row_mean
+
+    cross = W.partitionBy(by)
+    rows = scores.withColumn("_c", row_mean([F.col(c) for c in members]))
+    sd = F.stddev_samp("_c").over(cross)
+    return rows.withColumn(out, F.when(F.coalesce(sd, F.lit(0.0)) == 0, 0.0).otherwise((F.col("_c") - F.avg("_c").over(cross)) / sd)).drop("_c")
+
+
 def fama_macbeth_runs(panel: DataFrame, y: str, common: list[str], sectors: dict[str, list[str]], member: dict[str, Column], pooled: bool) -> DataFrame:
     """Coefficients by ``sub_universe`` and period of all runs in one job; ``factor`` has ``const`` and what a run reports.
 
