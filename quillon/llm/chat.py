@@ -45,12 +45,23 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     pieces = safe.select("conv_id", F.transform("t", piece).alias("p"))
     formatted = F.array_join(F.transform("p", lambda x: F.concat(x["opens"], x["text"], x["closes"])), "")
     lengths = F.transform("p", lambda x: F.struct(F.length(x["opens"]).alias("before"), F.length(x["text"]).alias("n"), F.length(x["closes"]).alias("after"), x["learnt"].alias("learnt")))
+    return pieces.select("conv_id", formatted.alias("formatted"), _spans(lengths).alias("mask"))
+
+
+def _spans(lengths: Column) -> Column:
+    """(start, n) of the learnt texts. Each block of some root-of-n pieces adds up its own, then blocks add up before one another, so a long conversation costs n^1.5 steps of copying at most."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(lengths))), F.lit(1)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / width).cast("int")), lambda b: F.slice(lengths, b * width + 1, width))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("spans"))
     walk = lambda a, x: F.struct(
         (a["at"] + x["before"] + x["n"] + x["after"]).alias("at"),
         F.when(x["learnt"], F.concat(a["spans"], F.array(F.struct((a["at"] + x["before"]).alias("start"), x["n"].alias("n"))))).otherwise(a["spans"]).alias("spans"),
     )
-    return pieces.select("conv_id", formatted.alias("formatted"), F.aggregate(lengths, start, walk)["spans"].alias("mask"))
+    done = F.transform(blocks, lambda block: F.aggregate(block, start, walk))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
+    ahead = lambda parts: F.aggregate(parts, first, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["seen"], F.array(a["at"])).alias("seen")))["seen"]
+    moved = lambda parts: F.flatten(F.zip_with(parts, ahead(parts), lambda x, by: F.transform(x["spans"], lambda s: F.struct((s["start"] + by).alias("start"), s["n"].alias("n")))))
+    return F.element_at(F.transform(F.array(done), moved), 1)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -68,5 +79,18 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_learnt(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(mask, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["n"]))), "")
+    """All text under the loss mask, unescaped, nothing between. ``mask`` ascends.
+
+    Places count code points, so a cut runs through all text before it: stretches of some root-of-n spans are cut out first, then the spans out of those.
+    """
+    width = F.greatest(F.ceil(F.sqrt(F.size(mask))), F.lit(1)).cast("int")
+    count = F.ceil(F.size(mask) / width).cast("int")
+    blocks = F.when(F.size(mask) > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.slice(mask, b * width + 1, width))).otherwise(F.array().cast("array<array<struct<start:int,n:int>>>"))
+
+    def stretch(spans: Column) -> Column:
+        lo, last = F.element_at(spans, 1)["start"], F.element_at(spans, -1)
+        text = F.substring(formatted, lo + 1, last["start"] + last["n"] - lo)
+        within = lambda t: F.array_join(F.transform(spans, lambda s: unescape(F.substring(t, s["start"] - lo + 1, s["n"]))), "")
+        return F.element_at(F.transform(F.array(text), within), 1)
+
+    return F.array_join(F.transform(blocks, stretch), "")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -245,6 +246,17 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_a_conversation_of_many_turns_takes_seconds(spark):
+    turns = [(1, k, ("user", "assistant", "assistant")[k % 3], f"turn {k} é <|end|> " + "x" * (k % 11)) for k in range(12_000)] + [(2, 0, "user", "only"), (3, 0, "assistant", "")]
+    began = time.time()
+    made = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    out = {r.conv_id: r for r in made.select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.read_learnt(F.col("formatted"), F.col("mask")).alias("learnt"), F.size("mask").alias("n")).collect()}
+    assert time.time() - began < 60
+    assert [(x.role, x.text) for x in out[1].t] == [t[2:] for t in turns[:12_000]] and out[1].n == 8_000
+    assert out[1].learnt == "".join(t[3] for t in turns[:12_000] if t[2] == "assistant")
+    assert (out[2].n, out[2].learnt, out[3].n, out[3].learnt) == (0, "", 1, "")
+
+
 def test_mixing_meets_its_targets(spark, docs):
     rows = mixing.taken(mixing.mix(docs)).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
     got = mixing.mix(docs).withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["n"])).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
