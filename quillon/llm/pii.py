@@ -2,8 +2,8 @@
 
 The patterns give the base spans, which stay. Nodes of the field are those, every other number of seven digits and more,
 every further mention of a found address's local part, and long tokens of letters and digits that may be secrets (one that
-follows a name such as "password", or begins as an issuer's keys do, is evidence as well).
-Nodes of a document form a chain; those that repeat, or end in the same digits, are tied by skip edges however far
+follows a name such as "password", or begins as an issuer's keys do, is evidence by pattern as well, and its span the pattern's finding, not the field's).
+Nodes within NEAR code points of one another form chains; those that repeat, or end in the same digits, are tied by skip edges however far
 apart: each to the next, and each to the first that is evidence. Loopy belief propagation over both kinds of edge,
 with base spans and known secrets as evidence, labels the rest; a label that wins adds a span. Secrets are a fifth kind, which only the
 field finds.
@@ -113,7 +113,7 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, i
     for m in numbers:
         digits = _only_digits(m[0])
         if len(digits) >= 7 and free(m.start(), m.end()):
-            out.append((m.start(), m.end(), -1, _shape(m[0], digits), m[0] if m[0].count(".") == 3 else digits[-9:]))
+            out.append((m.start(), m.end(), -1, _shape(m[0], digits), m[0] if m[0].count(".") == 3 and len(digits) <= 12 else digits[-9:]))  # four short parts may be an address of the net; longer ones are a number in groups
     for m in tokens:
         s = m[0]
         if _DIGIT.search(s) and re.search(r"[A-Za-z]", s) and free(m.start(), m.end()):
