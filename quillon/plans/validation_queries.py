@@ -199,7 +199,43 @@ def lasso_panel(spark, d) -> DataFrame:
     return rows.withColumn("sub_universe", F.when(F.col("industry") == "bank", "bank").otherwise("insurance"))
 
 
-@query()
+def _lasso_sql(src: str, by: str, xs: list[str], y: str, folds: int = 5, n_alphas: int = 50, sweeps: int = 250) -> str:
+    """The cross-validated lasso by coordinate descent on moment sums: all groups, folds and penalties side by side, far past convergence."""
+    k = len(xs)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in [*xs, y])
+    sums = ["n", "sy", "yy", *[f"s{i}" for i in range(k)], *[f"c{i}" for i in range(k)], *[f"q{i}{j}" for i, j in pairs]]
+    raw = f"count(*) AS n, sum({y}) AS sy, sum({y} * {y}) AS yy, {', '.join(f'sum({x}) AS s{i}, sum({x} * {y}) AS c{i}' for i, x in enumerate(xs))}, {', '.join(f'sum({xs[i]} * {xs[j]}) AS q{i}{j}' for i, j in pairs)}"
+    added = ", ".join(f"sum({c}) AS {c}" for c in sums)
+    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    soft = lambda j, w: f"sign(h{j} - ({' + '.join(f'{g(i, j)} * {w[i]}' for i in range(k) if i != j)})) * greatest(abs(h{j} - ({' + '.join(f'{g(i, j)} * {w[i]}' for i in range(k) if i != j)})) - alpha, 0) / {g(j, j)}"
+    state = ", ".join([by, "run", "a", "alpha", *[f"h{i}" for i in range(k)], *[g(i, j) for i, j in pairs]])
+    step = f"SELECT {state}, step, {', '.join(f'w{i}' for i in range(k))} FROM it WHERE step < {sweeps}"
+    for j in range(k):  # one coordinate after the other
+        step = f"SELECT * REPLACE ({soft(j, [f'w{i}' for i in range(k)])} AS w{j}) FROM ({step})"
+    beta = [f"(w{i} / d{i})" for i in range(k)]
+    inner = " + ".join(f"{beta[i]} * t.c{i}" for i in range(k))
+    square = " + ".join(f"{1 if i == j else 2} * {beta[i]} * {beta[j]} * t.q{i}{j}" for i, j in pairs)
+    line = " + ".join(f"{beta[i]} * t.s{i}" for i in range(k))
+    return f"""WITH RECURSIVE p AS (SELECT {by}, period, row_number() OVER (PARTITION BY {by} ORDER BY period) AS k, count(*) OVER (PARTITION BY {by}) AS periods, * EXCLUDE ({by}, period) FROM (SELECT {by}, period, {raw} FROM ({src}) WHERE {known} GROUP BY 1, 2)),
+      f AS (SELECT unnest(generate_series(-1, {folds - 1})) AS run), c AS (SELECT DISTINCT {by}, periods, run, CASE WHEN run < 0 THEN periods ELSE periods - ({folds} - run) * (periods // {folds + 1}) END AS cut, periods // {folds + 1} AS size FROM p, f),
+      m AS (SELECT c.{by}, run, {added} FROM c JOIN p ON p.{by} = c.{by} AND p.k <= c.cut GROUP BY ALL), t AS (SELECT c.{by}, run, {added} FROM c JOIN p ON p.{by} = c.{by} AND p.k > c.cut AND p.k <= c.cut + c.size WHERE run >= 0 GROUP BY ALL),
+      d AS (SELECT {by}, {', '.join(f'sqrt(q{i}{i} / n - (s{i} / n) ** 2) AS d{i}' for i in range(k))} FROM m WHERE run < 0),
+      z AS (SELECT m.{by}, run, {', '.join(f'(c{i} / n - s{i} / n * sy / n) / d{i} AS h{i}' for i in range(k))}, {', '.join(f'(q{i}{j} / n - s{i} / n * s{j} / n) / (d{i} * d{j}) AS {g(i, j)}' for i, j in pairs)} FROM m JOIN d ON d.{by} = m.{by}),
+      o AS (SELECT {by}, greatest({', '.join(f'abs(h{i})' for i in range(k))}) AS top FROM z WHERE run < 0), a AS (SELECT {by}, unnest(generate_series(0, {n_alphas - 1})) AS a, top FROM o),
+      it AS (SELECT {', '.join(['z.' + by, 'run', 'a', f'top * pow(1e-3, a / {n_alphas - 1}.0) AS alpha', *[f'h{i}' for i in range(k)], *[g(i, j) for i, j in pairs]])}, 0 AS step, {', '.join(f'0.0::double AS w{i}' for i in range(k))} FROM z JOIN a ON a.{by} = z.{by}
+             UNION ALL SELECT * REPLACE (step + 1 AS step) FROM ({step})),
+      w AS (SELECT * FROM it WHERE step = {sweeps}),
+      e AS (SELECT w.{by}, w.a, sum((t.yy - 2 * (b0 * t.sy + {inner}) + t.n * b0 * b0 + 2 * b0 * ({line}) + {square}) / greatest(t.n, 1)) AS err
+            FROM (SELECT w.*, {', '.join(f'd{i}' for i in range(k))}, (m.sy - ({' + '.join(f'{beta[i]} * m.s{i}' for i in range(k))})) / m.n AS b0 FROM w JOIN d ON d.{by} = w.{by} JOIN m ON m.{by} = w.{by} AND m.run = w.run WHERE w.run >= 0) w JOIN t ON t.{by} = w.{by} AND t.run = w.run GROUP BY 1, 2),
+      b AS (SELECT {by}, arg_min(a, err) AS a FROM e GROUP BY 1)
+      SELECT w.{by}, unnest([{', '.join(f"'{x}'" for x in xs)}]) AS factor, unnest([{', '.join(f'w{i}' for i in range(k))}]) AS coef FROM w JOIN b ON b.{by} = w.{by} AND b.a = w.a WHERE w.run < 0"""
+
+
+_LASSO_ROWS = "SELECT CASE WHEN industry = 'bank' THEN 'bank' ELSE 'insurance' END AS sub_universe, z.period, ep, dy, size, fwd1 FROM zscores z JOIN fwd ON z.stock_id = fwd.stock_id AND z.period = fwd.period"
+
+
+@query(f"SELECT *, abs(coef) > 1e-5 AS selected FROM ({_lasso_sql(_LASSO_ROWS, 'sub_universe', STYLE, 'fwd1')})", "coef", 7)
 def v15_lasso(spark, d):
     return validate.lasso_select(lasso_panel(spark, d), "fwd1", STYLE)
 
