@@ -284,9 +284,9 @@ def r19_regime_schedule(spark, d):
     return counts.select(F.row_number().over(W.orderBy("cutoff")).cast("long").alias("regime"), "cutoff", "n_periods")
 
 
-@query()
+@query("SELECT cutoff, array_to_string(last_value(CASE WHEN len(l) > 0 THEN l END IGNORE NULLS) OVER (ORDER BY cutoff), ',') AS shortlist FROM (SELECT cutoff, coalesce(list(factor ORDER BY factor) FILTER (selected), []) AS l FROM selectioncard GROUP BY cutoff)")
 def r20_shortlist_history(spark, d):
-    return validate.carry_forward(scorecard(spark, d))
+    return validate.carry_forward(scorecard(spark, d)).select("cutoff", F.array_join("shortlist", ",").alias("shortlist"))
 
 
 #: The reference has six knobs as well, 216 settings in all.

@@ -208,11 +208,11 @@ def _lasso_sql(src: str, by: str, xs: list[str], y: str, folds: int = 5, n_alpha
     raw = f"count(*) AS n, sum({y}) AS sy, sum({y} * {y}) AS yy, {', '.join(f'sum({x}) AS s{i}, sum({x} * {y}) AS c{i}' for i, x in enumerate(xs))}, {', '.join(f'sum({xs[i]} * {xs[j]}) AS q{i}{j}' for i, j in pairs)}"
     added = ", ".join(f"sum({c}) AS {c}" for c in sums)
     g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
-    soft = lambda j, w: f"sign(h{j} - ({' + '.join(f'{g(i, j)} * {w[i]}' for i in range(k) if i != j)})) * greatest(abs(h{j} - ({' + '.join(f'{g(i, j)} * {w[i]}' for i in range(k) if i != j)})) - alpha, 0) / {g(j, j)}"
+    soft = lambda j, w: f"sign(h{j} - ({' + '.join(f'{g(i, j)} * {w[i]}' for i in range(k) if i != j)})) * greatest(abs(h{j} - ({' + '.join(f'{g(i, j)} * {w[i]}' for i in range(k) if i != j)})) - alpha, 0) / nullif({g(j, j)}, 0)"
     state = ", ".join([by, "run", "a", "alpha", *[f"h{i}" for i in range(k)], *[g(i, j) for i, j in pairs]])
     step = f"SELECT {state}, step, {', '.join(f'w{i}' for i in range(k))} FROM it WHERE step < {sweeps}"
     for j in range(k):  # one coordinate after the other
-        step = f"SELECT * REPLACE ({soft(j, [f'w{i}' for i in range(k)])} AS w{j}) FROM ({step})"
+        step = f"SELECT * REPLACE (coalesce({soft(j, [f'w{i}' for i in range(k)])}, 0) AS w{j}) FROM ({step})"
     beta = [f"(w{i} / d{i})" for i in range(k)]
     inner = " + ".join(f"{beta[i]} * t.c{i}" for i in range(k))
     square = " + ".join(f"{1 if i == j else 2} * {beta[i]} * {beta[j]} * t.q{i}{j}" for i, j in pairs)
@@ -220,7 +220,7 @@ def _lasso_sql(src: str, by: str, xs: list[str], y: str, folds: int = 5, n_alpha
     return f"""WITH RECURSIVE p AS (SELECT {by}, period, row_number() OVER (PARTITION BY {by} ORDER BY period) AS k, count(*) OVER (PARTITION BY {by}) AS periods, * EXCLUDE ({by}, period) FROM (SELECT {by}, period, {raw} FROM ({src}) WHERE {known} GROUP BY 1, 2)),
       f AS (SELECT unnest(generate_series(-1, {folds - 1})) AS run), c AS (SELECT DISTINCT {by}, periods, run, CASE WHEN run < 0 THEN periods ELSE periods - ({folds} - run) * (periods // {folds + 1}) END AS cut, periods // {folds + 1} AS size FROM p, f),
       m AS (SELECT c.{by}, run, {added} FROM c JOIN p ON p.{by} = c.{by} AND p.k <= c.cut GROUP BY ALL), t AS (SELECT c.{by}, run, {added} FROM c JOIN p ON p.{by} = c.{by} AND p.k > c.cut AND p.k <= c.cut + c.size WHERE run >= 0 GROUP BY ALL),
-      d AS (SELECT {by}, {', '.join(f'sqrt(q{i}{i} / n - (s{i} / n) ** 2) AS d{i}' for i in range(k))} FROM m WHERE run < 0),
+      d AS (SELECT {by}, {', '.join(f'CASE WHEN q{i}{i} > 0 THEN sqrt(q{i}{i} / n - (s{i} / n) ** 2) ELSE 1 END AS d{i}' for i in range(k))} FROM m WHERE run < 0),
       z AS (SELECT m.{by}, run, {', '.join(f'(c{i} / n - s{i} / n * sy / n) / d{i} AS h{i}' for i in range(k))}, {', '.join(f'(q{i}{j} / n - s{i} / n * s{j} / n) / (d{i} * d{j}) AS {g(i, j)}' for i, j in pairs)} FROM m JOIN d ON d.{by} = m.{by}),
       o AS (SELECT {by}, greatest({', '.join(f'abs(h{i})' for i in range(k))}) AS top FROM z WHERE run < 0), a AS (SELECT {by}, unnest(generate_series(0, {n_alphas - 1})) AS a, top FROM o),
       it AS (SELECT {', '.join(['z.' + by, 'run', 'a', f'top * pow(1e-3, a / {n_alphas - 1}.0) AS alpha', *[f'h{i}' for i in range(k)], *[g(i, j) for i, j in pairs]])}, 0 AS step, {', '.join(f'0.0::double AS w{i}' for i in range(k))} FROM z JOIN a ON a.{by} = z.{by}
@@ -259,9 +259,40 @@ def scorecard(spark, d, train: int = 60) -> DataFrame:
     return validate.select_factors(ic, coefs, cut, pairs, 0.1, 1.0, panel, "fwd1", FIVE, 3, train)
 
 
-@query()
+_CUTS = "SELECT unnest(generate_series(DATE '1998-01-01', DATE '2001-10-01', INTERVAL 12 MONTH))::date AS cutoff"
+_SIX = [*FIVE, "beta"]
+_SEEN = "period + INTERVAL 3 MONTH <= cutoff AND period > cutoff - INTERVAL 60 MONTH"
+_BANK, _INSURER = "starts_with(industry, 'bank')", "starts_with(industry, 'insurance')"
+define("icsix", f"""WITH l AS (SELECT z.stock_id, z.period, unnest([{', '.join(f"'{f}'" for f in _SIX)}]) AS factor, unnest([{', '.join(FIVE)}, mkt]) AS score FROM zscores z LEFT JOIN qbeta q ON z.stock_id = q.stock_id AND z.period = q.q),
+  b AS (SELECT l.period, factor, score, fwd1 AS fwd FROM l JOIN fwd ON l.stock_id = fwd.stock_id AND l.period = fwd.period WHERE score IS NOT NULL AND fwd1 IS NOT NULL),
+  k AS (SELECT *, rank() OVER (PARTITION BY period, factor ORDER BY score) + (count(*) OVER (PARTITION BY period, factor, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY period, factor ORDER BY fwd) + (count(*) OVER (PARTITION BY period, factor, fwd) - 1) / 2.0 AS c FROM b)
+  SELECT period, factor, covar_samp(a, c) / nullif(stddev_samp(a) * stddev_samp(c), 0) AS ic FROM k GROUP BY 1, 2""")
+define("zfilled", f"""SELECT period, {', '.join(f'coalesce({c}, median({c}) OVER p) AS {c}' for c in STYLE)}, CASE WHEN {_BANK} THEN coalesce(nim, median(CASE WHEN {_BANK} THEN nim END) OVER p) END AS nim,
+  CASE WHEN {_INSURER} THEN coalesce(fiy, median(CASE WHEN {_INSURER} THEN fiy END) OVER p) END AS fiy FROM zscores WINDOW p AS (PARTITION BY period)""")
+define("seenpairs", f"WITH c AS ({_CUTS}), " + "x AS (" + " UNION ALL ".join(
+    f"SELECT period, '{a}' AS a, '{b}' AS b, covar_samp({a}, {b}) / nullif(stddev_samp({a}) FILTER ({b} IS NOT NULL) * stddev_samp({b}) FILTER ({a} IS NOT NULL), 0) AS r FROM zfilled GROUP BY period" for a, b in _PAIRS)
+    + ") SELECT cutoff, a, b FROM x JOIN c ON period <= cutoff AND period > cutoff - INTERVAL 60 MONTH GROUP BY ALL HAVING abs(avg(r)) > 0.3")
+define("seenprem", f"SELECT period, cutoff::varchar || '/' || factor AS factor, coef FROM pooledprem JOIN ({_CUTS}) ON {_SEEN}")
+define("gatecards", f"""WITH i AS (SELECT cutoff, factor, avg(ic) / nullif(stddev_samp(ic), 0) AS ir_lag1 FROM icsix JOIN ({_CUTS}) ON {_SEEN} GROUP BY 1, 2),
+  t AS (SELECT split_part(factor, '/', 1)::date AS cutoff, split_part(factor, '/', 2) AS factor, t_stat AS fm_t, mean_coef AS fm_coef FROM ({_NW.replace('premia', 'seenprem')}))
+  SELECT cutoff, factor, ir_lag1, fm_t, fm_coef, coalesce(abs(ir_lag1) >= 0.1, false) OR coalesce(abs(fm_t) >= 1, false) AS passed FROM i FULL JOIN t USING (cutoff, factor)""")
+define("cardclusters", """WITH RECURSIVE n AS (SELECT cutoff, factor FROM gatecards WHERE passed), e AS (SELECT cutoff, a, b FROM seenpairs UNION ALL SELECT cutoff, b, a FROM seenpairs),
+  r AS (SELECT cutoff, factor, factor AS hit FROM n UNION SELECT r.cutoff, r.factor, e.b FROM r JOIN e ON e.cutoff = r.cutoff AND e.a = r.hit JOIN n ON n.cutoff = e.cutoff AND n.factor = e.b)
+  SELECT cutoff, factor, min(hit) AS cluster FROM r GROUP BY 1, 2""")
+define("cardreps", """SELECT *, row_number() OVER (PARTITION BY cutoff, cluster ORDER BY fm_coef IS NOT NULL DESC, abs(coalesce(fm_coef, ir_lag1)) DESC NULLS LAST, factor) = 1 AS representative FROM cardclusters JOIN gatecards USING (cutoff, factor)""")
+_ENTERED = f"representative AND factor IN ({', '.join(repr(f) for f in FIVE)})"
+define("lassorows", f"""WITH s AS (SELECT cutoff, {', '.join(f"bool_or(factor = '{f}') AS s_{f}" for f in FIVE)} FROM cardreps WHERE {_ENTERED} GROUP BY 1)
+  SELECT cutoff::varchar || '/' || CASE WHEN industry = 'bank' THEN 'bank' ELSE 'insurance' END AS grp, p.period, fwd1, {', '.join(f'CASE WHEN s_{f} THEN {f} ELSE 0.0::double END AS {f}' for f in FIVE)}
+  FROM (SELECT z.period, industry, fwd1, ep, dy, size, CASE WHEN {_BANK} THEN nim ELSE 0 END AS nim, CASE WHEN {_INSURER} THEN fiy ELSE 0 END AS fiy FROM zscores z JOIN fwd ON z.stock_id = fwd.stock_id AND z.period = fwd.period) p JOIN s ON {_SEEN}""")
+define("survivors", f"SELECT DISTINCT split_part(grp, '/', 1)::date AS cutoff, factor FROM ({_lasso_sql('SELECT * FROM lassorows', 'grp', FIVE, 'fwd1')}) WHERE abs(coef) > 1e-5")
+define("selectioncard", f"""WITH x AS (SELECT g.*, cluster, coalesce(representative, false) AS representative FROM gatecards g LEFT JOIN (SELECT cutoff, factor, cluster, representative FROM cardreps) c USING (cutoff, factor)),
+  y AS (SELECT x.*, CASE WHEN {_ENTERED} THEN s.factor IS NOT NULL END AS lasso FROM x LEFT JOIN survivors s ON s.cutoff = x.cutoff AND s.factor = x.factor)
+  SELECT *, representative AND coalesce(lasso, true) AS selected FROM y""".replace(_ENTERED, _ENTERED.replace("factor IN", "x.factor IN")))
+
+
+@query("SELECT * REPLACE (lasso::varchar AS lasso), row_number() OVER (PARTITION BY cutoff ORDER BY selected DESC NULLS LAST, abs(ir_lag1) DESC NULLS LAST, abs(fm_t) DESC NULLS LAST, factor) AS place FROM selectioncard", "ir_lag1 fm_t fm_coef", 4)
 def v16_selection(spark, d):
-    return validate.scorecard_order(scorecard(spark, d))
+    return validate.scorecard_order(scorecard(spark, d)).withColumn("lasso", F.col("lasso").cast("string"))
 
 
 def _swept_sql(src: str, columns: list[str], rounds: int = 120) -> str:
