@@ -1,13 +1,16 @@
-"""Queries over sliced scans: the forms for long groups, held against the same SQL as the plain ones."""
+"""Queries over sliced scans (the forms for long groups) and over bucketed artifacts, held against the same SQL as the plain ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quillon.operators import scans
-from quillon.plans.factor_queries import FILLED_SQL, NAMES, WINSORIZED_SQL, masks, scores
-from quillon.plans.panel_queries import market_daily, periodic
+from quillon.operators import windows as w
+from quillon.plans.factor_queries import FILLED_SQL, NAMES, WINSORIZED_SQL, masks, scores, zscores
+from quillon.plans.panel_queries import market_daily, monthly, periodic
 from quillon.plans.registry import query
+from quillon.plans.validation_queries import forward
+from quillon.sources.bucketed import save_bucketed
 
 _KEY = "CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END"
 
@@ -48,3 +51,14 @@ def w20_drawdown_sliced(spark, d):
 def w22_ema_sliced(spark, d):
     t = (F.year("period") * 4 + F.quarter("period")).cast("long")
     return scans.long_ema(periodic(spark, d).select("stock_id", "period", "mcap_usd", t.alias("t")), "mcap_usd", ["stock_id"], 0.5).select("stock_id", "period", "ema")
+
+
+@query("SELECT z.stock_id, z.period, industry, ep, dy, size, fwd1, fwd2 FROM zscores z JOIN fwd ON z.stock_id = fwd.stock_id AND z.period = fwd.period", "ep dy size fwd1 fwd2")
+def j12_copartitioned(spark, d):
+    z, f = save_bucketed(zscores(spark, d), "zscores", buckets=16), save_bucketed(forward(spark, d), "forward", buckets=16)
+    return z.join(f, ["stock_id", "period"]).select("stock_id", "period", "industry", "ep", "dy", "size", "fwd1", "fwd2")
+
+
+@query("SELECT stock_id, period, beta FROM mktbeta", "beta", 5)
+def w13_copartitioned(spark, d):
+    return w.rolling_beta(save_bucketed(monthly(spark, d), "monthly", buckets=16)).select("stock_id", "period", "beta")
