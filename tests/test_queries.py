@@ -12,7 +12,7 @@ from quillon.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = "v15_lasso v16_selection r20_shortlist_history c9_quality_full p8_pit_slice_pruned r21_six_knobs r8_covariance_with_const j1_asof_hot_key w1_winsorize_sliced w18_average_rank_sliced w22_ema_sliced v3_rank_ic_residual v9_fama_macbeth_runs r17_ledger m11_headline v17_did_by_unit v18_pre_trend c4_clean c8_delist_events j1_asof_fundamentals j1_asof_events j10_step_correction a9_periodic_returns w5_regularize w13_rolling_beta n4_nelson_siegel f1_ratio_factors v3_rank_ic v11_average_correlation r16_build_weights m9_performance w14_nim_rate_betas r11_risk_panel r17_book_accounting v9_pooled_fama_macbeth v17_twfe_did v18_event_study j12_factor_frame s7_manifest".split()
+CHECKED = "v15_lasso v16_selection r20_shortlist_history c9_quality_full p8_pit_slice_pruned r21_six_knobs r8_covariance_with_const j1_asof_hot_key w1_winsorize_sliced w18_average_rank_sliced w22_ema_sliced v3_rank_ic_residual v9_fama_macbeth_runs r17_ledger m11_headline v18_pre_trend c4_clean c8_delist_events j1_asof_fundamentals j1_asof_events j10_step_correction a9_periodic_returns w5_regularize w13_rolling_beta n4_nelson_siegel f1_ratio_factors v3_rank_ic v11_average_correlation r16_build_weights m9_performance w14_nim_rate_betas r11_risk_panel r17_book_accounting v9_pooled_fama_macbeth v17_twfe_did v18_event_study j12_factor_frame s7_manifest".split()
 
 
 @pytest.fixture(scope="module")
