@@ -65,8 +65,9 @@ def test_odd_rows_and_columns_pass_all_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, empty), "test-stage")
         assert [c for c in docs.columns if c not in ("shard", "slot")] == [c for c in before.columns if c not in ("shard", "slot")], name
-    kept = {r.doc_id for r in docs.collect()}
-    assert kept == {None, 4, *range(10, 60)} and docs.where("n <> 'n' or _row <> '_row'").count() == 0
+        if name == "benchmark decontamination":  # the mix then takes as many words of each source as it asks for
+            assert Counter(r.doc_id for r in docs.collect()) == Counter([None, 4, *range(10, 60)])
+    assert docs.count() > 20 and docs.where("n <> 'n' or _row <> '_row'").count() == 0
     none = before.where("false").drop("shard")
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, empty)
