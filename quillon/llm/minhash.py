@@ -28,8 +28,8 @@ BUCKET_BITS, MANTISSA, BAND = 7, 10, 4
 BANDS = (1 << BUCKET_BITS) // BAND
 #: Candidates estimated this far below the threshold (over four standard errors) are not confirmed.
 SLACK = 0.17
-#: Members of an open bucket that meet at once; each is sent to as many blocks as the other side has.
-BLOCK = 1024
+#: Members of an open bucket that meet at once; each is sent to as many blocks as the other side has. Smaller blocks spread over more tasks, larger ones send fewer copies, which a stage that drops rows prefers.
+BLOCK, STAGE_BLOCK = 512, 1024
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +223,7 @@ def _whole_sets(text: DataFrame, signed: DataFrame, chosen: DataFrame) -> DataFr
     return materialize(texts.mapInArrow(_sets, "rep long, sh array<long>").dropDuplicates(["rep"]), "near-sets")
 
 
-def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Each row's ``doc_id``, ``key``, ``n`` and ``content``, and the component of each class: its name and smallest id."""
     bound_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -259,10 +259,10 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Each bucket's largest component needs no look at itself: the others, its minority, meet all members, block by block.
     main = state.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("m"))
     state = state.join(main, "band").withColumn("minor", F.col("comp") != F.col("main"))
-    down, across = (F.ceil(x / BLOCK).cast("int") for x in (F.col("m") - F.col("most"), F.col("m")))
+    down, across = (F.ceil(x / block).cast("int") for x in (F.col("m") - F.col("most"), F.col("m")))
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    side = state.where(~F.col("minor") | (F.col("m") > BLOCK))  # in a bucket of one block the minority is there already
+    side = state.where(~F.col("minor") | (F.col("m") > block))  # in a bucket of one block the minority is there already
     cells = state.where("minor").withColumn("i", own(down)).withColumn("j", all_of(across)).unionByName(side.withColumn("minor", F.lit(False)).withColumn("j", own(across)).withColumn("i", all_of(down)))
     # Signatures meet first: whole sets are fetched for, and sent to, the cells of those that agree well enough there.
     hopes = cells.select("band", "i", "j", "rep", "comp", "minor").join(regs, "rep").groupBy("band", "i", "j").applyInArrow(_block_hopes, CELL)
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     but never names a component unless all ids in it are null, and is kept only then; other columns play no
     part; an empty table gives an empty result.
     """
-    signed, named = _components(docs)
+    signed, named = _components(docs, BLOCK)
     out = signed.select("doc_id", "content", "n").join(named.drop("comp"), ["content", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -297,7 +297,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Texts without words link with nothing; of those only rows that repeat an id and a text are one group.
     """
     with work_tables_dropped(docs.sparkSession):
-        signed, named = _components(docs)
+        signed, named = _components(docs, STAGE_BLOCK)
         best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")
         linked = signed.where("n > 0").join(named.select("content", "n", "comp"), ["content", "n"]).groupBy("comp").agg(best).select("x.doc_id", "x.key")
         blank = signed.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "key")
