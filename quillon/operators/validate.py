@@ -187,11 +187,13 @@ def clusters_within(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
 
 
 def representatives(members: DataFrame, has: str, strength: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The strongest factor of each cluster; one with a statistic beats one without, then the smaller name wins."""
-    order = F.struct(F.col(has), F.abs(strength))
-    keys = [*by, "cluster"]
-    best = members.groupBy(*keys).agg(F.max(order).alias("_best"))
-    return members.join(best, keys).where(order.eqNullSafe(F.col("_best"))).groupBy(*keys).agg(F.min("factor").alias("factor"))
+    """The strongest factor of each cluster; one with a statistic beats one without, then the smaller name wins.
+
+    A rank picks it, so ``members`` is worked out once: sums of doubles differ in their last bits from run to run, and
+    looking for the maximum in a second run would lose clusters. A cluster holds registered factors only.
+    """
+    order = W.partitionBy(*by, "cluster").orderBy(F.col(has).desc_nulls_last(), F.abs(strength).desc_nulls_last(), "factor")
+    return members.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*by, "cluster", "factor")
 
 
 def best_ir(members: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -190,6 +190,15 @@ def test_clusters_and_representatives(spark):
     assert rows(validate.representatives(members, "has", "v"), "cluster", "factor") == [(1, "y"), (2, "w")]
 
 
+def test_representatives_read_their_statistics_once(spark):
+    import random
+
+    members = spark.createDataFrame([(k // 2, f"f{k}", True) for k in range(20)], "cluster int, factor string, has boolean").repartition(3)
+    noise = F.udf(lambda: random.random(), "double").asNondeterministic()  # as sums of doubles are, in their last bits
+    got = validate.representatives(members.withColumn("v", noise()), "has", "v").collect()
+    assert sorted(r.cluster for r in got) == list(range(10))
+
+
 def test_a_long_chain_is_one_cluster(spark):
     n = 130
     nodes = spark.createDataFrame([(f"{k:03d}",) for k in range(n)], "node string")
