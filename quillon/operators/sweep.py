@@ -4,10 +4,16 @@ Knobs that change upstream frames (how often factors are chosen anew, shrinkage,
 weights by partial setting and period, each frame computed once for all of them. Scores meet it by period. The knobs of
 the step (risk aversion, name cap) fan out only then, and gross leverage not at all: a book at another leverage is the same book
 scaled by one number a period, so a ledger adds up all leverages side by side in one pass over the pairs.
+
+``swept_ledger`` goes further: no row of any book is stored or shuffled. A row of scores and its security's row of the period before
+meet the small table of books and periods in a broadcast join, weights are worked out there and added up by book and period at once, so what is
+written and exchanged follows the scores, whatever the number of settings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,6 +155,81 @@ def ledger(books: DataFrame, keys: list[str], leverages: list[float] | None = No
     )
 
 
+def swept_ledger(
+    base: DataFrame, cells: DataFrame, keys: list[str], weight: Callable[[Callable[[str], Column]], Column], cost: Callable[[Callable[[str], Column]], Column],
+    exits: DataFrame | None = None, exit_costs: bool = True, held: float = HELD, reset: float = 1e-3, tolerance: float = 1e-10,
+) -> DataFrame:
+    """What the books of many settings over the same rows earn and pay, period by period, as ``ledger`` does for books that are given.
+
+    ``base``: a row for each ``stock_id`` and ``period`` with ``r`` (the return to come; null: a gap, counts as 0), ``beta`` (null: 0) and what
+    ``weight`` and ``cost`` read, by the function they are handed, of it and of the setting's parameters, which are columns of ``cells`` and may change by period.
+    ``cells``: a row for each of the books (``keys``) and its periods, with ``leverage`` (null: as it is), ``centred`` and the parameters;
+    settings times periods, whatever the panel, so it is broadcast. All rows of ``base`` in a period are in each of that period's books.
+    A weight is that of ``weight``, less the book's mean if ``centred``, scaled down where the book passes its leverage. Drift, exits and
+    their costs are those of ``ledger``; without ``exit_costs`` names that are gone cost nothing. Turnover of names that are gone is ``turnover_exit``.
+    """
+    zero, by = F.lit(0.0), ["b", "p"]
+    spark = base.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # tables that are fanned out in every pass lie in many files
+    names = [c for c in base.columns if c not in ("stock_id", "period")]
+    terms = [c for c in cells.columns if c not in (*keys, "period")]
+    if clash := set(names) & set(terms):
+        raise ValueError(f"columns of rows and of settings: {sorted(clash)}")
+    cells = cells.join(base.select("period").distinct(), "period", "left_semi")
+    numbered = cells.select("period").distinct().withColumn("p", F.row_number().over(W.orderBy("period")))  # a row for each period
+    books = cells.select(*keys).distinct().withColumn("b", F.row_number().over(W.orderBy(*keys)))  # a row for each setting
+    before = F.coalesce(F.lag("p").over(W.partitionBy("b").orderBy("p")), F.lit(0))
+    cells = materialize(cells.join(F.broadcast(books), keys).join(F.broadcast(numbered), "period").withColumn("q", before), "swept-cells")
+    numbered = cells.select("period", "p").distinct()
+    rows = materialize(base.join(F.broadcast(numbered), "period").select("stock_id", "p", *names).repartition(spread, "stock_id"), "swept-rows")
+
+    known = lambda c: F.coalesce(F.col(c), zero)
+    out = rows.join(F.broadcast(cells), "p").groupBy(*by).agg(F.avg(weight(F.col)).alias("_mean"))
+    cells = materialize(cells.join(F.broadcast(out), by).withColumn("m", F.when(F.col("centred"), F.coalesce("_mean", zero)).otherwise(0.0)).drop("_mean"), "swept-means")
+    w = F.col("_w")
+    fixed = rows.join(F.broadcast(cells), "p").withColumn("_w", weight(F.col) - F.col("m")).groupBy(*by).agg(
+        F.sum(w * known("r")).alias("g"), F.sum(F.abs(w)).alias("a"), F.sum(w).alias("e"), F.sum(w * known("beta")).alias("beta_"), F.sum((w > held).cast("long")).alias("n_long"),
+        F.sum((w < -held).cast("long")).alias("n_short"), F.count("*").alias("n_names"), F.sum((F.col("r").isNull() & (F.abs(w) > held)).cast("long")).alias("n_return_gaps"),
+    )
+    scale = F.when(F.col("a") > F.col("leverage"), F.col("leverage") / F.col("a")).otherwise(1.0)
+    cells = materialize(cells.join(F.broadcast(fixed), by).withColumn("s", scale), "swept-totals")
+
+    # A row meets its security's row of the period before, once for each pair of periods that some book has next to each other.
+    steps = F.broadcast(cells.select("p", "q").distinct())
+    now = rows.join(steps, "p").select("stock_id", "p", "q", F.lit(True).alias("here"), *[F.col(c).alias(f"now_{c}") for c in names])
+    old = rows.withColumnRenamed("p", "q").join(steps, "q").select("stock_id", "p", "q", F.lit(True).alias("was"), *[F.col(c).alias(f"old_{c}") for c in names])
+    pairs = now.join(old, ["stock_id", "p", "q"], "full").withColumn("dead", F.lit(False))
+    if exits is not None:
+        dead = exits.groupBy("stock_id").agg(F.min("period").alias("_gone"))
+        pairs = pairs.drop("dead").join(dead, "stock_id", "left").join(F.broadcast(numbered), "p").withColumn("dead", F.coalesce(F.col("_gone") <= F.col("period"), F.lit(False))).drop("_gone", "period")
+    pairs = materialize(pairs.withColumns({"here": F.coalesce("here", F.lit(False)), "was": F.coalesce("was", F.lit(False))}).repartition(spread, "stock_id"), "swept-pairs")
+
+    x = lambda c: F.col(c if c in terms else f"now_{c}")
+    y = lambda c: F.col(f"past_{c}" if c in terms else f"old_{c}")
+    here, goes = F.col("here"), ~F.col("here") & ~F.col("dead")
+    weighed = F.when(here, (weight(x) - F.col("m")) * F.col("s")).otherwise(0.0)
+    drifted = F.when(F.col("was"), (weight(y) - F.col("old_m")) * (1 + known("old_r")) * F.col("k")).otherwise(0.0)
+    found, moved = cells.select(*by, (F.col("s") * F.col("g")).alias("net")), tolerance + 1
+    while moved > tolerance:
+        growth = F.when(1 + F.col("net") > reset, F.col("s") / (1 + F.col("net"))).otherwise(0.0)
+        past = cells.join(found.select(*by, "net"), by).select("b", F.col("p").alias("q"), F.col("m").alias("old_m"), growth.alias("k"), *[F.col(c).alias(f"past_{c}") for c in terms])
+        held_on = materialize(cells.join(past, ["b", "q"], "left").withColumns({"old_m": known("old_m"), "k": known("k")}), "swept-drift")
+        met = pairs.join(F.broadcast(held_on), ["p", "q"]).withColumn("_d", F.abs(weighed - drifted))
+        sums = met.groupBy(*by).agg(
+            F.sum(F.when(here, F.col("_d")).otherwise(0.0)).alias("turnover"), F.sum(F.when(here, F.col("_d") * F.coalesce(cost(x), zero)).otherwise(0.0)).alias("tc_trade"),
+            F.sum(F.when(here, 0.0).otherwise(F.col("_d"))).alias("turnover_exit"), F.sum(F.when(goes & F.lit(exit_costs), F.col("_d") * F.coalesce(cost(y), zero)).otherwise(0.0)).alias("tc_exit"),
+        )
+        net = F.col("s") * F.col("g") - F.col("tc_trade") - F.col("tc_exit")
+        now_ = cells.select(*by, "s", "g").join(sums, by).join(found.select(*by, F.col("net").alias("_old")), by).withColumn("net", net)
+        found = materialize(now_.withColumn("_moved", F.abs(F.col("net") - F.col("_old"))).drop("s", "g", "_old"), "swept-net")
+        moved = found.agg(F.max("_moved")).first()[0] or 0.0
+    s = F.col("s")
+    return cells.join(found, by).select(
+        *keys, "period", "leverage", (s * F.col("g")).alias("gross"), "tc_trade", "tc_exit", (F.col("tc_trade") + F.col("tc_exit")).alias("tc"), "net", "turnover", "turnover_exit",
+        (s * F.col("a")).alias("gross_lev"), (s * F.col("e")).alias("net_exp"), "n_long", "n_short", "n_names", "n_return_gaps", (s * F.col("beta_")).alias("mkt_beta"),
+    )
+
+
 def headline(rows: DataFrame, by: list[str], per_year: int = 4) -> DataFrame:
     """The thirteen headline figures of each book: ``rows`` are those of ``ledger`` with ``mkt``, ``bench`` and ``rf`` of the period to come.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions.scalars import compound, period_key
 from quillon.operators import metrics as m
 from quillon.operators import portfolio as p
+from quillon.operators import sweep as sw
 from quillon.operators import validate
 from quillon.operators import windows as w
 from quillon.plans.factor_queries import zscores
@@ -298,12 +299,20 @@ define("sweepbooks", f"SELECT x.*, fwd1 AS r FROM ({_BUILD.format(t=_GRID)}) x L
 
 
 def sweep(spark, d, mode: str) -> DataFrame:
-    """Books of every setting, built, held and accounted for in one job."""
+    """Books of every setting, built, held and accounted for in one job; no book is stored row by row."""
     z = zscores(spark, d).where("ep is not null and size is not null").select("stock_id", "period", "ep", "size")
-    rows = z.join(forward(spark, d).select("stock_id", "period", F.col("fwd1").alias("r")), ["stock_id", "period"], "left").crossJoin(F.broadcast(p.knob_grid(spark, KNOBS, mode)))  # 216 settings at most
-    rows = rows.withColumns({"mu": F.col("ep") * 0.01 + F.col("tilt") * F.col("size") * 0.005, "d": F.lit(0.04), "c": F.col("cost") * 0.001, "w0": F.lit(0.0)})
-    books = p.build_weights(rows, F.col("lam"), F.col("cap"), F.col("gross"), F.col("net") == 1)
-    return p.account(books.select("strategy_id", "period", "stock_id", "w", "r", "c", F.lit(True).alias("voluntary")))
+    base = z.join(forward(spark, d).select("stock_id", "period", F.col("fwd1").alias("r")), ["stock_id", "period"], "left").withColumn("beta", F.lit(0.0))
+    grid = p.knob_grid(spark, KNOBS, mode).withColumnsRenamed({"cost": "fee", "net": "neutral"})
+    cells = base.select("period").distinct().crossJoin(F.broadcast(grid)).withColumns({"leverage": F.col("gross"), "centred": F.col("neutral") == 1})  # 216 settings at most
+
+    def weight(x):
+        mu = x("ep") * 0.01 + x("tilt") * x("size") * 0.005
+        step = F.signum(mu) * F.greatest(F.abs(mu) - x("fee") * 0.001, F.lit(0.0)) / (x("lam") * 0.04)
+        return F.least(F.greatest(step, -x("cap")), x("cap"))
+
+    rows = sw.swept_ledger(base, cells.drop("gross"), ["strategy_id"], weight, lambda x: x("fee") * 0.001, exit_costs=False, held=0.0)
+    turnover = (F.col("turnover") + F.col("turnover_exit")).alias("turnover")
+    return rows.select("strategy_id", "period", "gross", turnover, "tc", "net", F.col("gross_lev").alias("leverage"), F.col("net_exp").alias("net_exposure"), "n_long", "n_short")
 
 
 _SWEPT = "SELECT strategy_id, avg(net) AS mean, stddev_samp(net) AS std, avg(turnover) AS turnover, avg(tc) AS tc, avg(leverage) AS leverage, count(*) AS n FROM ({}) GROUP BY 1"

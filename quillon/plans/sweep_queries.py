@@ -125,8 +125,8 @@ def ic_five(spark, d) -> DataFrame:
     return artifact(spark, d, "icfive", lambda: validate.rank_ic(zscores(spark, d), forward(spark, d), FIVE, (1,)).select("period", "factor", "ic"))
 
 
-def partials(spark, d) -> DataFrame:
-    """Expected returns, costs, variances, betas and next returns of every partial setting; each upstream frame is worked out once."""
+def sweep_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Scores, costs, variances, betas and next returns by security and period, and the factors' weights of every partial setting; each upstream frame is worked out once."""
     ic = ic_five(spark, d)
     rows = validate.pooled_design(design(spark, d), masks())
     premia = validate.premia(validate.fama_macbeth(rows, "fwd1", FIVE).where(F.col("n") > len(FIVE)), FIVE)
@@ -135,9 +135,9 @@ def partials(spark, d) -> DataFrame:
     t = (F.year("period") * 4 + F.quarter("period")).cast("long")
     own = p.shrink_idio(idio(spark, d)).select("stock_id", (F.col("t") + 1).alias("_t"), "idio_shrunk")  # what the quarter before knew
     beta = quarter_beta(spark, d).select("stock_id", "period", F.col("mkt").alias("beta"))
-    base = zscores(spark, d).select("stock_id", "period", *FIVE).join(forward(spark, d), ["stock_id", "period"]).withColumn("_t", t).join(own, ["stock_id", "_t"], "left").join(beta, ["stock_id", "period"], "left")
+    base = zscores(spark, d).select("stock_id", "period", *FIVE).where(F.coalesce(*FIVE).isNotNull()).join(forward(spark, d), ["stock_id", "period"]).withColumn("_t", t).join(own, ["stock_id", "_t"], "left").join(beta, ["stock_id", "period"], "left")
     base = base.select("stock_id", "period", *FIVE, F.col("fwd1").alias("r"), p.cost_coefficient(F.col("mcap_usd")).alias("c"), F.coalesce("idio_shrunk", F.lit(0.04)).alias("d"), "beta")
-    return materialize(sw.partial_returns(base, materialize(thetas, "sweep-thetas"), FIVE), "sweep-partials")
+    return base, thetas
 
 
 def strategy_id() -> Column:
@@ -146,10 +146,22 @@ def strategy_id() -> Column:
 
 def swept(spark, d) -> DataFrame:
     """The thirteen figures of all settings of the six knobs."""
-    partial = ["alloc", "js", "reselect"]
-    made = sw.stepped(partials(spark, d), partial, AVERSIONS, CAPS)
-    rows = sw.ledger(made, [*partial, "ra", "mnw"], LEVERAGES, gone(spark, d)).withColumn("strategy_id", strategy_id())
-    return sw.headline(rows.join(next_market(spark, d), "period", "left"), ["strategy_id", *KNOBS])
+    base, thetas = sweep_inputs(spark, d)
+    base = materialize(base, "sweep-base")
+    cells = thetas.withColumn("centred", F.lit(True))
+    for knob, values in (("ra", AVERSIONS), ("mnw", CAPS), ("leverage", LEVERAGES)):
+        cells = cells.withColumn(knob, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+
+    def weight(x):
+        mu = F.lit(0.0)
+        for f in FIVE:
+            mu = mu + x(f"theta_{f}") * F.coalesce(x(f), F.lit(0.0))
+        step = F.coalesce(F.try_divide(F.signum(mu) * F.greatest(F.abs(mu) - x("c"), F.lit(0.0)), x("ra") * x("d")), F.lit(0.0))
+        return F.greatest(F.least(step, x("mnw")), -x("mnw"))
+
+    books = cells.withColumn("book", strategy_id()).withColumns({"ra_": F.col("ra"), "mnw_": F.col("mnw")})
+    rows = sw.swept_ledger(base, books, ["book", "alloc", "js", "reselect", "ra_", "mnw_"], weight, lambda x: x("c"), gone(spark, d)).withColumnsRenamed({"book": "strategy_id", "ra_": "ra", "mnw_": "mnw"})
+    return sw.headline(rows.join(F.broadcast(next_market(spark, d)), "period", "left"), ["strategy_id", *KNOBS])  # a row for each period
 
 
 def sweep(spark, d) -> DataFrame:

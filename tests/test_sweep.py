@@ -156,3 +156,32 @@ def test_leaderboard_marginals_interactions_and_slices(spark):
     base = next(r[4] for r in rows if r[1:4] == (0, 1, 1.0))
     assert set(s) == {("a", "0"), ("a", "1"), ("b", "0"), ("b", "1"), ("b", "2"), ("c", "0.0"), ("c", "1.0")}
     assert s["b", "2"][1] == next(r[4] for r in rows if r[1:4] == (0, 2, 1.0)) - base and s["a", "0"] == (base, 0.0) and s["a", "1"] == (None, None)
+
+
+def test_a_swept_ledger_equals_that_of_its_books_and_stores_none(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(n, q, rng.gauss(0, 1), None if rng.random() < 0.1 else rng.gauss(0.01, 0.2), rng.random() * 0.01, None if n == 3 else rng.gauss(1, 0.3)) for q in QUARTERS for n in range(9) if rng.random() < 0.7]
+    base = spark.createDataFrame(rows, "stock_id long, period date, z double, r double, c double, beta double")
+    settings = [(f"{tilt}|{lev}|{centred}", tilt, lev, centred) for tilt in (0.1, 0.5) for lev in (0.3, 2.0) for centred in (True, False)]
+    wide = [(s[0], s[1] * (1 + 0.3 * i), *s[2:], q) for k, s in enumerate(settings) for i, q in enumerate(QUARTERS) if (i + k) % 5]  # each book lacks other periods
+    settled = spark.createDataFrame(wide, "book string, tilt double, leverage double, centred boolean, period date")
+    exits = spark.createDataFrame([(1, QUARTERS[3]), (6, QUARTERS[0])], "stock_id long, period date")
+    stored, write = [], sw.materialize
+
+    def counted(df, what, *rest):
+        out = write(df, what, *rest)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(sw, "materialize", counted)
+    got = {(r.book, r.period): r for r in sw.swept_ledger(base, settled, ["book"], lambda x: F.least(x("z") * x("tilt"), F.lit(0.4)), lambda x: x("c"), exits).collect()}
+    assert max(stored) <= 4 * len(rows) < len(rows) * len(settings)
+    books = base.join(settled, "period").withColumn("u", F.least(F.col("z") * F.col("tilt"), F.lit(0.4)))
+    mean = books.groupBy("book", "period").agg(F.avg("u").alias("m"))
+    books = books.join(mean, ["book", "period"]).withColumn("w", F.col("u") - F.when(F.col("centred"), F.col("m")).otherwise(0.0))
+    for lev in (0.3, 2.0):
+        for r in sw.ledger(books.where(F.col("leverage") == lev), ["book"], [lev], exits).collect():
+            mine = got.pop((r.book, r.period))
+            for c in ("gross", "tc_trade", "tc_exit", "tc", "net", "turnover", "gross_lev", "net_exp", "n_long", "n_short", "n_names", "n_return_gaps", "mkt_beta"):
+                assert mine[c] == pytest.approx(r[c], abs=1e-9), c
+    assert not got
