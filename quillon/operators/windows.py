@@ -94,9 +94,44 @@ def forward_returns(frame: DataFrame, column: str, kind: str, events: DataFrame
     return forward(periodic_returns(frame, events, months), column, lags)
 
 
+def trailing(panel: DataFrame, value: Column, rows: int, out: str, by: str = "date", added: Column | None = None) -> DataFrame:
+    """``out``: ``n``, ``mean``, ``m2`` (squared deviations), ``low``, ``high`` of ``value`` and ``total`` of ``added`` over each security's last ``rows`` rows.
+
+    A sliding frame is added up anew for every row, which costs rows times its length. Here a security's rows lie in blocks of ``rows``: a frame is
+    the end of one block and the start of the next, both frames that only grow, so a row costs the same whatever the length.
+    Deviations of the two parts are merged about their means, not subtracted from running sums, so nothing cancels.
+    """
+    own, order = W.partitionBy("stock_id"), W.partitionBy("stock_id").orderBy(by)
+    made = panel.withColumn("_i", F.row_number().over(order) - 1).withColumns({"_block": F.floor(F.col("_i") / rows), "_x": value, "_add": F.lit(None).cast("double") if added is None else added})
+    block, grow = W.partitionBy("stock_id", "_block"), (W.unboundedPreceding, 0)
+
+    def state(w) -> Column:
+        x = F.col("_x")
+        n = F.count(x).over(w)
+        return F.struct(n.alias("n"), F.avg(x).over(w).alias("mean"), (F.var_pop(x).over(w) * n).alias("m2"), F.min(x).over(w).alias("low"), F.max(x).over(w).alias("high"), F.sum("_add").over(w).alias("total"))
+
+    made = made.withColumn("_a", state(block.orderBy("_i").rowsBetween(*grow))).withColumn("_end", state(block.orderBy(F.desc("_i")).rowsBetween(*grow)))
+    before = F.lag("_end", rows - 1).over(own.orderBy("_i")) if rows > 1 else F.lit(None).cast(made.schema["_end"].dataType)
+    made = made.withColumn("_b", before).withColumn("_b", F.when((F.col("_block") > 0) & ((F.col("_i") + 1) % rows != 0), F.col("_b")))
+    a, b = (lambda f: F.col(f"_a.{f}")), (lambda f: F.col(f"_b.{f}"))
+    some = (a("n") > 0) & (F.coalesce(b("n"), F.lit(0)) > 0)
+    n, gap = a("n") + F.coalesce(b("n"), F.lit(0)), b("mean") - a("mean")
+    merged = F.struct(
+        n.alias("n"), F.when(some, a("mean") + gap * b("n") / n).otherwise(F.coalesce(a("mean"), b("mean"))).alias("mean"),
+        F.when(some, a("m2") + b("m2") + gap * gap * a("n") * b("n") / n).otherwise(F.coalesce(a("m2"), b("m2"))).alias("m2"),
+        F.least(a("low"), b("low")).alias("low"), F.greatest(a("high"), b("high")).alias("high"), F.coalesce(a("total") + b("total"), a("total"), b("total")).alias("total"),
+    )
+    return made.withColumn(out, merged).drop("_i", "_block", "_x", "_add", "_a", "_b", "_end")
+
+
+def _deviation(s: str) -> Column:
+    """Sample standard deviation from what ``trailing`` gives; exactly 0 where all values are one."""
+    n, low = F.col(f"{s}.n"), F.col(f"{s}.low")
+    return F.when(n >= 2, F.when((low == F.col(f"{s}.high")) & ~F.isnan(low), 0.0).otherwise(F.sqrt(F.col(f"{s}.m2") / (n - 1))))
+
+
 def rolling_vol(panel: DataFrame, column: str, rows: int = 756, least: int = 252) -> DataFrame:
-    w = _stock(rows, "date")
-    return panel.withColumn("vol", F.when(F.count(column).over(w) >= least, F.stddev_samp(column).over(w)))
+    return trailing(panel, F.col(column), rows, "_v").withColumn("vol", F.when(F.col("_v.n") >= least, _deviation("_v"))).drop("_v")
 
 
 def momentum(panel: DataFrame, column: str, year: int = 252, month: int = 21, vol: int = 252, least: tuple[int, int, int] = (189, 10, 126)) -> DataFrame:
@@ -105,13 +140,15 @@ def momentum(panel: DataFrame, column: str, year: int = 252, month: int = 21, vo
     A day of -100% makes the score -1 over volatility while it is in the year but not in the month, and null while
     it is in both; ``ln`` would skip such days, so they are looked for.
     """
-    long_, short, v = _stock(year, "date"), _stock(month, "date"), _stock(vol, "date")
     growth = F.ln(F.when(F.col(column) > -1, 1 + F.col(column)))
-    dead = lambda w: F.coalesce(F.min(F.col(column)).over(w) <= -1, F.lit(False))
-    score = F.exp(F.sum(growth).over(long_) - F.coalesce(F.sum(growth).over(short), F.lit(0.0))) - 1
-    score = F.when(dead(short), None).when(dead(long_), F.lit(-1.0)).otherwise(score)
-    enough = (F.count(column).over(long_) >= least[0]) & (F.count(column).over(short) >= least[1]) & (F.count(column).over(v) >= least[2])
-    return panel.withColumn("momentum", F.when(enough, F.try_divide(score, F.stddev_samp(column).over(v))))
+    rows = trailing(panel, F.col(column), year, "_long", added=growth)
+    rows = trailing(rows, F.col(column), month, "_short", added=growth)
+    rows = rows.withColumn("_vol", F.col("_long")) if vol == year else trailing(rows, F.col(column), vol, "_vol")
+    dead = lambda s: F.coalesce(F.col(f"{s}.low") <= -1, F.lit(False))
+    score = F.exp(F.col("_long.total") - F.coalesce("_short.total", F.lit(0.0))) - 1
+    score = F.when(dead("_short"), None).when(dead("_long"), F.lit(-1.0)).otherwise(score)
+    enough = (F.col("_long.n") >= least[0]) & (F.col("_short.n") >= least[1]) & (F.col("_vol.n") >= least[2])
+    return rows.withColumn("momentum", F.when(enough, F.try_divide(score, _deviation("_vol")))).drop("_long", "_short", "_vol")
 
 
 def difference(df: DataFrame, columns: list[str]) -> DataFrame:
