@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.scalars import in_universe, period_key
 from quillon.operators import curves, resample, windows
 from quillon.operators.factors import Factor, register
+from quillon.operators.joins import asof_join
 
 #: Country codes share so many yield curves.
 CURVES = 5
@@ -17,10 +18,17 @@ def _simple(curve: DataFrame) -> DataFrame:
     return curves.simple_curve(curve).withColumnRenamed("date", "month")
 
 
-def quarterly_rates(panel: DataFrame, curve: DataFrame) -> DataFrame:
-    """Per security and quarter: last date, last margin and yield, and mean level and slope of its currency's curve."""
+def quarterly_rates(panel: DataFrame, curve: DataFrame, fundamentals: DataFrame | None = None) -> DataFrame:
+    """Per security and quarter: last date, last margin and yield, and mean level and slope of its currency's curve.
+
+    A panel without ``fundamentals`` is given them here: they are looked up at the last date of each quarter alone.
+    """
     rows = panel.withColumn("month", F.trunc("date", "MM")).withColumn("currency", F.col("country_code") % CURVES).join(F.broadcast(_simple(curve)), ["month", "currency"], "left")  # a row for each month and currency
     fiy = F.try_divide("investment_income", "insurance_reserves")
+    if fundamentals is not None:
+        made = rows.groupBy("stock_id", period_key(F.col("date"), 3).alias("period")).agg(F.max("date").alias("date_"), F.avg("level").alias("level"), F.avg("slope").alias("slope"), F.max_by("industry", "date").alias("industry"))
+        known = fundamentals.select("stock_id", "observation_date", "net_interest_margin", fiy.alias("fiy"))
+        return asof_join(made.withColumnRenamed("date_", "date"), known, "stock_id", "date", "observation_date").withColumnRenamed("net_interest_margin", "nim").select("stock_id", "period", "date", "nim", "fiy", "level", "slope", "industry")
     return rows.groupBy("stock_id", period_key(F.col("date"), 3).alias("period")).agg(
         F.max("date").alias("date_"), F.max_by("net_interest_margin", "date").alias("nim"), F.max_by(fiy, F.col("date")).alias("fiy"),
         F.avg("level").alias("level"), F.avg("slope").alias("slope"), F.max_by("industry", "date").alias("industry"),

@@ -36,8 +36,12 @@ def rebalance_grid(panel: DataFrame, months: int = 3) -> DataFrame:
 
 
 def monthly_returns(panel: DataFrame, factor: DataFrame, on: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Compounded monthly return of each security and of its factor ``x``; levels are those of the last day."""
-    rows = panel.join(factor, on, "left")
+    """Compounded monthly return of each security and of its factor ``x``; levels are those of the last day.
+
+    ``factor`` has a row for each day, or day and group, whatever the number of securities; panels are not exchanged to meet it.
+    """
+    columns = {*on, *keep, "stock_id", "date", "excess_return"}
+    rows = panel.select(*[c for c in panel.columns if c in columns]).join(F.broadcast(factor), on, "left")
     return rows.groupBy("stock_id", period_key(F.col("date")).alias("period")).agg(
         F.max("date").alias("date_"), compound(F.col("excess_return")).alias("ret"), compound(F.col("x")).alias("x"), *[F.max_by(c, "date").alias(c) for c in keep]
     ).withColumnRenamed("date_", "date")
@@ -45,8 +49,8 @@ def monthly_returns(panel: DataFrame, factor: DataFrame, on: list[str], keep: tu
 
 def winsorize_daily(panel: DataFrame, column: str, low: float, high: float, out: str) -> DataFrame:
     """Clips to daily quantiles: bounds are grouped by date and joined back, so no window holds a whole day of rows."""
-    bounds = panel.groupBy("date").agg(F.percentile(column, low).alias("_lo"), F.percentile(column, high).alias("_hi"))
-    return panel.join(bounds, "date").withColumn(out, clip(F.col(column), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    bounds = panel.groupBy("date").agg(F.percentile(column, [low, high]).alias("_b"))  # a row for each day
+    return panel.join(F.broadcast(bounds), "date").withColumn(out, clip(F.col(column), F.col("_b")[0], F.col("_b")[1])).drop("_b")
 
 
 def periodic_returns(panel: DataFrame, events: DataFrame, months: int = 3, limits: tuple[float, float] = (0.01, 0.99)) -> DataFrame:

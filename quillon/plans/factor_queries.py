@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import in_universe, period_key, row_mean
+from quillon.operators import clean as c
 from quillon.operators import computed, curves, factors
 from quillon.operators import joins as j
-from quillon.operators import resample as r
 from quillon.operators import windows as w
 from quillon.plans.oracle import define
 from quillon.plans.panel_queries import cleaned, market_daily, monthly, periodic, sector
@@ -55,10 +55,14 @@ def scores(spark, d) -> DataFrame:
     return artifact(spark, d, "scores", lambda: make_scores(spark, d))
 
 
+def sector_grid(spark, d) -> DataFrame:
+    """The sector panel's last row of each security and quarter. Rows are picked first, so fundamentals are looked up for them alone."""
+    rows = cleaned(spark, d).where("tradeable")
+    return j.sector_panel(c.latest_in_period(rows, "stock_id", period_key(F.col("date"), 3), "date"), s.fundamentals(spark, d))
+
+
 def make_scores(spark, d) -> DataFrame:
-    rows = sector(spark, d)
-    rows = j.downsample(rows, r.rebalance_grid(rows))
-    wide = factors.ratio_scores(rows, ["E/P", "DY", "ln(MCap)", "NIM", "FIY"]).toDF("stock_id", "date", "industry", "ep", "dy", "size", "nim", "fiy")
+    wide = factors.ratio_scores(sector_grid(spark, d), ["E/P", "DY", "ln(MCap)", "NIM", "FIY"]).toDF("stock_id", "date", "industry", "ep", "dy", "size", "nim", "fiy")
     return wide.withColumn("period", period_key(F.col("date"), 3)).select("stock_id", "date", "period", "industry", *NAMES.split())
 
 
@@ -73,8 +77,7 @@ def zscores(spark, d) -> DataFrame:
 
 @query(f"SELECT stock_id, date, industry, {_RATIO_SQL}, ln(CASE WHEN mcap_usd > 0 THEN mcap_usd END) AS \"ln(MCap)\", CASE WHEN starts_with(industry, 'bank') THEN tier1_capital_ratio END AS \"T1CR\", CASE WHEN starts_with(industry, 'bank') THEN net_interest_margin END AS \"NIM\" FROM sector_grid")
 def f1_ratio_factors(spark, d):
-    rows = sector(spark, d)
-    return factors.ratio_scores(j.downsample(rows, r.rebalance_grid(rows)))
+    return factors.ratio_scores(sector_grid(spark, d))
 
 
 @query(WINSORIZED_SQL, NAMES)
@@ -159,7 +162,7 @@ def _two_sql(src: str, y: str, rows: int, least: int, keep: str) -> str:
 
 
 def rates_quarterly(spark, d) -> DataFrame:
-    return computed.quarterly_rates(sector(spark, d), s.zero_curve(spark, d))
+    return computed.quarterly_rates(cleaned(spark, d).where("tradeable"), s.zero_curve(spark, d), s.fundamentals(spark, d))
 
 
 @query("SELECT stock_id, period, date, nim, fiy, level, slope FROM rates_quarterly", "nim fiy level slope", 8)
@@ -219,9 +222,8 @@ _CTRY = _CENTRED.format(g="country_code", sql=_group_sql("country_code", ", regi
 
 @query(f"""SELECT stock_id, date, CASE WHEN starts_with(industry, 'bank') THEN b END AS bank, CASE WHEN starts_with(industry, 'insurance') THEN b END AS insurance FROM ({_IND})""", "bank insurance", 4)
 def f30_industry_beta_signals(spark, d):
-    made = frames(spark, d)
-    own, other = (factors.REGISTRY[n].compute(made) for n in ("Beta~IND (B)", "Beta~IND (I)"))
-    return own.join(other, ["stock_id", "date"]).select("stock_id", "date", F.col("`Beta~IND (B)`").alias("bank"), F.col("`Beta~IND (I)`").alias("insurance"))
+    rows = w.center_by_group(computed.group_betas(cleaned(spark, d), "industry", (), True), "beta", "industry")
+    return rows.select("stock_id", "date", *[F.when(in_universe(F.col("industry"), u), F.col("beta")).alias(u) for u in ("bank", "insurance")])
 
 
 _RATES_J12 = _two_sql("rates_diff", "{y}", 12, 6, "stock_id, date, industry")

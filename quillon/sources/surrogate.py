@@ -19,7 +19,7 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey").cast("long")
     industry = F.when(key % 3 == 0, "bank").when(key % 3 == 1, "insurance_life").otherwise("insurance_pc")
     start = F.when(key % 5 == 0, F.date_add(F.lit(EPOCH).cast("date"), (key % 400).cast("int")))
-    return s.join(n, s.s_nationkey == n.n_nationkey).select(
+    return s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(
         key.alias("stock_id"), F.col("s_nationkey").cast("long").alias("country_code"), F.col("n_regionkey").cast("long").alias("region_code"),
         industry.alias("industry"), (20 + key % 80).cast("double").alias("free_float_percentage"), start.alias("stock_start_date"),
     )
@@ -32,12 +32,20 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines_by_security(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``lines`` with the lines of a security side by side: groupings, windows and joins by security follow without another exchange.
+
+    A day or quarter of a security has few lines, spread over the whole table, so adding them up before the exchange would save nothing.
+    """
+    return lines(spark, sf_dir).select("stock_id", "date", *columns).repartition("stock_id")
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per security and day: prices near 1, stubs, an exit wave with decays, and returns with gaps."""
     day = F.datediff("date", F.lit(EPOCH).cast("date"))
     gross = F.round(F.sum(F.col("ext") * (1 - F.col("disc"))), 4)
     cap = F.round(F.sum("ext"), 2)
-    rows = lines(spark, sf_dir).groupBy("stock_id", "date").agg(F.round(gross / cap, 6).alias("mark"), cap.alias("mcap_local"), F.round(F.sum("qty"), 2).alias("volume"))
+    rows = lines_by_security(spark, sf_dir, "ext", "disc", "qty").groupBy("stock_id", "date").agg(F.round(gross / cap, 6).alias("mark"), cap.alias("mcap_local"), F.round(F.sum("qty"), 2).alias("volume"))
     rows = rows.where((F.col("stock_id") % 7 != 0) | (F.col("date") <= EXIT))
     left = F.datediff(F.lit(EXIT).cast("date"), F.col("date"))
     decay = F.when((F.col("stock_id") % 14 == 0) & (left < 120), 1 - 0.9 * (120 - left) / 120).otherwise(1.0)
@@ -58,7 +66,7 @@ def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices with country, region, industry, exchange rate, market cap in dollars, risk-free rate and excess return."""
     key = F.col("country_code")
-    rows = prices(spark, sf_dir).join(securities(spark, sf_dir), "stock_id").join(fx_rates(spark, sf_dir), "country_code", "left")
+    rows = prices(spark, sf_dir).join(securities(spark, sf_dir), "stock_id").join(F.broadcast(fx_rates(spark, sf_dir)), "country_code", "left")  # a row for each country
     rf = F.when(~((key == 3) & (F.col("date") < "1996-01-01")), 0.00001 * (1 + key % 5))
     rows = rows.withColumn("risk_free_rate", rf).withColumn("mcap_usd", F.col("mcap_local") * F.col("fx_to_usd")).withColumn("tradeable", F.col("stock_id") % 4 != 0)
     return rows.withColumn("excess_return", F.col("total_return") - F.col("risk_free_rate"))
@@ -67,7 +75,7 @@ def market_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per security and quarter, known 45 days after its end."""
     quarter = F.trunc("date", "quarter")
-    sums = lines(spark, sf_dir).groupBy("stock_id", quarter.alias("q")).agg(
+    sums = lines_by_security(spark, sf_dir, "ext", "disc", "tax", "qty").groupBy("stock_id", quarter.alias("q")).agg(
         F.round(F.sum("ext"), 2).alias("e"), F.round(F.sum(F.col("ext") * F.col("disc")), 4).alias("d"), F.round(F.sum(F.col("ext") * F.col("tax")), 4).alias("t"),
         F.round(F.sum("qty"), 2).alias("cash_and_st_investments"), F.round(F.avg("tax"), 6).alias("net_interest_margin"), F.round(F.avg("disc"), 6).alias("tier1_capital_ratio"),
     )
@@ -87,7 +95,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Further items per security and quarter, which a quarter of the securities do not report."""
     quarter = F.trunc("date", "quarter")
-    sums = lines(spark, sf_dir).where("stock_id % 4 <> 1").groupBy("stock_id", quarter.alias("q")).agg(F.count("*").alias("n_lines"), F.round(F.max("qty"), 2).alias("top_quantity"))
+    sums = lines_by_security(spark, sf_dir, "qty").where("stock_id % 4 <> 1").groupBy("stock_id", quarter.alias("q")).agg(F.count("*").alias("n_lines"), F.round(F.max("qty"), 2).alias("top_quantity"))
     return sums.select("stock_id", F.date_sub(F.add_months("q", 3), 1).alias("date_fundamental"), "n_lines", "top_quantity")
 
 
