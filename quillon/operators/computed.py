@@ -46,11 +46,6 @@ def return_rate_betas(monthly: DataFrame, curve: DataFrame, rows: int = 36, leas
     return windows.rolling_two(windows.difference(joined, ["level", "slope"]), "ret", "d_level", "d_slope", rows, least)
 
 
-def market_betas(market: DataFrame) -> DataFrame:
-    daily = resample.cap_weighted(market, ["date"]).select("date", F.col("r").alias("x"))
-    return windows.rolling_beta(resample.monthly_returns(market.where("tradeable"), daily, ["date"]))
-
-
 def group_betas(market: DataFrame, group: str, parents: tuple[str, ...], tradeable_factor: bool = False) -> DataFrame:
     """Betas on the return of one's own group over its parent's."""
     source = market.where("tradeable") if tradeable_factor else market
@@ -58,38 +53,64 @@ def group_betas(market: DataFrame, group: str, parents: tuple[str, ...], tradeab
     return windows.rolling_beta(resample.monthly_returns(market.where("tradeable"), factor, ["date", group], (group,)))
 
 
-def _metric(name: str, universe: str, metric: str, beta: str) -> None:
-    def compute(frames: dict[str, DataFrame]) -> DataFrame:
-        rows = metric_rate_betas(quarterly_rates(frames["sector"], frames["curve"]), metric)
-        return rows.select("stock_id", "date", F.when(in_universe(F.col("industry"), universe), F.col(beta)).alias(name))
-
-    register(Factor(name, "rates", universe, compute=compute))
-
-
-def _return(name: str, beta: str) -> None:
-    def compute(frames: dict[str, DataFrame]) -> DataFrame:
-        panel = frames["sector"].withColumn("currency", F.col("country_code") % CURVES)
-        monthly = panel.groupBy("stock_id", period_key(F.col("date")).alias("period")).agg(F.max("date").alias("date_"), resample.compound(F.col("excess_return")).alias("ret"), F.max_by("currency", "date").alias("currency"))
-        return return_rate_betas(monthly.withColumnRenamed("date_", "date"), frames["curve"]).select("stock_id", "date", F.col(beta).alias(name))
-
-    register(Factor(name, "rates", compute=compute))
-
-
-def _industry(name: str, universe: str) -> None:
-    def compute(frames: dict[str, DataFrame]) -> DataFrame:
-        rows = windows.center_by_group(group_betas(frames["market"], "industry", (), True), "beta", "industry")
-        return rows.select("stock_id", "date", F.when(in_universe(F.col("industry"), universe), F.col("beta")).alias(name))
-
-    register(Factor(name, "beta", universe, neutralize=False, input_frame="market", compute=compute))
-
-
-register(Factor("TRV", "risk", compute=lambda f: windows.rolling_vol(f["sector"], "excess_return").select("stock_id", "date", F.col("vol").alias("TRV"))))
-register(Factor("Momentum", "momentum", compute=lambda f: windows.momentum(f["sector"], "total_return").select("stock_id", "date", F.col("momentum").alias("Momentum"))))
-for _end, _beta in (("Level", "beta_d_level"), ("Slope", "beta_d_slope")):
-    _metric(f"NIM~{_end}", "bank", "nim", _beta)
-    _metric(f"FIY~{_end}", "insurance", "fiy", _beta)
-    _return(f"Ret~{_end}", _beta)
-register(Factor("Beta~MKT", "beta", neutralize=False, input_frame="market", compute=lambda f: market_betas(f["market"]).select("stock_id", "date", F.col("beta").alias("Beta~MKT"))))
-register(Factor("Beta~CTRY", "beta", neutralize=False, input_frame="market", compute=lambda f: windows.center_by_group(group_betas(f["market"], "country_code", ("region_code",)), "beta", "country_code").select("stock_id", "date", F.col("beta").alias("Beta~CTRY"))))
-_industry("Beta~IND (B)", "bank")
-_industry("Beta~IND (I)", "insurance")
+Frames = dict[str, DataFrame]
+#: By factor: universe, metric and slope; slope; kind of group; universe.
+_METRICS: dict[str, tuple[str, str, str]] = {}
+_RETURNS: dict[str, str] = {}
+_GROUPS = {"Beta~MKT": "market", "Beta~CTRY": "country_code", "Beta~IND (B)": "industry", "Beta~IND (I)": "industry"}
+_INDUSTRIES = {"Beta~IND (B)": "bank", "Beta~IND (I)": "insurance"}
+
+
+def metric_factors(frames: Frames, names: list[str]) -> DataFrame:
+    """Rate sensitivities of all metrics from one table of quarters."""
+    metrics = sorted({_METRICS[n][1] for n in names})
+    rows = windows.difference(quarterly_rates(frames["sector"], frames["curve"]), [*metrics, "level", "slope"])
+    for m in metrics:
+        rows = windows.rolling_two(rows, f"d_{m}", "d_level", "d_slope", 12, 6).withColumnsRenamed({"beta_d_level": f"{m}_level", "beta_d_slope": f"{m}_slope"})
+    return rows.select("stock_id", "date", *[F.when(in_universe(F.col("industry"), u), F.col(f"{m}_{end}")).alias(n) for n in names for u, m, end in [_METRICS[n]]])
+
+
+def return_factors(frames: Frames, names: list[str]) -> DataFrame:
+    panel = frames["sector"].withColumn("currency", F.col("country_code") % CURVES)
+    monthly = panel.groupBy("stock_id", period_key(F.col("date")).alias("period")).agg(F.max("date").alias("date_"), resample.compound(F.col("excess_return")).alias("ret"), F.max_by("currency", "date").alias("currency"))
+    return return_rate_betas(monthly.withColumnRenamed("date_", "date"), frames["curve"]).select("stock_id", "date", *[F.col(_RETURNS[n]).alias(n) for n in names])
+
+
+def beta_factors(frames: Frames, names: list[str]) -> DataFrame:
+    """Betas on the market and on one's own group from one table of months; those on groups less the group's median."""
+    market, kinds = frames["market"], [k for k in ("market", "country_code", "industry") if k in {_GROUPS[n] for n in names}]
+    tradeable = market.where("tradeable")
+    factors = {}
+    for k in kinds:
+        if k == "market":
+            factors[f"x_{k}"] = (resample.cap_weighted(market, ["date"]).select("date", F.col("r").alias(f"x_{k}")), ["date"])
+        else:
+            source, parents = (market, ("region_code",)) if k == "country_code" else (tradeable, ())
+            factors[f"x_{k}"] = (resample.relative_factor(source, k, parents).withColumnRenamed("factor", f"x_{k}"), ["date", k])
+    keep = tuple(k for k in kinds if k != "market")
+    rows = resample.monthly_on_factors(tradeable, factors, keep)
+    for k in kinds:
+        rows = windows.rolling_beta(rows, x=f"x_{k}", out=f"beta_{k}")
+    for k in keep:
+        rows = windows.center_by_group(rows, f"beta_{k}", k)
+    beta = lambda n: F.col(f"beta_{_GROUPS[n]}")
+    return rows.select("stock_id", "date", *[(F.when(in_universe(F.col("industry"), _INDUSTRIES[n]), beta(n)) if n in _INDUSTRIES else beta(n)).alias(n) for n in names])
+
+
+def _family(name: str, sleeve: str, family, universe: str | None = None, **more) -> None:
+    register(Factor(name, sleeve, universe, compute=lambda frames: family(frames, [name]), family=family, **more))
+
+
+def _column(name: str, sleeve: str, add) -> None:
+    register(Factor(name, sleeve, compute=lambda frames: add(frames["sector"]).select("stock_id", "date", name), column=add))
+
+
+_column("TRV", "risk", lambda panel: windows.rolling_vol(panel, "excess_return").withColumnRenamed("vol", "TRV"))
+_column("Momentum", "momentum", lambda panel: windows.momentum(panel, "total_return").withColumnRenamed("momentum", "Momentum"))
+for _end in ("Level", "Slope"):
+    _METRICS[f"NIM~{_end}"], _METRICS[f"FIY~{_end}"], _RETURNS[f"Ret~{_end}"] = ("bank", "nim", _end.lower()), ("insurance", "fiy", _end.lower()), f"beta_d_{_end.lower()}"
+    _family(f"NIM~{_end}", "rates", metric_factors, "bank")
+    _family(f"FIY~{_end}", "rates", metric_factors, "insurance")
+    _family(f"Ret~{_end}", "rates", return_factors)
+for _name in _GROUPS:
+    _family(_name, "beta", beta_factors, _INDUSTRIES.get(_name), neutralize=False, input_frame="market")

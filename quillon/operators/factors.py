@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite, in_universe, ratio
@@ -17,6 +18,8 @@ class Factor:
     """``expr`` gives a column of the sector panel; ``compute`` instead makes a frame of (stock_id, date, factor) from the frames by name.
 
     ``input_frame`` names the one whose rows it scores; a factor without it among the frames is an error.
+    Factors that share their passes over the frames name a ``family``, which makes those asked for at once. ``column`` adds a
+    factor to the sector panel's own rows, by windows within a security. For both, ``compute`` gives the factor alone.
     """
 
     name: str
@@ -26,6 +29,8 @@ class Factor:
     input_frame: str = "sector"
     expr: Callable[[], Column] | None = None
     compute: Callable[[dict[str, DataFrame]], DataFrame] | None = None
+    family: Callable[[dict[str, DataFrame], list[str]], DataFrame] | None = None
+    column: Callable[[DataFrame], DataFrame] | None = None
 
 
 REGISTRY: dict[str, Factor] = {}
@@ -81,30 +86,44 @@ def require_industry(frame: DataFrame, factors: list[str]) -> None:
         raise ValueError(f"an industry column is needed for {', '.join(needy)}")
 
 
-def ratio_scores(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """All expression factors in one projection; off their sub-universe they are null."""
+def ratio_scores(panel: DataFrame, names: list[str] | None = None, more: dict[str, str] | None = None) -> DataFrame:
+    """All expression factors in one projection; off their sub-universe they are null. ``more`` columns of the panel follow them, by their new names."""
     names = [n for n, f in REGISTRY.items() if f.expr] if names is None else names
     require_industry(panel, names)
     columns = [F.when(in_universe(F.col("industry"), REGISTRY[n].universe), REGISTRY[n].expr()).alias(n) for n in names]
-    return panel.select("stock_id", "date", "industry", *columns)
+    return panel.select("stock_id", "date", "industry", *columns, *[F.col(f"`{c}`").alias(n) for n, c in (more or {}).items()])
 
 
 def factor_frames(frames: dict[str, DataFrame], names: list[str]) -> DataFrame:
-    """The wide score frame over the rows of the sector panel: expression factors in one projection, computed ones joined on by security and date.
+    """The wide score frame over the rows of the sector panel: expression factors in one projection, computed ones by security and date.
 
-    Computed frames are stacked, gathered by one grouping and joined once, however many there are.
+    Each family passes over the frames once. What is made, a row a month or quarter, is gathered by one grouping and stacked with the panel, which
+    is exchanged once, by security: a row takes what stands before it on its own day, and factors on the panel's own rows follow in the same order.
     """
     for n in names:
         if REGISTRY[n].input_frame not in frames:
             raise ValueError(f"factor {n} needs the frame {REGISTRY[n].input_frame!r}")
-    base = ratio_scores(frames["sector"], [n for n in names if REGISTRY[n].expr])
-    computed = [n for n in names if REGISTRY[n].compute]
-    if not computed:
-        return base
-    made = [REGISTRY[n].compute(frames).select("stock_id", "date", F.lit(n).alias("_factor"), F.col(f"`{n}`").alias("_value")).where("_value is not null") for n in computed]
-    stacked = reduce(DataFrame.unionByName, made)
-    wide = stacked.groupBy("stock_id", "date").agg(*[F.max(F.when(F.col("_factor") == n, F.col("_value"))).alias(n) for n in computed])
-    return base.join(wide, ["stock_id", "date"], "left")
+    own, panel = [n for n in names if REGISTRY[n].column], frames["sector"]
+    computed = [n for n in names if REGISTRY[n].compute and n not in own]
+    families: dict[Callable, list[str]] = {}
+    for n in computed:
+        families.setdefault(REGISTRY[n].family or REGISTRY[n].compute, []).append(n)
+    made = []
+    for make, group in families.items():
+        df = make(frames, group) if REGISTRY[group[0]].family else make(frames)
+        made.append(df.select("stock_id", "date", *[F.col(f"`{n}`").alias(f"_f{computed.index(n)}") for n in group]))
+    if made:
+        values = [f"_f{k}" for k in range(len(computed))]
+        stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), made).where(F.coalesce(*values).isNotNull() & F.col("stock_id").isNotNull() & F.col("date").isNotNull())
+        known = stacked.groupBy("stock_id", "date").agg(*[F.max(v).alias(v) for v in values]).select("stock_id", "date", F.struct("date", *values).alias("_known"), F.lit(0).alias("_own"))
+        rows = panel.withColumn("_own", F.lit(1)).unionByName(known, allowMissingColumns=True).repartition("stock_id")
+        before = W.partitionBy("stock_id").orderBy("date", "_own").rowsBetween(W.unboundedPreceding, 0)
+        panel = rows.withColumn("_known", F.last("_known", ignorenulls=True).over(before)).where("_own = 1")
+        panel = panel.withColumns({v: F.when(F.col("_known.date") == F.col("date"), F.col(f"_known.{v}")) for v in values}).drop("_known", "_own")
+    for n in own:
+        panel = REGISTRY[n].column(panel)
+    more = {n: f"_f{computed.index(n)}" if n in computed else n for n in names if REGISTRY[n].compute}
+    return ratio_scores(panel, [n for n in names if REGISTRY[n].expr], more)
 
 
 def metadata(spark: SparkSession) -> DataFrame:

@@ -40,10 +40,17 @@ def monthly_returns(panel: DataFrame, factor: DataFrame, on: list[str], keep: tu
 
     ``factor`` has a row for each day, or day and group, whatever the number of securities; panels are not exchanged to meet it.
     """
-    columns = {*on, *keep, "stock_id", "date", "excess_return"}
-    rows = panel.select(*[c for c in panel.columns if c in columns]).join(F.broadcast(factor), on, "left")
+    return monthly_on_factors(panel, {"x": (factor, on)}, keep)
+
+
+def monthly_on_factors(panel: DataFrame, factors: dict[str, tuple[DataFrame, list[str]]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``monthly_returns`` for several factors in one pass: each is a frame that has a column of the name it goes by, and the columns it is met on."""
+    columns = {"stock_id", "date", "excess_return", *keep, *[c for _, on in factors.values() for c in on]}
+    rows = panel.select(*[c for c in panel.columns if c in columns])
+    for factor, on in factors.values():
+        rows = rows.join(F.broadcast(factor), on, "left")
     return rows.groupBy("stock_id", period_key(F.col("date")).alias("period")).agg(
-        F.max("date").alias("date_"), compound(F.col("excess_return")).alias("ret"), compound(F.col("x")).alias("x"), *[F.max_by(c, "date").alias(c) for c in keep]
+        F.max("date").alias("date_"), compound(F.col("excess_return")).alias("ret"), *[compound(F.col(x)).alias(x) for x in factors], *[F.max_by(c, "date").alias(c) for c in keep]
     ).withColumnRenamed("date_", "date")
 
 

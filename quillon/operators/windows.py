@@ -156,10 +156,10 @@ def difference(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"d_{c}": F.col(c) - F.lag(c).over(order) for c in columns})
 
 
-def rolling_beta(monthly: DataFrame, months: int = 24, least: int = 12) -> DataFrame:
+def rolling_beta(monthly: DataFrame, months: int = 24, least: int = 12, x: str = "x", out: str = "beta") -> DataFrame:
     """Slope of ``ret`` on ``x`` over trailing months, with an intercept."""
     w = _stock(months)
-    return monthly.withColumn("beta", F.when(F.count("ret").over(w) >= least, F.regr_slope("ret", "x").over(w)))
+    return monthly.withColumn(out, F.when(F.count("ret").over(w) >= least, F.regr_slope("ret", x).over(w)))
 
 
 def rolling_two(df: DataFrame, y: str, a: str, b: str, rows: int, least: int) -> DataFrame:

@@ -212,7 +212,8 @@ def n3_industry_beta(spark, d):
 
 
 def frames(spark, d) -> dict[str, DataFrame]:
-    return {"sector": sector(spark, d), "market": cleaned(spark, d), "curve": s.zero_curve(spark, d)}
+    curve = artifact(spark, d, "zero_curve", lambda: s.zero_curve(spark, d))  # a few rows a month from all orders: made once, read by all
+    return {"sector": sector(spark, d), "market": cleaned(spark, d), "curve": curve}
 
 
 _CENTRED = "SELECT stock_id, date, {g}, beta - median(beta) OVER (PARTITION BY date_trunc('month', date), {g}) AS b FROM ({sql})"

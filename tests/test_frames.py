@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.operators import computed, resample, windows
+from quillon.operators import computed, factors, resample, windows
 from quillon.operators.joins import asof_join
 
 
@@ -62,3 +62,41 @@ def test_what_is_known_by_day_is_broadcast(spark):
         assert bound.count() == df.count() and made.count() == 19
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_factors_of_a_frame_share_its_passes(spark):
+    """Daily rows meet their factors without a join, each family reads the frames once, and values are those of each factor alone."""
+    rng = random.Random(9)
+    days = [date(2000 + k // 12, 1 + k % 12, day) for k in range(60) for day in (3, 17)]
+    rows = [(k, x, k % 6, k % 2, "bank" if k % 3 else "insurance_pc", rng.gauss(0, 0.05), rng.uniform(1, 9), k % 5 != 4, rng.random(), rng.random(), 2.0) for k in range(12) for x in days]
+    market = spark.createDataFrame(rows, "stock_id long, date date, country_code long, region_code long, industry string, excess_return double, mcap_usd double, tradeable boolean, net_interest_margin double, investment_income double, insurance_reserves double")
+    market = market.withColumn("total_return", F.col("excess_return")).localCheckpoint()
+    curve = spark.createDataFrame([(date(2000 + m // 12, 1 + m % 12, 1), c, tenor, rng.random()) for m in range(60) for c in range(5) for tenor in ("24M", "120M")], "date date, currency long, tenor_description string, zero_rate double")
+    frames = {"sector": market.where("tradeable"), "market": market, "curve": curve}
+    names = ["TRV", "NIM~Level", "NIM~Slope", "FIY~Level", "FIY~Slope", "Ret~Level", "Ret~Slope", "Beta~MKT", "Beta~CTRY", "Beta~IND (B)", "Beta~IND (I)", "NIM"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = factors.factor_frames(frames, names)
+        made = wide._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [stock_id" not in made
+        few = plan(factors.factor_frames(frames, ["TRV", "NIM~Level", "Ret~Level", "Beta~MKT", "Beta~CTRY", "Beta~IND (B)"]))
+        reads = lambda p: p[p.index("== Physical Plan"):].count("Scan ExistingRDD")
+        assert reads(few) == reads(plan(wide)) > 0, "a family reads a frame once, however many factors it makes"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert wide.columns == ["stock_id", "date", "industry", "NIM", *names[:-1]]
+    wide = {(r.stock_id, r.date): r for r in wide.collect()}
+    assert len(wide) == market.where("tradeable").count()
+    for n in names[:-1]:
+        alone = {(r.stock_id, r.date): r[n] for r in factors.REGISTRY[n].compute(frames).collect() if r[n] is not None}
+        assert alone or n == "TRV"
+        assert {k: v[n] for k, v in wide.items() if v[n] is not None} == {k: pytest.approx(v, abs=1e-9) for k, v in alone.items()}, n
+    groups = {"Beta~CTRY": computed.group_betas(market, "country_code", ("region_code",)), "Beta~IND (B)": computed.group_betas(market, "industry", (), True).where("industry = 'bank'")}
+    for n, by in (("Beta~CTRY", "country_code"), ("Beta~IND (B)", "industry")):
+        want = {(r.stock_id, r.date): r.beta for r in windows.center_by_group(groups[n], "beta", by).collect() if r.beta is not None}
+        assert {k: v[n] for k, v in wide.items() if v[n] is not None} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}, n
+    for n, metric, end in (("NIM~Level", "nim", "level"), ("FIY~Slope", "fiy", "slope")):
+        rates = computed.metric_rate_betas(computed.quarterly_rates(frames["sector"], curve), metric).where(F.col("industry").startswith("bank" if metric == "nim" else "insurance"))
+        want = {(r.stock_id, r.date): r[f"beta_d_{end}"] for r in rates.collect() if r[f"beta_d_{end}"] is not None}
+        assert want and {k: v[n] for k, v in wide.items() if v[n] is not None} == {k: pytest.approx(v, rel=1e-6, abs=1e-9) for k, v in want.items()}, n
